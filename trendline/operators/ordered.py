@@ -15,64 +15,73 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RANGE = "_range"
 SAMPLED_ROWS_PER_RANGE = 64
+ROWS_PER_RANGE = 1_000_000
+RANGES_PER_TASK = 4
+MOST_RANGES = 4096
 
 
 def _order_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"`{name}`") for name in order])
+    columns = [F.col(f"`{name}`") for name in order]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
 
 
 def _as_sequence(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def range_cuts(df: DataFrame, order: Sequence[str], ranges: int) -> list[Column]:
+def range_count(rows: int, tasks: int) -> int:
+    """Ranges for some rows: small enough to sort, few enough to list."""
+    return min(MOST_RANGES, max(RANGES_PER_TASK * tasks, rows // ROWS_PER_RANGE))
+
+
+def range_cuts(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> list[Column]:
     """Key values that cut the rows into about ``ranges`` even ranges.
 
     Brings some 64 sampled keys per range to the driver, whatever the row count.
     """
     keys = df.select(*[F.col(f"`{name}`") for name in order])
     rows = keys.count()
+    if ranges is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = range_count(rows, tasks)
     wanted = ranges * SAMPLED_ROWS_PER_RANGE
     if rows > wanted:
         keys = keys.sample(wanted / rows, seed=7)
     sample = keys.orderBy(*keys.columns).collect()
     step = max(1, len(sample) // ranges)
-    return [
-        F.struct(
-            *[
-                F.lit(value).cast(field.dataType).alias(field.name)
-                for value, field in zip(row, keys.schema.fields, strict=True)
-            ]
-        )
-        for row in sample[step::step]
-    ]
-
-
-def range_of(key: Column, cuts: Sequence[Column]) -> Column:
-    """How many cuts lie at or below the key, by halving the list of cuts."""
-    if not cuts:
-        return F.lit(0)
-    steps = [1 << power for power in reversed(range(len(cuts).bit_length()))]
-    ordered = F.sort_array(F.array(*cuts))
+    return [_literal_key(row, keys.schema) for row in sample[step::step]]
 
-    def advance(found: Column, step: Column) -> Column:
-        reached = found + step
-        fits = F.get(ordered, reached - F.lit(1)) <= key
-        return F.when(fits, reached).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+def _literal_key(row: Row, schema: StructType) -> Column:
+    columns = [
+        F.lit(value).cast(field.dataType).alias(field.name)
+        for value, field in zip(row, schema.fields, strict=True)
+    ]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Adds the range number of each row; every range comes before the next one."""
-    if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn(RANGE, range_of(_order_key(order), range_cuts(df, order, ranges)))
+    """Adds the range number of each row; every range comes before the next one.
+
+    The number is how many cuts lie at or below the row's key. It is found by
+    halving the list, one plain projection per halving, all of it generated code.
+    """
+    cuts = range_cuts(df, order, ranges)
+    df = df.withColumn(RANGE, F.lit(0))
+    if not cuts:
+        return df
+    key, ordered = _order_key(order), F.sort_array(F.array(*cuts))
+    for power in reversed(range(len(cuts).bit_length())):
+        reached = F.col(RANGE) + F.lit(1 << power)
+        fits = F.get(ordered, reached - F.lit(1)) <= key
+        df = df.withColumn(RANGE, F.when(fits, reached).otherwise(F.col(RANGE)))
+    return df
 
 
 def running_sum(
@@ -92,13 +101,13 @@ def running_sum(
     )
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(RANGE).agg(F.sum(out).alias("_total"))
-    total_type = totals.schema["_total"].dataType
     # One row per range: the cuts bound its size, so it may be broadcast.
     offsets = totals.select(RANGE, F.sum("_total").over(earlier).alias("_before"))
     inside, before = F.col(out), F.col("_before")
+    total_type = offsets.schema["_before"].dataType
     return (
         cut.withColumn(out, F.sum(out).over(within))
-        .join(F.broadcast(offsets), RANGE)
+        .join(F.broadcast(offsets), RANGE, "left")
         .withColumn(out, F.coalesce(inside + before, inside, before).cast(total_type))
         .drop(RANGE, "_before")
     )

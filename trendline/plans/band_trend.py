@@ -100,7 +100,9 @@ def calendar(
             ),
         ).alias("_marks"),
     )
-    marks = lines.select(*partition_by, "_age", F.inline("_marks")).filter(F.col(DATE).isNotNull())
+    # Both marks always exist; the outer form keeps Spark from testing for empty arrays.
+    marks = lines.select(*partition_by, "_age", F.inline_outer("_marks"))
+    marks = marks.filter(F.col(DATE).isNotNull())
     return marks.groupBy(*partition_by, DATE).agg(
         F.max("_on_spine").alias("_on_spine"),
         F.max("_reported").alias("_reported"),

@@ -35,7 +35,7 @@ def conversation_texts(turns: DataFrame, render: Render = role_heading) -> DataF
     A text holds at most 64 turns. A longer conversation goes on in further
     parts, so that one endless conversation is spread over many tasks.
     """
-    part = F.floor(F.col("turn") / F.lit(TURNS_PER_PART)).alias("part")
+    part = F.expr(f"turn div {TURNS_PER_PART}").alias("part")
     return (
         turns.select("conv_id", part, "turn", render(F.col("role"), F.col("text")).alias("_piece"))
         .groupBy("conv_id", "part")
@@ -114,15 +114,12 @@ def length_batches(
     numbered = row_index(keys.select(key), key, out="_id")
     if max_steps is not None:
         numbered = numbered.filter(F.col("_id") <= max_steps * accumulation * batch_size)
-    group_size = batch_size * GROUPED_BATCHES
-    group = F.floor((F.col("_id") - 1) / F.lit(group_size))
+    numbered = numbered.withColumn("_group", F.expr(f"(_id - 1) div {batch_size * GROUPED_BATCHES}"))
     longest_first = Window.partitionBy("_group").orderBy(F.desc(length), key)
-    place = F.row_number().over(longest_first) - 1
-    batch = F.col("_group") * GROUPED_BATCHES + F.floor(F.col("_place") / F.lit(batch_size))
+    batch = F.expr(f"_group * {GROUPED_BATCHES} + (_place - 1) div {batch_size}")
     return (
         texts.join(numbered, key)
-        .withColumn("_group", group)
-        .withColumn("_place", place)
+        .withColumn("_place", F.row_number().over(longest_first))
         .select(key, length, batch.alias("batch"))
-        .withColumn("step", F.floor(F.col("batch") / F.lit(accumulation)))
+        .withColumn("step", F.expr(f"batch div {accumulation}"))
     )
