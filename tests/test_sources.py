@@ -1,0 +1,201 @@
+"""CSV, zipped CSV, workbooks and tables."""
+
+from __future__ import annotations
+
+import zipfile
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+from conftest import values
+from trendline.catalog import roundtrip
+from trendline.sources import tables, text_files, workbooks
+from trendline.workspace import shared_folder
+
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def test_csv_infers_or_takes_a_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("d,n,t,e\n2021-01-02,1,x,\n2021-01-03,,y z,\n")
+    inferred = text_files.read_csv(spark, str(tmp_path))
+    assert dict(inferred.dtypes) == {"d": "date", "n": "int", "t": "string", "e": "string"}
+    typed = text_files.read_csv(spark, str(tmp_path), "d date, n bigint, t string, e double")
+    assert values(typed) == [
+        (date(2021, 1, 2), 1, "x", None),
+        (date(2021, 1, 3), None, "y z", None),
+    ]
+
+
+def test_trailing_blank_makes_a_timestamp(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("d\n2021-01-02\n2021-01-03 \n")
+    assert text_files.read_csv(spark, str(tmp_path)).dtypes == [("d", "timestamp")]
+
+
+def test_csv_round_trip_of_awkward_text(spark, tmp_path):
+    rows = [(1, 'say "hi", you'), (2, "back\\slash"), (3, ""), (4, None), (5, "line\nbreak")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    folder = str(tmp_path / "out")
+    text_files.write_csv(df, folder, r"\N")
+    assert values(text_files.read_written_csv(spark, folder, df.schema, r"\N")) == rows
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("list.csv", '﻿k,t\r\n1,"a,b"\r\n\r\n2,\r\n')
+        archive.writestr("notes.txt", "k,t\n9,no\n")
+        archive.writestr("more/UPPER.CSV", "k,t\n3,c")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("long.csv", "k,t\n" + "".join(f"{n},x\n" for n in range(100, 20100)))
+    (tmp_path / "plain.csv").write_text("k,t\n7,no\n")
+    rows = text_files.read_zipped_csv(spark, str(tmp_path), "k int, t string")
+    assert values(rows.filter("k < 100")) == [(1, "a,b"), (2, None), (3, "c")]
+    assert rows.filter("k >= 100").agg(F.count("*"), F.sum("k")).collect() == [
+        (20000, sum(range(100, 20100)))
+    ]
+
+
+def test_zip_round_trip(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(3)
+    folder = str(tmp_path / "zips")
+    roundtrip.write_zipped_csv(orders, folder)
+    assert values(text_files.read_zipped_csv(spark, folder, orders.schema)) == values(orders)
+
+
+def write_workbook(path, sheets, strings=(), formats=""):
+    """A workbook with shared strings and cell styles 0 (plain), 1 (date) and 2 (own format)."""
+    with zipfile.ZipFile(path, "w") as book:
+        tabs = "".join(
+            f'<sheet name="{name}" sheetId="{n}" r:id="rId{n}"/>' for n, name in enumerate(sheets, 1)
+        )
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{MAIN}" xmlns:r="{LINKS}"><sheets>{tabs}</sheets></workbook>',
+        )
+        targets = "".join(
+            f'<Relationship Id="rId{n}" Target="{"/xl/" if n % 2 else ""}worksheets/s{n}.xml"/>'
+            for n in range(1, len(sheets) + 1)
+        )
+        book.writestr(
+            "xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}">{targets}</Relationships>'
+        )
+        texts = "".join(f"<si><r><t>{s[:1]}</t></r><r><t>{s[1:]}</t></r></si>" for s in strings)
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">{texts}</sst>')
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet xmlns="{MAIN}"><numFmts>'
+            '<numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/>'
+            '<numFmt numFmtId="171" formatCode="[Red]0.0&quot; days&quot;"/></numFmts>'
+            '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/>'
+            '<xf numFmtId="171"/></cellXfs></styleSheet>',
+        )
+        for n, rows in enumerate(sheets.values(), 1):
+            book.writestr(
+                f"xl/worksheets/s{n}.xml",
+                f'<worksheet xmlns="{MAIN}"><sheetData>{rows}</sheetData></worksheet>',
+            )
+
+
+RESULTS = (
+    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
+    '<row r="2"><c r="A2" s="1"><v>44197</v></c><c r="B2"><v>7</v></c>'
+    '<c r="D2" t="inlineStr"><is><t>far</t></is></c></row>'
+    '<row r="4"><c r="A4" s="2"><v>44198.25</v></c><c r="B4" t="e"><v>#N/A</v></c>'
+    '<c r="C4" s="3"><v>1.5</v></c><c r="D4" t="b"><v>1</v></c></row>'
+)
+
+
+def test_workbook_cells(spark, tmp_path):
+    write_workbook(tmp_path / "a.xlsx", {"Results": RESULTS, "Results(1)": ""}, ["Date", "doses"])
+    write_workbook(tmp_path / "b.xlsx", {"Other": RESULTS}, ["x", "y"])
+    cells = workbooks.sheet_cells(spark, str(tmp_path), "Results")
+    assert [tuple(row) for row in cells.select("row_idx", "cells").orderBy("row_idx").collect()] == [
+        (0, ["Date", "doses"]),
+        (1, ["2021-01-01 00:00:00", "7", None, "far"]),
+        (3, ["2021-01-02 06:00:00", None, "1.5", "true"]),
+    ]
+    assert workbooks.sheet_cells(spark, str(tmp_path), "Results(1)").count() == 0
+
+
+def test_typed_sheet(spark, tmp_path):
+    write_workbook(tmp_path / "a.xlsx", {"Tab": "", "Results": RESULTS}, ["Date", "doses"])
+    schema = StructType(
+        [
+            StructField("Date", TimestampType()),
+            StructField("doses", LongType()),
+            StructField("odd", IntegerType()),
+            StructField("text", StringType()),
+            StructField("beyond", DoubleType()),
+        ]
+    )
+    sheet = workbooks.read_sheet(spark, str(tmp_path), "Results", schema)
+    assert values(sheet, "row_idx", F.to_date("Date"), "doses", "odd", "text", "beyond") == [
+        (1, date(2021, 1, 1), 7, None, "far", None),
+        (3, date(2021, 1, 2), None, None, "true", None),
+    ]
+    assert sheet.filter("row_idx = 3").select("Date").collect()[0][0] is not None
+
+
+def test_many_workbooks(spark, sf_dir, tmp_path):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(4)
+    folder = str(tmp_path / "books")
+    roundtrip.write_workbooks(parts, folder, "Results(2)")
+    sheet = workbooks.read_sheet(spark, folder, "Results(2)", parts.schema)
+    assert sheet.select("path").distinct().count() == 4
+    assert values(sheet.drop("path", "row_idx")) == values(parts)
+
+
+def test_table_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.range(5).withColumn("old", F.lit(1))
+    tables.replace_table(first, "trendline_test_table", path)
+    second = tables.replace_table(spark.range(3), "trendline_test_table", path)
+    assert values(second) == [(0,), (1,), (2,)]
+
+
+def test_view(spark):
+    assert values(tables.view_scan(spark.range(2), "trendline_test_view")) == [(0,), (1,)]
+
+
+def test_shared_folder_follows_the_session(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    one, other = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert one.startswith(f"{base}/trendline/x-")
+    assert one != other
+
+
+class Session:
+    """Only the settings of a session."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = {name.replace("_", "."): value for name, value in settings.items()}
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session(spark_master="yarn"), "x")
+    assert shared_folder(Session(spark_master="local[2]"), "x")
+    assert shared_folder(Session(spark_checkpoint_dir="s3://b/c/"), "x").startswith("s3://b/c/trend")
+
+
+def test_date_columns_of_csv(spark, tmp_path):
+    schema = StructType([StructField("d", DateType()), StructField("t", TimestampType())])
+    df = spark.createDataFrame([(date(2021, 1, 2), datetime(2021, 1, 2, 3, 4, 5))], schema)
+    text_files.write_csv(df, str(tmp_path / "o"))
+    assert values(text_files.read_csv(spark, str(tmp_path / "o"), schema)) == values(df)

@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 
 DATE = tracker_job.DATE
 DOSES = tracker_job.DOSES
+NULL_TEXT = r"\N"
 
 
 def query(function: Query) -> Query:
@@ -338,8 +339,8 @@ def page_rows(spark, sf_dir):
 def page_rows_csv(spark, sf_dir):
     rows = page_rows(spark, sf_dir)
     folder = shared_folder(spark, "page-rows")
-    text_files.write_csv(rows, folder)
-    return text_files.read_csv(spark, folder, rows.schema)
+    text_files.write_csv(rows, folder, NULL_TEXT)
+    return text_files.read_written_csv(spark, folder, rows.schema, NULL_TEXT)
 
 
 @query
@@ -355,8 +356,8 @@ def page_assets(spark, sf_dir):
 def read_csv_typed(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     folder = shared_folder(spark, "csv")
-    text_files.write_csv(customers, folder)
-    return text_files.read_csv(spark, folder, customers.schema)
+    text_files.write_csv(customers, folder, NULL_TEXT)
+    return text_files.read_written_csv(spark, folder, customers.schema, NULL_TEXT)
 
 
 @query

@@ -18,15 +18,28 @@ LINES_PER_BATCH = 8192
 LINES_SCHEMA = "archive string, member string, line_no bigint, line string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, **options: object
+) -> DataFrame:
     """CSV with a header line. Without a schema, Spark reads the data once more to infer it."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).options(**options)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, null_text: str = "") -> None:
+    """CSV with a header line; quotes inside a value are doubled, NULL is ``null_text``."""
+    df.write.mode("overwrite").options(header=True, escape='"', nullValue=null_text).csv(path)
+
+
+def read_written_csv(
+    spark: SparkSession, path: str, schema: StructType | str, null_text: str = ""
+) -> DataFrame:
+    """What ``write_csv`` wrote, values with line breaks included.
+
+    Spark tells empty text from NULL only if ``null_text`` is not empty itself.
+    """
+    return read_csv(spark, path, schema, escape='"', multiLine=True, nullValue=null_text)
 
 
 def open_file(uri: str):
