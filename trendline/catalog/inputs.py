@@ -130,11 +130,3 @@ def age_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(start.format(1)).alias("current_date:"),
         F.expr(start.format(0)).alias("yesterday_date:"),
     )
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations")
-
-
-def is_train() -> Column:
-    return F.col("conv_id") % 10 < 9

@@ -154,7 +154,7 @@ WITH labels AS (
 TURNS = """
 WITH turns AS (
   SELECT conv_id, turn, '### ' || role || ': ' || COALESCE(text, '') AS piece
-  FROM conversations WHERE conv_id % 10 < 9)
+  FROM conversations)
 """
 
 TRUNCATED = f"""{TURNS},
@@ -307,6 +307,7 @@ ORACLES: dict[str, str] = {
     "drop_footer": """
         SELECT o_orderkey AS row_idx, o_totalprice FROM orders
         WHERE o_orderkey < (SELECT MAX(o_orderkey) FROM orders)""",
+    "corpus_split": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "sft_text": f"""{TURNS}
         SELECT conv_id, CAST(turn // 64 AS BIGINT) AS part, COUNT(*) AS n_turns,
                STRING_AGG(piece, CHR(10) ORDER BY turn) AS text

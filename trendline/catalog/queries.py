@@ -301,23 +301,27 @@ def drop_footer(spark, sf_dir):
 # Chat corpus
 
 
+@query
+def corpus_split(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return chat_corpus.load_split(documents, "lang", "en").select("doc_id", "text")
+
+
 @query
 def sft_text(spark, sf_dir):
-    train = chat_corpus.train_split(inputs.turns(spark, sf_dir), inputs.is_train())
-    return chat_corpus.conversation_texts(train)
+    return chat_corpus.conversation_texts(table(spark, sf_dir, "conversations"))
 
 
 @query
 def sft_truncate(spark, sf_dir):
-    train = chat_corpus.train_split(inputs.turns(spark, sf_dir), inputs.is_train())
-    return chat_corpus.truncated_texts(train)
+    return chat_corpus.truncated_texts(table(spark, sf_dir, "conversations"))
 
 
 @query
 def sft_length_batches(spark, sf_dir):
-    train = chat_corpus.train_split(inputs.turns(spark, sf_dir), inputs.is_train())
-    texts = chat_corpus.truncated_texts(train)
-    return chat_corpus.length_batches(texts, train.select("conv_id").distinct())
+    turns = table(spark, sf_dir, "conversations")
+    texts = chat_corpus.truncated_texts(turns)
+    return chat_corpus.length_batches(texts, turns.select("conv_id").distinct())
 
 
 # Pages

@@ -14,19 +14,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _open_for_writing(uri: str):
-    import re
+from trendline.sources.files import create_file
 
-    from pyarrow import fs
-
-    if "://" not in uri:
-        uri = "file:///" + re.sub("^(file:)?/+", "", uri)
-    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _write_files(df: DataFrame, folder: str, extension: str, fill) -> None:
@@ -42,7 +32,7 @@ def _write_files(df: DataFrame, folder: str, extension: str, fill) -> None:
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 fill(archive, batch)
             name = f"{folder}/part-{partition:05d}-{number:05d}{extension}"
-            with _open_for_writing(name) as stream:
+            with create_file(name) as stream:
                 stream.write(buffer.getvalue())
             yield pd.DataFrame({"file": [name]})
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def union_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def rename_by_lookup(
 ) -> DataFrame:
     """Adds the new name of each row's key; rows whose key has none are left out.
 
-    The lookup is part of the program text, so its size does not grow with data.
+    The lookup is a local relation: Spark knows its size and broadcasts it only
+    if it is small.
     """
-    lookup = df.sparkSession.createDataFrame(list(names.items()), f"`{key}` string, `{out}` string")
-    return df.join(F.broadcast(lookup), key, "inner")
+    lookup = pa.table({key: list(names.keys()), out: list(names.values())})
+    return df.join(df.sparkSession.createDataFrame(lookup), key, "inner")

@@ -20,8 +20,9 @@ def role_heading(role: Column, text: Column) -> Column:
     return F.concat(F.lit("### "), role, F.lit(": "), F.coalesce(text, F.lit("")))
 
 
-def train_split(turns: DataFrame, is_train: Column) -> DataFrame:
-    return turns.filter(is_train)
+def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
+    """The rows of one named split; on files, Spark hands the test to the scan."""
+    return corpus.filter(F.col(column) == F.lit(split))
 
 
 def _joined(order: str, piece: str, separator: str) -> Column:

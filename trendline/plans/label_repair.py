@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,6 @@ def rename_regions_in_order(
 ) -> DataFrame:
     """Adds the n-th short name to the n-th row of the sheet."""
     short = sheet.sparkSession.createDataFrame(
-        list(enumerate(names)), "_position int, new_PHUnames string"
+        pa.table({"_position": list(range(len(names))), "new_PHUnames": list(names)})
     )
     return zip_by_position(sheet, short, order, "_position").drop("_position", "id")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trendline.sources.files import file_paths, open_file
+
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,46 +44,49 @@ def read_written_csv(
     return read_csv(spark, path, schema, escape='"', multiLine=True, nullValue=null_text)
 
 
-def open_file(uri: str):
-    """A seekable stream on any file system that Arrow knows."""
-    import re
-
-    from pyarrow import fs
+def csv_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The CSV members of each archive, from its directory alone."""
+    import zipfile
 
-    uri = re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", uri))
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
+    for batch in batches:
+        members = []
+        for uri in batch["path"]:
+            with open_file(uri) as stream, zipfile.ZipFile(stream) as archive:
+                members += [(uri, m) for m in archive.namelist() if m.lower().endswith(".csv")]
+        yield pd.DataFrame(members, columns=["archive", "member"])
 
 
-def archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams the lines of every CSV member; holds one batch of lines at a time."""
+def member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams the lines of each member; holds one batch of lines at a time."""
     import io
     import itertools
     import zipfile
 
     names = ["archive", "member", "line_no", "line"]
-    for uri in itertools.chain.from_iterable(batch["path"] for batch in batches):
-        with open_file(uri) as stream, zipfile.ZipFile(stream) as archive:
-            for member in archive.namelist():
-                if not member.lower().endswith(".csv"):
-                    continue
-                with archive.open(member) as raw:
-                    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
-                    numbered = enumerate(line.rstrip("\n") for line in text)
-                    while rows := list(itertools.islice(numbered, LINES_PER_BATCH)):
-                        yield pd.DataFrame([(uri, member, *row) for row in rows], columns=names)
+    for batch in batches:
+        for uri, member in zip(batch["archive"], batch["member"], strict=True):
+            with (
+                open_file(uri) as stream,
+                zipfile.ZipFile(stream) as archive,
+                archive.open(member) as raw,
+            ):
+                text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
+                numbered = enumerate(line.rstrip("\n") for line in text)
+                while rows := list(itertools.islice(numbered, LINES_PER_BATCH)):
+                    yield pd.DataFrame([(uri, member, *row) for row in rows], columns=names)
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of all CSV members of the zip files in a folder.
 
-    The scan lists the files without reading them; archives spread over the
-    tasks, and each is read as a stream, since a zip member cannot be split.
+    The members, not the archives, are spread over the tasks, so an archive with
+    many members is shared out. One member is one stream and cannot be split.
     """
-    archives = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = file_paths(spark, path, "*.zip").mapInPandas(
+        csv_members, "archive string, member string"
     )
-    return archives.mapInPandas(archive_lines, LINES_SCHEMA)
+    return members.repartition(tasks).mapInPandas(member_lines, LINES_SCHEMA)
 
 
 def read_zipped_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

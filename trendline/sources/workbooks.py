@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trendline.sources.files import file_paths, open_file
+
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -82,12 +84,12 @@ def _cell_text(cell, shared: list[str], dates: set[int]) -> str | None:
     return value
 
 
-def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
-    import io
+def _sheet_rows(uri: str, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
+    """Row numbers and cells of one sheet, read as a stream."""
     import zipfile
     from xml.etree import ElementTree
 
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with open_file(uri) as stream, zipfile.ZipFile(stream) as book:
         member = _sheet_member(book, sheet)
         if member is None:
             return
@@ -114,25 +116,21 @@ def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | No
 def sheet_cells(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """The cells of one sheet of every workbook in a folder, header row included.
 
-    Spark spreads the workbooks over the tasks; the format itself bounds the size
-    of one. Dates come as ISO text, errors and gaps as NULL. Workbooks without
-    the sheet give no rows.
+    Spark spreads the workbooks over the tasks, and each is read as a stream.
+    Dates come as ISO text, errors and gaps as NULL. Workbooks without the sheet
+    give no rows.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import itertools
 
-        for batch in batches:
-            for uri, content in zip(batch["path"], batch["content"], strict=True):
-                rows = _sheet_rows(content, sheet)
-                while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
-                    yield pd.DataFrame(
-                        [(uri, sheet, place, cells) for place, cells in chunk],
-                        columns=["path", "sheet", "row_idx", "cells"],
-                    )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInPandas(decode, CELLS_SCHEMA)
+        names = ["path", "sheet", "row_idx", "cells"]
+        for uri in itertools.chain.from_iterable(batch["path"] for batch in batches):
+            rows = _sheet_rows(uri, sheet)
+            while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
+                yield pd.DataFrame([(uri, sheet, *row) for row in chunk], columns=names)
+
+    return file_paths(spark, path, "*.xlsx").mapInPandas(decode, CELLS_SCHEMA)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, schema: StructType) -> DataFrame:
