@@ -121,7 +121,7 @@ def lengths(spark, count):
 
 def test_batches_group_similar_lengths(spark):
     texts = lengths(spark, 1003)
-    batches = chat_corpus.length_batches(texts, texts.select("conv_id")).collect()
+    batches = chat_corpus.length_batches(texts).collect()
     assert len(batches) == 1003
     by_key = sorted((row["conv_id"], row["n_tokens"]) for row in texts.collect())
     expected = {}
@@ -137,7 +137,7 @@ def test_batches_group_similar_lengths(spark):
 
 def test_steps_end_the_run(spark):
     texts = lengths(spark, 1003)
-    batches = chat_corpus.length_batches(texts, texts.select("conv_id"), max_steps=30).collect()
+    batches = chat_corpus.length_batches(texts, max_steps=30).collect()
     first = sorted(row["conv_id"] for row in texts.collect())[: 30 * 16]
     assert sorted(row["conv_id"] for row in batches) == first
     assert max(row["step"] for row in batches) == 29

@@ -21,7 +21,7 @@ from trendline.plans import band_trend as trend
 from trendline.plans import chat_corpus, label_repair, page_tables
 from trendline.plans import daily_tracker as tracker_job
 from trendline.sources import tables, text_files, workbooks
-from trendline.workspace import shared_folder
+from trendline.workspace import shared_folder, written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,20 +73,31 @@ def date_spine(spark, sf_dir):
     return cleaning.date_spine(inputs.line_list(spark, sf_dir), "event_date")
 
 
+def _calendar(spark, sf_dir):
+    lines = inputs.line_list(spark, sf_dir)
+    return written_once(trend.calendar(lines, FACTS, BANDS, AS_OF), "calendar")
+
+
+def _spine_filled(days):
+    totals = trend.band_cumulative(trend.daily_counts(days, BANDS), BANDS, trend.DATE)
+    return trend.spine_filled(totals, trend.event_dates(days), BANDS)
+
+
 @query
 def spine_ffill(spark, sf_dir):
-    return trend.spine_filled(band_cumulative(spark, sf_dir), date_spine(spark, sf_dir), BANDS)
+    return _spine_filled(_calendar(spark, sf_dir))
 
 
 @query
 def band_avg7(spark, sf_dir):
-    return trend.band_averages(spine_ffill(spark, sf_dir), BANDS)
+    return trend.band_averages(_spine_filled(_calendar(spark, sf_dir)), BANDS)
 
 
 @query
 def reported_spine_diff(spark, sf_dir):
-    reported = cleaning.date_spine(inputs.line_list(spark, sf_dir), "reported_date")
-    return trend.reported_changes(band_avg7(spark, sf_dir), reported, BANDS, AS_OF)
+    days = _calendar(spark, sf_dir)
+    averages = trend.band_averages(_spine_filled(days), BANDS)
+    return trend.reported_changes(averages, trend.report_dates(days), BANDS, AS_OF)
 
 
 @query
@@ -183,8 +194,11 @@ def latest_minus_min8(spark, sf_dir):
 
 @query
 def scalar_cross_join(spark, sf_dir):
+    tracker = written_once(inputs.daily_tracker(spark, sf_dir), "tracker")
     return kpi.glue_single_rows(
-        metric_total(spark, sf_dir), last7_sum(spark, sf_dir), latest_value(spark, sf_dir)
+        kpi.metric_total(tracker, DOSES, "total"),
+        kpi.latest_sum(tracker, DATE, DOSES, "last7"),
+        kpi.latest_value(tracker, DATE, DOSES, "latest"),
     )
 
 
@@ -241,7 +255,7 @@ def rename_by_position(spark, sf_dir):
     units = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
         F.count("*").alias("customers")
     )
-    return label_repair.rename_regions_in_order(units, "c_nationkey")
+    return label_repair.rename_regions_in_order(written_once(units, "units"), "c_nationkey")
 
 
 @query
@@ -319,9 +333,7 @@ def sft_truncate(spark, sf_dir):
 
 @query
 def sft_length_batches(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    texts = chat_corpus.truncated_texts(turns)
-    return chat_corpus.length_batches(texts, turns.select("conv_id").distinct())
+    return chat_corpus.length_batches(written_once(sft_truncate(spark, sf_dir), "texts"))
 
 
 # Pages

@@ -1,9 +1,9 @@
 """The trend table per age band.
 
-Two forms. The step functions work on any daily series and join it to spines of
-dates. ``band_trend`` is the whole job: it reads the line list once and turns
-all its dates into one calendar in a single aggregation, so that none of the
-outer joins between series and spines is left.
+``calendar`` reads the line list once and turns all its dates into one table
+with a row per date in a single aggregation. On it, ``band_trend`` is the whole
+job without any join between series and spines. The step functions do the same
+on any daily series and any spine of dates.
 """
 
 from __future__ import annotations
@@ -161,5 +161,18 @@ def band_trend(
     )
 
 
+def daily_counts(days: DataFrame, bands: Sequence[Band]) -> DataFrame:
+    """The counts per band out of a calendar, on the dates that have cases."""
+    return days.filter(F.col("_cases") > 0).select(DATE, *[band.sum for band in bands])
+
+
+def event_dates(days: DataFrame) -> DataFrame:
+    return days.filter("_on_spine").select(DATE)
+
+
+def report_dates(days: DataFrame) -> DataFrame:
+    return days.filter("_reported").select(DATE)
+
+
 def _work(band: Band) -> str:
     return f"_{band.average}"

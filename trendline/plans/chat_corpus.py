@@ -12,6 +12,9 @@ from trendline.operators.ordered import row_index
 
 Render = Callable[[Column, Column], Column]
 
+# Fixed value: what the pattern for white space covers.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 TURNS_PER_PART = 64
 GROUPED_BATCHES = 50
 
@@ -44,9 +47,13 @@ def conversation_texts(turns: DataFrame, render: Render = role_heading) -> DataF
     )
 
 
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def tokens(text: Column) -> Column:
-    """The pieces between white space."""
-    return F.filter(F.split(text, r"\s+"), lambda token: token != F.lit(""))
+    """The pieces between white space; a blank text is one empty piece."""
+    return F.split(_trimmed(text), r"\s+")
 
 
 def first_tokens(text: Column, max_tokens: int | Column) -> Column:
@@ -69,14 +76,12 @@ def truncated_texts(
     """
     in_order = Window.partitionBy("conv_id").orderBy("turn")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    rendered = turns.select(
-        "conv_id", "turn", tokens(render(F.col("role"), F.col("text"))).alias("_tokens")
-    )
-    cut = rendered.filter(F.size("_tokens") > 0).select(
+    rendered = render(F.col("role"), F.col("text"))
+    cut = turns.filter(_trimmed(rendered) != F.lit("")).select(
         "conv_id",
         "turn",
-        F.array_join(F.slice("_tokens", 1, max_tokens), " ").alias("_piece"),
-        F.least(F.size("_tokens"), F.lit(max_tokens)).alias("_n"),
+        first_tokens(rendered, max_tokens).alias("_piece"),
+        F.least(F.size(tokens(rendered)), F.lit(max_tokens)).alias("_n"),
     )
     first = cut.withColumn("_place", F.row_number().over(in_order)).filter(
         F.col("_place") <= max_tokens
@@ -97,7 +102,6 @@ def truncated_texts(
 
 def length_batches(
     texts: DataFrame,
-    keys: DataFrame,
     key: str = "conv_id",
     length: str = "n_tokens",
     batch_size: int = fixed_values.BATCH_SIZE,
@@ -108,19 +112,18 @@ def length_batches(
 
     The texts, in the order of their keys, fall into groups of 50 batches; inside
     a group the longest come first. All groups have the same size whatever the
-    keys look like, and batch numbers follow from it. ``keys`` has the same keys
-    as ``texts`` and should be the cheaper frame. ``max_steps`` ends the run after
-    that many optimiser steps.
+    keys look like, and batch numbers follow from it. ``max_steps`` ends the run
+    after that many optimiser steps. The keys are read several times, so
+    ``texts`` should be a stored frame; the text itself is not read.
     """
-    numbered = row_index(keys.select(key), key, out="_id")
+    numbered = row_index(texts.select(key, length), key, out="_id")
     if max_steps is not None:
         numbered = numbered.filter(F.col("_id") <= max_steps * accumulation * batch_size)
     numbered = numbered.withColumn("_group", F.expr(f"(_id - 1) div {batch_size * GROUPED_BATCHES}"))
     longest_first = Window.partitionBy("_group").orderBy(F.desc(length), key)
     batch = F.expr(f"_group * {GROUPED_BATCHES} + (_place - 1) div {batch_size}")
     return (
-        texts.join(numbered, key)
-        .withColumn("_place", F.row_number().over(longest_first))
+        numbered.withColumn("_place", F.row_number().over(longest_first))
         .select(key, length, batch.alias("batch"))
         .withColumn("step", F.expr(f"batch div {accumulation}"))
     )

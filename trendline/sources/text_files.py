@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from trendline.sources.files import file_paths, open_file
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINES_PER_BATCH = 8192
+LINES_COLUMNS = ["archive", "member", "line_no", "line"]
 LINES_SCHEMA = "archive string, member string, line_no bigint, line string"
 
 
@@ -56,24 +58,32 @@ def csv_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(members, columns=["archive", "member"])
 
 
-def member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams the lines of each member; holds one batch of lines at a time."""
     import io
     import itertools
     import zipfile
 
-    names = ["archive", "member", "line_no", "line"]
     for batch in batches:
-        for uri, member in zip(batch["archive"], batch["member"], strict=True):
+        for uri, member in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             with (
                 open_file(uri) as stream,
                 zipfile.ZipFile(stream) as archive,
                 archive.open(member) as raw,
             ):
                 text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
-                numbered = enumerate(line.rstrip("\n") for line in text)
-                while rows := list(itertools.islice(numbered, LINES_PER_BATCH)):
-                    yield pd.DataFrame([(uri, member, *row) for row in rows], columns=names)
+                lines = (line.rstrip("\n") for line in text)
+                start = 0
+                while rows := list(itertools.islice(lines, LINES_PER_BATCH)):
+                    end = start + len(rows)
+                    columns = [
+                        pa.repeat(uri, len(rows)),
+                        pa.repeat(member, len(rows)),
+                        pa.array(range(start, end), pa.int64()),
+                        pa.array(rows, pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, LINES_COLUMNS)
+                    start = end
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +96,7 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     members = file_paths(spark, path, "*.zip").mapInPandas(
         csv_members, "archive string, member string"
     )
-    return members.repartition(tasks).mapInPandas(member_lines, LINES_SCHEMA)
+    return members.repartition(tasks).mapInArrow(member_lines, LINES_SCHEMA)
 
 
 def read_zipped_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

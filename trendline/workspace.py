@@ -1,11 +1,11 @@
-"""Folders that every executor can reach."""
+"""Folders and intermediate results that every executor can reach."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -20,3 +20,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="trendline-")
     return f"{base.rstrip('/')}/trendline/{purpose}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame, computed now and read back from the shared folder.
+
+    For frames that several later steps read: they read only the columns they
+    need, and losing an executor does not bring the computation back.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
