@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 RANGE = "_range"
 SAMPLED_ROWS_PER_RANGE = 64
@@ -40,12 +40,18 @@ def range_count(rows: int, tasks: int) -> int:
     return min(MOST_RANGES, max(RANGES_PER_TASK * tasks, rows // ROWS_PER_RANGE))
 
 
-def range_cuts(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> list[Column]:
-    """Key values that cut the rows into about ``ranges`` even ranges.
+def range_cuts(
+    df: DataFrame, order: Sequence[str], ranges: int | None = None
+) -> tuple[Column, int]:
+    """A fixed array of keys that cuts the rows into about ``ranges`` even ranges, and its length.
 
-    Brings some 64 sampled keys per range to the driver, whatever the row count.
+    Some 64 sampled keys per range are sorted together, whatever the row count.
+    What is picked of them passes the driver as text, so that every use of the
+    array sees the same keys.
     """
     keys = df.select(*[F.col(f"`{name}`") for name in order])
+    if len(order) == 1:
+        keys = keys.na.drop()
     rows = keys.count()
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -53,17 +59,13 @@ def range_cuts(df: DataFrame, order: Sequence[str], ranges: int | None = None) -
     wanted = ranges * SAMPLED_ROWS_PER_RANGE
     if rows > wanted:
         keys = keys.sample(wanted / rows, seed=7)
-    sample = keys.orderBy(*keys.columns).collect()
-    step = max(1, len(sample) // ranges)
-    return [_literal_key(row, keys.schema) for row in sample[step::step]]
-
-
-def _literal_key(row: Row, schema: StructType) -> Column:
-    columns = [
-        F.lit(value).cast(field.dataType).alias(field.name)
-        for value, field in zip(row, schema.fields, strict=True)
-    ]
-    return columns[0] if len(columns) == 1 else F.struct(*columns)
+    sample = keys.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("_sample"))
+    step = F.greatest(F.lit(1), F.expr(f"size(_sample) div {ranges}"))
+    picked = F.filter("_sample", lambda _, place: (place > 0) & (place % step == 0))
+    cuts = F.struct(picked.alias("cuts"))
+    text, length = sample.select(F.to_json(cuts), F.size(picked)).collect()[0]
+    schema = StructType().add("cuts", ArrayType(keys.schema))
+    return F.from_json(F.lit(text), schema)["cuts"], length
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
@@ -72,12 +74,11 @@ def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None)
     The number is how many cuts lie at or below the row's key. It is found by
     halving the list, one plain projection per halving, all of it generated code.
     """
-    cuts = range_cuts(df, order, ranges)
+    cuts, length = range_cuts(df, order, ranges)
+    key = _order_key(order)
+    ordered = F.sort_array(cuts[order[0]] if len(order) == 1 else cuts)
     df = df.withColumn(RANGE, F.lit(0))
-    if not cuts:
-        return df
-    key, ordered = _order_key(order), F.sort_array(F.array(*cuts))
-    for power in reversed(range(len(cuts).bit_length())):
+    for power in reversed(range(length.bit_length())):
         reached = F.col(RANGE) + F.lit(1 << power)
         fits = F.get(ordered, reached - F.lit(1)) <= key
         df = df.withColumn(RANGE, F.when(fits, reached).otherwise(F.col(RANGE)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trendline.functions.dates import weekly_cutoff
 from trendline.operators import series
 from trendline.operators.bands import AGE_BANDS, Band, band_counts
-from trendline.operators.cleaning import LineList, sorted_columns
+from trendline.operators.cleaning import LineList, before, sorted_columns
 
 DATE = "Date"
 
@@ -55,7 +55,7 @@ def reported_changes(
     Only reported dates before the cut-off take part. Where a date has no
     average, or an average of 0, the last other one stands in.
     """
-    reported = reported.filter(F.col(DATE) < weekly_cutoff(as_of))
+    reported = before(reported, DATE, weekly_cutoff(as_of))
     columns = [band.average for band in bands]
     tracked = averages.select(DATE, *columns, F.lit(True).alias("_in_series")).join(
         reported, DATE, "right"
