@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendline.sources.files import create_file
+from trendline.sources.files import write_file
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,14 +26,14 @@ def _write_files(df: DataFrame, folder: str, extension: str, fill) -> None:
 
         from pyspark import TaskContext
 
-        partition = TaskContext.get().partitionId()
+        task = TaskContext.get()
+        partition, attempt = task.partitionId(), task.taskAttemptId()
         for number, batch in enumerate(batches):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 fill(archive, batch)
             name = f"{folder}/part-{partition:05d}-{number:05d}{extension}"
-            with create_file(name) as stream:
-                stream.write(buffer.getvalue())
+            write_file(name, buffer.getvalue(), attempt)
             yield pd.DataFrame({"file": [name]})
 
     df.mapInPandas(write, "file string").write.format("noop").mode("overwrite").save()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trendline.functions.names import safe_column_names
+from trendline.operators.cleaning import drop_footer
 from trendline.operators.kpi import Kpi, kpi_rows
 
 DATE = "Date"
@@ -31,6 +33,12 @@ TRACKER_KPIS = (
 )
 
 
+def tracker_from_sheet(sheet: DataFrame, order: str = "row_idx") -> DataFrame:
+    """A tracker sheet without its footer row, under safe names, with a date for the time."""
+    tracker = safe_column_names(drop_footer(sheet, order).drop(order))
+    return tracker.withColumn(DATE, F.to_date(DATE))
+
+
 def tracker_kpis(tracker: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The twelve figures of the latest date, under safe names."""
     return safe_column_names(kpi_rows(tracker, DATE, TRACKER_KPIS, partition_by))

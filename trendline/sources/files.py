@@ -34,7 +34,11 @@ def open_file(uri: str):
     return system.open_input_file(path)
 
 
-def create_file(uri: str):
+def write_file(uri: str, content: bytes, attempt: int) -> None:
+    """Puts a file in place in one move, so that a repeated task does no harm."""
     system, path = arrow_path(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    draft = f"{path}.{attempt}.draft"
+    with system.open_output_stream(draft) as stream:
+        stream.write(content)
+    system.move(draft, path)
