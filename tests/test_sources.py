@@ -129,23 +129,81 @@ def test_workbook_cells(spark, tmp_path):
     assert workbooks.sheet_cells(spark, str(tmp_path), "Results(1)").count() == 0
 
 
+HEADED = (
+    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c>'
+    '<c r="C1" t="inlineStr"><is><t>odd one</t></is></c>'
+    '<c r="D1" t="inlineStr"><is><t>text</t></is></c></row>'
+)
+
+
 def test_typed_sheet(spark, tmp_path):
-    write_workbook(tmp_path / "a.xlsx", {"Tab": "", "Results": RESULTS}, ["Date", "doses"])
+    rows = HEADED + RESULTS[RESULTS.index('<row r="2">') :]
+    write_workbook(tmp_path / "a.xlsx", {"Tab": "", "Results": rows}, ["Date", "doses"])
     schema = StructType(
         [
+            StructField("text", StringType()),
             StructField("Date", TimestampType()),
             StructField("doses", LongType()),
-            StructField("odd", IntegerType()),
-            StructField("text", StringType()),
-            StructField("beyond", DoubleType()),
+            StructField("odd one", IntegerType()),
+            StructField("nowhere", DoubleType()),
         ]
     )
     sheet = workbooks.read_sheet(spark, str(tmp_path), "Results", schema)
-    assert values(sheet, "row_idx", F.to_date("Date"), "doses", "odd", "text", "beyond") == [
+    columns = ["row_idx", F.to_date("Date"), "doses", "`odd one`", "text", "nowhere"]
+    assert values(sheet, *columns) == [
         (1, date(2021, 1, 1), 7, None, "far", None),
         (3, date(2021, 1, 2), None, None, "true", None),
     ]
-    assert sheet.filter("row_idx = 3").select("Date").collect()[0][0] is not None
+
+
+def test_sheet_without_a_schema(spark, tmp_path):
+    rows = HEADED + RESULTS[RESULTS.index('<row r="2">') :]
+    write_workbook(tmp_path / "a.xlsx", {"Results": rows}, ["Date", "doses"])
+    turned = (
+        '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="s"><v>0</v></c></row>'
+        '<row r="2"><c r="A2"><v>8</v></c><c r="B2" s="1"><v>44200</v></c></row>'
+    )
+    write_workbook(tmp_path / "b.xlsx", {"Results": turned}, ["Date", "doses"])
+    sheet = workbooks.read_sheet(spark, str(tmp_path), "Results").drop("path")
+    assert dict(sheet.dtypes) == {
+        "row_idx": "bigint",
+        "Date": "timestamp",
+        "doses": "int",
+        "odd one": "double",
+        "text": "string",
+    }
+    assert values(sheet, F.to_date("Date"), "doses", "`odd one`") == [
+        (date(2021, 1, 1), 7, None),
+        (date(2021, 1, 2), None, 1.5),
+        (date(2021, 1, 4), 8, None),
+    ]
+
+
+def test_zipped_csv_without_a_schema(spark, tmp_path):
+    lines = [
+        '"a b",big,num,day,at,yes,text,empty',
+        "1,3000000000,1.5,2021-01-02,2021-01-02 03:04:05,true,x,",
+        "2,4,2,2021-01-03,2021-01-03 00:00:00,FALSE,7,",
+        ",,,,,,,",
+    ]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("a.csv", "\n".join(lines))
+    rows = text_files.read_zipped_csv(spark, str(tmp_path))
+    assert [kind for _, kind in rows.dtypes] == [
+        "int",
+        "bigint",
+        "double",
+        "date",
+        "timestamp",
+        "boolean",
+        "string",
+        "string",
+    ]
+    assert values(rows, "`a b`", "big", "num", "day", "yes", "text", "empty") == [
+        (1, 3000000000, 1.5, date(2021, 1, 2), True, "x", None),
+        (2, 4, 2.0, date(2021, 1, 3), False, "7", None),
+        (None,) * 7,
+    ]
 
 
 def test_many_workbooks(spark, sf_dir, tmp_path):

@@ -330,9 +330,15 @@ ORACLES: dict[str, str] = {
         FROM pages, (VALUES ('a'), ('script'), ('style'), ('div')) tags(tag)
         WHERE REGEXP_MATCHES(html, '<' || tag || '[\\s>]')""",
     "read_csv_typed": "SELECT * FROM customer",
+    "read_csv_inferred": "SELECT * REPLACE (CAST(c_custkey AS INTEGER) AS c_custkey) FROM customer",
     "read_zipped_csv": f"""
         SELECT o_orderkey, o_totalprice, o_orderpriority, {DAY} AS day FROM orders""",
+    "read_zipped_csv_inferred": f"""
+        SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority, {DAY} AS day
+        FROM orders""",
     "read_workbooks": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "read_workbooks_inferred": """
+        SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_size, p_retailprice FROM part""",
     "replace_table": "SELECT * FROM customer",
     "sql_view_scan": "SELECT * FROM customer",
 }

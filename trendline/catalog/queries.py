@@ -368,31 +368,62 @@ def page_assets(spark, sf_dir):
 # Files and tables
 
 
-@query
-def read_csv_typed(spark, sf_dir):
+def _csv_folder(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     folder = shared_folder(spark, "csv")
     text_files.write_csv(customers, folder, NULL_TEXT)
-    return text_files.read_written_csv(spark, folder, customers.schema, NULL_TEXT)
+    return folder, customers.schema
 
 
 @query
-def read_zipped_csv(spark, sf_dir):
+def read_csv_typed(spark, sf_dir):
+    folder, schema = _csv_folder(spark, sf_dir)
+    return text_files.read_written_csv(spark, folder, schema, NULL_TEXT)
+
+
+@query
+def read_csv_inferred(spark, sf_dir):
+    folder, _ = _csv_folder(spark, sf_dir)
+    return text_files.read_csv(spark, folder, nullValue=NULL_TEXT)
+
+
+def _zip_folder(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("day")
     )
     folder = shared_folder(spark, "zip")
     roundtrip.write_zipped_csv(orders, folder)
-    return text_files.read_zipped_csv(spark, folder, orders.schema)
+    return folder, orders.schema
 
 
 @query
-def read_workbooks(spark, sf_dir):
+def read_zipped_csv(spark, sf_dir):
+    return text_files.read_zipped_csv(spark, *_zip_folder(spark, sf_dir))
+
+
+@query
+def read_zipped_csv_inferred(spark, sf_dir):
+    folder, _ = _zip_folder(spark, sf_dir)
+    return text_files.read_zipped_csv(spark, folder)
+
+
+def _workbook_folder(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     folder = shared_folder(spark, "workbooks")
     roundtrip.write_workbooks(parts, folder, "Results(1)")
-    sheet = workbooks.read_sheet(spark, folder, "Results(1)", parts.schema)
-    return sheet.drop("path", "row_idx")
+    return folder, parts.schema
+
+
+@query
+def read_workbooks(spark, sf_dir):
+    folder, schema = _workbook_folder(spark, sf_dir)
+    return workbooks.read_sheet(spark, folder, "Results(1)", schema).drop("path", "row_idx")
+
+
+@query
+def read_workbooks_inferred(spark, sf_dir):
+    folder, _ = _workbook_folder(spark, sf_dir)
+    return workbooks.read_sheet(spark, folder, "Results(1)").drop("path", "row_idx")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import sys
 from collections.abc import Iterator
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trendline.sources.files import file_paths, open_file
+from trendline.sources.inference import ddl_of, inferred_schema, typed
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,8 +101,23 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     return members.repartition(tasks).mapInArrow(member_lines, LINES_SCHEMA)
 
 
-def read_zipped_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of zipped CSV files with a header line, one record per line."""
-    ddl = schema if isinstance(schema, str) else schema.simpleString()
-    lines = zipped_lines(spark, path).filter((F.col("line_no") > 0) & (F.col("line") != ""))
-    return lines.select(F.from_csv("line", ddl).alias("_row")).select("_row.*")
+def read_zipped_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """Rows of zipped CSV files with a header line, one record per line.
+
+    With a schema, columns go by position. Without one, the header names them
+    and all their values decide on their types.
+    """
+    lines = zipped_lines(spark, path)
+    records = lines.filter((F.col("line_no") > 0) & (F.col("line") != ""))
+    if schema is not None:
+        return _parsed(records, schema if isinstance(schema, str) else ddl_of(schema))
+    header = lines.filter("line_no = 0").agg(F.min("line")).collect()[0][0]
+    names = next(csv.reader([header or ""]))
+    texts = _parsed(records, ddl_of(StructType([StructField(n, StringType()) for n in names])))
+    return typed(texts, inferred_schema(texts))
+
+
+def _parsed(records: DataFrame, ddl: str) -> DataFrame:
+    return records.select(F.from_csv("line", ddl).alias("_row")).select("_row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trendline.sources.files import file_paths, open_file
+from trendline.sources.inference import inferred_schema, typed
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,8 +114,23 @@ def _sheet_rows(uri: str, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
                 yield place, cells
 
 
-def sheet_cells(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """The cells of one sheet of every workbook in a folder, header row included.
+def _aligned(rows, names: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+    """The rows below the header row, their cells in the order of the names."""
+    _, header = next(rows, (0, []))
+    places = [header.index(name) if name in header else None for name in names]
+    for number, cells in rows:
+        yield number, [
+            cells[place] if place is not None and place < len(cells) else None for place in places
+        ]
+
+
+def sheet_cells(
+    spark: SparkSession, path: str, sheet: str, names: list[str] | None = None
+) -> DataFrame:
+    """The cells of one sheet of every workbook in a folder.
+
+    Without ``names``, all cells of all rows. With them, the rows below the header
+    row, and of each only the named cells, wherever a workbook keeps them.
 
     Spark spreads the workbooks over the tasks, and each is read as a stream.
     Dates come as ISO text, errors and gaps as NULL. Workbooks without the sheet
@@ -124,23 +140,40 @@ def sheet_cells(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import itertools
 
-        names = ["path", "sheet", "row_idx", "cells"]
+        columns = ["path", "sheet", "row_idx", "cells"]
         for uri in itertools.chain.from_iterable(batch["path"] for batch in batches):
             rows = _sheet_rows(uri, sheet)
+            rows = rows if names is None else _aligned(rows, names)
             while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
-                yield pd.DataFrame([(uri, sheet, *row) for row in chunk], columns=names)
+                yield pd.DataFrame([(uri, sheet, *row) for row in chunk], columns=columns)
 
     return file_paths(spark, path, "*.xlsx").mapInPandas(decode, CELLS_SCHEMA)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str, schema: StructType) -> DataFrame:
-    """A sheet as typed columns; the first row is the header, unfit cells become NULL.
+def sheet_columns(spark: SparkSession, path: str, sheet: str) -> list[str]:
+    """The headings in the top row of the sheet, over all workbooks."""
+    top = sheet_cells(spark, path, sheet).filter("row_idx = 0")
+    headings = top.select(F.posexplode("cells").alias("place", "name")).filter(
+        "name is not null"
+    )
+    first = headings.groupBy("name").agg(F.min("place").alias("place"))
+    return [row["name"] for row in first.orderBy("place", "name").collect()]
+
+
+def read_sheet(
+    spark: SparkSession, path: str, sheet: str, schema: StructType | None = None
+) -> DataFrame:
+    """A sheet as typed columns, found by their headings; unfit cells become NULL.
 
-    ``path`` and ``row_idx`` stay, so that the rows keep their order.
+    Without a schema, the columns are all headings of the top row, and all their
+    values decide on their types. ``path`` and ``row_idx`` stay, so that the rows
+    keep their order.
     """
-    rows = sheet_cells(spark, path, sheet).filter("row_idx > 0")
-    columns = [
-        F.get("cells", F.lit(position)).try_cast(field.dataType).alias(field.name)
-        for position, field in enumerate(schema.fields)
-    ]
-    return rows.select("path", "row_idx", *columns)
+    names = sheet_columns(spark, path, sheet) if schema is None else schema.fieldNames()
+    rows = sheet_cells(spark, path, sheet, names)
+    texts = rows.select(
+        "path", "row_idx", *[F.get("cells", F.lit(n)).alias(name) for n, name in enumerate(names)]
+    )
+    if schema is None:
+        schema = inferred_schema(texts.drop("path", "row_idx"))
+    return typed(texts, schema, "path", "row_idx")
