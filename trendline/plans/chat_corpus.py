@@ -29,8 +29,8 @@ def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
 
 
 def _joined(order: str, piece: str, separator: str) -> Column:
-    pieces = F.array_sort(F.collect_list(F.struct(order, piece)))
-    return F.array_join(F.transform(pieces, lambda item: item[piece]), separator)
+    pieces = F.sort_array(F.collect_list(F.struct(order, piece)))
+    return F.array_join(pieces[piece], separator)
 
 
 def conversation_texts(turns: DataFrame, render: Render = role_heading) -> DataFrame:
