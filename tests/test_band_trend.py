@@ -194,6 +194,18 @@ def test_segments_are_tables_of_their_own(spark):
         assert values(mine, *alone.columns) == values(alone)
 
 
+def test_times_of_day_do_not_matter(spark):
+    """The calendar has whole days, whatever the line list holds."""
+    lines = line_list_with_everything(spark).drop("segment")
+    hours = F.make_interval(hours=F.col("age") % 24)
+    timed = lines.withColumns(
+        {c: F.col(c).cast("timestamp") + hours for c in ("event_date", "reported_date")}
+    )
+    timed = timed.withColumn("age", F.col("age") % 24).filter("age >= 0")
+    plain = lines.withColumn("age", F.col("age") % 24).filter("age >= 0")
+    assert values(trend.band_trend(timed, AS_OF)) == values(trend.band_trend(plain, AS_OF))
+
+
 def test_running_total_ends_at_the_total(spark):
     lines = line_list_with_everything(spark)
     result = trend.band_trend(lines, AS_OF).orderBy("Date").collect()

@@ -23,15 +23,18 @@ class LineList:
     outcome_text: str = fixed_values.OUTCOME_TEXT
     earliest_event: date = fixed_values.EARLIEST_EVENT
 
+    def event(self) -> Column:
+        return F.to_date(F.col(self.event_date))
+
+    def reported(self) -> Column:
+        return F.to_date(F.col(self.reported_date))
+
     def falls_back(self) -> Column:
         """No usable event date: it is missing or before the earliest one allowed."""
-        event = F.col(self.event_date)
-        return event.isNull() | (event < F.lit(self.earliest_event))
+        return self.event().isNull() | (self.event() < F.lit(self.earliest_event))
 
     def case_date(self) -> Column:
-        return F.when(self.falls_back(), F.col(self.reported_date)).otherwise(
-            F.col(self.event_date)
-        )
+        return F.when(self.falls_back(), self.reported()).otherwise(self.event())
 
     def is_case(self, as_of: Column | date) -> Column:
         """The outcome counts and the case lies before the weekly cut-off."""

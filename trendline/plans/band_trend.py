@@ -87,13 +87,13 @@ def calendar(
         F.col(facts.age).alias("_age"),
         F.array(
             F.struct(
-                F.col(facts.event_date).alias(DATE),
+                facts.event().alias(DATE),
                 F.lit(True).alias("_on_spine"),
                 F.lit(False).alias("_reported"),
                 (case & ~falls_back).alias("_case"),
             ),
             F.struct(
-                F.col(facts.reported_date).alias(DATE),
+                facts.reported().alias(DATE),
                 F.lit(False).alias("_on_spine"),
                 F.lit(True).alias("_reported"),
                 (case & falls_back).alias("_case"),

@@ -60,8 +60,10 @@ def csv_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(members, columns=["archive", "member"])
 
 
-def member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the lines of each member; holds one batch of lines at a time."""
+def member_lines(
+    batches: Iterator[pa.RecordBatch], most: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Streams the lines of each member, all or the first ``most``, a batch of lines at a time."""
     import io
     import itertools
     import zipfile
@@ -74,7 +76,7 @@ def member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 archive.open(member) as raw,
             ):
                 text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
-                lines = (line.rstrip("\n") for line in text)
+                lines = itertools.islice((line.rstrip("\n") for line in text), most)
                 start = 0
                 while rows := list(itertools.islice(lines, LINES_PER_BATCH)):
                     end = start + len(rows)
@@ -88,8 +90,8 @@ def member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start = end
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of all CSV members of the zip files in a folder.
+def zipped_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The lines of all CSV members of the zip files in a folder, or the first of each member.
 
     The members, not the archives, are spread over the tasks, so an archive with
     many members is shared out. One member is one stream and cannot be split.
@@ -98,7 +100,9 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     members = file_paths(spark, path, "*.zip").mapInPandas(
         csv_members, "archive string, member string"
     )
-    return members.repartition(tasks).mapInArrow(member_lines, LINES_SCHEMA)
+    return members.repartition(tasks).mapInArrow(
+        lambda batches: member_lines(batches, most), LINES_SCHEMA
+    )
 
 
 def read_zipped_csv(
@@ -113,7 +117,7 @@ def read_zipped_csv(
     records = lines.filter((F.col("line_no") > 0) & (F.col("line") != ""))
     if schema is not None:
         return _parsed(records, schema if isinstance(schema, str) else ddl_of(schema))
-    header = lines.filter("line_no = 0").agg(F.min("line")).collect()[0][0]
+    header = zipped_lines(spark, path, most=1).agg(F.min("line")).collect()[0][0]
     names = next(csv.reader([header or ""]))
     texts = _parsed(records, ddl_of(StructType([StructField(n, StringType()) for n in names])))
     return typed(texts, inferred_schema(texts))

@@ -125,12 +125,17 @@ def _aligned(rows, names: list[str]) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def sheet_cells(
-    spark: SparkSession, path: str, sheet: str, names: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    sheet: str,
+    names: list[str] | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """The cells of one sheet of every workbook in a folder.
 
     Without ``names``, all cells of all rows. With them, the rows below the header
     row, and of each only the named cells, wherever a workbook keeps them.
+    ``most`` stops reading each workbook after that many rows.
 
     Spark spreads the workbooks over the tasks, and each is read as a stream.
     Dates come as ISO text, errors and gaps as NULL. Workbooks without the sheet
@@ -144,6 +149,7 @@ def sheet_cells(
         for uri in itertools.chain.from_iterable(batch["path"] for batch in batches):
             rows = _sheet_rows(uri, sheet)
             rows = rows if names is None else _aligned(rows, names)
+            rows = itertools.islice(rows, most)
             while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
                 yield pd.DataFrame([(uri, sheet, *row) for row in chunk], columns=columns)
 
@@ -152,7 +158,7 @@ def sheet_cells(
 
 def sheet_columns(spark: SparkSession, path: str, sheet: str) -> list[str]:
     """The headings in the top row of the sheet, over all workbooks."""
-    top = sheet_cells(spark, path, sheet).filter("row_idx = 0")
+    top = sheet_cells(spark, path, sheet, most=1)
     headings = top.select(F.posexplode("cells").alias("place", "name")).filter(
         "name is not null"
     )
