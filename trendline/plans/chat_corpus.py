@@ -74,7 +74,7 @@ def truncated_texts(
     and cuts the single turns as well, so what is left of a conversation is
     bounded however long it was.
     """
-    in_order = Window.partitionBy("conv_id").orderBy("turn")
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "_piece")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     rendered = render(F.col("role"), F.col("text"))
     cut = turns.filter(_trimmed(rendered) != F.lit("")).select(
