@@ -90,7 +90,7 @@ def test_only_range_totals_pass_one_task(spark, sf_dir):
 
 
 def test_cut_list_does_not_grow_with_the_data():
-    assert ordered.range_count(100, 8) == 1
+    assert ordered.range_count(100, 8) == 2
     assert ordered.range_count(10**4, 8) == 10
     assert ordered.range_count(10**6, 8) == 32
     assert ordered.range_count(10**9, 200) == 1000

@@ -24,6 +24,7 @@ SAMPLED_ROWS_PER_RANGE = 64
 LEAST_ROWS_PER_RANGE = 1_000
 ROWS_PER_RANGE = 1_000_000
 RANGES_PER_TASK = 4
+FEWEST_RANGES = 2
 MOST_RANGES = 4096
 
 
@@ -39,7 +40,7 @@ def _as_sequence(names: str | Sequence[str]) -> list[str]:
 def range_count(rows: int, tasks: int) -> int:
     """Ranges for some rows: worth a task, small enough to sort, few enough to list."""
     for_all_tasks = min(RANGES_PER_TASK * tasks, rows // LEAST_ROWS_PER_RANGE)
-    return min(MOST_RANGES, max(1, for_all_tasks, rows // ROWS_PER_RANGE))
+    return min(MOST_RANGES, max(FEWEST_RANGES, for_all_tasks, rows // ROWS_PER_RANGE))
 
 
 def range_cuts(
