@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_FOLDER = "trendline"
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name under the session's ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting: there driver and tasks
-    share one disk, so a temporary folder will do.
+def shared_base(spark: SparkSession) -> str:
+    """The folder for intermediate results, shared by all executors.
+
+    It lies below the session's ``spark.checkpoint.dir`` or, where that is unset,
+    below ``spark.sql.warehouse.dir``, which every session has.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="trendline-")
-    return f"{base.rstrip('/')}/trendline/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{OWN_FOLDER}"
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name in the shared storage."""
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written_once(df: DataFrame, purpose: str) -> DataFrame:
@@ -31,3 +33,13 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Removes all intermediate results of this library from the shared storage.
+
+    Frames that still read them fail afterwards, so call it when results are stored.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.delete(path, True)
