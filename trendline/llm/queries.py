@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendline.llm import exact_dedup, mixing
+from trendline.llm import exact_dedup, mixing, simhash
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
 
@@ -94,3 +94,9 @@ SELECT doc_id,
        text_sha256
 FROM normalised
 """
+
+
+@query
+def op8_simhash_dedup(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(documents, shingle_words=3, most_bits=2)
