@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendline.llm import exact_dedup, mixing, simhash
+from trendline.llm import bpe, chat, exact_dedup, mixing, simhash, topk
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
 
@@ -100,3 +101,44 @@ FROM normalised
 def op8_simhash_dedup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(documents, shingle_words=3, most_bits=2)
+
+
+@query
+def op3_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors["vec_id"] % 50 == 0, k=5)
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id,
+       (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+@query
+def op6_bpe_digests(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.token_digests(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_chat_examples(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", marked), (-7, 1, "assistant", marked)], turns.schema
+    )
+    return chat.read_back(chat.expand(turns.union(extra)))
