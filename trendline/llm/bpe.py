@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
@@ -32,21 +31,15 @@ def byte_characters() -> list[str]:
     return [chr(byte) if byte in plain else chr(next(others)) for byte in range(256)]
 
 
-def undated_characters() -> re.Pattern:
-    """Finds characters on which tables of different Unicode versions may disagree.
+def undated(character: str) -> bool:
+    """Whether tables of different Unicode versions may disagree on a character.
 
-    These are those that Python's tables do not have, and combining marks beyond the first block.
+    That goes for those that Python's tables do not have, and for combining marks beyond the first block.
     """
     import unicodedata
 
-    def undated(code: int) -> bool:
-        character = chr(code)
-        mark = code >= 0x370 and unicodedata.combining(character) > 0
-        return mark or unicodedata.category(character) == "Cn"
-
-    codes = np.array([code for code in range(sys.maxunicode + 1) if undated(code)])
-    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
-    return re.compile("[" + "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs) + "]")
+    mark = character >= "\u0370" and unicodedata.combining(character) > 0
+    return mark or unicodedata.category(character) == "Cn"
 
 
 class Vocabulary:
@@ -90,7 +83,7 @@ class Vocabulary:
         self.known: dict[str | int, tuple[str, str, int]] = {}
         self.path, self.library = path, None
         self.bytes = {character: byte for byte, character in enumerate(characters)}
-        self.undated = undated_characters()
+        self.dated: set[str] = set()
 
     def _at_once(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Merges whose result takes part in later merges only.
@@ -103,20 +96,19 @@ class Vocabulary:
         np.minimum.at(first_use, right, ranks)
         return first_use[made] > ranks
 
-    def _ranks(self, symbols: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank of each pair and its place among the sorted keys; no pair across words."""
-        pairs = symbols[:-1] * self.size + symbols[1:]
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of pairs and their place among the sorted keys, by binary search."""
+        pairs = left * self.size + right
         place = np.searchsorted(self.keys, pairs)
         place[place == len(self.keys)] = 0
-        known = (self.keys[place] == pairs) & inside
-        return np.where(known, self.ranks[place], NO_RANK), place
+        return np.where(self.keys[place] == pairs, self.ranks[place], NO_RANK), place
 
     def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many words in one flat array, and where each word starts in it.
 
         Each round merges, in every word at once, the pair of lowest rank: all its
-        places if nothing that arises can rank before it, otherwise the first. Words
-        that have no pair left drop out of the rounds.
+        places if nothing that arises can rank before it, otherwise the first. Only the pairs
+        next to a merge are looked up again. Words that have no pair left drop out of the rounds.
         """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -124,34 +116,29 @@ class Vocabulary:
         ends = np.cumsum(lengths)
         symbols[ends - 1] = self.last[flat[ends - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
+        rank = np.full(len(symbols), NO_RANK)
+        place = np.zeros(len(symbols), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], place[inner] = self._find(symbols[inner], symbols[inner + 1])
         done_symbols, done_words = [], []
         while len(symbols):
-            inside = word[:-1] == word[1:]
-            rank, place = self._ranks(symbols, inside)
-            starts = np.flatnonzero(np.concatenate(([True], ~inside)))
-            lowest = np.minimum.reduceat(np.append(rank, NO_RANK), starts)
-            counts = np.diff(np.append(starts, len(symbols)))
-            active = np.repeat(lowest < NO_RANK, counts)
+            starts = np.flatnonzero(np.concatenate(([True], word[:-1] != word[1:])))
+            lowest = np.minimum.reduceat(rank, starts)
+            lowest = np.repeat(lowest, np.diff(np.append(starts, len(symbols))))
+            active = lowest < NO_RANK
             if not active.all():
                 done_symbols.append(symbols[~active])
                 done_words.append(word[~active])
-                symbols, word = symbols[active], word[active]
-                if not len(symbols):
-                    break
-                # Pairs inside words that go on keep their ranks; their words lie side by side now.
-                rank, place = self._joined(rank, active), self._joined(place, active)
-                counts, lowest = counts[lowest < NO_RANK], lowest[lowest < NO_RANK]
-            symbols, word = self._merged(symbols, word, rank, place, np.repeat(lowest, counts))
+                symbols, word, rank, place, lowest = (
+                    values[active] for values in (symbols, word, rank, place, lowest)
+                )
+            if len(symbols):
+                symbols, word, rank, place = self._merged(symbols, word, rank, place, lowest)
         flat = np.concatenate(done_symbols) if done_symbols else np.empty(0, np.int64)
         owner = np.concatenate(done_words) if done_words else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
         return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
-    @staticmethod
-    def _joined(values: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Values of pairs, for the symbols that stay; the last pair of a word has none."""
-        return np.append(values, NO_RANK)[active][:-1]
-
     def _merged(
         self,
         symbols: np.ndarray,
@@ -159,10 +146,9 @@ class Vocabulary:
         rank: np.ndarray,
         place: np.ndarray,
         lowest: np.ndarray,
-    ) -> tuple[np.ndarray, np.ndarray]:
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """One round: the lowest pair of each word becomes one symbol."""
-        hits = np.flatnonzero(rank == lowest[:-1])
-        hits = hits[rank[hits] < NO_RANK]
+        hits = np.flatnonzero(rank == lowest)
         first = np.concatenate(([True], word[hits[1:]] != word[hits[:-1]]))
         hits = hits[first | self.at_once[place[hits]]]
         # Of overlapping places, as in "aaa", every second one counts, from the left.
@@ -170,11 +156,17 @@ class Vocabulary:
         number = np.arange(len(hits))
         run_start = np.maximum.accumulate(np.where(new_run, number, 0))
         hits = hits[(number - run_start) % 2 == 0]
-        symbols = symbols.copy()
         symbols[hits] = self.made[place[hits]]
         stays = np.ones(len(symbols), bool)
         stays[hits + 1] = False
-        return symbols[stays], word[stays]
+        symbols, word, rank, place = (values[stays] for values in (symbols, word, rank, place))
+        at = hits - np.arange(len(hits))
+        rank[at] = NO_RANK
+        touched = np.concatenate([at, at[at > 0] - 1])
+        touched = touched[touched + 1 < len(symbols)]
+        touched = touched[word[touched] == word[touched + 1]]
+        rank[touched], place[touched] = self._find(symbols[touched], symbols[touched + 1])
+        return symbols, word, rank, place
 
     def normalised(self, text: str) -> str:
         """NFC and lower case, one character at a time; white space only separates words."""
@@ -185,13 +177,19 @@ class Vocabulary:
             return text.lower()
         return "".join(character.lower() for character in text)
 
+    def _is_dated(self, text: str) -> bool:
+        new = set(text) - self.dated
+        found = {character for character in new if undated(character)}
+        self.dated |= new - found
+        return not found
+
     def plain_words(self, text: str) -> list[str]:
         """The words of a text without special tokens.
 
         The library that the file was made for has Unicode tables of its own. Texts with characters on
         which versions may disagree are normalised and split by that library.
         """
-        if text.isascii() or not self.undated.search(text):
+        if text.isascii() or self._is_dated(text):
             return self.words.findall(self.normalised(text))
         if self.library is None:
             from tokenizers import Tokenizer
@@ -254,14 +252,19 @@ class Vocabulary:
         return " ".join(self.pieces[number] for number in ids)
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once in each Python worker.
 
+    Functions sent by value come with fresh module variables for each task, so it is
+    kept under a module name of its own, which lasts as long as the worker.
+    """
+    import types
 
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, read once in each Python worker."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    name = "trendline_vocabularies"
+    kept = vars(sys.modules.setdefault(name, types.ModuleType(name)))
+    if path not in kept:
+        kept[path] = Vocabulary(path)
+    return kept[path]
 
 
 def _slices(texts: list[str | None]) -> Iterator[slice]:
