@@ -293,9 +293,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for batch in batches:
             texts = batch["_text"].to_pylist()
             for part in _slices(texts):
-                found = [[int(x) for x in a.split()] for a, _, _ in model.encode(texts[part])]
+                found = model.encode(texts[part])
                 piece = batch.slice(part.start, part.stop - part.start)
-                new = pa.array(found, pa.list_(pa.int32()))
+                counts = np.array([0, *(count for _, _, count in found)], np.int32)
+                flat = " ".join([text for text, _, count in found if count])
+                numbers = pa.array(np.fromstring(flat, np.int32, sep=" "))
+                new = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), numbers)
                 yield pa.RecordBatch.from_arrays([*(piece[name] for name in own), new], [*own, ids])
 
     return rows.mapInArrow(add, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendline.llm import bpe, chat, exact_dedup, mixing, simhash, topk
+from trendline.llm import bpe, chat, exact_dedup, mixing, quality, simhash, topk
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
 
@@ -142,3 +142,10 @@ def op9_chat_examples(spark, sf_dir):
         [(-7, 0, "user", marked), (-7, 1, "assistant", marked)], turns.schema
     )
     return chat.read_back(chat.expand(turns.union(extra)))
+
+
+@query
+def op2_quality_resampling(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.resample(documents, table(spark, sf_dir, "labels"))
+    return found.select("_doc.doc_id", "log_weight", "sample_key", "kept")
