@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendline.llm import bpe, chat, exact_dedup, mixing, quality, simhash, topk
+from trendline.llm import bpe, chat, exact_dedup, mixing, quality, repeats, simhash, topk
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
 
@@ -149,3 +149,11 @@ def op2_quality_resampling(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.resample(documents, table(spark, sf_dir, "labels"))
     return found.select("_doc.doc_id", "log_weight", "sample_key", "kept")
+
+
+@query
+def op10_drop_repeats(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    left = repeats.drop_repeats(documents, length=100)
+    digest = F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
