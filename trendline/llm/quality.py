@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from trendline.llm.hashing import MIX, PrefixHash, mixed
 from trendline.workspace import written_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,10 +24,6 @@ LENIENCE = 0.01
 BYTES_AT_ONCE = 1 << 21
 FIXED_POINT = 1 << 20  # log weights are compared in steps of one millionth
 
-# Any odd numbers with well mixed bits will do.
-BASE, MIX, MIX_PAIR = 0x100000001B3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
 class Hasher:
     """Hashed words and word pairs of many texts at once.
 
@@ -41,38 +38,21 @@ class Hasher:
         for first, last in ((48, 57), (65, 90), (97, 122), (128, 255)):
             kinds[first : last + 1] = 1
         self.kinds = kinds
-        self._powers(longest)
-
-    def _powers(self, longest: int) -> None:
-        steps = np.ones(longest + 1, np.uint64)
-        steps[1:] = BASE
-        self.up = np.cumprod(steps)
-        steps[1:] = pow(BASE, -1, 1 << 64)
-        self.down = np.cumprod(steps)
+        self.words = PrefixHash(longest)
 
     def features(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of every word and word pair, and the number of the text it is in."""
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        if len(data) >= len(self.up):
-            self._powers(2 * len(data))
         ends = np.cumsum([len(text) + 1 for text in texts])
         kinds = self.kinds[data]
         starts = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
         stops = np.append(starts[1:], len(data))
         solid = kinds[starts] != 0
         starts, stops = starts[solid], stops[solid]
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=prefix[1:])
-        word = (prefix[stops] - prefix[starts]) * self.down[starts]
-        word ^= word >> np.uint64(29)
-        word *= np.uint64(MIX)
-        word ^= word >> np.uint64(32)
+        word = self.words.stretches(data, starts, stops)
         text = np.searchsorted(ends, starts, side="right")
         inside = text[1:] == text[:-1]
-        pair = (word[:-1] * np.uint64(MIX) + word[1:])[inside]
-        pair ^= pair >> np.uint64(31)
-        pair *= np.uint64(MIX_PAIR)
-        pair ^= pair >> np.uint64(32)
+        pair = mixed((word[:-1] * np.uint64(MIX) + word[1:])[inside])
         buckets = np.concatenate([word, pair]) % self.buckets
         return buckets.astype(np.int64), np.concatenate([text, text[1:][inside]])
 

@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendline.llm.hashing import MIX, PrefixHash
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 100
@@ -20,30 +22,6 @@ SMALL_GROUP = 1 << 14
 POSITIONS_AT_ONCE = 1 << 20
 PLACE_BITS = np.uint64(24)
 
-# Any odd numbers with well mixed bits will do.
-BASE, MIX = 0x100000001B3, 0x9E3779B97F4A7C15
-
-
-class Grams:
-    """Hashes of all strings of some length in an array of bytes, from prefix sums of a polynomial."""
-
-    def __init__(self, longest: int):
-        steps = np.ones(longest + 1, np.uint64)
-        steps[1:] = BASE
-        self.up = np.cumprod(steps)
-        steps[1:] = pow(BASE, -1, 1 << 64)
-        self.down = np.cumprod(steps)
-
-    def hashes(self, data: np.ndarray, length: int) -> np.ndarray:
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * self.up[: len(data)], out=prefix[1:])
-        found = (prefix[length:] - prefix[:-length]) * self.down[: len(data) - length + 1]
-        found ^= found >> np.uint64(31)
-        found *= np.uint64(MIX)
-        found ^= found >> np.uint64(29)
-        return found
-
-
 def window_runs(
     data: np.ndarray, ends: np.ndarray, length: int, gram: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,12 +33,12 @@ def window_runs(
     at ``ends``; windows stay within one text.
     """
     width = length - gram + 1
-    grams = Grams(POSITIONS_AT_ONCE + length)
+    grams = PrefixHash(POSITIONS_AT_ONCE + length)
     for block in range(0, max(0, len(data) - length + 1), POSITIONS_AT_ONCE):
         part = data[block : block + POSITIONS_AT_ONCE + length - 1]
         if len(part) < length:
             break
-        hashes = grams.hashes(part, gram)
+        hashes = grams.windows(part, gram)
         places = np.arange(len(hashes), dtype=np.uint64)
         least = (hashes >> PLACE_BITS << PLACE_BITS) | places
         reach = 1
@@ -262,7 +240,7 @@ def repeated_windows(
 
 
 def unit_hashes(
-    grams: Grams, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
+    grams: PrefixHash, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
 ) -> np.ndarray:
     """A hash of the bytes from the first to past the last window of each run."""
     found = np.zeros(len(first), np.uint64)
@@ -272,15 +250,7 @@ def unit_hashes(
             continue
         stop = int(last[chosen].max()) + length
         part = data[block:stop]
-        if len(part) >= len(grams.up):
-            grams = Grams(2 * len(part))
-        prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part + np.uint64(1)) * grams.up[: len(part)], out=prefix[1:])
-        a, b = first[chosen] - block, last[chosen] + length - block
-        found[chosen] = (prefix[b] - prefix[a]) * grams.down[a]
-    found ^= found >> np.uint64(31)
-    found *= np.uint64(MIX)
-    found ^= found >> np.uint64(29)
+        found[chosen] = grams.stretches(part, first[chosen] - block, last[chosen] + length - block)
     return found
 
 
@@ -417,7 +387,7 @@ def _units(length: int, gram: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(POSITIONS_AT_ONCE + 4 * length)
+        grams = PrefixHash(POSITIONS_AT_ONCE + 4 * length)
         names = ("doc_id", "text", "hash", "crowded")
         for number, (anchors, docs) in _chunks(batches, names):
             ids = _numbers(docs["doc_id"])
@@ -519,7 +489,7 @@ def _spans(length: int):
         data = np.frombuffer(content.buffers()[2], np.uint8)
         order = np.lexsort([column[name] for name in ("start", "local", "chunk", "doc_id")])
         sizes = np.diff(offsets)
-        grams = Grams(1)
+        grams = PrefixHash(1)
         whole = unit_hashes(grams, data, offsets[:-1], offsets[1:] - length, length)
         # Copies of a unit repeat as a whole; only the earliest of them goes on.
         fresh = np.zeros(len(sizes), bool)
