@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendline.llm import bpe, chat, exact_dedup, mixing, quality, repeats, simhash, topk
+from trendline.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    language_model,
+    mixing,
+    quality,
+    repeats,
+    simhash,
+    topk,
+)
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
 
@@ -157,3 +167,8 @@ def op10_drop_repeats(spark, sf_dir):
     left = repeats.drop_repeats(documents, length=100)
     digest = F.sha2(F.col("kept"), 256).alias("kept_sha256")
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query
+def op5_language_model_scores(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
