@@ -12,6 +12,7 @@ from trendline.llm import (
     bpe,
     chat,
     exact_dedup,
+    html_text,
     language_model,
     mixing,
     quality,
@@ -172,3 +173,8 @@ def op10_drop_repeats(spark, sf_dir):
 @query
 def op5_language_model_scores(spark, sf_dir):
     return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
