@@ -64,6 +64,17 @@ def test_workbook_to_tracker_table(spark, tmp_path):
     assert latest[0]["spring/fall_booster_7dayroll"] == 7
 
 
+def test_every_tracker_workbook_loses_its_own_footer(spark, tmp_path):
+    folder = str(tmp_path / "books")
+    for number, days in enumerate((3, 5)):
+        rows = [(datetime(2022, 3, 1 + day), day) for day in range(days)] + [(None, 999)]
+        sheet = spark.createDataFrame(rows, "Date timestamp, doses bigint")
+        roundtrip.write_workbooks(sheet.coalesce(1), f"{folder}/{number}", "Results(2)")
+    read = workbooks.read_sheet(spark, f"{folder}/*", "Results(2)", sheet.schema)
+    tracker = daily_tracker.tracker_from_sheet(read, workbook="path")
+    assert sorted(row["doses"] for row in tracker.collect()) == [0, 0, 1, 1, 2, 2, 3, 4]
+
+
 def test_region_workbook_gets_its_short_names(spark, tmp_path):
     units = spark.createDataFrame(
         [(f"Unit of {name}", n) for n, name in enumerate(REGION_SHORT_NAMES)],

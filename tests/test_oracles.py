@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
+from trendline.catalog.oracles import ORACLES
+from trendline.catalog.queries import QUERIES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

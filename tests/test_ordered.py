@@ -89,9 +89,23 @@ def test_only_range_totals_pass_one_task(spark, sf_dir):
         assert "HashAggregate(keys=[_range" in part.splitlines()[1]
 
 
-def test_cut_list_does_not_grow_with_the_data():
+def test_the_frame_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).mapInArrow(watched, "id bigint")
+    result = ordered.row_index(df.withColumn("k", -F.col("id")), "k", out="place")
+    assert result.agg(F.max("place")).collect() == [(5000,)]
+    assert seen.value == 5000
+
+
+def test_ranges_grow_with_the_data():
     assert ordered.range_count(100, 8) == 2
     assert ordered.range_count(10**4, 8) == 10
     assert ordered.range_count(10**6, 8) == 32
     assert ordered.range_count(10**9, 200) == 1000
-    assert ordered.range_count(10**13, 200) == ordered.MOST_RANGES
+    assert ordered.range_count(10**11, 200) == 100_000

@@ -44,10 +44,20 @@ def test_page_rows_need_no_shuffle(spark, sf_dir):
     assert "url" not in plan_of(assets)
 
 
+def test_rows_are_as_wide_as_they_are(spark):
+    df = pages(spark, "<tr><td>a</td></tr><tr><td>b</td><td>c</td><td>d</td></tr>")
+    assert values(table_rows(df, None)) == [(0, 0, "a", None, None), (0, 1, "b", "c", "d")]
+    with pytest.raises(Exception, match="more than 2 cells"):
+        table_rows(df, 2).collect()
+    assert table_rows(pages(spark, "no rows"), None).columns == ["page_id", "row_idx"]
+
+
 def test_assets(spark):
-    df = pages(spark, '<img src="a"><IMG><p><img\nsrc="b"><a>x</a>', "<imgx>", "")
+    df = pages(spark, '<img src="a"><IMG><p><img\nsrc="b"><img/><a>x</a>', "<imgx>", "<a>")
     assets = page_tables.page_assets(df, "page_id", "html", ["img", "a"])
-    assert values(assets) == [(0, "a", 1), (0, "img", 2)]
+    assert values(assets) == [(0, "a", 1), (0, "img", 4), (2, "a", 1)]
+    second = page_tables.page_assets(df, "page_id", "html", ["a"], only=F.col("page_id") == 2)
+    assert values(second) == [(2, "a", 1)]
 
 
 def turns_of(spark, rows):
@@ -60,21 +70,38 @@ def test_turns_out_of_order(spark):
         [(1, 2, "assistant", "c"), (1, 0, "system", "a"), (2, 0, "user", None), (1, 1, "user", "b")],
     )
     assert values(chat_corpus.conversation_texts(df)) == [
-        (1, 0, 3, "### system: a\n### user: b\n### assistant: c"),
-        (2, 0, 1, "### user: "),
+        (1, 3, "### system: a\n### user: b\n### assistant: c"),
+        (2, 1, "### user: "),
+    ]
+
+
+@pytest.mark.parametrize("count", [64, 65, 150])
+def test_a_conversation_is_one_text(spark, count):
+    df = turns_of(spark, [(1, n, "user", str(n)) for n in range(count)]).repartition(3)
+    whole = "\n".join(f"### user: {n}" for n in range(count))
+    assert values(chat_corpus.conversation_texts(df)) == [(1, count, whole)]
+
+
+def test_missing_roles_and_blank_turns_stay(spark):
+    df = turns_of(spark, [(1, 0, None, "said"), (2, 0, "user", None), (2, 1, None, " \n")])
+    assert values(chat_corpus.conversation_texts(df)) == [
+        (1, 1, "### : said"),
+        (2, 2, "### user: \n### :  \n"),
     ]
+    assert values(chat_corpus.truncated_texts(df)) == [(1, 3, "### : said"), (2, 4, "### user: ### :")]
+    assert values(chat_corpus.truncated_texts(df, render=bare)) == [(1, 1, "said"), (2, 0, "")]
 
 
-def test_long_conversation_goes_on_in_parts(spark):
+def test_parts_on_demand(spark):
     df = turns_of(spark, [(1, n, "user", str(n)) for n in range(150)])
-    texts = chat_corpus.conversation_texts(df).orderBy("part").collect()
+    texts = chat_corpus.conversation_texts(df, turns_per_part=64).orderBy("part").collect()
     assert [row["n_turns"] for row in texts] == [64, 64, 22]
     whole = "\n".join(row["text"] for row in texts)
     assert whole == "\n".join(f"### user: {n}" for n in range(150))
 
 
 def bare(role, text):
-    return text
+    return F.coalesce(text, F.lit(""))
 
 
 @pytest.mark.parametrize("length", [511, 512, 513])
@@ -100,17 +127,20 @@ def test_truncation_equals_brute_force(spark):
     df = turns_of(spark, shuffled).repartition(6)
     result = chat_corpus.truncated_texts(df, max_tokens=100, render=bare).collect()
     assert {row["conv_id"]: row["text"].split() for row in result} == {
-        conv: words[:100] for conv, words in expected.items() if words
+        conv: words[:100] for conv, words in expected.items()
     }
     assert all(row["n_tokens"] == len(row["text"].split()) for row in result)
 
 
-def test_long_conversations_shrink_before_the_shuffle(spark, sf_dir):
+@pytest.mark.parametrize("most", [512, 2048])
+def test_long_conversations_shrink_in_salted_parts(spark, sf_dir, most):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    plan = plan_of(chat_corpus.truncated_texts(turns))
-    below = plan[plan.index("Exchange hashpartitioning(conv_id") :]
-    assert "WindowGroupLimit" in below and "Partial" in below
-    assert plan.count("Exchange") == 1
+    plan = plan_of(chat_corpus.truncated_texts(turns, most))
+    last = plan.index("Exchange hashpartitioning(conv_id")
+    below = plan[last + 1 :]
+    assert f"<= {most})" in below
+    assert "_salt" in below[below.index("Exchange hashpartitioning(conv_id") :].splitlines()[0]
+    assert plan.count("Exchange") == 2
 
 
 def lengths(spark, count):

@@ -98,15 +98,19 @@ def test_hot_order_is_split(spark, skewed_dir):
     assert len(rows) == len(entry.queries()["band_trend"](spark, skewed_dir).collect())
 
 
-def test_endless_conversation_stays_bounded(spark):
-    turns = spark.range(20000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500).alias("conv_id"),
+@pytest.mark.parametrize("most", [40, 1100])
+def test_endless_conversation_stays_bounded(spark, most):
+    turns = spark.range(150_000, numPartitions=20).select(
+        F.when(F.col("id") % 3 < 2, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("conv_id"),
         F.col("id").alias("turn"),
         F.lit("user").alias("role"),
         F.lit("some words here").alias("text"),
     )
-    parts = chat_corpus.conversation_texts(turns)
-    assert parts.agg(F.max("n_turns"), F.sum("n_turns")).collect()[0][1] == 20000
-    assert parts.agg(F.max("n_turns")).collect()[0][0] <= chat_corpus.TURNS_PER_PART
-    texts = values(chat_corpus.truncated_texts(turns).filter("conv_id = 0"), "n_tokens")
-    assert texts == [(512,)]
+    texts = chat_corpus.conversation_texts(turns)
+    assert texts.agg(F.max("n_turns"), F.sum("n_turns")).collect() == [(100_000, 150_000)]
+    cut = chat_corpus.truncated_texts(turns, most)
+    assert values(cut.filter("conv_id = 0"), "n_tokens") == [(most,)]
+    # What reaches the last step of the long conversation: at most so many rows of each salted part.
+    plan = cut._jdf.queryExecution().optimizedPlan()
+    limits = [line for line in plan.toString().splitlines() if f"<= {most})" in line]
+    assert len(limits) == 2

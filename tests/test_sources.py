@@ -19,8 +19,9 @@ from pyspark.sql.types import (
 )
 
 from conftest import values
+from trendline import workspace
 from trendline.catalog import roundtrip
-from trendline.sources import tables, text_files, workbooks
+from trendline.sources import files, tables, text_files, workbooks
 from trendline.workspace import shared_folder
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -57,7 +58,7 @@ def test_zip_members(spark, tmp_path):
         archive.writestr("list.csv", '﻿k,t\r\n1,"a,b"\r\n\r\n2,\r\n')
         archive.writestr("notes.txt", "k,t\n9,no\n")
         archive.writestr("more/UPPER.CSV", "k,t\n3,c")
-    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+    with zipfile.ZipFile(tmp_path / "B.ZIP", "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("long.csv", "k,t\n" + "".join(f"{n},x\n" for n in range(100, 20100)))
     (tmp_path / "plain.csv").write_text("k,t\n7,no\n")
     rows = text_files.read_zipped_csv(spark, str(tmp_path), "k int, t string")
@@ -67,6 +68,53 @@ def test_zip_members(spark, tmp_path):
     ]
 
 
+AWKWARD_NAMES = ["Daily Tracker (1).x", "a%20b.x", "a#b.x", "é ü.x"]
+
+
+@pytest.mark.parametrize("schema", ["a int, b string, c string", None])
+def test_zip_members_go_by_their_own_header(spark, tmp_path, schema):
+    folder = tmp_path / "a folder # 100%"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "one.zip", "w") as archive:
+        archive.writestr("x.csv", 'a,b\n1,"x\ny"\n2,"say ""hi"""\n')
+        archive.writestr("y.csv", "b,a,c\r\nz,3,here\r\nshort,4\r\n")
+        archive.writestr("empty.csv", "")
+    rows = text_files.read_zipped_csv(spark, str(folder), schema)
+    assert values(rows, "a", "b", "c") == [
+        (1, "x\ny", None),
+        (2, 'say "hi"', None),
+        (3, "z", "here"),
+        (4, "short", None),
+    ]
+
+
+def test_longer_records_than_the_header_are_an_error(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("x.csv", "a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="Expected 2 columns, got 3"):
+        text_files.read_zipped_csv(spark, str(tmp_path), "a int, b int").collect()
+
+
+def test_files_under_ordinary_names(spark, tmp_path):
+    folder = tmp_path / "päth with % and #"
+    folder.mkdir()
+    for number, name in enumerate(AWKWARD_NAMES):
+        with zipfile.ZipFile(folder / name.replace(".x", ".zip"), "w") as archive:
+            archive.writestr("x.csv", f"a\n{number}\n")
+        write_workbook(folder / name.replace(".x", ".XLSX"), {"Results": RESULTS}, ["Date", "doses"])
+    assert values(text_files.read_zipped_csv(spark, str(folder), "a int")) == [
+        (0,), (1,), (2,), (3,)
+    ]
+    assert workbooks.read_sheet(spark, str(folder), "Results").count() == 8
+
+
+def test_addresses_that_tasks_cannot_open(spark):
+    with pytest.raises(ValueError, match="wasbs"):
+        text_files.read_zipped_csv(spark, "wasbs://box@account/list", "a int")
+    for known in ("/x/y z", "file:/x", "s3a://b/x", "relative/x%20"):
+        files.check_scheme(known)
+
+
 def test_zip_round_trip(spark, sf_dir, tmp_path):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(3)
     folder = str(tmp_path / "zips")
@@ -74,7 +122,7 @@ def test_zip_round_trip(spark, sf_dir, tmp_path):
     assert values(text_files.read_zipped_csv(spark, folder, orders.schema)) == values(orders)
 
 
-def write_workbook(path, sheets, strings=(), formats=""):
+def write_workbook(path, sheets, strings=(), later=False):
     """A workbook with shared strings and cell styles 0 (plain), 1 (date) and 2 (own format)."""
     with zipfile.ZipFile(path, "w") as book:
         tabs = "".join(
@@ -82,7 +130,8 @@ def write_workbook(path, sheets, strings=(), formats=""):
         )
         book.writestr(
             "xl/workbook.xml",
-            f'<workbook xmlns="{MAIN}" xmlns:r="{LINKS}"><sheets>{tabs}</sheets></workbook>',
+            f'<workbook xmlns="{MAIN}" xmlns:r="{LINKS}"><workbookPr date1904="{int(later)}"/>'
+            f"<sheets>{tabs}</sheets></workbook>",
         )
         targets = "".join(
             f'<Relationship Id="rId{n}" Target="{"/xl/" if n % 2 else ""}worksheets/s{n}.xml"/>'
@@ -156,6 +205,27 @@ def test_typed_sheet(spark, tmp_path):
     ]
 
 
+def test_every_column_of_a_sheet_stays(spark, tmp_path):
+    def cells(row, *texts):
+        cell = '<c r="{}{}" t="inlineStr"><is><t>{}</t></is></c>'
+        return f'<row r="{row}">' + "".join(
+            cell.format(letter, row, text) for letter, text in zip("ABCDE", texts) if text
+        ) + "</row>"
+
+    rows = cells(1, "k", "k", "", "d") + cells(2, "1", "2", "3", "4", "5")
+    write_workbook(tmp_path / "a.xlsx", {"Results": rows})
+    sheet = workbooks.read_sheet(spark, str(tmp_path), "Results").drop("path", "row_idx")
+    assert sheet.columns == ["k", "k_2", "_c2", "d", "_c4"]
+    assert values(sheet) == [(1, 2, 3, 4, 5)]
+
+
+def test_workbooks_that_count_from_1904(spark, tmp_path):
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" s="1"><v>0</v></c></row>'
+    write_workbook(tmp_path / "a.xlsx", {"Results": rows}, ["Date"], later=True)
+    sheet = workbooks.read_sheet(spark, str(tmp_path), "Results")
+    assert values(sheet, F.to_date("Date")) == [(date(1904, 1, 1),)]
+
+
 def test_sheet_without_a_schema(spark, tmp_path):
     rows = HEADED + RESULTS[RESULTS.index('<row r="2">') :]
     write_workbook(tmp_path / "a.xlsx", {"Results": rows}, ["Date", "doses"])
@@ -223,6 +293,14 @@ def test_table_is_replaced(spark, tmp_path):
     assert values(second) == [(0,), (1,), (2,)]
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    tables.replace_table(spark.range(4), "trendline_kept_table", str(tmp_path))
+    broken = spark.range(3).withColumn("x", F.raise_error(F.lit("no such thing")).cast("int"))
+    with pytest.raises(Exception, match="no such thing"):
+        tables.replace_table(broken, "trendline_kept_table", str(tmp_path))
+    assert values(spark.table("trendline_kept_table")) == [(0,), (1,), (2,), (3,)]
+
+
 def test_view(spark):
     assert values(tables.view_scan(spark.range(2), "trendline_test_view")) == [(0,), (1,)]
 
@@ -241,15 +319,22 @@ class Session:
         self.conf = self
         self.settings = {name.replace("_", "."): value for name, value in settings.items()}
 
-    def get(self, name, default=None):
-        return self.settings.get(name, default)
+    def get(self, name, *default):
+        return self.settings.get(name, *default)
+
+
+def test_without_a_checkpoint_folder_the_warehouse_serves():
+    assert shared_folder(Session(spark_sql_warehouse_dir="/w"), "x").startswith("/w/trendline/x-")
+    both = Session(spark_checkpoint_dir="s3://b/c/", spark_sql_warehouse_dir="/w")
+    assert shared_folder(both, "x").startswith("s3://b/c/trendline/x-")
 
 
-def test_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(ValueError, match="checkpoint"):
-        shared_folder(Session(spark_master="yarn"), "x")
-    assert shared_folder(Session(spark_master="local[2]"), "x")
-    assert shared_folder(Session(spark_checkpoint_dir="s3://b/c/"), "x").startswith("s3://b/c/trend")
+def test_written_results_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_base", lambda _: str(tmp_path / "mine"))
+    kept = workspace.written_once(spark.range(3), "x")
+    assert kept.count() == 3 and (tmp_path / "mine").exists()
+    assert workspace.remove_written(spark)
+    assert not (tmp_path / "mine").exists()
 
 
 def test_date_columns_of_csv(spark, tmp_path):

@@ -153,7 +153,7 @@ WITH labels AS (
 
 TURNS = """
 WITH turns AS (
-  SELECT conv_id, turn, '### ' || role || ': ' || COALESCE(text, '') AS piece
+  SELECT conv_id, turn, '### ' || COALESCE(role, '') || ': ' || COALESCE(text, '') AS piece
   FROM conversations)
 """
 
@@ -307,11 +307,14 @@ ORACLES: dict[str, str] = {
     "drop_footer": """
         SELECT o_orderkey AS row_idx, o_totalprice FROM orders
         WHERE o_orderkey < (SELECT MAX(o_orderkey) FROM orders)""",
+    "drop_footer_by_sheet": """
+        SELECT o_custkey AS sheet, o_orderkey AS row_idx, o_totalprice
+        FROM (SELECT *, MAX(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders) sheets
+        WHERE o_orderkey < last""",
     "corpus_split": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "sft_text": f"""{TURNS}
-        SELECT conv_id, CAST(turn // 64 AS BIGINT) AS part, COUNT(*) AS n_turns,
-               STRING_AGG(piece, CHR(10) ORDER BY turn) AS text
-        FROM turns GROUP BY 1, 2""",
+        SELECT conv_id, COUNT(*) AS n_turns, STRING_AGG(piece, CHR(10) ORDER BY turn) AS text
+        FROM turns GROUP BY 1""",
     "sft_truncate": f"{TRUNCATED} SELECT * FROM truncated",
     "sft_length_batches": f"""{TRUNCATED},
         grouped AS (SELECT conv_id, n_tokens,
@@ -326,9 +329,9 @@ ORACLES: dict[str, str] = {
     "page_rows_csv": PAGE_ROWS,
     "page_assets": """
         SELECT page_id, tag,
-               CAST(LEN(REGEXP_EXTRACT_ALL(html, '<' || tag || '[\\s>]')) AS BIGINT) AS n
+               CAST(LEN(REGEXP_EXTRACT_ALL(html, '(?i)<' || tag || '[\\s/>]')) AS BIGINT) AS n
         FROM pages, (VALUES ('a'), ('script'), ('style'), ('div')) tags(tag)
-        WHERE REGEXP_MATCHES(html, '<' || tag || '[\\s>]')""",
+        WHERE REGEXP_MATCHES(html, '(?i)<' || tag || '[\\s/>]')""",
     "read_csv_typed": "SELECT * FROM customer",
     "read_csv_inferred": "SELECT * REPLACE (CAST(c_custkey AS INTEGER) AS c_custkey) FROM customer",
     "read_zipped_csv": f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -312,6 +313,14 @@ def drop_footer(spark, sf_dir):
     return cleaning.drop_footer(sheet, "row_idx")
 
 
+@query
+def drop_footer_by_sheet(spark, sf_dir):
+    sheets = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("sheet"), F.col("o_orderkey").alias("row_idx"), "o_totalprice"
+    )
+    return cleaning.drop_footer(sheets, "row_idx", ["sheet"])
+
+
 # Chat corpus
 
 
@@ -333,7 +342,7 @@ def sft_truncate(spark, sf_dir):
 
 @query
 def sft_length_batches(spark, sf_dir):
-    return chat_corpus.length_batches(written_once(sft_truncate(spark, sf_dir), "texts"))
+    return chat_corpus.length_batches(sft_truncate(spark, sf_dir))
 
 
 # Pages
@@ -429,9 +438,9 @@ def read_workbooks_inferred(spark, sf_dir):
 @query
 def replace_table(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    folder = shared_folder(spark, "table")
-    tables.replace_table(table(spark, sf_dir, "supplier"), "trendline_customer", folder)
-    return tables.replace_table(customers, "trendline_customer", folder)
+    target = f"trendline_customer_{uuid.uuid4().hex}"
+    tables.replace_table(table(spark, sf_dir, "supplier"), target)
+    return tables.replace_table(customers, target)
 
 
 @query

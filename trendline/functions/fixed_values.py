@@ -67,7 +67,6 @@ REGION_SHORT_NAMES = (
 # Fixed value: tokens kept of each training text.
 MAX_SEQUENCE_TOKENS = 512
 
-# Sequences per batch, batches per optimiser step, steps per run.
+# Sequences per batch, batches per optimiser step.
 BATCH_SIZE = 4
 ACCUMULATION = 4
-MAX_STEPS = 500

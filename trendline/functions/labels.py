@@ -32,7 +32,8 @@ def compact_date(label: Column) -> Column:
     """``2020 Jan02 2021`` to ``2021jan02``; labels of another shape stay as they are."""
     squeezed = _squeezed(label)
     rewritten = F.regexp_replace(squeezed, f"(?s){COMPACT_DATE}.*$", "$3$1$2")
-    return F.when(squeezed.rlike(COMPACT_DATE), rewritten).otherwise(label)
+    # A rewritten label is shorter, so it differs from what it was made of.
+    return F.coalesce(F.nullif(rewritten, squeezed), label)
 
 
 def strip_week_token(label: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -64,10 +65,20 @@ def date_spine(df: DataFrame, column: str, name: str = "Date") -> DataFrame:
     return df.select(F.col(column).alias(name)).distinct().na.drop()
 
 
-def drop_footer(df: DataFrame, order: str) -> DataFrame:
-    """All rows but the last one by ``order``, the footer of a sheet."""
-    last = df.agg(F.max(order)).scalar()
-    return df.filter(F.col(order) < last)
+def drop_footer(df: DataFrame, order: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """All rows but the last one by ``order``, the footer of a sheet.
+
+    Where a frame holds several sheets, ``partition_by`` tells them apart, and each loses its own
+    footer. The last rows come from an aggregation, one per sheet.
+    """
+    if not partition_by:
+        return df.filter(F.col(order) < df.agg(F.max(order)).scalar())
+    names = {name: f"_sheet_{number}" for number, name in enumerate(partition_by)}
+    last = df.groupBy(*[F.col(name).alias(own) for name, own in names.items()]).agg(
+        F.max(order).alias("_last")
+    )
+    same = [F.col(name).eqNullSafe(F.col(own)) for name, own in names.items()]
+    return df.join(last, [*same, F.col(order) < F.col("_last")], "left_semi")
 
 
 def before(df: DataFrame, column: str, limit: Column | date) -> DataFrame:

@@ -4,8 +4,8 @@ A window without ``partitionBy`` sorts all rows in one task. Here the order key
 is cut into ranges of about equal row counts, each range is summed and numbered
 on its own, and only one total per range goes through a single task.
 
-The cuts are a fixed list of key values, taken from a sample whose size does not
-grow with the data. A row's range depends on its own key alone, so a task that
+The cuts are a fixed list of key values, taken from a small sample; there are more of them the
+more rows there are, so that no range outgrows a task. A row's range depends on its own key alone, so a task that
 runs again after an executor is lost puts every row where it was. Where many
 rows share the first order column, the columns after it cut them apart; the
 order has to be unique as a whole.
@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from trendline.workspace import written_once
+
 RANGE = "_range"
-SAMPLED_ROWS_PER_RANGE = 64
+SAMPLED_ROWS_PER_RANGE = 32
 LEAST_ROWS_PER_RANGE = 1_000
 ROWS_PER_RANGE = 1_000_000
 RANGES_PER_TASK = 4
 FEWEST_RANGES = 2
-MOST_RANGES = 4096
 
 
 def _order_key(order: Sequence[str]) -> Column:
@@ -38,9 +39,9 @@ def _as_sequence(names: str | Sequence[str]) -> list[str]:
 
 
 def range_count(rows: int, tasks: int) -> int:
-    """Ranges for some rows: worth a task, small enough to sort, few enough to list."""
+    """Ranges for some rows: worth a task and small enough to sort, however many rows there are."""
     for_all_tasks = min(RANGES_PER_TASK * tasks, rows // LEAST_ROWS_PER_RANGE)
-    return min(MOST_RANGES, max(FEWEST_RANGES, for_all_tasks, rows // ROWS_PER_RANGE))
+    return max(FEWEST_RANGES, for_all_tasks, rows // ROWS_PER_RANGE)
 
 
 def range_cuts(
@@ -48,7 +49,7 @@ def range_cuts(
 ) -> tuple[Column, int]:
     """A fixed array of keys that cuts the rows into about ``ranges`` even ranges, and its length.
 
-    Some 64 sampled keys per range are sorted together, whatever the row count.
+    Some 32 sampled keys per range are sorted together.
     What is picked of them passes the driver as text, so that every use of the
     array sees the same keys.
     """
@@ -95,9 +96,14 @@ def running_sum(
     out: str,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to the current one."""
+    """Adds the sum of ``value`` over all rows up to the current one.
+
+    The rows are stored once in the shared folder; count, sample, totals and sums all come
+    from there, so the frame is computed once and all of them see the same rows.
+    """
     order = _as_sequence(order)
-    cut = with_ranges(df.withColumn(out, value), order, ranges)
+    stored = written_once(df.withColumn(out, value), "ordered")
+    cut = with_ranges(stored, order, ranges)
     within = (
         Window.partitionBy(RANGE)
         .orderBy(*order)

@@ -15,12 +15,14 @@ Render = Callable[[Column, Column], Column]
 # Fixed value: what the pattern for white space covers.
 WHITE_SPACE = " \t\n\x0b\f\r"
 
-TURNS_PER_PART = 64
+TURNS_AT_ONCE = 64
+SALTS = 64
 GROUPED_BATCHES = 50
 
 
 def role_heading(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("### "), role, F.lit(": "), F.coalesce(text, F.lit("")))
+    nothing = F.lit("")
+    return F.concat(F.lit("### "), F.coalesce(role, nothing), F.lit(": "), F.coalesce(text, nothing))
 
 
 def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
@@ -28,22 +30,34 @@ def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
     return corpus.filter(F.col(column) == F.lit(split))
 
 
-def _joined(order: str, piece: str, separator: str) -> Column:
-    pieces = F.sort_array(F.collect_list(F.struct(order, piece)))
-    return F.array_join(pieces[piece], separator)
+def _joined(piece: Column, separator: str) -> Column:
+    """The text of structs of a place and a piece, in the order of the places."""
+    return F.array_join(F.sort_array(F.collect_list(piece))["_piece"], separator)
 
 
-def conversation_texts(turns: DataFrame, render: Render = role_heading) -> DataFrame:
-    """The rendered turns of each conversation as text, in order.
+def conversation_texts(
+    turns: DataFrame, render: Render = role_heading, turns_per_part: int | None = None
+) -> DataFrame:
+    """The rendered turns of each conversation as one text, in order.
 
-    A text holds at most 64 turns. A longer conversation goes on in further
-    parts, so that one endless conversation is spread over many tasks.
+    Runs of 64 turn numbers are put together first, so many tasks share the work of an endless
+    conversation and the last step only joins a few long strings; a text that no value can hold fails and
+    is never cut. A missing role or text counts as empty. With ``turns_per_part``, a
+    conversation comes in parts of so many turn numbers, told apart by ``part``.
     """
-    part = F.expr(f"turn div {TURNS_PER_PART}").alias("part")
-    return (
-        turns.select("conv_id", part, "turn", render(F.col("role"), F.col("text")).alias("_piece"))
-        .groupBy("conv_id", "part")
-        .agg(F.count("*").alias("n_turns"), _joined("turn", "_piece", "\n").alias("text"))
+    size = turns_per_part or TURNS_AT_ONCE
+    part = F.expr(f"turn div {size}").alias("part")
+    rendered = turns.select(
+        "conv_id", part, "turn", render(F.col("role"), F.col("text")).alias("_piece")
+    )
+    parts = rendered.groupBy("conv_id", "part").agg(
+        F.count("*").alias("n_turns"), _joined(F.struct("turn", "_piece"), "\n").alias("text")
+    )
+    if turns_per_part:
+        return parts
+    return parts.groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"),
+        _joined(F.struct("part", F.col("text").alias("_piece")), "\n").alias("text"),
     )
 
 
@@ -69,21 +83,29 @@ def truncated_texts(
 ) -> DataFrame:
     """The first ``max_tokens`` tokens of each conversation and how many they are.
 
-    Turns without a token add nothing. Of the others only the first
-    ``max_tokens`` can count: each task drops the later ones before the shuffle,
-    and cuts the single turns as well, so what is left of a conversation is
-    bounded however long it was.
+    Turns without a token add nothing; a conversation of such turns has an empty text. Of the others
+    only the first ``max_tokens`` can count: they are found first among each 64th part of a
+    conversation's turns, then among what is left of all parts. So the last step sees at most 64 times
+    ``max_tokens`` rows of a conversation, however long it is. The single turns are cut before they are moved.
     """
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "_piece")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     rendered = render(F.col("role"), F.col("text"))
-    cut = turns.filter(_trimmed(rendered) != F.lit("")).select(
+    blank = _trimmed(rendered) == F.lit("")
+    cut = turns.select(
         "conv_id",
         "turn",
-        first_tokens(rendered, max_tokens).alias("_piece"),
-        F.least(F.size(tokens(rendered)), F.lit(max_tokens)).alias("_n"),
+        F.when(blank, F.lit("")).otherwise(first_tokens(rendered, max_tokens)).alias("_piece"),
+        F.when(blank, F.lit(0)).otherwise(F.least(F.size(tokens(rendered)), F.lit(max_tokens))).alias("_n"),
+        F.pmod(F.xxhash64("turn"), F.lit(SALTS)).alias("_salt"),
+    )
+    # Blank turns come last, so that one is left only where there is nothing else.
+    order = (F.col("_n") == 0, F.col("turn"), F.col("_piece"))
+    in_salt = Window.partitionBy("conv_id", "_salt").orderBy(*order)
+    in_order = Window.partitionBy("conv_id").orderBy(*order)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    fewer = cut.withColumn("_place", F.row_number().over(in_salt)).filter(
+        F.col("_place") <= max_tokens
     )
-    first = cut.withColumn("_place", F.row_number().over(in_order)).filter(
+    first = fewer.withColumn("_place", F.row_number().over(in_order)).filter(
         F.col("_place") <= max_tokens
     )
     used = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
@@ -95,8 +117,9 @@ def truncated_texts(
         F.least("_n", "_room").alias("_n"),
         F.when(F.col("_n") <= F.col("_room"), F.col("_piece")).otherwise(shortened).alias("_piece"),
     )
+    told = F.when(F.col("_n") > 0, F.struct("turn", "_piece"))
     return pieces.groupBy("conv_id").agg(
-        F.sum("_n").alias("n_tokens"), _joined("turn", "_piece", " ").alias("text")
+        F.sum("_n").alias("n_tokens"), _joined(told, " ").alias("text")
     )
 
 
@@ -113,8 +136,7 @@ def length_batches(
     The texts, in the order of their keys, fall into groups of 50 batches; inside
     a group the longest come first. All groups have the same size whatever the
     keys look like, and batch numbers follow from it. ``max_steps`` ends the run
-    after that many optimiser steps. The keys are read several times, so
-    ``texts`` should be a stored frame; the text itself is not read.
+    after that many optimiser steps. Of the texts, key and length are read, once.
     """
     numbered = row_index(texts.select(key, length), key, out="_id")
     if max_steps is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,31 +14,46 @@ def page_rows(
     text: str,
     row_pattern: str,
     cell_pattern: str,
-    width: int,
+    width: int | None = None,
 ) -> DataFrame:
     """One row per match of ``row_pattern``, its cells in columns c0, c1, ...
 
     Group 1 of the patterns is the row and the cell. A short row ends in NULLs,
     repeated header rows stay, a page without rows gives none. Each page is cut
-    up where it is read; nothing is shuffled.
+    up where it is read; nothing is shuffled. The columns are as many as the widest row
+    has cells; with ``width`` they are so many, and a wider row is an error.
     """
     rows = F.regexp_extract_all(F.col(text), F.lit(row_pattern), F.lit(1))
     found = pages.select(page, F.posexplode(rows).alias("row_idx", "_row"))
     cells = F.regexp_extract_all(F.col("_row"), F.lit(cell_pattern), F.lit(1))
-    return found.select(page, "row_idx", cells.alias("_cells")).select(
+    rows = found.select(page, "row_idx", cells.alias("_cells"))
+    if width is None:
+        width = rows.agg(F.max(F.size("_cells"))).collect()[0][0] or 0
+    else:
+        wide = F.raise_error(F.concat(F.lit(f"more than {width} cells: "), F.to_json("_cells")))
+        fits = F.size("_cells") <= F.lit(width)
+        rows = rows.withColumn("_cells", F.when(fits, F.col("_cells")).otherwise(wide))
+    return rows.select(
         page,
         "row_idx",
         *[F.get("_cells", F.lit(position)).alias(f"c{position}") for position in range(width)],
     )
 
 
-def page_assets(pages: DataFrame, page: str, text: str, tags: Sequence[str]) -> DataFrame:
-    """How often each page opens each of the tags; tags that do not occur are left out."""
+def page_assets(
+    pages: DataFrame, page: str, text: str, tags: Sequence[str], only: Column | None = None
+) -> DataFrame:
+    """How often each page opens each of the tags, in any case; tags that do not occur are left out.
+
+    ``only`` chooses pages, by number say, before anything is counted.
+    """
+    if only is not None:
+        pages = pages.filter(only)
     counts = F.array(
         *[
             F.struct(
                 F.lit(tag).alias("tag"),
-                F.regexp_count(F.col(text), F.lit(rf"<{tag}[\s>]")).cast("bigint").alias("n"),
+                F.regexp_count(F.col(text), F.lit(rf"(?i)<{tag}[\s/>]")).cast("bigint").alias("n"),
             )
             for tag in tags
         ]

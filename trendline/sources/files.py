@@ -11,21 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def file_paths(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """The paths of the files in a folder; their content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path")
+# Schemes of addresses that tasks can open as a stream on their own.
+STREAM_SCHEMES = ("file", "hdfs", "viewfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss")
 
+ADDRESS = r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(.*)"
 
-def arrow_path(uri: str):
-    """The Arrow file system of an address and the path on it."""
+
+def any_case(extension: str) -> str:
+    """A file name pattern for an extension, in capitals or not: ``*.[zZ][iI][pP]``."""
+    return "*." + "".join(f"[{letter.lower()}{letter.upper()}]" for letter in extension)
+
+
+def files_below(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """The files in a folder, as Spark lists them; their content is read only where it is used."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", any_case(extension))
+    return reader.load(folder)
+
+
+def check_scheme(folder: str) -> None:
+    """An error, before any job starts, for an address that tasks cannot open as a stream."""
+    import re
+
+    scheme = re.fullmatch(ADDRESS, folder, re.DOTALL)[1]
+    if scheme and scheme not in STREAM_SCHEMES:
+        known = ", ".join(STREAM_SCHEMES)
+        raise ValueError(f"cannot stream files from {scheme}: addresses; known schemes are {known}")
+
+
+def arrow_path(address: str):
+    """The Arrow file system of an address and the path on it.
+
+    Addresses come from Spark as plain text, so blanks, ``%``, ``#`` and the like stand for themselves.
+    """
     import re
 
     from pyarrow import fs
 
-    if re.match("(file:)?/", uri):
-        uri = "file:///" + re.sub("^(file:)?/+", "", uri)
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    scheme, authority, path = re.fullmatch(ADDRESS, address, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), path
+    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
+    return system, f"{base.rstrip('/')}/{path.lstrip('/')}"
 
 
 def open_file(uri: str):

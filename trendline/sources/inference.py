@@ -36,14 +36,6 @@ def _fits(text: Column, candidate: DataType) -> Column:
     return fits
 
 
-def ddl_of(schema: StructType) -> str:
-    columns = []
-    for field in schema.fields:
-        name = field.name.replace("`", "``")
-        columns.append(f"`{name}` {field.dataType.simpleString()}")
-    return ", ".join(columns)
-
-
 def inferred_schema(rows: DataFrame) -> StructType:
     """A schema that fits every row, found in one aggregation over all of them."""
     places = range(len(rows.columns))

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trendline.workspace import shared_folder
+
 
 def read_table_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def replace_table(df: DataFrame, target: str, path: str | None = None) -> DataFrame:
-    """Writes the frame as table ``target`` in place of an earlier one and reads it back."""
-    writer = df.write.mode("overwrite")
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(target)
-    return df.sparkSession.table(target)
+    """Puts the frame in place of an earlier table ``target`` and reads it back.
+
+    A catalog of its own (``name.schema.table``) replaces the table in one step. In the session's
+    catalog the rows are written to a fresh folder, below ``path`` or the shared storage,
+    and only then does the name point there; if writing fails, the old table is as it was. The
+    folders of earlier versions stay until the caller removes them, so readers can end.
+    """
+    spark = df.sparkSession
+    catalog = target.split(".")[0]
+    own = spark.conf.get(f"spark.sql.catalog.{catalog}", None)
+    if "." in target and own and catalog != "spark_catalog":
+        df.writeTo(target).createOrReplace()
+        return spark.table(target)
+    folder = f"{path or shared_folder(spark, 'table')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {target}")
+    return spark.catalog.createTable(target, folder, "parquet")
 
 
 def view_scan(df: DataFrame, view: str) -> DataFrame:

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import csv
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from trendline.sources.files import file_paths, open_file
-from trendline.sources.inference import ddl_of, inferred_schema, typed
+from trendline.sources.files import check_scheme, files_below, open_file
+from trendline.sources.inference import inferred_schema, typed
+from trendline.workspace import written_once
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LINES_PER_BATCH = 8192
-LINES_COLUMNS = ["archive", "member", "line_no", "line"]
-LINES_SCHEMA = "archive string, member string, line_no bigint, line string"
+BLOCK_BYTES = 1 << 20
 
 
 def read_csv(
@@ -33,19 +31,51 @@ def read_csv(
     return reader.csv(path)
 
 
+def _escaped(text: Column) -> Column:
+    """Text without line breaks: a backslash is doubled, a break becomes ``\\n`` or ``\\r``."""
+    for sign, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    """What ``_escaped`` was given: breaks come back between doubled backslashes only."""
+
+    def breaks(piece: Column) -> Column:
+        piece = F.replace(piece, F.lit("\\n"), F.lit("\n"))
+        return F.replace(piece, F.lit("\\r"), F.lit("\r"))
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), breaks), "\\")
+
+
+def _texts(schema: StructType) -> list[str]:
+    return [field.name for field in schema.fields if field.dataType == StringType()]
+
+
 def write_csv(df: DataFrame, path: str, null_text: str = "") -> None:
-    """CSV with a header line; quotes inside a value are doubled, NULL is ``null_text``."""
-    df.write.mode("overwrite").options(header=True, escape='"', nullValue=null_text).csv(path)
+    """CSV with a header line and one line per row.
+
+    Quotes inside a value are doubled, NULL is ``null_text``, backslashes are doubled and line
+    breaks written as ``\\n``, so that large files can be read in pieces.
+    """
+    escaped = df.withColumns({name: _escaped(F.col(f"`{name}`")) for name in _texts(df.schema)})
+    escaped.write.mode("overwrite").options(header=True, escape='"', nullValue=null_text).csv(path)
 
 
 def read_written_csv(
-    spark: SparkSession, path: str, schema: StructType | str, null_text: str = ""
+    spark: SparkSession, path: str, schema: StructType, null_text: str = ""
 ) -> DataFrame:
     """What ``write_csv`` wrote, values with line breaks included.
 
     Spark tells empty text from NULL only if ``null_text`` is not empty itself.
     """
-    return read_csv(spark, path, schema, escape='"', multiLine=True, nullValue=null_text)
+    rows = read_csv(spark, path, schema, escape='"', nullValue=null_text)
+    return rows.withColumns({name: _unescaped(F.col(f"`{name}`")) for name in _texts(schema)})
+
+
+# Zipped CSV
+
+MEMBERS = "archive string, member string"
 
 
 def csv_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,74 +84,125 @@ def csv_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         members = []
-        for uri in batch["path"]:
-            with open_file(uri) as stream, zipfile.ZipFile(stream) as archive:
-                members += [(uri, m) for m in archive.namelist() if m.lower().endswith(".csv")]
+        for address in batch["path"]:
+            with open_file(address) as stream, zipfile.ZipFile(stream) as archive:
+                members += [(address, m) for m in archive.namelist() if m.lower().endswith(".csv")]
         yield pd.DataFrame(members, columns=["archive", "member"])
 
 
-def member_lines(
-    batches: Iterator[pa.RecordBatch], most: int | None = None
-) -> Iterator[pa.RecordBatch]:
-    """Streams the lines of each member, all or the first ``most``, a batch of lines at a time."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def _header(archive, member: str) -> list[str]:
+    """The first record of a member."""
+    import csv
     import io
-    import itertools
+
+    with archive.open(member) as raw:
+        return next(csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")), [])
+
+
+def member_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column names of each member."""
     import zipfile
 
-    for batch in batches:
-        for uri, member in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            with (
-                open_file(uri) as stream,
-                zipfile.ZipFile(stream) as archive,
-                archive.open(member) as raw,
-            ):
-                text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
-                lines = itertools.islice((line.rstrip("\n") for line in text), most)
-                start = 0
-                while rows := list(itertools.islice(lines, LINES_PER_BATCH)):
-                    end = start + len(rows)
-                    columns = [
-                        pa.repeat(uri, len(rows)),
-                        pa.repeat(member, len(rows)),
-                        pa.array(range(start, end), pa.int64()),
-                        pa.array(rows, pa.string()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, LINES_COLUMNS)
-                    start = end
-
-
-def zipped_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """The lines of all CSV members of the zip files in a folder, or the first of each member.
+    for address, member in _members(batches):
+        with open_file(address) as stream, zipfile.ZipFile(stream) as archive:
+            names = pa.array([_header(archive, member)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([member]), names], ["member", "names"])
 
-    The members, not the archives, are spread over the tasks, so an archive with
-    many members is shared out. One member is one stream and cannot be split.
+
+def member_records(
+    batches: Iterator[pa.RecordBatch], wanted: list[str]
+) -> Iterator[pa.RecordBatch]:
+    """The wanted columns of each member as text, found by its own header.
+
+    The CSV parser reads a member as a stream, block by block. A column that a member lacks is
+    NULL, a short record ends in NULLs, a record longer than the header is an error.
     """
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = file_paths(spark, path, "*.zip").mapInPandas(
-        csv_members, "archive string, member string"
-    )
-    return members.repartition(tasks).mapInArrow(
-        lambda batches: member_lines(batches, most), LINES_SCHEMA
-    )
+    import csv as plain
+    import zipfile
+
+    from pyarrow import csv
+
+    for address, member in _members(batches):
+        short: list[list[str | None]] = []
+        with open_file(address) as stream, zipfile.ZipFile(stream) as archive:
+            names = _header(archive, member)
+            if not names:
+                continue
+            places = [names.index(name) if name in names else None for name in wanted]
+            own = [f"_{place}" for place in range(len(names))]
+
+            def keep_short(row, width=len(names), short=short) -> str:
+                if row.actual_columns > width:
+                    return "error"
+                cells = next(plain.reader([row.text]))
+                short.append([cell or None for cell in cells] + [None] * (width - len(cells)))
+                return "skip"
+
+            with archive.open(member) as raw:
+                reader = csv.open_csv(
+                    raw,
+                    csv.ReadOptions(
+                        block_size=BLOCK_BYTES,
+                        column_names=own,
+                        skip_rows_after_names=1,
+                        use_threads=False,
+                    ),
+                    csv.ParseOptions(newlines_in_values=True, invalid_row_handler=keep_short),
+                    csv.ConvertOptions(
+                        column_types=dict.fromkeys(own, pa.string()),
+                        null_values=[""],
+                        strings_can_be_null=True,
+                        quoted_strings_can_be_null=False,
+                    ),
+                )
+                for block in reader:
+                    yield _chosen(block.columns, block.num_rows, places, wanted)
+            if short:
+                columns = [pa.array(values, pa.string()) for values in zip(*short, strict=True)]
+                yield _chosen(columns, len(short), places, wanted)
+
+
+def _chosen(columns, rows: int, places: list[int | None], names: list[str]) -> pa.RecordBatch:
+    nothing = pa.nulls(rows, pa.string())
+    chosen = [nothing if place is None else columns[place] for place in places]
+    return pa.RecordBatch.from_arrays(chosen, names)
 
 
 def read_zipped_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:
-    """Rows of zipped CSV files with a header line, one record per line.
+    """Rows of the CSV members of the zip files in a folder.
 
-    With a schema, columns go by position. Without one, the header names them
-    and all their values decide on their types.
+    Each member has a header of its own, and columns are found by name. Quotes inside a value are
+    doubled, and a quoted value may hold line breaks. With a schema, unfit and missing values are
+    NULL. Without one, the columns are all names of all headers; the values are stored as text once,
+    and all of them decide on their types.
+
+    The members, not the archives, are spread over the tasks, so an archive with
+    many members is shared out. One member is one stream and cannot be split.
     """
-    lines = zipped_lines(spark, path)
-    records = lines.filter((F.col("line_no") > 0) & (F.col("line") != ""))
+    check_scheme(path)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    archives = files_below(spark, path, "zip").select("path")
+    members = archives.mapInPandas(csv_members, MEMBERS).repartition(tasks)
     if schema is not None:
-        return _parsed(records, schema if isinstance(schema, str) else ddl_of(schema))
-    header = zipped_lines(spark, path, most=1).agg(F.min("line")).collect()[0][0]
-    names = next(csv.reader([header or ""]))
-    texts = _parsed(records, ddl_of(StructType([StructField(n, StringType()) for n in names])))
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return typed(_records(members, schema.fieldNames()), schema)
+    headers = members.mapInArrow(member_headers, "member string, names array<string>")
+    places = headers.select(F.posexplode("names").alias("place", "name"))
+    first = places.groupBy("name").agg(F.min("place").alias("place"))
+    names = [row["name"] for row in first.orderBy("place", "name").collect()]
+    if not names:
+        return spark.createDataFrame([], StructType())
+    texts = written_once(_records(members, names), "zipped-csv")
     return typed(texts, inferred_schema(texts))
 
 
-def _parsed(records: DataFrame, ddl: str) -> DataFrame:
-    return records.select(F.from_csv("line", ddl).alias("_row")).select("_row.*")
+def _records(members: DataFrame, names: list[str]) -> DataFrame:
+    schema = StructType([StructField(name, StringType()) for name in names])
+    return members.mapInArrow(lambda batches: member_records(batches, names), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendline.sources.files import file_paths, open_file
+from trendline.sources.files import files_below
 from trendline.sources.inference import inferred_schema, typed
 
 # Tasks get the functions below by value, so executors need no copy of this package.
@@ -66,8 +66,18 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
-def _cell_text(cell, shared: list[str], dates: set[int]) -> str | None:
-    from datetime import datetime, timedelta
+def _first_day(book):
+    """Day 0 of the workbook's date system."""
+    from datetime import datetime
+    from xml.etree import ElementTree
+
+    properties = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+    later = properties is not None and properties.get("date1904", "0") in ("1", "true", "on")
+    return datetime(1904, 1, 1) if later else datetime(1899, 12, 30)
+
+
+def _cell_text(cell, shared: list[str], dates: set[int], first_day) -> str | None:
+    from datetime import timedelta
 
     kind = cell.get("t", "n")
     if kind == "inlineStr":
@@ -81,16 +91,17 @@ def _cell_text(cell, shared: list[str], dates: set[int]) -> str | None:
         return "true" if value == "1" else "false"
     if kind == "n" and int(cell.get("s", 0)) in dates:
         seconds = round(float(value) * 86400)
-        return str(datetime(1899, 12, 30) + timedelta(seconds=seconds))
+        return str(first_day + timedelta(seconds=seconds))
     return value
 
 
-def _sheet_rows(uri: str, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
-    """Row numbers and cells of one sheet, read as a stream."""
+def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
+    """Row numbers and cells of one sheet of a workbook, a row at a time."""
+    import io
     import zipfile
     from xml.etree import ElementTree
 
-    with open_file(uri) as stream, zipfile.ZipFile(stream) as book:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         member = _sheet_member(book, sheet)
         if member is None:
             return
@@ -98,7 +109,7 @@ def _sheet_rows(uri: str, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
         if "xl/sharedStrings.xml" in book.namelist():
             strings = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in strings]
-        dates = _date_styles(book)
+        dates, first_day = _date_styles(book), _first_day(book)
         with book.open(member) as xml:
             place = -1
             for _, element in ElementTree.iterparse(xml):
@@ -109,36 +120,54 @@ def _sheet_rows(uri: str, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
                 for cell in element.iter(f"{MAIN}c"):
                     number = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
                     cells.extend([None] * (number - len(cells)))
-                    cells.append(_cell_text(cell, shared, dates))
+                    cells.append(_cell_text(cell, shared, dates, first_day))
                 element.clear()
                 yield place, cells
 
 
-def _aligned(rows, names: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+def column_names(header: list[str | None], width: int) -> list[str]:
+    """A name for every column of a sheet: its heading, or its place where it has none.
+
+    Without a heading, the column in the third place is ``_c2``; repeated headings are numbered from 2.
+    """
+    taken: set[str] = set()
+    names = []
+    for place in range(max(width, len(header))):
+        base = (header[place] if place < len(header) else None) or f"_c{place}"
+        name, repeat = base, 1
+        while name in taken:
+            repeat += 1
+            name = f"{base}_{repeat}"
+        taken.add(name)
+        names.append(name)
+    return names
+
+
+def _aligned(rows, wanted: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     """The rows below the header row, their cells in the order of the names."""
     _, header = next(rows, (0, []))
-    places = [header.index(name) if name in header else None for name in names]
+    places: list[int | None] = []
+    width = -1
     for number, cells in rows:
+        if len(cells) > width:
+            width = max(len(cells), len(header))
+            names = column_names(header, width)
+            places = [names.index(name) if name in names else None for name in wanted]
         yield number, [
             cells[place] if place is not None and place < len(cells) else None for place in places
         ]
 
 
 def sheet_cells(
-    spark: SparkSession,
-    path: str,
-    sheet: str,
-    names: list[str] | None = None,
-    most: int | None = None,
+    spark: SparkSession, path: str, sheet: str, names: list[str] | None = None
 ) -> DataFrame:
     """The cells of one sheet of every workbook in a folder.
 
     Without ``names``, all cells of all rows. With them, the rows below the header
     row, and of each only the named cells, wherever a workbook keeps them.
-    ``most`` stops reading each workbook after that many rows.
 
-    Spark spreads the workbooks over the tasks, and each is read as a stream.
-    Dates come as ISO text, errors and gaps as NULL. Workbooks without the sheet
+    Spark reads and spreads the workbooks, from any address that it knows; a task decodes
+    one after another. Dates come as ISO text, errors and gaps as NULL. Workbooks without the sheet
     give no rows.
     """
 
@@ -146,23 +175,32 @@ def sheet_cells(
         import itertools
 
         columns = ["path", "sheet", "row_idx", "cells"]
-        for uri in itertools.chain.from_iterable(batch["path"] for batch in batches):
-            rows = _sheet_rows(uri, sheet)
-            rows = rows if names is None else _aligned(rows, names)
-            rows = itertools.islice(rows, most)
-            while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
-                yield pd.DataFrame([(uri, sheet, *row) for row in chunk], columns=columns)
+        for batch in batches:
+            for address, content in zip(batch["path"], batch["content"], strict=True):
+                rows = _sheet_rows(content, sheet)
+                rows = rows if names is None else _aligned(rows, names)
+                while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
+                    yield pd.DataFrame([(address, sheet, *row) for row in chunk], columns=columns)
 
-    return file_paths(spark, path, "*.xlsx").mapInPandas(decode, CELLS_SCHEMA)
+    books = files_below(spark, path, "xlsx").select("path", "content")
+    return books.mapInPandas(decode, CELLS_SCHEMA)
 
 
 def sheet_columns(spark: SparkSession, path: str, sheet: str) -> list[str]:
-    """The headings in the top row of the sheet, over all workbooks."""
-    top = sheet_cells(spark, path, sheet, most=1)
-    headings = top.select(F.posexplode("cells").alias("place", "name")).filter(
-        "name is not null"
-    )
-    first = headings.groupBy("name").agg(F.min("place").alias("place"))
+    """The columns of the sheet, over all workbooks: by heading, or by place where there is none."""
+
+    def name_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = _sheet_rows(content, sheet)
+                _, header = next(rows, (0, []))
+                width = max((len(cells) for _, cells in rows), default=0)
+                names = column_names(header, width)
+                yield pd.DataFrame({"place": range(len(names)), "name": names})
+
+    books = files_below(spark, path, "xlsx").select("content")
+    columns = books.mapInPandas(name_columns, "place bigint, name string")
+    first = columns.groupBy("name").agg(F.min("place").alias("place"))
     return [row["name"] for row in first.orderBy("place", "name").collect()]
 
 
@@ -171,8 +209,8 @@ def read_sheet(
 ) -> DataFrame:
     """A sheet as typed columns, found by their headings; unfit cells become NULL.
 
-    Without a schema, the columns are all headings of the top row, and all their
-    values decide on their types. ``path`` and ``row_idx`` stay, so that the rows
+    Without a schema, the columns are all that any workbook has, named by heading or by place, and
+    all their values decide on their types. ``path`` and ``row_idx`` stay, so that the rows
     keep their order.
     """
     names = sheet_columns(spark, path, sheet) if schema is None else schema.fieldNames()
