@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -279,55 +280,67 @@ def _slices(texts: list[str | None]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the ids of every whole text, as an array in column ``ids``.
+Encoded = list[tuple[str, str, int]]
 
-    NULL counts as empty and has no ids. Other columns stay; one named like the new one gives way.
-    """
-    own = [name for name in docs.columns if name != ids]
-    rows = docs.select(*[docs[name] for name in own], docs[text].alias("_text"))
-    schema = docs.select(*own).schema.add(ids, ArrayType(IntegerType(), False))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_columns(
+    docs: DataFrame, path: str, text: str, added: StructType, make: Callable[[Encoded], list[pa.Array]]
+) -> DataFrame:
+    """Adds columns made from the encoded texts; own columns of the same names give way."""
+    own = [name for name in docs.columns if name not in added.names]
+    entries = docs.select(
+        F.struct(F.lit(0), *[docs[name] for name in own]).alias("_doc"), docs[text].alias("_text")
+    )
+    schema = entries.select("_doc").schema
+    for field in added.fields:
+        schema = schema.add(field)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for batch in batches:
             texts = batch["_text"].to_pylist()
             for part in _slices(texts):
-                found = model.encode(texts[part])
-                piece = batch.slice(part.start, part.stop - part.start)
-                counts = np.array([0, *(count for _, _, count in found)], np.int32)
-                flat = " ".join([text for text, _, count in found if count])
-                numbers = pa.array(np.fromstring(flat, np.int32, sep=" "))
-                new = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), numbers)
-                yield pa.RecordBatch.from_arrays([*(piece[name] for name in own), new], [*own, ids])
+                piece = batch["_doc"].slice(part.start, part.stop - part.start)
+                new = make(model.encode(texts[part]))
+                yield pa.RecordBatch.from_arrays([piece, *new], names)
+
+    found = entries.mapInArrow(run, schema)
+    return found.select(*[F.col("_doc")[name].alias(name) for name in own], *added.names)
 
-    return rows.mapInArrow(add, schema)
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the ids of every whole text, as an array in column ``ids``.
+
+    NULL counts as empty and has no ids. Other columns stay; one named like the new one gives way.
+    """
+
+    def make(found: Encoded) -> list[pa.Array]:
+        counts = np.array([0, *(count for _, _, count in found)], np.int32)
+        flat = " ".join([numbers for numbers, _, count in found if count])
+        numbers = pa.array(np.fromstring(flat, np.int32, sep=" "))
+        ends = pa.array(np.cumsum(counts, dtype=np.int32))
+        return [pa.ListArray.from_arrays(ends, numbers)]
+
+    added = StructType().add(ids, ArrayType(IntegerType()))
+    return _with_columns(docs, path, text, added, make)
 
 
 def token_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds what a round trip gives: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    own = [name for name in docs.columns if name != text and name not in added]
-    rows = docs.select(*[docs[name] for name in own], docs[text].alias("_text"))
-    schema = docs.select(*own).schema.add(added[0], LongType())
-    schema = schema.add(added[1], StringType()).add(added[2], StringType())
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a round trip gives, in place of the text: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+
+    def make(found: Encoded) -> list[pa.Array]:
         from hashlib import sha256
 
-        model = vocabulary(path)
-        for batch in batches:
-            texts = batch["_text"].to_pylist()
-            for part in _slices(texts):
-                found = model.encode(texts[part])
-                piece = batch.slice(part.start, part.stop - part.start)
-                new = [
-                    pa.array([count for _, _, count in found], pa.int64()),
-                    pa.array([sha256(ids.encode()).hexdigest() for ids, _, _ in found]),
-                    pa.array([sha256(decoded.encode()).hexdigest() for _, decoded, _ in found]),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*(piece[name] for name in own), *new], [*own, *added]
-                )
+        def digests(texts: list[str]) -> pa.Array:
+            return pa.array([sha256(text.encode()).hexdigest() for text in texts], pa.string())
+
+        return [
+            pa.array([count for _, _, count in found], pa.int64()),
+            digests([ids for ids, _, _ in found]),
+            digests([decoded for _, decoded, _ in found]),
+        ]
 
-    return rows.mapInArrow(add, schema)
+    added = StructType().add("n_tokens", LongType())
+    added = added.add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    return _with_columns(docs, path, text, added, make).drop(text)
