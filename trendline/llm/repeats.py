@@ -309,6 +309,17 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(text or "").encode("utf-8", "surrogatepass") for text in column.to_pylist()]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: what moves between tasks is the texts, for the most part."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        place = batch.schema.get_field_index("text")
+        packed = pa.array([pack(text) for text in _bytes(batch["text"])], pa.binary())
+        yield batch.set_column(place, "text", packed)
+
+
 def _chunks(
     batches: Iterator[pa.RecordBatch], names: tuple[str, ...]
 ) -> Iterator[tuple[int, list[dict[str, list]]]]:
@@ -340,7 +351,10 @@ def _numbers(parts: list[pa.Array]) -> np.ndarray:
 
 
 def _texts(parts: list[pa.Array]) -> list[bytes]:
-    return [text for part in parts for text in _bytes(part)]
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(text) for part in parts for text in part.to_pylist()]
 
 
 def _anchors(length: int, gram: int):
@@ -631,7 +645,9 @@ def drop_repeats(
         "chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)).cast("int")
     )
     nothing = F.lit(None)
-    dealt = rows.select("chunk", F.lit(DOCS).alias("kind"), "doc_id", "mark", "text")
+    dealt = rows.select("chunk", F.lit(DOCS).alias("kind"), "doc_id", "mark", "text").mapInArrow(
+        _pack, "chunk int, kind int, doc_id bigint, mark bigint, text binary"
+    )
 
     anchors = rows.select("chunk", "text").mapInArrow(_anchors(length, gram), ANCHORS)
     everywhere = F.sum("n").over(Window.partitionBy("hash"))
@@ -641,7 +657,7 @@ def drop_repeats(
         F.lit(HASHES).alias("kind"),
         nothing.cast("bigint").alias("doc_id"),
         nothing.cast("bigint").alias("mark"),
-        nothing.cast("string").alias("text"),
+        nothing.cast("binary").alias("text"),
         "hash",
         (F.col("total") > CROWDED).alias("crowded"),
     )
