@@ -23,7 +23,8 @@ SCORED_FOLD = 2  # is not learnt from
 WEIGHT_FOLD = 3  # of the training documents: the held-out counts that the weights are learnt on
 CLASSES = 1 << 16
 BLOCK_BYTES = 16 << 20
-SHARD_TOKENS = 6 << 20
+BYTES_AT_ONCE = 1 << 20
+SHARD_TOKENS = 4 << 20
 HOT_SHARE = 2_000
 STEPS_PER_OCTAVE = 4
 OCTAVES = 40
@@ -47,6 +48,17 @@ class Tokens:
     """
 
     def __init__(self, hashes: PrefixHash, texts: list[bytes]):
+        parts = [
+            (start, *self._hashed(hashes, some)) for start, some in _pieces(texts, BYTES_AT_ONCE)
+        ]
+        self.doc = np.concatenate([doc + start for start, doc, _, _ in parts])
+        self.token = np.concatenate([token for _, _, token, _ in parts])
+        self.context = np.concatenate([context for _, _, _, context in parts])
+
+    @staticmethod
+    def _hashed(
+        hashes: PrefixHash, texts: list[bytes]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         upper = (data >= 65) & (data <= 90)
         data = data + (upper * np.uint8(32))
@@ -55,45 +67,50 @@ class Tokens:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, stops = edges[::2], edges[1::2]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths + 1)
-        owner = np.searchsorted(ends, starts, side="right")
+        owner = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
         counts = np.bincount(owner, minlength=len(texts))
-        words = hashes.stretches(data, starts, stops)
         # One more place per text, for its end.
-        total = len(words) + len(texts)
-        self.doc = np.repeat(np.arange(len(texts)), counts + 1)
         last = np.cumsum(counts + 1) - 1
-        self.token = np.empty(total, np.uint64)
-        is_end = np.zeros(total, bool)
+        token = np.empty(len(starts) + len(texts), np.uint64)
+        is_end = np.zeros(len(token), bool)
         is_end[last] = True
-        self.token[is_end] = END
-        self.token[~is_end] = words
-        context = np.empty(total, np.uint64)
-        context[1:] = self.token[:-1]
+        token[is_end] = END
+        token[~is_end] = hashes.stretches(data, starts, stops)
+        context = np.empty(len(token), np.uint64)
+        context[1:] = token[:-1]
         context[np.concatenate(([0], last[:-1] + 1))] = START
-        self.context = context_class(context)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts + 1)
+        return doc, token, context_class(context)
 
 
 def context_class(token: np.ndarray) -> np.ndarray:
     return (mixed(token.copy()) % np.uint64(CLASSES)).astype(np.uint16)
 
 
+def _pieces(texts: list[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded size, with the place of the first."""
+    start, size = 0, 0
+    for place, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= most:
+            yield start, texts[start : place + 1]
+            start, size = place + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes]]]:
-    """Runs of texts of bounded size; a block has fewer than 65,536 texts."""
-    start, size, block = 0, 0, []
-    for place, text in enumerate(batch["text"].to_pylist()):
-        block.append(text.encode("utf-8", "surrogatepass"))
-        size += len(block[-1]) + 1
-        if size >= BLOCK_BYTES or len(block) >= 1 << 15:
-            yield slice(start, place + 1), block
-            start, size, block = place + 1, 0, []
-    if block:
-        yield slice(start, start + len(block)), block
+    """The texts of a batch in blocks of bounded size; a block has fewer than 65,536 texts."""
+    for begin in range(0, batch.num_rows, 1 << 15):
+        column = batch["text"].slice(begin, 1 << 15)
+        texts = [text.encode("utf-8", "surrogatepass") for text in column.to_pylist()]
+        for start, block in _pieces(texts, BLOCK_BYTES):
+            yield slice(begin + start, begin + start + len(block)), block
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of each block: over all, training and weight-learning texts."""
-    hashes = PrefixHash(BLOCK_BYTES)
+    hashes = PrefixHash(2 * BYTES_AT_ONCE)
     for batch in batches:
         folds = batch["fold"].to_numpy()
         for part, texts in _blocks(batch):
@@ -146,7 +163,7 @@ def _deal(known: Statistics):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = PrefixHash(BLOCK_BYTES)
+        hashes = PrefixHash(2 * BYTES_AT_ONCE)
         for batch in batches:
             folds, keys = batch["fold"].to_numpy(), batch["key"].to_numpy()
             for part, texts in _blocks(batch):
@@ -221,17 +238,19 @@ class Shard:
             pair_token = np.repeat(row["tokens"], row["classes_of"])
             parts["token"].append(np.repeat(pair_token, row["docs_of"]))
             parts["context"].append(np.repeat(row["classes"], row["docs_of"]))
-            parts["doc"].append(row["docs"].astype(np.int64) + docs)
+            parts["doc"].append(row["docs"].astype(np.int32) + np.int32(docs))
             for name in ("times", "keys", "folds"):
                 parts[name].append(row[name])
             docs += len(row["keys"])
-        merged = {name: np.concatenate(values) for name, values in parts.items()}
-        order = np.lexsort((merged["context"], merged["token"]))
-        token, context = merged["token"][order], merged["context"][order]
-        self.doc, self.times = merged["doc"][order], merged["times"][order].astype(np.int64)
-        self.keys, folds = merged["keys"], merged["folds"][merged["doc"]][order]
+        merged = {name: np.concatenate(parts.pop(name)) for name in list(parts)}
+        order = np.lexsort((merged["context"], merged["token"])).astype(np.int32)
+        token, context = merged.pop("token")[order], merged.pop("context")[order]
+        self.doc, self.times = merged.pop("doc")[order], merged.pop("times")[order]
+        self.keys, folds = merged["keys"], merged["folds"][self.doc]
+        del order
         first = _runs(token, context)
-        self.pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+        of_pair = np.diff(np.append(first, len(token)))
+        self.pair = np.repeat(np.arange(len(first), dtype=np.int32), of_pair)
         self.context = context[first]
         self.n, self.n_learnt, self.n_tuned = (
             np.bincount(self.pair, self.times * chosen, minlength=len(first)).astype(np.int64)
