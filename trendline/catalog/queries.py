@@ -215,7 +215,7 @@ def kpi_by_segment(spark, sf_dir):
 
 @query
 def kpi_attach(spark, sf_dir):
-    return tracker_job.attach_kpis(inputs.daily_tracker(spark, sf_dir))
+    return tracker_job.attach_kpis(written_once(inputs.daily_tracker(spark, sf_dir), "tracker"))
 
 
 # Labels and names
