@@ -178,3 +178,75 @@ def op5_language_model_scores(spark, sf_dir):
 @query
 def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+# The template wraps an assistant's text in <s> and </s>, another turn in [INST], [TEXT] and [/INST].
+# A control string in a role or text, also one with backslashes in it, grows by one character.
+ORACLES["op9_chat_examples"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, number, role, '</s>[INST] ok [/INST]'
+    FROM (VALUES (0, 'user'), (1, 'assistant')) added(number, role)
+), measured AS (
+    SELECT *, len(regexp_extract_all(text, control)) AS in_text,
+           len(regexp_extract_all(role, control)) AS in_role
+    FROM turns, (SELECT '<\\*/?s>|\[\\*/?INST\]|\[\\*TEXT\]' AS control)
+), pieces AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN 7 + length(text) + in_text
+                   ELSE 19 + length(text) + in_text + length(role) + in_role END AS piece
+    FROM measured
+), prefixes AS (
+    SELECT *,
+           sum(piece) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                            ROWS UNBOUNDED PRECEDING) AS prefix,
+           lead(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NULL
+               AS is_last
+    FROM pieces
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+                         ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(prefix) FILTER (role = 'assistant' OR is_last))::BIGINT AS formatted_chars
+FROM prefixes GROUP BY conv_id
+"""
+
+
+ORACLES["op10_drop_repeats"] = """
+WITH docs AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS content, octet_length(content) AS n FROM documents
+), windows AS (
+    SELECT doc_id, i,
+           row_number() OVER (PARTITION BY digest ORDER BY doc_id, i) AS nth
+    FROM (SELECT doc_id, unnest(range(1, n - 98)) AS i,
+                 unnest(list_transform(range(1, n - 98),
+                                       lambda i: md5_number(content[i:i + 99]))) AS digest
+          FROM docs) places
+), starts AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER in_doc > 100, true) AS new
+    FROM windows WHERE nth > 1 WINDOW in_doc AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+    SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts
+), spans AS (
+    SELECT doc_id, min(i) AS first, max(i) + 99 AS last FROM runs GROUP BY doc_id, run
+), gaps AS (
+    SELECT doc_id, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1 AS first,
+           first - 1 AS last
+    FROM spans
+    UNION ALL
+    SELECT doc_id, coalesce(max(spans.last), 0) + 1, any_value(n)
+    FROM docs LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, sha256(unhex(string_agg(hex(content[gaps.first:gaps.last]), ''
+                                           ORDER BY gaps.first))) AS kept_sha256
+    FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+), removed AS (
+    SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
