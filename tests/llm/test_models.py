@@ -164,12 +164,23 @@ def test_awkward_documents_are_scored(spark):
 
 def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     rows = samples.awkward_documents()
+    rows += [(400 + n, "the the of " * (40 + n), "en", "s", 0) for n in range(12)]
     one = values(language_model.score(samples.documents(spark, rows)), "doc_id", F.round("score", 6))
     monkeypatch.setattr(language_model, "SHARD_TOKENS", 1000)
-    monkeypatch.setattr(language_model, "HOT_SHARE", 50)
+    monkeypatch.setattr(language_model, "HOT_SHARE", 100)
+    monkeypatch.setattr(language_model, "HOT_PAIR_SHARE", 200)
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 3000)
+    hot_pairs = []
+    plain = language_model._pair_counts
+
+    def watched(known, packed):
+        hot_pairs.extend(known.pairs)
+        return plain(known, packed)
+
+    monkeypatch.setattr(language_model, "_pair_counts", watched)
     many = values(language_model.score(samples.documents(spark, rows)), "doc_id", F.round("score", 6))
     assert one == many
+    assert hot_pairs
 
 
 def test_model_is_a_distribution():

@@ -25,7 +25,8 @@ CLASSES = 1 << 16
 BLOCK_BYTES = 16 << 20
 BYTES_AT_ONCE = 1 << 20
 SHARD_TOKENS = 4 << 20
-HOT_SHARE = 2_000
+HOT_SHARE = 4_000
+HOT_PAIR_SHARE = 8_000
 STEPS_PER_OCTAVE = 4
 OCTAVES = 40
 CELLS = STEPS_PER_OCTAVE * OCTAVES + 1
@@ -108,8 +109,15 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes]]]:
             yield slice(begin + start, begin + start + len(block)), block
 
 
+def _pair_key(token: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mixed(token * np.uint64(MIX) + context)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts of each block: over all, training and weight-learning texts."""
+    """Counts of each block: over all, training and weight-learning texts.
+
+    A row is a token (``context`` is -1), or a pair that makes up at least an 8,000th of the block.
+    """
     hashes = PrefixHash(2 * BYTES_AT_ONCE)
     for batch in batches:
         folds = batch["fold"].to_numpy()
@@ -121,12 +129,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.bincount(place[chosen], minlength=len(token))
                 for chosen in (slice(None), part_of != TESTED, part_of == LEARNT)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), *(pa.array(values) for values in counts)],
-                ["token", "n_all", "n", "n_learnt"],
+            often = np.bincount(place)[place] * HOT_PAIR_SHARE >= len(place)
+            pair = place[often] * CLASSES + tokens.context[often]
+            pair, times = np.unique(pair, return_counts=True)
+            pair, times = (values[times * HOT_PAIR_SHARE >= len(place)] for values in (pair, times))
+            rest = np.zeros(len(pair), np.int64)
+            columns = {
+                "token": np.append(token, token[pair // CLASSES]).view(np.int64),
+                "context": np.append(np.full(len(token), -1), pair % CLASSES),
+                "n_all": np.append(counts[0], times),
+                "n": np.append(counts[1], rest),
+                "n_learnt": np.append(counts[2], rest),
+            }
+            yield pa.RecordBatch.from_pydict(
+                {name: pa.array(values, pa.int64()) for name, values in columns.items()}
             )
 
 
+def _places(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted known ones, and the places of those."""
+    if not len(known):
+        return np.zeros(len(values), bool), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    found = known[place] == values
+    return found, place[found]
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where, in sorted rows, a new combination of keys starts."""
     new = np.ones(len(keys[0]), bool)
@@ -138,8 +166,10 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 class Statistics:
     """What all tasks know of the corpus; its size does not depend on the corpus.
 
-    Arrays have one place per context class, or per hot token: one that makes up more than a
-    2,000th of all tokens, so there are at most 2,000 of them.
+    Arrays have one place per context class, per hot token (one that makes up at least a 4,000th of
+    all tokens, so there are at most 4,000), or per hot pair of token and context class (one
+    that makes up at least three 8,000ths in the blocks where it is frequent; every pair that makes up
+    four 8,000ths of all is among them, and its token is hot).
     """
 
     tokens: int
@@ -151,13 +181,16 @@ class Statistics:
     hot: np.ndarray
     hot_counts: np.ndarray
     hot_counts_learnt: np.ndarray
+    pairs: np.ndarray
     shards: int
+    pair_counts: np.ndarray | None = None
 
 
 def _deal(known: Statistics):
     """Occurrences of each block, packed by shard.
 
-    A shard has all occurrences of its tokens; those of a hot token are dealt by context as well. A
+    A shard has all occurrences of its tokens; those of a hot token are dealt by context as well, and
+    those of a hot pair by document. What a block knows of hot pairs comes as shard -1. A
     row holds, in order of token and context class: the tokens, how many classes each has, the classes,
     how many documents each of those has, the documents, and how often it is in them.
     """
@@ -173,11 +206,16 @@ def _deal(known: Statistics):
                 entries = _runs(token, context, doc)
                 times = np.diff(np.append(entries, len(token)))
                 token, context, doc = token[entries], context[entries], doc[entries]
-                place = np.minimum(np.searchsorted(known.hot, token), max(0, len(known.hot) - 1))
                 shard = token.copy()
-                if len(known.hot):
-                    hot = known.hot[place] == token
-                    shard[hot] = token[hot] * np.uint64(MIX) + context[hot]
+                hot, _ = _places(known.hot, token)
+                shard[hot] = _pair_key(token[hot], context[hot])
+                crowd, _ = _places(known.pairs, shard)
+                crowd &= hot
+                own_keys = keys[part]
+                if crowd.any():
+                    values = (token[crowd], context[crowd], doc[crowd], times[crowd])
+                    yield _packed(-1, *values, own_keys, folds[part])
+                    shard[crowd] += own_keys[doc[crowd]].view(np.uint64)
                 shard = (mixed(shard) % np.uint64(known.shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(known.shards + 1))
@@ -185,7 +223,7 @@ def _deal(known: Statistics):
                     own = order[cuts[number] : cuts[number + 1]]
                     if len(own):
                         values = (token[own], context[own], doc[own], times[own])
-                        yield _packed(number, *values, keys[part], folds[part])
+                        yield _packed(number, *values, own_keys, folds[part])
 
     return run
 
@@ -263,11 +301,14 @@ class Shard:
             np.bincount(of_token, values).astype(np.int64)[of_token]
             for values in (self.n, self.n_learnt)
         )
-        if len(known.hot):
-            place = np.minimum(np.searchsorted(known.hot, token), len(known.hot) - 1)
-            hot = known.hot[place] == token
-            self.token_n[hot] = known.hot_counts[place[hot]]
-            self.token_n_learnt[hot] = known.hot_counts_learnt[place[hot]]
+        hot, place = _places(known.hot, token)
+        self.token_n[hot] = known.hot_counts[place]
+        self.token_n_learnt[hot] = known.hot_counts_learnt[place]
+        # A hot pair is in many shards; how often it occurs in all of them is known as well.
+        if known.pair_counts is not None:
+            crowd, place = _places(known.pairs, _pair_key(token, self.context))
+            self.n[crowd] = known.pair_counts[0][place]
+            self.n_learnt[crowd] = known.pair_counts[1][place]
 
 
 def bucket_of(context_count: np.ndarray) -> np.ndarray:
@@ -361,7 +402,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.nda
 
 def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
     """Totals, context classes and hot tokens; a bounded number of rows comes to the driver."""
-    totals = counts.agg(
+    singles = counts.filter("context < 0")
+    totals = singles.agg(
         F.sum("n"), F.count_if(F.col("n") > 0), F.sum("n_learnt"), F.count_if(F.col("n_learnt") > 0)
     ).collect()[0]
 
@@ -379,7 +421,7 @@ def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
         )
 
     by_class = (
-        counts.select("token", "n", "n_learnt")
+        singles.select("token", "n", "n_learnt")
         .mapInArrow(classes, "class bigint, n bigint, n_learnt bigint")
         .groupBy("class")
         .agg(F.sum("n"), F.sum("n_learnt"))
@@ -387,9 +429,14 @@ def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
     context, context_learnt = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for number, n, learnt in by_class.collect():
         context[number], context_learnt[number] = n, learnt
-    hot = counts.filter(F.col("n_all") * HOT_SHARE > tokens).select("token", "n", "n_learnt").collect()
+    often = singles.filter(F.col("n_all") * HOT_SHARE >= tokens)
+    hot = often.select("token", "n", "n_learnt").collect()
+    pairs = counts.filter("context >= 0").filter(F.col("n_all") * HOT_PAIR_SHARE >= 3 * tokens)
+    pairs = np.array([tuple(row) for row in pairs.select("token", "context").collect()], np.int64)
+    pairs = pairs.reshape(-1, 2).view(np.uint64)
     order = sorted((row["token"] % (1 << 64), row["n"], row["n_learnt"]) for row in hot)
     columns = [list(column) for column in zip(*order, strict=True)] or [[], [], []]
+    pairs = pairs[np.isin(pairs[:, 0], np.array(columns[0], np.uint64))]
     return Statistics(
         *(value or 0 for value in totals),
         context,
@@ -397,10 +444,37 @@ def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
         np.array(columns[0], np.uint64),
         np.array(columns[1], np.int64),
         np.array(columns[2], np.int64),
+        np.sort(_pair_key(pairs[:, 0], pairs[:, 1])),
         shards,
     )
 
 
+def _pair_counts(known: Statistics, packed: DataFrame) -> np.ndarray:
+    """How often each hot pair occurs in training and in weight-learning texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shards(batches):
+            for row in rows:
+                token = np.repeat(row["tokens"], row["classes_of"])
+                pair = np.repeat(_pair_key(token, row["classes"]), row["docs_of"])
+                _, place = _places(known.pairs, pair)
+                folds = row["folds"][row["docs"]]
+                sums = [
+                    np.bincount(place, row["times"] * chosen, minlength=len(known.pairs))
+                    for chosen in (folds != TESTED, folds == LEARNT)
+                ]
+                columns = [np.arange(len(known.pairs)), *(part.astype(np.int64) for part in sums)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values) for values in columns], ["pair", "n", "n_learnt"]
+                )
+
+    found = np.zeros((2, len(known.pairs)), np.int64)
+    rows = packed.mapInArrow(count, "pair bigint, n bigint, n_learnt bigint").groupBy("pair")
+    for pair, n, learnt in rows.agg(F.sum("n"), F.sum("n_learnt")).collect():
+        found[:, pair] = n, learnt
+    return found
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The log10 probability of every whole text under a bigram model with deleted interpolation.
 
@@ -413,8 +487,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     does not grow with the corpus; tokens themselves are told apart by 64 bits.
 
     1. Tokens are counted over all texts (partial sums per block before the shuffle).
-    2. The occurrences, packed per block of texts, meet by token; a token with over a 2,000th of all
-       occurrences is dealt by context too, its count being one of at most 2,000 that all tasks have.
+    2. The occurrences, packed per block of texts, meet by token. A token with a 4,000th of all
+       occurrences is dealt by context too, and a pair with some 2,000th by document; their counts
+       are a few thousand that all tasks have.
     3. Held-out events come together in a histogram of fixed size, on which the weights are learnt.
     4. Each shard sums what its tokens add to each text; the sums of a text are added up.
 
@@ -433,21 +508,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         content.alias("text"),
     )
     counted = rows.select("fold", "text").mapInArrow(
-        _count, "token bigint, n_all bigint, n bigint, n_learnt bigint"
-    )
-    counts = written_once(
-        counted.groupBy("token").agg(*[F.sum(name).alias(name) for name in ("n_all", "n", "n_learnt")]),
-        "token-counts",
+        _count, "token bigint, context bigint, n_all bigint, n bigint, n_learnt bigint"
     )
-    tokens = counts.agg(F.sum("n_all")).collect()[0][0] or 0
+    sums = [F.sum(name).alias(name) for name in ("n_all", "n", "n_learnt")]
+    counts = written_once(counted.groupBy("token", "context").agg(*sums), "token-counts")
+    tokens = counts.filter("context < 0").agg(F.sum("n_all")).collect()[0][0] or 0
     known = _statistics(counts, tokens, max(1, -(-tokens // SHARD_TOKENS)))
 
     dealt = rows.select("key", "fold", "text").mapInArrow(_deal(known), PACKED)
-    packed = dealt.repartition("shard").groupBy("shard").agg(
-        F.collect_list(F.struct(*FIELDS)).alias("rows")
-    )
-    packed = written_once(packed, "occurrences")
-    shards = packed.select("shard", F.inline("rows"))
+    # A shard becomes one row, which no reader can split. What blocks know of hot pairs stays apart.
+    group = F.when(F.col("shard") < 0, F.xxhash64("keys")).alias("_part")
+    packed = dealt.groupBy("shard", group).agg(F.collect_list(F.struct(*FIELDS)).alias("rows"))
+    packed = written_once(packed, "occurrences").select("shard", F.inline("rows"))
+    shards = packed.filter("shard >= 0")
+    known.pair_counts = _pair_counts(known, packed.filter("shard < 0"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _shards(batches):
