@@ -164,7 +164,7 @@ def test_awkward_documents_are_scored(spark):
 
 def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     rows = samples.awkward_documents()
-    rows += [(400 + n, "the the of " * (40 + n), "en", "s", 0) for n in range(12)]
+    rows += [(400 + n, "the the of " * (200 + n), "en", "s", 0) for n in range(12)]
     one = values(language_model.score(samples.documents(spark, rows)), "doc_id", F.round("score", 6))
     monkeypatch.setattr(language_model, "SHARD_TOKENS", 1000)
     monkeypatch.setattr(language_model, "HOT_SHARE", 100)
