@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 MOST_REPEATS = 3
 SLOT_DIGITS = 4  # hexadecimal digits of the hash key: 65,536 slots a source
 
-KEY, SLOT, SOURCE, BEFORE = "_key", "_slot", "_source", "_before"
+SLOTS_PER_PART = 256
+
+KEY, SLOT, PART, SOURCE, BEFORE = "_key", "_slot", "_part", "_source", "_before"
 
 
 def hash_key(name: Column) -> Column:
@@ -65,6 +67,13 @@ def _tagged(name: Column) -> Column:
     return F.when(name.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), name))
 
 
+def _sum_before(value: str, per: Sequence[str], order: Sequence[str]) -> Column:
+    """The sum over the rows of a group that come before this one."""
+    rows = Window.partitionBy(*per).orderBy(*order)
+    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+
 def mix(
     docs: DataFrame,
     source: str = "source",
@@ -83,7 +92,7 @@ def mix(
     Documents stand in the order of a hash of their key. Within a source the order
     is cut into 65,536 slots of equal width, so a source with a third of all rows is
     spread evenly; slots are summed before the shuffle, sorted on their own, and
-    a running sum over the slots tells what lies before each. The cut lies exactly
+    running sums over parts of 256 slots, and in each part over its slots, tell what lies before each. The cut lies exactly
     at the rounded target. Empty documents take nothing and count as taken whole when
     they lie before the cut. NULL is a source of its own, a NULL size counts as 0, and
     rows with the same key and size are interchangeable. Other columns stay as they are, whatever
@@ -101,8 +110,12 @@ def mix(
     slots = placed.groupBy(SOURCE, SLOT).agg(
         F.first("_name").alias("_name"), F.sum("_length").alias("_sum")
     )
-    sizes = slots.groupBy(SOURCE).agg(
-        F.first("_name").alias("source"), F.sum("_sum").alias("source_size")
+    slots = slots.withColumn(PART, F.expr(f"{SLOT} div {SLOTS_PER_PART}"))
+    parts = slots.groupBy(SOURCE, PART).agg(
+        F.first("_name").alias("_name"), F.sum("_sum").alias("_part_sum")
+    )
+    sizes = parts.groupBy(SOURCE).agg(
+        F.first("_name").alias("source"), F.sum("_part_sum").alias("source_size")
     )
     targets = source_targets(sizes.select("source", "source_size"), weights, most_repeats)
     targets = targets.select(
@@ -110,16 +123,14 @@ def mix(
         F.col("source_size").alias("_size"),
         F.col("target").alias("_target"),
     )
-    in_order = Window.partitionBy(SOURCE).orderBy(SLOT)
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        slots.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .join(targets, SOURCE)
-        .select(SOURCE, SLOT, "_offset", "_size", "_target")
+    part_offsets = parts.select(
+        SOURCE, PART, _sum_before("_part_sum", [SOURCE], [PART]).alias("_part_offset")
+    ).join(targets, SOURCE)
+    offset = F.col("_part_offset") + _sum_before("_sum", [SOURCE, PART], [SLOT])
+    offsets = slots.join(part_offsets, [SOURCE, PART]).select(
+        SOURCE, SLOT, offset.alias("_offset"), "_size", "_target"
     )
-    in_slot = Window.partitionBy(SOURCE, SLOT).orderBy(KEY, "_id", "_length")
-    before_in_slot = in_slot.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum("_length").over(before_in_slot), F.lit(0))
+    before = F.col("_offset") + _sum_before("_length", [SOURCE, SLOT], [KEY, "_id", "_length"])
     budget = F.floor(F.col("_target") + F.lit(0.5)).cast("bigint")
     ordered = placed.join(offsets, [SOURCE, SLOT]).withColumns(
         {BEFORE: before, "_budget": budget}
