@@ -22,7 +22,7 @@ FOLDS = 7
 SCORED_FOLD = 2  # is not learnt from
 WEIGHT_FOLD = 3  # of the training documents: the held-out counts that the weights are learnt on
 CLASSES = 1 << 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BYTES_AT_ONCE = 1 << 20
 SHARD_TOKENS = 4 << 20
 HOT_SHARE = 4_000
@@ -102,11 +102,16 @@ def _pieces(texts: list[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes]]]:
     """The texts of a batch in blocks of bounded size; a block has fewer than 65,536 texts."""
-    for begin in range(0, batch.num_rows, 1 << 15):
-        column = batch["text"].slice(begin, 1 << 15)
-        texts = [text.encode("utf-8", "surrogatepass") for text in column.to_pylist()]
-        for start, block in _pieces(texts, BLOCK_BYTES):
-            yield slice(begin + start, begin + start + len(block)), block
+    start, size, block = 0, 0, []
+    for place in range(batch.num_rows):
+        text = batch["text"][place].as_py().encode("utf-8", "surrogatepass")
+        block.append(text)
+        size += len(text)
+        if size >= BLOCK_BYTES or len(block) >= 1 << 15:
+            yield slice(start, place + 1), block
+            start, size, block = place + 1, 0, []
+    if block:
+        yield slice(start, start + len(block)), block
 
 
 def _pair_key(token: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -190,7 +195,7 @@ def _deal(known: Statistics):
     """Occurrences of each block, packed by shard.
 
     A shard has all occurrences of its tokens; those of a hot token are dealt by context as well, and
-    those of a hot pair by document. What a block knows of hot pairs comes as shard -1. A
+    those of a hot pair by document. A block's counts of hot pairs, by fold, come under a negative shard. A
     row holds, in order of token and context class: the tokens, how many classes each has, the classes,
     how many documents each of those has, the documents, and how often it is in them.
     """
@@ -213,8 +218,14 @@ def _deal(known: Statistics):
                 crowd &= hot
                 own_keys = keys[part]
                 if crowd.any():
-                    values = (token[crowd], context[crowd], doc[crowd], times[crowd])
-                    yield _packed(-1, *values, own_keys, folds[part])
+                    kinds = folds[part][doc[crowd]]
+                    order = np.lexsort((kinds, context[crowd], token[crowd]))
+                    by_kind = (token[crowd][order], context[crowd][order], kinds[order])
+                    first = _runs(*by_kind)
+                    sums = np.add.reduceat(times[crowd][order], first)
+                    number = -1 - int(own_keys[0]) % known.shards
+                    values = (*(value[first] for value in by_kind), sums)
+                    yield _packed(number, *values, np.arange(3), np.arange(3))
                     shard[crowd] += own_keys[doc[crowd]].view(np.uint64)
                 shard = (mixed(shard) % np.uint64(known.shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -516,9 +527,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     known = _statistics(counts, tokens, max(1, -(-tokens // SHARD_TOKENS)))
 
     dealt = rows.select("key", "fold", "text").mapInArrow(_deal(known), PACKED)
-    # A shard becomes one row, which no reader can split. What blocks know of hot pairs stays apart.
-    group = F.when(F.col("shard") < 0, F.xxhash64("keys")).alias("_part")
-    packed = dealt.groupBy("shard", group).agg(F.collect_list(F.struct(*FIELDS)).alias("rows"))
+    # A shard becomes one row, which no reader can split, and about one task has one shard.
+    packed = dealt.repartition(known.shards, "shard").groupBy("shard").agg(
+        F.collect_list(F.struct(*FIELDS)).alias("rows")
+    )
     packed = written_once(packed, "occurrences").select("shard", F.inline("rows"))
     shards = packed.filter("shard >= 0")
     known.pair_counts = _pair_counts(known, packed.filter("shard < 0"))
