@@ -35,7 +35,8 @@ def byte_characters() -> list[str]:
 def undated(character: str) -> bool:
     """Whether tables of different Unicode versions may disagree on a character.
 
-    That goes for those that Python's tables do not have, and for combining marks beyond the first block.
+    That goes for those that Python's tables do not have, and for combining marks beyond the first
+    block.
     """
     import unicodedata
 
@@ -89,7 +90,8 @@ class Vocabulary:
     def _at_once(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Merges whose result takes part in later merges only.
 
-        All places of such a pair can be merged in one round: no pair that arises can rank before it.
+        All places of such a pair can be merged in one round: no pair that arises can rank before
+        it.
         """
         ranks = np.arange(len(made))
         first_use = np.full(self.size, len(made) + 1, np.int64)
@@ -187,8 +189,8 @@ class Vocabulary:
     def plain_words(self, text: str) -> list[str]:
         """The words of a text without special tokens.
 
-        The library that the file was made for has Unicode tables of its own. Texts with characters on
-        which versions may disagree are normalised and split by that library.
+        The library that the file was made for has Unicode tables of its own. Texts with characters
+        on which versions may disagree are normalised and split by that library.
         """
         if text.isascii() or self._is_dated(text):
             return self.words.findall(self.normalised(text))
@@ -221,7 +223,8 @@ class Vocabulary:
                 characters += len(missing[end])
                 end += 1
             some = missing[start:end]
-            ids, starts = self.encode_words([word.encode("utf-8", "surrogatepass") for word in some])
+            encoded = [word.encode("utf-8", "surrogatepass") for word in some]
+            ids, starts = self.encode_words(encoded)
             ids, starts = ids.tolist(), starts.tolist()
             for word, a, b in zip(some, starts, starts[1:], strict=False):
                 own = ids[a:b]
@@ -284,7 +287,11 @@ Encoded = list[tuple[str, str, int]]
 
 
 def _with_columns(
-    docs: DataFrame, path: str, text: str, added: StructType, make: Callable[[Encoded], list[pa.Array]]
+    docs: DataFrame,
+    path: str,
+    text: str,
+    added: StructType,
+    make: Callable[[Encoded], list[pa.Array]],
 ) -> DataFrame:
     """Adds columns made from the encoded texts; own columns of the same names give way."""
     own = [name for name in docs.columns if name not in added.names]
@@ -327,7 +334,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def token_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """What a round trip gives, in place of the text: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+    """What a round trip gives, in place of the text: ``n_tokens``, ``ids_sha256``,
+    ``decoded_sha256``.
+    """
 
     def make(found: Encoded) -> list[pa.Array]:
         from hashlib import sha256

@@ -68,15 +68,15 @@ def expand(
 ) -> DataFrame:
     """One row per example: ``example`` (from 0), ``text``, ``loss_start`` and ``loss_end``.
 
-    Every assistant turn gives an example: all turns before it as context, and itself, of
-    which only the text (``loss_start`` to ``loss_end``, in code points) is to be learnt. Turns
-    after the last assistant turn give one more example with nothing to learn, so that
-    no turn is lost. Turns go by number, then role and text, so repeated rows have
-    one order; NULL comes first; a NULL role or text counts as empty. NULL conversations belong together.
-
-    The turns of a conversation are sorted outside Python and streamed through one task, which
-    holds the context so far: an example contains all of it, so it must fit a string anyway.
-    Rows leave in blocks of bounded size.
+    Every assistant turn gives an example: all turns before it as context, and itself, of which only
+    the text (``loss_start`` to ``loss_end``, in code points) is to be learnt. Turns after the last
+    assistant turn give one more example with nothing to learn, so that no turn is lost. Turns go by
+    number, then role and text, so repeated rows have one order; NULL comes first; a NULL role or
+    text counts as empty. NULL conversations belong together.
+
+    The turns of a conversation are sorted outside Python and streamed through one task, which holds
+    the context so far: an example contains all of it, so it must fit a string anyway. Rows leave in
+    blocks of bounded size.
     """
     rows = turns.select(
         turns[conversation].alias("_id"),
@@ -146,8 +146,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 def read_back(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """What the examples of each conversation say, as digests.
 
-    ``n_turns`` and ``turns_sha256`` (role, line break, text, line break per turn) come from the last
-    example, which holds every turn; ``loss_chars`` and ``loss_sha256`` from what is to be
+    ``n_turns`` and ``turns_sha256`` (role, line break, text, line break per turn) come from the
+    last example, which holds every turn; ``loss_chars`` and ``loss_sha256`` from what is to be
     learnt of all examples, in order; ``formatted_chars`` is the length of all examples together.
     The examples must lie as ``expand`` leaves them: those of a conversation together, in order.
     """

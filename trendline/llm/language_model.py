@@ -172,8 +172,8 @@ class Statistics:
     """What all tasks know of the corpus; its size does not depend on the corpus.
 
     Arrays have one place per context class, per hot token (one that makes up at least a 4,000th of
-    all tokens, so there are at most 4,000), or per hot pair of token and context class (one
-    that makes up at least three 8,000ths in the blocks where it is frequent; every pair that makes up
+    all tokens, so there are at most 4,000), or per hot pair of token and context class (one that
+    makes up at least three 8,000ths in the blocks where it is frequent; every pair that makes up
     four 8,000ths of all is among them, and its token is hot).
     """
 
@@ -194,10 +194,11 @@ class Statistics:
 def _deal(known: Statistics):
     """Occurrences of each block, packed by shard.
 
-    A shard has all occurrences of its tokens; those of a hot token are dealt by context as well, and
-    those of a hot pair by document. A block's counts of hot pairs, by fold, come under a negative shard. A
-    row holds, in order of token and context class: the tokens, how many classes each has, the classes,
-    how many documents each of those has, the documents, and how often it is in them.
+    A shard has all occurrences of its tokens; those of a hot token are dealt by context as well,
+    and those of a hot pair by document. A block's counts of hot pairs, by fold, come under a
+    negative shard. A row holds, in order of token and context class: the tokens, how many classes
+    each has, the classes, how many documents each of those has, the documents, and how often it is
+    in them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,13 +490,14 @@ def _pair_counts(known: Statistics, packed: DataFrame) -> np.ndarray:
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The log10 probability of every whole text under a bigram model with deleted interpolation.
 
-    Columns: the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one
-    counts) and ``score``. The model mixes the relative frequency of a token after the class of the token before it,
-    the relative frequency of the token, and a uniform one over all known tokens and one unknown. The
-    weights depend on how often the context class occurs (a bucket per power of two) and are learnt by expectation-maximisation
-    on the counts of one fold of the training texts, with frequencies from the other folds; then all
-    training texts count. Contexts are words hashed to 65,536 classes, so what every task must know of them
-    does not grow with the corpus; tokens themselves are told apart by 64 bits.
+    Columns: the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
+    (add-one counts) and ``score``. The model mixes the relative frequency of a token after the
+    class of the token before it, the relative frequency of the token, and a uniform one over all
+    known tokens and one unknown. The weights depend on how often the context class occurs (a bucket
+    per power of two) and are learnt by expectation-maximisation on the counts of one fold of the
+    training texts, with frequencies from the other folds; then all training texts count. Contexts
+    are words hashed to 65,536 classes, so what every task must know of them does not grow with the
+    corpus; tokens themselves are told apart by 64 bits.
 
     1. Tokens are counted over all texts (partial sums per block before the shuffle).
     2. The occurrences, packed per block of texts, meet by token. A token with a 4,000th of all
@@ -504,8 +506,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     3. Held-out events come together in a histogram of fixed size, on which the weights are learnt.
     4. Each shard sums what its tokens add to each text; the sums of a text are added up.
 
-    NULL texts are empty and consist of their end alone. A NULL key belongs to the fold of an empty text.
-    Rows that repeat a key are documents of their own. Without training texts all probabilities are uniform.
+    NULL texts are empty and consist of their end alone. A NULL key belongs to the fold of an empty
+    text. Rows that repeat a key are documents of their own. Without training texts all
+    probabilities are uniform.
     """
     content = F.coalesce(docs[text], F.lit(""))
     number = fold(docs[key])

@@ -84,19 +84,19 @@ def mix(
 ) -> DataFrame:
     """Adds to each document what a mix of the sources to their weights takes of it.
 
-    New columns: ``source_size``, ``target`` (of the source), ``epochs`` (how often
-    the source goes in as a whole), ``taken`` (units of the document in the mix,
-    repeats counted) and ``copies`` (the same as whole documents: the one at the
-    cut stays whole if half of it or more lies before the cut).
-
-    Documents stand in the order of a hash of their key. Within a source the order
-    is cut into 65,536 slots of equal width, so a source with a third of all rows is
-    spread evenly; slots are summed before the shuffle, sorted on their own, and
-    running sums over parts of 256 slots, and in each part over its slots, tell what lies before each. The cut lies exactly
-    at the rounded target. Empty documents take nothing and count as taken whole when
-    they lie before the cut. NULL is a source of its own, a NULL size counts as 0, and
-    rows with the same key and size are interchangeable. Other columns stay as they are, whatever
-    their names; a column with one of the new names gives way to the new one.
+    New columns: ``source_size``, ``target`` (of the source), ``epochs`` (how often the source goes
+    in as a whole), ``taken`` (units of the document in the mix, repeats counted) and ``copies``
+    (the same as whole documents: the one at the cut stays whole if half of it or more lies before
+    the cut).
+
+    Documents stand in the order of a hash of their key. Within a source the order is cut into
+    65,536 slots of equal width, so a source with a third of all rows is spread evenly; slots are
+    summed before the shuffle, sorted on their own, and running sums over parts of 256 slots, and in
+    each part over its slots, tell what lies before each. The cut lies exactly at the rounded
+    target. Empty documents take nothing and count as taken whole when they lie before the cut. NULL
+    is a source of its own, a NULL size counts as 0, and rows with the same key and size are
+    interchangeable. Other columns stay as they are, whatever their names; a column with one of the
+    new names gives way to the new one.
     """
     entries = docs.select(
         F.struct(*[docs[name] for name in docs.columns]).alias("_doc"),

@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 16
 MOST_LABELS = 50_000
 SMOOTHING = 1.0
-LENIENCE = 0.01
+LENIENCE = 0.005
 BYTES_AT_ONCE = 1 << 21
 FIXED_POINT = 1 << 20  # log weights are compared in steps of one millionth
 
@@ -99,7 +99,8 @@ def ngram_counts(docs: DataFrame, text: str, is_target: str, buckets: int = BUCK
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The log of target over raw probability of every bucket, smoothed.
 
-    One number per bucket comes to the driver and goes to every task, 512 KB however large the corpus.
+    One number per bucket comes to the driver and goes to every task, 512 KB however large the
+    corpus.
     """
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for row in counts.collect():
@@ -187,19 +188,21 @@ def resample(
     most_labels: int = MOST_LABELS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Adds ``log_weight``, ``sample_key`` and ``kept`` to every document, under ``_doc`` its columns.
+    """Adds ``log_weight``, ``sample_key`` and ``kept`` to every document, under ``_doc`` its
+    columns.
 
     The target model counts the hashed words and word pairs of labelled documents of quality 1 that
-    are not toxic, the raw model those of all documents. A document's log weight is the
-    log ratio of both over its whole text; with Gumbel noise added, the k largest are
-    kept. k is how many documents weigh at least what best tells quality 1 from
-    quality 0 among labelled documents that the target model has not seen.
+    are not toxic, the raw model those of all documents. A document's log weight is the log ratio of
+    both over its whole text; with Gumbel noise added, the k largest are kept. k is how many
+    documents weigh at least what best tells quality 1 from quality 0 among labelled documents that
+    the target model has not seen.
 
     ``most_labels`` bounds the labelled rows used for fitting (by a hash of the key; half for the
-    target model, half for the threshold). Everything else counts all documents. NULL texts count as empty
-    and weigh 0; the noise depends on key and text, so rows that agree in both are kept or
-    not together, and so are ties at the kth key. A document with several labels takes the smallest quality and
-    the largest toxicity; NULL labels and NULL keys do not count. Without usable labels all are kept.
+    target model, half for the threshold). Everything else counts all documents. NULL texts count as
+    empty and weigh 0; the noise depends on key and text, so rows that agree in both are kept or not
+    together, and so are ties at the kth key. A document with several labels takes the smallest
+    quality and the largest toxicity; NULL labels and NULL keys do not count. Without usable labels
+    all are kept.
     """
     known = labels.filter(
         labels[key].isNotNull() & labels["quality"].isNotNull()

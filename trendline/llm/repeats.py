@@ -303,6 +303,7 @@ DEALT = (
     "bucket bigint, kind int, doc_id bigint, chunk int, local int, start bigint, content binary"
 )
 FOUND = "chunk int, local int, first bigint, stop bigint"
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -383,7 +384,9 @@ def _anchors(length: int, gram: int):
 
 
 def _units(length: int, gram: int):
-    """Per chunk: runs whose anchor occurs elsewhere, each once, and spans that repeat inside the chunk."""
+    """Per chunk: runs whose anchor occurs elsewhere, each once, and spans that repeat inside the
+    chunk.
+    """
 
     def rows(bucket, kind, ids, chunk, local, start, content) -> pa.RecordBatch:
         size = len(bucket)
@@ -417,7 +420,7 @@ def _units(length: int, gram: int):
             again, till = united(first[~new], last[~new] + length)
             # Spans of neighbouring texts may touch; cut them where a text ends.
             inner = chunk.ends[:-1]
-            cut_at = inner[np.searchsorted(again, inner, side="right") > 0] if len(again) else inner[:0]
+            cut_at = inner[np.searchsorted(again, inner, side="right") > 0]
             holder = np.searchsorted(again, cut_at, side="right") - 1
             cut_at = cut_at[(cut_at > again[holder]) & (cut_at < till[holder])]
             again, till = np.sort(np.append(again, cut_at)), np.sort(np.append(till, cut_at))
@@ -584,7 +587,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, stop = united(
             base + _numbers(spans["first"]), base + _numbers(spans["stop"])
         )
-        owner = np.searchsorted(chunk.starts + np.arange(len(chunk.starts)), first, side="right") - 1
+        begins = chunk.starts + np.arange(len(chunk.starts))
+        owner = np.searchsorted(begins, first, side="right") - 1
         ids = pa.concat_arrays(docs["doc_id"])
         n_spans = np.bincount(owner, minlength=len(ids))
         removed = np.bincount(owner, stop - first, minlength=len(ids)).astype(np.int64)
@@ -597,7 +601,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(chunk.lengths - removed)
         for begin in range(0, len(ids), 1 << 12):
             some = slice(begin, begin + (1 << 12))
-            pieces = zip((ends - chunk.lengths + removed)[some].tolist(), ends[some].tolist(), strict=True)
+            begins = ends - chunk.lengths + removed
+            pieces = zip(begins[some].tolist(), ends[some].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids[some],
@@ -620,18 +625,18 @@ def drop_repeats(
 ) -> DataFrame:
     """Every document without the bytes covered by a string of ``length`` bytes that starts earlier.
 
-    Columns: the key, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs removed) and ``kept``, the
-    bytes that stay, which may cut a character. Earlier means a smaller key, or the same document further
-    left. NULL texts are empty; NULL keys come first; documents that share a key go by a hash of their
-    text, and documents that agree in both one after another.
+    Columns: the key, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs removed) and ``kept``,
+    the bytes that stay, which may cut a character. Earlier means a smaller key, or the same
+    document further left. NULL texts are empty; NULL keys come first; documents that share a key go
+    by a hash of their text, and documents that agree in both one after another.
 
     1. Documents are dealt into chunks of some 16 MB by hash. Windows of ``length`` bytes are
        grouped into runs by their anchor, which depends on their content alone.
     2. Only anchors that occur twice can hold a repeat: their hashes are counted over all chunks.
-    3. Runs with such an anchor go, with their bytes, to where all runs of the anchor meet, equal ones
-       of a chunk once. There the suffixes of their windows are sorted (deep-shallow): equal windows come
-       to lie side by side, and all but the earliest repeat. Anchors with over 100,000 runs are
-       dealt by window instead, so no group grows without bound.
+    3. Runs with such an anchor go, with their bytes, to where all runs of the anchor meet, equal
+       ones of a chunk once. There the suffixes of their windows are sorted (deep-shallow): equal
+       windows come to lie side by side, and all but the earliest repeat. Anchors with over 100,000
+       runs are dealt by window instead, so no group grows without bound.
     4. The repeated spans return to their chunks, where their union is cut out.
     """
     rows = docs.select(
@@ -673,12 +678,16 @@ def drop_repeats(
         units.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spans(length), FOUND)
     )
     with_spans = dealt.withColumns(
-        {name: nothing.cast(kind) for name, kind in (("local", "int"), ("first", "bigint"), ("stop", "bigint"))}
+        {
+            "local": nothing.cast("int"),
+            "first": nothing.cast("bigint"),
+            "stop": nothing.cast("bigint"),
+        }
     ).unionByName(spans.withColumn("kind", F.lit(HASHES)), allowMissingColumns=True)
     kept = (
         with_spans.repartition("chunk")
         .sortWithinPartitions("chunk", "kind", "doc_id", "mark")
-        .mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+        .mapInArrow(_kept, KEPT)
     )
     known = F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id"))
     return kept.select(known.alias(key), "n_bytes", "n_removed", "n_spans", "kept")

@@ -64,7 +64,9 @@ def fingerprints(
     shingle_words: int = SHINGLE_WORDS,
     whole: bool = False,
 ) -> DataFrame:
-    """``_id`` and ``_fingerprint`` of every document, if ``whole`` also all its columns as ``_doc``."""
+    """``_id`` and ``_fingerprint`` of every document, if ``whole`` also all its columns as
+    ``_doc``.
+    """
     own = [F.struct(*[docs[name] for name in docs.columns]).alias("_doc")] if whole else []
     rows = docs.select(docs[key].alias("_id"), docs[text].alias("_text"), *own)
     kept = [name for name in rows.columns if name != "_text"]
@@ -120,12 +122,12 @@ def _close(keyed: DataFrame, keys: list[str], most_bits: int) -> DataFrame:
 def close_pairs(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """Pairs of different fingerprints in at most ``most_bits`` different bits, the larger first.
 
-    ``fps`` has one column ``fp`` of distinct fingerprints. The 64 bits form six
-    blocks (more, if many bits may differ). Close fingerprints agree on all blocks but as many
-    as bits may differ, so they meet in a bucket of at least one choice of blocks, some 43 bits each for
-    two bits; each bucket is joined with itself and the distance verified. A bucket of over
-    1,000 fingerprints is dealt again by the same rule on the bits it leaves open, which leaves
-    at most 2^7 different ones in a bucket. So no bucket grows with the data, and no pair is lost.
+    ``fps`` has one column ``fp`` of distinct fingerprints. The 64 bits form six blocks (more, if
+    many bits may differ). Close fingerprints agree on all blocks but as many as bits may differ, so
+    they meet in a bucket of at least one choice of blocks, some 43 bits each for two bits; each
+    bucket is joined with itself and the distance verified. A bucket of over 1,000 fingerprints is
+    dealt again by the same rule on the bits it leaves open, which leaves at most 2^7 different ones
+    in a bucket. So no bucket grows with the data, and no pair is lost.
     """
     whole = tuple(range(64))
     choices = _shared_bits(whole, most_bits)

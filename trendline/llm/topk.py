@@ -74,7 +74,8 @@ class BallTree:
         """The largest inner product that any vector of a node can have with a query."""
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
         bound = queries @ self.center[nodes].T + lengths * self.radius[nodes]
-        scale = np.abs(bound).max(initial=1.0) + lengths * np.abs(self.center[nodes]).max(initial=1.0)
+        scale = np.abs(bound).max(initial=1.0)
+        scale = scale + lengths * np.abs(self.center[nodes]).max(initial=1.0)
         return bound + SLACK * scale * self.vectors.shape[1]
 
 
@@ -103,7 +104,12 @@ class Best:
 
 
 def search(
-    tree: BallTree, places: np.ndarray, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int
+    tree: BallTree,
+    places: np.ndarray,
+    queries: np.ndarray,
+    own: np.ndarray,
+    least: np.ndarray,
+    k: int,
 ) -> Best:
     """Branch and bound for a block of queries.
 
@@ -219,7 +225,8 @@ class _Shard:
             "vec_id": self.ids[winners],
             "score": score[who, rank].astype(np.int64),
         }
-        return pa.RecordBatch.from_pydict({name: pa.array(c, pa.int64()) for name, c in columns.items()})
+        arrays = [pa.array(values, pa.int64()) for values in columns.values()]
+        return pa.RecordBatch.from_arrays(arrays, list(columns))
 
     def _own(self, rows: np.ndarray) -> np.ndarray:
         """The place of the query itself, if it lies in this shard."""
@@ -291,15 +298,16 @@ def top_k(
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k best of every query.
 
-    The vectors are dealt by hash into shards of some 16,000 rows, each with a ball tree. Every query first
-    searches its own shard; the kth score found there goes with it to the other shards,
-    where nodes that cannot reach it are never opened. Queries are streamed through a shard in blocks, so only
-    one shard's vectors and one block are in memory, and only k rows per query and shard come back.
+    The vectors are dealt by hash into shards of some 16,000 rows, each with a ball tree. Every
+    query first searches its own shard; the kth score found there goes with it to the other shards,
+    where nodes that cannot reach it are never opened. Queries are streamed through a shard in
+    blocks, so only one shard's vectors and one block are in memory, and only k rows per query and
+    shard come back.
 
-    Scores are exact: sums that do not fit a double are computed in whole numbers, held to the
-    range of a long. Ties go to the smaller key. A shorter vector counts as ending in zeros. Vectors that are NULL or hold NULL or
-    non-finite components take no part; a NULL key comes last among ties. Rows
-    that repeat a key are rows of their own. Fewer than k other rows give fewer results.
+    Scores are exact: sums that do not fit a double are computed in whole numbers, held to the range
+    of a long. Ties go to the smaller key. A shorter vector counts as ending in zeros. Vectors that
+    are NULL or hold NULL or non-finite components take no part; a NULL key comes last among ties.
+    Rows that repeat a key are rows of their own. Fewer than k other rows give fewer results.
     """
     usable = vectors.select(
         F.coalesce(vectors[key].cast("bigint"), F.lit(NO_ID)).alias("id"),
