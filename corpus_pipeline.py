@@ -34,7 +34,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, at most three times."""
     columns = docs.columns
     sized = docs.select(
-        F.struct(*columns).alias("_columns"), "doc_id", "source", word_count(docs["text"]).alias("size")
+        F.struct(*columns).alias("_columns"),
+        "doc_id",
+        "source",
+        word_count(docs["text"]).alias("size"),
     )
     return mixing.repeated(mixing.mix(sized), ["_columns"]).select("_columns.*")
 
