@@ -46,7 +46,8 @@ def write_zipped_csv(df: DataFrame, folder: str) -> None:
     def fill(archive, batch: pd.DataFrame) -> None:
         archive.writestr("data.csv", "\n".join([header, *batch["line"]]) + "\n")
 
-    _write_files(df.select(F.to_csv(F.struct("*"), {"escape": '"'}).alias("line")), folder, ".zip", fill)
+    lines = df.select(F.to_csv(F.struct("*"), {"escape": '"'}).alias("line"))
+    _write_files(lines, folder, ".zip", fill)
 
 
 def write_workbooks(df: DataFrame, folder: str, sheet: str) -> None:

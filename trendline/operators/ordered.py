@@ -1,14 +1,13 @@
 """Prefix sums, row numbers and positional joins over keys of any size.
 
-A window without ``partitionBy`` sorts all rows in one task. Here the order key
-is cut into ranges of about equal row counts, each range is summed and numbered
-on its own, and only one total per range goes through a single task.
-
-The cuts are a fixed list of key values, taken from a small sample; there are more of them the
-more rows there are, so that no range outgrows a task. A row's range depends on its own key alone, so a task that
-runs again after an executor is lost puts every row where it was. Where many
-rows share the first order column, the columns after it cut them apart; the
-order has to be unique as a whole.
+A window without ``partitionBy`` sorts all rows in one task. Here the order key is cut into ranges
+of about equal row counts, each range is summed and numbered on its own, and only one total per
+range goes through a single task.
+
+The cuts are a fixed list of key values, taken from a small sample; there are more of them the more
+rows there are, so that no range outgrows a task. A row's range depends on its own key alone, so a
+task that runs again after an executor is lost puts every row where it was. Where many rows share
+the first order column, the columns after it cut them apart; the order has to be unique as a whole.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ GROUPED_BATCHES = 50
 
 
 def role_heading(role: Column, text: Column) -> Column:
-    nothing = F.lit("")
-    return F.concat(F.lit("### "), F.coalesce(role, nothing), F.lit(": "), F.coalesce(text, nothing))
+    role, text = (F.coalesce(value, F.lit("")) for value in (role, text))
+    return F.concat(F.lit("### "), role, F.lit(": "), text)
 
 
 def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
@@ -41,8 +41,8 @@ def conversation_texts(
     """The rendered turns of each conversation as one text, in order.
 
     Runs of 64 turn numbers are put together first, so many tasks share the work of an endless
-    conversation and the last step only joins a few long strings; a text that no value can hold fails and
-    is never cut. A missing role or text counts as empty. With ``turns_per_part``, a
+    conversation and the last step only joins a few long strings; a text that no value can hold
+    fails and is never cut. A missing role or text counts as empty. With ``turns_per_part``, a
     conversation comes in parts of so many turn numbers, told apart by ``part``.
     """
     size = turns_per_part or TURNS_AT_ONCE
@@ -85,8 +85,9 @@ def truncated_texts(
 
     Turns without a token add nothing; a conversation of such turns has an empty text. Of the others
     only the first ``max_tokens`` can count: they are found first among each 64th part of a
-    conversation's turns, then among what is left of all parts. So the last step sees at most 64 times
-    ``max_tokens`` rows of a conversation, however long it is. The single turns are cut before they are moved.
+    conversation's turns, then among what is left of all parts. So the last step sees at most 64
+    times ``max_tokens`` rows of a conversation, however long it is. The single turns are cut before
+    they are moved.
     """
     rendered = render(F.col("role"), F.col("text"))
     blank = _trimmed(rendered) == F.lit("")
@@ -94,7 +95,9 @@ def truncated_texts(
         "conv_id",
         "turn",
         F.when(blank, F.lit("")).otherwise(first_tokens(rendered, max_tokens)).alias("_piece"),
-        F.when(blank, F.lit(0)).otherwise(F.least(F.size(tokens(rendered)), F.lit(max_tokens))).alias("_n"),
+        F.when(blank, F.lit(0))
+        .otherwise(F.least(F.size(tokens(rendered)), F.lit(max_tokens)))
+        .alias("_n"),
         F.pmod(F.xxhash64("turn"), F.lit(SALTS)).alias("_salt"),
     )
     # Blank turns come last, so that one is left only where there is nothing else.

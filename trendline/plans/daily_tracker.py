@@ -38,8 +38,8 @@ def tracker_from_sheet(
 ) -> DataFrame:
     """A tracker sheet without its footer row, under safe names, with a date for the time.
 
-    If the sheets of several workbooks were read together, ``workbook`` is the column that tells them
-    apart (``path``, as the reader names it); each loses its own footer.
+    If the sheets of several workbooks were read together, ``workbook`` is the column that tells
+    them apart (``path``, as the reader names it); each loses its own footer.
     """
     kept = drop_footer(sheet, order, [workbook] if workbook else [])
     tracker = safe_column_names(kept.drop(order, *([workbook] if workbook else [])))

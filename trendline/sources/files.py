@@ -41,7 +41,8 @@ def check_scheme(folder: str) -> None:
 def arrow_path(address: str):
     """The Arrow file system of an address and the path on it.
 
-    Addresses come from Spark as plain text, so blanks, ``%``, ``#`` and the like stand for themselves.
+    Addresses come from Spark as plain text, so blanks, ``%``, ``#`` and the like stand for
+    themselves.
     """
     import re
 

@@ -128,7 +128,8 @@ def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | No
 def column_names(header: list[str | None], width: int) -> list[str]:
     """A name for every column of a sheet: its heading, or its place where it has none.
 
-    Without a heading, the column in the third place is ``_c2``; repeated headings are numbered from 2.
+    Without a heading, the column in the third place is ``_c2``; repeated headings are numbered from
+    2.
     """
     taken: set[str] = set()
     names = []
