@@ -25,6 +25,7 @@ CLASSES = 1 << 16
 BLOCK_BYTES = 8 << 20
 BYTES_AT_ONCE = 1 << 20
 SHARD_TOKENS = 4 << 20
+PARTS = 8
 HOT_SHARE = 4_000
 HOT_PAIR_SHARE = 8_000
 STEPS_PER_OCTAVE = 4
@@ -323,6 +324,22 @@ class Shard:
             self.n_learnt[crowd] = known.pair_counts[1][place]
 
 
+def _parts(rows: list[dict[str, np.ndarray]]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """The rows of a shard in parts by token, so that only some of them are unpacked at a time."""
+    for part in range(PARTS):
+        found = []
+        for row in rows:
+            token = mixed(row["tokens"] ^ np.uint64(MIX)) % np.uint64(PARTS) == part
+            pair = np.repeat(token, row["classes_of"])
+            entry = np.repeat(pair, row["docs_of"])
+            chosen = {"tokens": token, "classes_of": token, "classes": pair, "docs_of": pair}
+            chosen |= {"docs": entry, "times": entry}
+            own = {name: row[name][marks] for name, marks in chosen.items()}
+            found.append({**row, **own})
+        if any(len(row["tokens"]) for row in found):
+            yield found
+
+
 def bucket_of(context_count: np.ndarray) -> np.ndarray:
     """The bucket of a context: the binary logarithm of how often it occurs."""
     return np.log2(context_count + 1.0).astype(np.int64)
@@ -539,25 +556,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     known.pair_counts = _pair_counts(known, packed.filter("shard < 0"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _shards(batches):
-            cell, n = held_out_cells(known, Shard(known, part))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+        for rows in _shards(batches):
+            for part in _parts(rows):
+                cell, n = held_out_cells(known, Shard(known, part))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     events = shards.mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n"))
     events = np.array([tuple(row) for row in events.collect()], np.int64).reshape(-1, 2)
     weights = learn_weights(events[:, 0], events[:, 1])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _shards(batches):
-            shard = Shard(known, part)
-            model, base = _log10_probabilities(known, shard, weights)
-            seen = (shard.token_n > 0).astype(np.int64)
-            keys, place = np.unique(shard.keys, return_inverse=True)
-            place = place[shard.doc]
-            totals = [
-                np.bincount(place, shard.times * values[shard.pair], minlength=len(keys))
-                for values in (seen, base, model)
-            ]
+        for rows in _shards(batches):
+            keys, place = np.unique(
+                np.concatenate([row["keys"] for row in rows]), return_inverse=True
+            )
+            totals = np.zeros((3, len(keys)))
+            for part in _parts(rows):
+                shard = Shard(known, part)
+                model, base = _log10_probabilities(known, shard, weights)
+                seen = (shard.token_n > 0).astype(np.int64)
+                at = place[shard.doc]
+                for total, values in zip(totals, (seen, base, model), strict=True):
+                    total += np.bincount(at, shard.times * values[shard.pair], minlength=len(keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array(totals[0].astype(np.int64)), *map(pa.array, totals[1:])],
                 ["key", "n_known", "base", "score"],
