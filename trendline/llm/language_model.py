@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trendline.llm.common import word_count
 from trendline.llm.hashing import MIX, PrefixHash, mixed
-from trendline.workspace import written_once
+from trendline.workspace import kept_partitions, written_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -258,6 +258,8 @@ FIELDS = {
 
 
 def _packed(shard, token, context, doc, times, keys, folds) -> pa.RecordBatch:
+    import zstandard
+
     tokens = _runs(token)
     pairs = _runs(token, context)
     pairs_of = np.diff(np.append(np.searchsorted(pairs, tokens), len(pairs)))
@@ -273,7 +275,10 @@ def _packed(shard, token, context, doc, times, keys, folds) -> pa.RecordBatch:
         "folds": folds[used],
     }
     arrays = [pa.array([shard], pa.int32())]
-    arrays += [pa.array([values[name].astype(kind).tobytes()]) for name, kind in FIELDS.items()]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    arrays += [
+        pa.array([pack(values[name].astype(kind).tobytes())]) for name, kind in FIELDS.items()
+    ]
     return pa.RecordBatch.from_arrays(arrays, ["shard", *FIELDS])
 
 
@@ -412,6 +417,9 @@ def _log10_probabilities(
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
     """The rows of each shard; they come sorted by shard."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     current, rows = None, []
     for batch in batches:
         for place, shard in enumerate(batch["shard"].to_pylist()):
@@ -421,7 +429,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.nda
             current = shard
             rows.append(
                 {
-                    name: np.frombuffer(batch[name][place].as_buffer(), kind)
+                    name: np.frombuffer(unpack(batch[name][place].as_buffer()), kind)
                     for name, kind in FIELDS.items()
                 }
             )
@@ -547,11 +555,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     known = _statistics(counts, tokens, max(1, -(-tokens // SHARD_TOKENS)))
 
     dealt = rows.select("key", "fold", "text").mapInArrow(_deal(known), PACKED)
-    # A shard becomes one row, which no reader can split, and about one task has one shard.
-    packed = dealt.repartition(known.shards, "shard").groupBy("shard").agg(
-        F.collect_list(F.struct(*FIELDS)).alias("rows")
-    )
-    packed = written_once(packed, "occurrences").select("shard", F.inline("rows"))
+    dealt = dealt.repartition(known.shards, "shard").sortWithinPartitions("shard")
+    packed = kept_partitions(dealt)
     shards = packed.filter("shard >= 0")
     known.pair_counts = _pair_counts(known, packed.filter("shard < 0"))
 

@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 16
 MOST_LABELS = 50_000
 SMOOTHING = 1.0
-LENIENCE = 0.005
+LENIENCE = 0.01
 BYTES_AT_ONCE = 1 << 21
 FIXED_POINT = 1 << 20  # log weights are compared in steps of one millionth
 
