@@ -196,17 +196,24 @@ def _deal(known: Statistics):
     """Occurrences of each block, packed by shard.
 
     A shard has all occurrences of its tokens; those of a hot token are dealt by context as well,
-    and those of a hot pair by document. A block's counts of hot pairs, by fold, come under a
-    negative shard. A row holds, in order of token and context class: the tokens, how many classes
-    each has, the classes, how many documents each of those has, the documents, and how often it is
-    in them.
+    and those of a hot pair by document. A block's counts of hot pairs, by fold, come under shards
+    from -1 down, its keys under shards below minus their number. A row holds, in order of token and
+    context class: the tokens, how many classes each has, the classes, how many documents each of
+    those has, the documents, and how often it is in them; then the places in the block and the
+    folds of its documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes = PrefixHash(2 * BYTES_AT_ONCE)
+        block = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches:
             folds, keys = batch["fold"].to_numpy(), batch["key"].to_numpy()
             for part, texts in _blocks(batch):
+                block += 1
+                own_keys, own_folds = keys[part], folds[part]
+                yield _packed(-1 - known.shards - block % known.shards, block, {"keys": own_keys})
                 found = Tokens(hashes, texts)
                 order = np.lexsort((found.doc, found.context, found.token))
                 token, context, doc = found.token[order], found.context[order], found.doc[order]
@@ -218,16 +225,15 @@ def _deal(known: Statistics):
                 shard[hot] = _pair_key(token[hot], context[hot])
                 crowd, _ = _places(known.pairs, shard)
                 crowd &= hot
-                own_keys = keys[part]
                 if crowd.any():
-                    kinds = folds[part][doc[crowd]]
+                    kinds = own_folds[doc[crowd]]
                     order = np.lexsort((kinds, context[crowd], token[crowd]))
                     by_kind = (token[crowd][order], context[crowd][order], kinds[order])
                     first = _runs(*by_kind)
                     sums = np.add.reduceat(times[crowd][order], first)
-                    number = -1 - int(own_keys[0]) % known.shards
                     values = (*(value[first] for value in by_kind), sums)
-                    yield _packed(number, *values, np.arange(3), np.arange(3))
+                    packed = _occurrences(*values, np.arange(3))
+                    yield _packed(-1 - block % known.shards, block, packed)
                     shard[crowd] += own_keys[doc[crowd]].view(np.uint64)
                 shard = (mixed(shard) % np.uint64(known.shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -236,14 +242,14 @@ def _deal(known: Statistics):
                     own = order[cuts[number] : cuts[number + 1]]
                     if len(own):
                         values = (token[own], context[own], doc[own], times[own])
-                        yield _packed(number, *values, own_keys, folds[part])
+                        yield _packed(number, block, _occurrences(*values, own_folds))
 
     return run
 
 
 PACKED = (
-    "shard int, tokens binary, classes_of binary, classes binary, docs_of binary, docs binary, "
-    "times binary, keys binary, folds binary"
+    "shard int, block bigint, tokens binary, classes_of binary, classes binary, docs_of binary, "
+    "docs binary, times binary, places binary, folds binary, keys binary"
 )
 FIELDS = {
     "tokens": np.uint64,
@@ -252,34 +258,59 @@ FIELDS = {
     "docs_of": np.uint32,
     "docs": np.uint16,
     "times": np.uint32,
-    "keys": np.int64,
+    "places": np.uint16,
     "folds": np.uint8,
+    "keys": np.int64,
 }
+SUMS = {"places": np.uint16, "n_known": np.uint32, "base": np.float64, "score": np.float64}
 
 
-def _packed(shard, token, context, doc, times, keys, folds) -> pa.RecordBatch:
-    import zstandard
-
+def _occurrences(token, context, doc, times, folds) -> dict[str, np.ndarray]:
     tokens = _runs(token)
     pairs = _runs(token, context)
     pairs_of = np.diff(np.append(np.searchsorted(pairs, tokens), len(pairs)))
     used, place = np.unique(doc, return_inverse=True)
-    values = {
+    return {
         "tokens": token[tokens],
         "classes_of": pairs_of,
         "classes": context[pairs],
         "docs_of": np.diff(np.append(pairs, len(token))),
         "docs": place,
         "times": times,
-        "keys": keys[used],
+        "places": used,
         "folds": folds[used],
     }
-    arrays = [pa.array([shard], pa.int32())]
+
+
+def _packed(
+    shard: int, block: int, values: dict[str, np.ndarray], fields: dict[str, type] = FIELDS
+) -> pa.RecordBatch:
+    """One row of arrays; those that are not given are NULL."""
+    import zstandard
+
     pack = zstandard.ZstdCompressor(level=1).compress
-    arrays += [
-        pa.array([pack(values[name].astype(kind).tobytes())]) for name, kind in FIELDS.items()
-    ]
-    return pa.RecordBatch.from_arrays(arrays, ["shard", *FIELDS])
+    arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int64())]
+    for name, kind in fields.items():
+        packed = pack(values[name].astype(kind).tobytes()) if name in values else None
+        arrays.append(pa.array([packed], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["shard", "block", *fields])
+
+
+def _unpacked(
+    batches: Iterator[pa.RecordBatch], fields: dict[str, type]
+) -> Iterator[dict[str, np.ndarray]]:
+    """The rows, each with its shard, its block and those of its arrays that are not NULL."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for place in range(batch.num_rows):
+            row = {name: batch[name][place].as_py() for name in ("shard", "block")}
+            for name, kind in fields.items():
+                value = batch[name][place]
+                if value.is_valid:
+                    row[name] = np.frombuffer(unpack(value.as_buffer()), kind)
+            yield row
 
 
 class Shard:
@@ -287,7 +318,7 @@ class Shard:
 
     def __init__(self, known: Statistics, rows: list[dict[str, np.ndarray]]):
         parts: dict[str, list[np.ndarray]] = {
-            name: [] for name in ("token", "context", "doc", "times", "keys", "folds")
+            name: [] for name in ("token", "context", "doc", "times", "folds")
         }
         docs = 0
         for row in rows:
@@ -295,14 +326,14 @@ class Shard:
             parts["token"].append(np.repeat(pair_token, row["docs_of"]))
             parts["context"].append(np.repeat(row["classes"], row["docs_of"]))
             parts["doc"].append(row["docs"].astype(np.int32) + np.int32(docs))
-            for name in ("times", "keys", "folds"):
+            for name in ("times", "folds"):
                 parts[name].append(row[name])
-            docs += len(row["keys"])
+            docs += len(row["places"])
         merged = {name: np.concatenate(parts.pop(name)) for name in list(parts)}
         order = np.lexsort((merged["context"], merged["token"])).astype(np.int32)
         token, context = merged.pop("token")[order], merged.pop("context")[order]
         self.doc, self.times = merged.pop("doc")[order], merged.pop("times")[order]
-        self.keys, folds = merged["keys"], merged["folds"][self.doc]
+        folds = merged["folds"][self.doc]
         del order
         first = _runs(token, context)
         of_pair = np.diff(np.append(first, len(token)))
@@ -417,26 +448,41 @@ def _log10_probabilities(
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
     """The rows of each shard; they come sorted by shard."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
     current, rows = None, []
-    for batch in batches:
-        for place, shard in enumerate(batch["shard"].to_pylist()):
-            if shard != current and rows:
-                yield rows
-                rows = []
-            current = shard
-            rows.append(
-                {
-                    name: np.frombuffer(unpack(batch[name][place].as_buffer()), kind)
-                    for name, kind in FIELDS.items()
-                }
-            )
+    for row in _unpacked(batches, FIELDS):
+        if row["shard"] != current and rows:
+            yield rows
+            rows = []
+        current = row["shard"]
+        rows.append(row)
     if rows:
         yield rows
 
 
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the shards add to the texts of each block, with their keys; rows come by block."""
+
+    def found() -> pa.RecordBatch:
+        keys = own["keys"]
+        known, base, score = totals[:, : len(keys)]
+        arrays = [keys, known.astype(np.int64), base, score]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values) for values in arrays], ["key", "n_known", "base", "score"]
+        )
+
+    own = None
+    for row in _unpacked(batches, {**SUMS, "keys": np.int64}):
+        if "keys" in row:  # comes before what the shards add
+            if own is not None:
+                yield found()
+            own, totals = row, np.zeros((3, len(row["keys"])))
+            continue
+        for total, name in zip(totals, ("n_known", "base", "score"), strict=True):
+            total[row["places"]] += row[name]
+    if own is not None:
+        yield found()
+
+
 def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
     """Totals, context classes and hot tokens; a bounded number of rows comes to the driver."""
     singles = counts.filter("context < 0")
@@ -529,7 +575,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
        occurrences is dealt by context too, and a pair with some 2,000th by document; their counts
        are a few thousand that all tasks have.
     3. Held-out events come together in a histogram of fixed size, on which the weights are learnt.
-    4. Each shard sums what its tokens add to each text; the sums of a text are added up.
+    4. Each shard sums what its tokens add to each text; the sums go back packed per block, where
+       those of a text are added up.
 
     NULL texts are empty and consist of their end alone. A NULL key belongs to the fold of an empty
     text. Rows that repeat a key are documents of their own. Without training texts all
@@ -558,7 +605,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     dealt = dealt.repartition(known.shards, "shard").sortWithinPartitions("shard")
     packed = kept_partitions(dealt)
     shards = packed.filter("shard >= 0")
-    known.pair_counts = _pair_counts(known, packed.filter("shard < 0"))
+    pairs = packed.filter(F.col("shard").between(-known.shards, -1))
+    known.pair_counts = _pair_counts(known, pairs)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
@@ -572,24 +620,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
-            keys, place = np.unique(
-                np.concatenate([row["keys"] for row in rows]), return_inverse=True
-            )
-            totals = np.zeros((3, len(keys)))
+            edges = np.cumsum([0, *(len(row["places"]) for row in rows)])
+            totals = np.zeros((3, edges[-1]))
             for part in _parts(rows):
                 shard = Shard(known, part)
                 model, base = _log10_probabilities(known, shard, weights)
                 seen = (shard.token_n > 0).astype(np.int64)
-                at = place[shard.doc]
                 for total, values in zip(totals, (seen, base, model), strict=True):
-                    total += np.bincount(at, shard.times * values[shard.pair], minlength=len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(totals[0].astype(np.int64)), *map(pa.array, totals[1:])],
-                ["key", "n_known", "base", "score"],
-            )
-
+                    of_entry = shard.times * values[shard.pair]
+                    total += np.bincount(shard.doc, of_entry, minlength=edges[-1])
+            for row, start, stop in zip(rows, edges[:-1], edges[1:], strict=True):
+                own = dict(zip(SUMS, (row["places"], *totals[:, start:stop]), strict=True))
+                yield _packed(row["shard"], row["block"], own, SUMS)
+
+    # The sums go back in blocks, as the occurrences came.
+    layout = "shard int, block bigint, places binary, n_known binary, base binary, score binary"
+    added = shards.mapInArrow(sums, layout)
+    keys = packed.filter(F.col("shard") < -known.shards).select("shard", "block", "keys")
+    blocks = added.unionByName(keys, allowMissingColumns=True).repartition("block")
     scored = (
-        shards.mapInArrow(sums, "key bigint, n_known bigint, base double, score double")
+        blocks.sortWithinPartitions("block", "shard")
+        .mapInArrow(_by_text, "key bigint, n_known bigint, base double, score double")
         .groupBy("key")
         .agg(*[F.sum(name).alias(f"_{name}") for name in ("n_known", "base", "score")])
     )
