@@ -26,6 +26,8 @@ def suspects(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     First the lengths that occur more than once, then, among those, the hash of
     the first 64 characters. Only these short signatures are stored and moved.
+    What occurs more than once is stored before it is joined: a join of two plain
+    shuffles is one that Spark can split where a key is hot.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     signatures = written_once(
@@ -36,12 +38,14 @@ def suspects(docs: DataFrame, key: str, text: str) -> DataFrame:
         ),
         "signatures",
     )
-    lengths = signatures.groupBy(BYTES).agg(F.count("*").alias("_n")).filter("_n > 1")
-    same_length = signatures.join(lengths.select(BYTES), BYTES, "left_semi")
-    heads = same_length.groupBy(BYTES, HEAD).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return signatures.join(heads.select(BYTES, HEAD), [BYTES, HEAD], "left_semi").select(
-        "_key"
-    ).distinct()
+
+    def repeated(rows: DataFrame, *by: str) -> DataFrame:
+        counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+        return written_once(counts.filter("_n > 1").select(*by), "repeated")
+
+    same_length = signatures.join(repeated(signatures, BYTES), BYTES, "left_semi")
+    heads = repeated(same_length, BYTES, HEAD)
+    return signatures.join(heads, [BYTES, HEAD], "left_semi").select("_key").distinct()
 
 
 def _marked(
@@ -70,13 +74,12 @@ def _marked(
 
 
 def _classes(marked: DataFrame) -> DataFrame:
-    """For each whole text that occurs more than once: its size and the row that stays."""
+    """For each whole text that occurs more than once: its size and the row that stays; stored."""
     rows = marked.filter(F.col(FULL).isNotNull())
-    return (
-        rows.groupBy(FULL)
-        .agg(F.count("*").alias("_n"), F.max(F.struct("_id", ROW)).alias("_keep"))
-        .filter("_n > 1")
+    sizes = rows.groupBy(FULL).agg(
+        F.count("*").alias("_n"), F.max(F.struct("_id", ROW)).alias("_keep")
     )
+    return written_once(sizes.filter("_n > 1"), "classes")
 
 
 def exact_classes(
@@ -93,11 +96,14 @@ def exact_classes(
     that also share the key exactly one, any of them; a NULL key is the smallest. Columns: the
     key, ``keep_id``, ``group_size``, ``kept`` and the ``digests``, functions of the
     text column. Aggregations are partial before the shuffle; the
-    last join has one row per class on one side, so Spark can split a hot class.
+    last join has one stored row per class on one side, so Spark can split a hot class. Documents
+    without a hash of the whole text are in no class and not joined.
     """
     digests = digests or {}
     marked = _marked(docs, key, text, digests)
-    joined = marked.join(_classes(marked), FULL, "left")
+    hashed = marked.filter(F.col(FULL).isNotNull()).join(_classes(marked), FULL, "left")
+    others = marked.filter(F.col(FULL).isNull())
+    joined = hashed.unionByName(others, allowMissingColumns=True)
     alone = F.col("_n").isNull()
     return joined.select(
         F.col("_id").alias(key),
