@@ -183,6 +183,19 @@ def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     assert hot_pairs
 
 
+def test_scores_do_not_depend_on_what_words_are_called(spark, monkeypatch):
+    draw = random.Random(21)
+    texts = [[int(draw.random() ** 3 * 60_000) for _ in range(200)] for _ in range(300)]
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 20_000)
+    found = []
+    for name in ("x{}", "{}-other"):
+        rows = [(n, " ".join(map(name.format, words)), "en", "s", 0) for n, words in enumerate(texts)]
+        found.append(values(language_model.score(samples.documents(spark, rows)), "doc_id", "score"))
+    for one, other in zip(*found, strict=True):
+        assert one[0] == other[0]
+        assert one[1] == pytest.approx(other[1], rel=1e-9)
+
+
 def test_model_is_a_distribution():
     draw = np.random.default_rng(2)
     distinct, contexts = 30, 4

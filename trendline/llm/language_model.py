@@ -21,10 +21,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FOLDS = 7
 SCORED_FOLD = 2  # is not learnt from
 WEIGHT_FOLD = 3  # of the training documents: the held-out counts that the weights are learnt on
-CLASSES = 1 << 16
 BLOCK_BYTES = 8 << 20
 BYTES_AT_ONCE = 1 << 20
 SHARD_TOKENS = 4 << 20
+COUNTS_AT_ONCE = 1 << 20
 PARTS = 8
 HOT_SHARE = 4_000
 HOT_PAIR_SHARE = 8_000
@@ -33,7 +33,7 @@ OCTAVES = 40
 CELLS = STEPS_PER_OCTAVE * OCTAVES + 1
 ROUNDS = 200
 
-END, START = np.uint64(0x9D8A7C6B5E4F3021), np.uint64(0x13579BDF02468ACE)
+END = np.uint64(0x9D8A7C6B5E4F3021)
 TESTED, TUNED, LEARNT = 0, 1, 2
 
 
@@ -45,8 +45,8 @@ def fold(key: Column) -> Column:
 class Tokens:
     """The tokens of a block of texts: words with A-Z in lower case, and one end each.
 
-    A token is known by a 64-bit hash of its bytes. Its context is the token before it, the
-    start of the text for the first, reduced to one of 65,536 classes by hash.
+    A token is known by a 64-bit hash of its bytes. Its context is the token before it; for the
+    first it is the end of a text, which is nobody else's context and occurs as often.
     """
 
     def __init__(self, hashes: PrefixHash, texts: list[bytes]):
@@ -80,13 +80,9 @@ class Tokens:
         token[~is_end] = hashes.stretches(data, starts, stops)
         context = np.empty(len(token), np.uint64)
         context[1:] = token[:-1]
-        context[np.concatenate(([0], last[:-1] + 1))] = START
+        context[np.concatenate(([0], last[:-1] + 1))] = END
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts + 1)
-        return doc, token, context_class(context)
-
-
-def context_class(token: np.ndarray) -> np.ndarray:
-    return (mixed(token.copy()) % np.uint64(CLASSES)).astype(np.uint16)
+        return doc, token, context
 
 
 def _pieces(texts: list[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -122,7 +118,7 @@ def _pair_key(token: np.ndarray, context: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each block: over all, training and weight-learning texts.
 
-    A row is a token (``context`` is -1), or a pair that makes up at least an 8,000th of the block.
+    A row is a token (``context`` is NULL), or a pair that makes up at least an 8,000th of the block.
     """
     hashes = PrefixHash(2 * BYTES_AT_ONCE)
     for batch in batches:
@@ -136,20 +132,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for chosen in (slice(None), part_of != TESTED, part_of == LEARNT)
             ]
             often = np.bincount(place)[place] * HOT_PAIR_SHARE >= len(place)
-            pair = place[often] * CLASSES + tokens.context[often]
+            context, after = np.unique(tokens.context[often], return_inverse=True)
+            pair = place[often] * max(1, len(context)) + after
             pair, times = np.unique(pair, return_counts=True)
             pair, times = (values[times * HOT_PAIR_SHARE >= len(place)] for values in (pair, times))
             rest = np.zeros(len(pair), np.int64)
+            of_pair, after = np.divmod(pair, max(1, len(context)))
+            single = np.arange(len(token) + len(pair)) < len(token)
+            context = np.append(np.zeros(len(token), np.uint64), context[after])
             columns = {
-                "token": np.append(token, token[pair // CLASSES]).view(np.int64),
-                "context": np.append(np.full(len(token), -1), pair % CLASSES),
+                "token": np.append(token, token[of_pair]).view(np.int64),
                 "n_all": np.append(counts[0], times),
                 "n": np.append(counts[1], rest),
                 "n_learnt": np.append(counts[2], rest),
             }
-            yield pa.RecordBatch.from_pydict(
-                {name: pa.array(values, pa.int64()) for name, values in columns.items()}
-            )
+            arrays = {name: pa.array(values, pa.int64()) for name, values in columns.items()}
+            arrays["context"] = pa.array(context.view(np.int64), pa.int64(), mask=single)
+            names = ["token", "context", "n_all", "n", "n_learnt"]
+            yield pa.RecordBatch.from_arrays([arrays[name] for name in names], names)
 
 
 def _places(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +172,16 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 class Statistics:
     """What all tasks know of the corpus; its size does not depend on the corpus.
 
-    Arrays have one place per context class, per hot token (one that makes up at least a 4,000th of
-    all tokens, so there are at most 4,000), or per hot pair of token and context class (one that
-    makes up at least three 8,000ths in the blocks where it is frequent; every pair that makes up
-    four 8,000ths of all is among them, and its token is hot).
+    Arrays have one place per hot token (one that makes up at least a 4,000th of all tokens, so
+    there are at most 4,000), or per hot pair of token and context (one that makes up at least three
+    8,000ths in the blocks where it is frequent; every pair that makes up four 8,000ths of all is
+    among them, and its token is hot).
     """
 
     tokens: int
     distinct: int
     tokens_learnt: int
     distinct_learnt: int
-    context: np.ndarray
-    context_learnt: np.ndarray
     hot: np.ndarray
     hot_counts: np.ndarray
     hot_counts_learnt: np.ndarray
@@ -198,9 +196,9 @@ def _deal(known: Statistics):
     A shard has all occurrences of its tokens; those of a hot token are dealt by context as well,
     and those of a hot pair by document. A block's counts of hot pairs, by fold, come under shards
     from -1 down, its keys under shards below minus their number. A row holds, in order of token and
-    context class: the tokens, how many classes each has, the classes, how many documents each of
-    those has, the documents, and how often it is in them; then the places in the block and the
-    folds of its documents.
+    context: the tokens, how many contexts each has, the places of those among the row's contexts,
+    how many documents each of them has, the documents, and how often it is in them; then the
+    contexts, the places in the block and the folds of its documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,20 +246,23 @@ def _deal(known: Statistics):
 
 
 PACKED = (
-    "shard int, block bigint, tokens binary, classes_of binary, classes binary, docs_of binary, "
-    "docs binary, times binary, places binary, folds binary, keys binary"
+    "shard int, block bigint, tokens binary, pairs_of binary, after binary, docs_of binary, "
+    "docs binary, times binary, contexts binary, places binary, folds binary, keys binary"
 )
 FIELDS = {
     "tokens": np.uint64,
-    "classes_of": np.uint32,
-    "classes": np.uint16,
+    "pairs_of": np.uint32,
+    "after": np.uint32,
     "docs_of": np.uint32,
     "docs": np.uint16,
     "times": np.uint32,
+    "contexts": np.uint64,
     "places": np.uint16,
     "folds": np.uint8,
     "keys": np.int64,
 }
+COUNTS = {"context": np.uint64, "context_n": np.int64, "context_n_learnt": np.int64}
+QUESTIONS = {"context": np.uint64, "asking": np.uint32}
 SUMS = {"places": np.uint16, "n_known": np.uint32, "base": np.float64, "score": np.float64}
 
 
@@ -269,14 +270,16 @@ def _occurrences(token, context, doc, times, folds) -> dict[str, np.ndarray]:
     tokens = _runs(token)
     pairs = _runs(token, context)
     pairs_of = np.diff(np.append(np.searchsorted(pairs, tokens), len(pairs)))
+    contexts, after = np.unique(context[pairs], return_inverse=True)
     used, place = np.unique(doc, return_inverse=True)
     return {
         "tokens": token[tokens],
-        "classes_of": pairs_of,
-        "classes": context[pairs],
+        "pairs_of": pairs_of,
+        "after": after,
         "docs_of": np.diff(np.append(pairs, len(token))),
         "docs": place,
         "times": times,
+        "contexts": contexts,
         "places": used,
         "folds": folds[used],
     }
@@ -285,13 +288,20 @@ def _occurrences(token, context, doc, times, folds) -> dict[str, np.ndarray]:
 def _packed(
     shard: int, block: int, values: dict[str, np.ndarray], fields: dict[str, type] = FIELDS
 ) -> pa.RecordBatch:
-    """One row of arrays; those that are not given are NULL."""
+    """One row of arrays; those that are not given are NULL.
+
+    First come the first bytes of all numbers, then the second ones, and so on: small numbers in
+    wide types leave long runs of zeros.
+    """
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int64())]
     for name, kind in fields.items():
-        packed = pack(values[name].astype(kind).tobytes()) if name in values else None
+        packed = None
+        if name in values:
+            numbers = np.ascontiguousarray(values[name], kind)
+            packed = pack(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
         arrays.append(pa.array([packed], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, ["shard", "block", *fields])
 
@@ -309,22 +319,29 @@ def _unpacked(
             for name, kind in fields.items():
                 value = batch[name][place]
                 if value.is_valid:
-                    row[name] = np.frombuffer(unpack(value.as_buffer()), kind)
+                    planes = np.frombuffer(unpack(value.as_buffer()), np.uint8)
+                    planes = planes.reshape(np.dtype(kind).itemsize, -1)
+                    row[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
             yield row
 
 
 class Shard:
     """All occurrences of some tokens, over all blocks."""
 
-    def __init__(self, known: Statistics, rows: list[dict[str, np.ndarray]]):
+    def __init__(
+        self,
+        known: Statistics,
+        rows: list[dict[str, np.ndarray]],
+        counts: dict[str, np.ndarray],
+    ):
         parts: dict[str, list[np.ndarray]] = {
             name: [] for name in ("token", "context", "doc", "times", "folds")
         }
         docs = 0
         for row in rows:
-            pair_token = np.repeat(row["tokens"], row["classes_of"])
+            pair_token = np.repeat(row["tokens"], row["pairs_of"])
             parts["token"].append(np.repeat(pair_token, row["docs_of"]))
-            parts["context"].append(np.repeat(row["classes"], row["docs_of"]))
+            parts["context"].append(np.repeat(row["contexts"][row["after"]], row["docs_of"]))
             parts["doc"].append(row["docs"].astype(np.int32) + np.int32(docs))
             for name in ("times", "folds"):
                 parts[name].append(row[name])
@@ -338,7 +355,7 @@ class Shard:
         first = _runs(token, context)
         of_pair = np.diff(np.append(first, len(token)))
         self.pair = np.repeat(np.arange(len(first), dtype=np.int32), of_pair)
-        self.context = context[first]
+        context = context[first]
         self.n, self.n_learnt, self.n_tuned = (
             np.bincount(self.pair, self.times * chosen, minlength=len(first)).astype(np.int64)
             for chosen in (folds != TESTED, folds == LEARNT, folds == TUNED)
@@ -355,9 +372,19 @@ class Shard:
         self.token_n_learnt[hot] = known.hot_counts_learnt[place]
         # A hot pair is in many shards; how often it occurs in all of them is known as well.
         if known.pair_counts is not None:
-            crowd, place = _places(known.pairs, _pair_key(token, self.context))
+            crowd, place = _places(known.pairs, _pair_key(token, context))
             self.n[crowd] = known.pair_counts[0][place]
             self.n_learnt[crowd] = known.pair_counts[1][place]
+        # The count of a context: as of a token, but most of its occurrences are in other shards.
+        self.context_n, self.context_n_learnt = np.zeros((2, len(context)), np.int64)
+        hot, place = _places(known.hot, context)
+        self.context_n[hot] = known.hot_counts[place]
+        self.context_n_learnt[hot] = known.hot_counts_learnt[place]
+        rest, place = _places(counts["context"], context)
+        if not (hot | rest).all():
+            raise ValueError("a context has no count")
+        self.context_n[rest] = counts["context_n"][place]
+        self.context_n_learnt[rest] = counts["context_n_learnt"][place]
 
 
 def _parts(rows: list[dict[str, np.ndarray]]) -> Iterator[list[dict[str, np.ndarray]]]:
@@ -366,9 +393,9 @@ def _parts(rows: list[dict[str, np.ndarray]]) -> Iterator[list[dict[str, np.ndar
         found = []
         for row in rows:
             token = mixed(row["tokens"] ^ np.uint64(MIX)) % np.uint64(PARTS) == part
-            pair = np.repeat(token, row["classes_of"])
+            pair = np.repeat(token, row["pairs_of"])
             entry = np.repeat(pair, row["docs_of"])
-            chosen = {"tokens": token, "classes_of": token, "classes": pair, "docs_of": pair}
+            chosen = {"tokens": token, "pairs_of": token, "after": pair, "docs_of": pair}
             chosen |= {"docs": entry, "times": entry}
             own = {name: row[name][marks] for name, marks in chosen.items()}
             found.append({**row, **own})
@@ -391,7 +418,7 @@ def _cell(ratio: np.ndarray) -> np.ndarray:
 def held_out_cells(known: Statistics, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
     """How often held-out texts show each combination of context bucket and component ratios."""
     seen = np.flatnonzero(shard.n_tuned)
-    count = known.context_learnt[shard.context[seen]]
+    count = shard.context_n_learnt[seen]
     uniform = known.distinct_learnt + 1.0
     pair = shard.n_learnt[seen] / np.maximum(count, 1) * uniform
     single = shard.token_n_learnt[seen] / max(1, known.tokens_learnt) * uniform
@@ -435,7 +462,7 @@ def _log10_probabilities(
     known: Statistics, shard: Shard, weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair: the model's probability and that of add-one counts."""
-    count = known.context[shard.context]
+    count = shard.context_n
     weight = weights[bucket_of(count)]
     model = (
         weight[:, 0] * shard.n / np.maximum(count, 1)
@@ -446,17 +473,133 @@ def _log10_probabilities(
     return np.log10(model), np.log10(base)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
-    """The rows of each shard; they come sorted by shard."""
-    current, rows = None, []
-    for row in _unpacked(batches, FIELDS):
+def _shards(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[list[dict[str, np.ndarray]], dict[str, np.ndarray]]]:
+    """The rows of each shard and the counts of its contexts; they come sorted by shard."""
+    current, rows, parts = None, [], []
+    for row in _unpacked(batches, {**FIELDS, **COUNTS}):
         if row["shard"] != current and rows:
-            yield rows
-            rows = []
+            yield rows, _by_context(parts)
+            rows, parts = [], []
         current = row["shard"]
-        rows.append(row)
+        (parts if "context" in row else rows).append(row)
     if rows:
-        yield rows
+        yield rows, _by_context(parts)
+
+
+def _by_context(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    counts = {
+        name: np.concatenate([np.zeros(0, kind), *(part[name] for part in parts)])
+        for name, kind in COUNTS.items()
+    }
+    order = np.argsort(counts["context"])
+    return {name: values[order] for name, values in counts.items()}
+
+
+def _cuts(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each group of rows."""
+    order = np.argsort(groups, kind="stable")
+    first = _runs(groups[order])
+    for start, stop in zip(first, [*first[1:], len(order)], strict=True):
+        yield int(groups[order[start]]), order[start:stop]
+
+
+def _owner(known: Statistics, context: np.ndarray) -> np.ndarray:
+    return (mixed(context ^ np.uint64(MIX)) % np.uint64(known.shards)).astype(np.int32)
+
+
+def _questions(known: Statistics):
+    """Of each block, which contexts which shards need counts of, packed by owner of the context.
+
+    The counts of hot tokens are known to all, and the context of a hot pair is a hot token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = PrefixHash(2 * BYTES_AT_ONCE)
+        for batch in batches:
+            for _, texts in _blocks(batch):
+                found = Tokens(hashes, texts)
+                rest = ~_places(known.hot, found.context)[0]
+                token, context = found.token[rest], found.context[rest]
+                hot, _ = _places(known.hot, token)
+                token[hot] = _pair_key(token[hot], context[hot])
+                shard = (mixed(token) % np.uint64(known.shards)).astype(np.int32)
+                context, place = np.unique(context, return_inverse=True)
+                asked = np.unique(place * known.shards + shard)
+                place, shard = np.divmod(asked, known.shards)
+                context = context[place]
+                for owner, own in _cuts(_owner(known, context)) if len(context) else ():
+                    values = {"context": context[own], "asking": shard[own]}
+                    yield _packed(owner, 0, values, QUESTIONS)
+
+    return run
+
+
+def _context_counts(known: Statistics, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of each shard with the counts of its contexts, but for those that all tasks know.
+
+    Questions and the counts of tokens meet by context and go on to the shards, all of them packed.
+    """
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def by_owner() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(column) for column in zip(*held, strict=True)]
+            for owner, own in _cuts(_owner(known, columns[0])):
+                values = (column[own] for column in columns)
+                yield _packed(owner, -1, dict(zip(COUNTS, values, strict=True)), COUNTS)
+
+        for batch in batches:
+            token, n, n_learnt = (batch[name].to_numpy() for name in ("token", "n", "n_learnt"))
+            held.append((token.view(np.uint64), n, n_learnt))
+            size += len(token)
+            if size >= COUNTS_AT_ONCE:
+                yield from by_owner()
+                held, size = [], 0
+        if size:
+            yield from by_owner()
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of an owner come before the questions; each is answered once per shard."""
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            asked = np.unique(np.concatenate(pending))
+            place, shard = np.divmod(asked, known.shards)
+            for number, own in _cuts(shard):
+                values = {name: values[place[own]] for name, values in held.items()}
+                yield _packed(number, -1, values, COUNTS)
+
+        owner, parts, held, pending, size = None, [], None, [], 0
+        for row in _unpacked(batches, {**COUNTS, **QUESTIONS}):
+            if row["shard"] != owner:
+                if pending:
+                    yield from answers()
+                owner, parts, held, pending, size = row["shard"], [], None, [], 0
+            if row["block"] < 0:
+                parts.append(row)
+                continue
+            if held is None:
+                held, parts = _by_context(parts), []
+            found, place = _places(held["context"], row["context"])
+            if not found.all():
+                raise ValueError("a context has no count")
+            pending.append(place * known.shards + row["asking"])
+            size += len(place)
+            if size > max(COUNTS_AT_ONCE, 2 * len(pending[0])):
+                pending = [np.unique(np.concatenate(pending))]
+                size = len(pending[0])
+        if pending:
+            yield from answers()
+
+    layout = "shard int, block bigint, context binary, context_n binary, context_n_learnt binary"
+    singles = counts.filter("context is null").select("token", "n", "n_learnt")
+    asking = "shard int, block bigint, context binary, asking binary"
+    questions = rows.select("text").mapInArrow(_questions(known), asking)
+    met = singles.mapInArrow(stored, layout).unionByName(questions, allowMissingColumns=True)
+    met = met.repartition(known.shards, "shard").sortWithinPartitions("shard", "block")
+    return met.mapInArrow(answered, layout)
 
 
 def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,37 +627,14 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
-    """Totals, context classes and hot tokens; a bounded number of rows comes to the driver."""
-    singles = counts.filter("context < 0")
+    """Totals and hot tokens; a bounded number of rows comes to the driver."""
+    singles = counts.filter("context is null")
     totals = singles.agg(
         F.sum("n"), F.count_if(F.col("n") > 0), F.sum("n_learnt"), F.count_if(F.col("n_learnt") > 0)
     ).collect()[0]
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, learnt = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            token = batch["token"].to_numpy().view(np.uint64)
-            # An end is nobody's context; in its place stand the starts, of which there are as many.
-            token = np.where(token == END, START, token)
-            place = context_class(token)
-            np.add.at(n, place, batch["n"].to_numpy())
-            np.add.at(learnt, place, batch["n_learnt"].to_numpy())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(CLASSES)), pa.array(n), pa.array(learnt)], ["class", "n", "n_learnt"]
-        )
-
-    by_class = (
-        singles.select("token", "n", "n_learnt")
-        .mapInArrow(classes, "class bigint, n bigint, n_learnt bigint")
-        .groupBy("class")
-        .agg(F.sum("n"), F.sum("n_learnt"))
-    )
-    context, context_learnt = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for number, n, learnt in by_class.collect():
-        context[number], context_learnt[number] = n, learnt
     often = singles.filter(F.col("n_all") * HOT_SHARE >= tokens)
     hot = often.select("token", "n", "n_learnt").collect()
-    pairs = counts.filter("context >= 0").filter(F.col("n_all") * HOT_PAIR_SHARE >= 3 * tokens)
+    pairs = counts.filter("context is not null").filter(F.col("n_all") * HOT_PAIR_SHARE >= 3 * tokens)
     pairs = np.array([tuple(row) for row in pairs.select("token", "context").collect()], np.int64)
     pairs = pairs.reshape(-1, 2).view(np.uint64)
     order = sorted((row["token"] % (1 << 64), row["n"], row["n_learnt"]) for row in hot)
@@ -522,8 +642,6 @@ def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
     pairs = pairs[np.isin(pairs[:, 0], np.array(columns[0], np.uint64))]
     return Statistics(
         *(value or 0 for value in totals),
-        context,
-        context_learnt,
         np.array(columns[0], np.uint64),
         np.array(columns[1], np.int64),
         np.array(columns[2], np.int64),
@@ -536,20 +654,19 @@ def _pair_counts(known: Statistics, packed: DataFrame) -> np.ndarray:
     """How often each hot pair occurs in training and in weight-learning texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _shards(batches):
-            for row in rows:
-                token = np.repeat(row["tokens"], row["classes_of"])
-                pair = np.repeat(_pair_key(token, row["classes"]), row["docs_of"])
-                _, place = _places(known.pairs, pair)
-                folds = row["folds"][row["docs"]]
-                sums = [
-                    np.bincount(place, row["times"] * chosen, minlength=len(known.pairs))
-                    for chosen in (folds != TESTED, folds == LEARNT)
-                ]
-                columns = [np.arange(len(known.pairs)), *(part.astype(np.int64) for part in sums)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values) for values in columns], ["pair", "n", "n_learnt"]
-                )
+        for row in _unpacked(batches, FIELDS):
+            token = np.repeat(row["tokens"], row["pairs_of"])
+            key = _pair_key(token, row["contexts"][row["after"]])
+            _, place = _places(known.pairs, np.repeat(key, row["docs_of"]))
+            folds = row["folds"][row["docs"]]
+            sums = [
+                np.bincount(place, row["times"] * chosen, minlength=len(known.pairs))
+                for chosen in (folds != TESTED, folds == LEARNT)
+            ]
+            columns = [np.arange(len(known.pairs)), *(part.astype(np.int64) for part in sums)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values) for values in columns], ["pair", "n", "n_learnt"]
+            )
 
     found = np.zeros((2, len(known.pairs)), np.int64)
     rows = packed.mapInArrow(count, "pair bigint, n bigint, n_learnt bigint").groupBy("pair")
@@ -563,17 +680,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Columns: the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
     (add-one counts) and ``score``. The model mixes the relative frequency of a token after the
-    class of the token before it, the relative frequency of the token, and a uniform one over all
-    known tokens and one unknown. The weights depend on how often the context class occurs (a bucket
-    per power of two) and are learnt by expectation-maximisation on the counts of one fold of the
-    training texts, with frequencies from the other folds; then all training texts count. Contexts
-    are words hashed to 65,536 classes, so what every task must know of them does not grow with the
-    corpus; tokens themselves are told apart by 64 bits.
+    token before it, the relative frequency of the token, and a uniform one over all known tokens
+    and one unknown. The weights depend on how often the token before occurs (a bucket per power of
+    two) and are learnt by expectation-maximisation on the counts of one fold of the training texts,
+    with frequencies from the other folds; then all training texts count. Tokens are told apart by
+    64 bits.
 
     1. Tokens are counted over all texts (partial sums per block before the shuffle).
     2. The occurrences, packed per block of texts, meet by token. A token with a 4,000th of all
        occurrences is dealt by context too, and a pair with some 2,000th by document; their counts
-       are a few thousand that all tasks have.
+       are a few thousand that all tasks have. The counts of all other contexts are brought to
+       each shard that has them.
     3. Held-out events come together in a histogram of fixed size, on which the weights are learnt.
     4. Each shard sums what its tokens add to each text; the sums go back packed per block, where
        those of a text are added up.
@@ -598,10 +715,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
     sums = [F.sum(name).alias(name) for name in ("n_all", "n", "n_learnt")]
     counts = written_once(counted.groupBy("token", "context").agg(*sums), "token-counts")
-    tokens = counts.filter("context < 0").agg(F.sum("n_all")).collect()[0][0] or 0
+    tokens = counts.filter("context is null").agg(F.sum("n_all")).collect()[0][0] or 0
     known = _statistics(counts, tokens, max(1, -(-tokens // SHARD_TOKENS)))
 
     dealt = rows.select("key", "fold", "text").mapInArrow(_deal(known), PACKED)
+    dealt = dealt.unionByName(_context_counts(known, rows, counts), allowMissingColumns=True)
     dealt = dealt.repartition(known.shards, "shard").sortWithinPartitions("shard")
     packed = kept_partitions(dealt)
     shards = packed.filter("shard >= 0")
@@ -609,9 +727,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     known.pair_counts = _pair_counts(known, pairs)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _shards(batches):
+        for rows, counts in _shards(batches):
             for part in _parts(rows):
-                cell, n = held_out_cells(known, Shard(known, part))
+                cell, n = held_out_cells(known, Shard(known, part, counts))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     events = shards.mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n"))
@@ -619,11 +737,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     weights = learn_weights(events[:, 0], events[:, 1])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _shards(batches):
+        for rows, counts in _shards(batches):
             edges = np.cumsum([0, *(len(row["places"]) for row in rows)])
             totals = np.zeros((3, edges[-1]))
             for part in _parts(rows):
-                shard = Shard(known, part)
+                shard = Shard(known, part, counts)
                 model, base = _log10_probabilities(known, shard, weights)
                 seen = (shard.token_n > 0).astype(np.int64)
                 for total, values in zip(totals, (seen, base, model), strict=True):
