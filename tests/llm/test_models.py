@@ -196,6 +196,67 @@ def test_scores_do_not_depend_on_what_words_are_called(spark, monkeypatch):
         assert one[1] == pytest.approx(other[1], rel=1e-9)
 
 
+def plain_scores(rows):
+    """Deleted interpolation over whole tokens, from dictionaries; ratios in quarters of an octave."""
+    texts = [(fold(key), [None, *words]) for (key, _), words in token_lists(rows)]
+
+    def counted(folds):
+        own = [words for number, words in texts if number in folds]
+        single = Counter(word for words in own for word in words[1:])
+        pair = Counter(both for words in own for both in zip(words, words[1:], strict=False))
+        return single, pair, sum(single.values())
+
+    def ratio(share, distinct):
+        return 2.0 ** (round(4 * math.log2(share * (distinct + 1))) / 4) if share else 0.0
+
+    single, pair, total = counted({0, 1, 4, 5, 6})
+    events = Counter()
+    for number, words in texts:
+        for before, word in zip(words, words[1:], strict=False) if number == 3 else ():
+            after = pair[before, word] / max(1, single[before])
+            shares = (ratio(share, len(single)) for share in (after, single[word] / total))
+            events[int(math.log2(single[before] + 1)), *shares] += 1
+
+    def fit(own):
+        ratios = np.array([(*key[1:], 1.0) for key in own]).T
+        n, weights = np.array([events[key] for key in own]), np.full(3, 1 / 3)
+        for _ in range(200):
+            shares = weights[:, None] * ratios
+            new = (shares / shares.sum(axis=0) * n).sum(axis=1) + 1
+            weights, old = new / new.sum(), weights
+            if np.abs(weights - old).max() < 1e-9:
+                break
+        return weights
+
+    buckets = {key[0] for key in events}
+    weights = {bucket: fit([key for key in events if key[0] == bucket]) for bucket in buckets}
+    overall = fit(list(events))
+    single, pair, total = counted({0, 1, 3, 4, 5, 6})
+    found = []
+    for (key, *_), (_, words) in zip(rows, texts, strict=True):
+        whole = 0.0
+        for before, word in zip(words, words[1:], strict=False):
+            w = weights.get(int(math.log2(single[before] + 1)), overall)
+            after = pair[before, word] / max(1, single[before])
+            whole += math.log10(w[0] * after + w[1] * single[word] / total + w[2] / (len(single) + 1))
+        found.append((key, whole))
+    return sorted(found)
+
+
+def test_scores_equal_plain_deleted_interpolation(spark, monkeypatch):
+    draw = random.Random(22)
+    # Some forty occurrences per type, and most types below that.
+    rows = []
+    for n in range(300):
+        words = [f"x{int(draw.random() ** 6 * 1500)}" for _ in range(200)]
+        rows.append((n, " ".join(words), "en", "s", 0))
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 20_000)
+    found = values(language_model.score(samples.documents(spark, rows)), "doc_id", "score")
+    for (key, score), (plain_key, plain) in zip(sorted(found), plain_scores(rows), strict=True):
+        assert key == plain_key
+        assert score == pytest.approx(plain, rel=1e-7)
+
+
 def test_model_is_a_distribution():
     draw = np.random.default_rng(2)
     distinct, contexts = 30, 4

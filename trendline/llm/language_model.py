@@ -29,8 +29,9 @@ PARTS = 8
 HOT_SHARE = 4_000
 HOT_PAIR_SHARE = 8_000
 STEPS_PER_OCTAVE = 4
-OCTAVES = 40
-CELLS = STEPS_PER_OCTAVE * OCTAVES + 1
+OCTAVES = 40  # above uniform, and as many below
+MOST_STEPS = STEPS_PER_OCTAVE * OCTAVES
+CELLS = 2 * MOST_STEPS + 2
 ROUNDS = 200
 
 END = np.uint64(0x9D8A7C6B5E4F3021)
@@ -409,10 +410,21 @@ def bucket_of(context_count: np.ndarray) -> np.ndarray:
 
 
 def _cell(ratio: np.ndarray) -> np.ndarray:
-    """A ratio to the uniform probability as a step on a logarithmic scale; 0 if it is 0."""
+    """A ratio to the uniform probability as a step on a logarithmic scale; 0 if it is 0.
+
+    Ratios from 1 up take the cells from 1 up, those below 1 the cells from the last down.
+    """
     with np.errstate(divide="ignore"):
         steps = np.round(np.log2(ratio) * STEPS_PER_OCTAVE)
-    return np.clip(np.where(ratio > 0, steps + 1, 0), 0, CELLS - 1).astype(np.int64)
+    steps = np.clip(steps, -MOST_STEPS, MOST_STEPS)
+    cell = np.where(steps < 0, CELLS + steps, steps + 1)
+    return np.where(ratio > 0, cell, 0).astype(np.int64)
+
+
+def _ratio(cell: np.ndarray) -> np.ndarray:
+    """The ratio that a cell stands for."""
+    steps = np.where(cell > MOST_STEPS + 1, cell - CELLS, cell - 1)
+    return np.where(cell > 0, 2.0 ** (steps / STEPS_PER_OCTAVE), 0.0)
 
 
 def held_out_cells(known: Statistics, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
@@ -435,9 +447,7 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, buckets: int = 64) -> n
     all buckets together.
     """
     bucket, rest = np.divmod(cells, CELLS * CELLS)
-    ratios = np.stack([*np.divmod(rest, CELLS), np.ones_like(rest)])
-    ratios = np.where(ratios > 0, 2.0 ** ((ratios - 1) / STEPS_PER_OCTAVE), 0.0)
-    ratios[2] = 1.0
+    ratios = np.stack([*map(_ratio, np.divmod(rest, CELLS)), np.ones(len(rest))])
 
     def fit(chosen: np.ndarray) -> np.ndarray:
         own, n = ratios[:, chosen], counts[chosen]
