@@ -73,6 +73,16 @@ def test_marked_articles_stay_whole_even_if_copied(spark):
     assert {row[2].split("\n\n")[0] for row in extract(spark, rows)} == {shared}
 
 
+def test_copies_without_an_article_keep_their_text(spark):
+    draw = random.Random(4)
+    shared, near = samples.prose(draw, 80), samples.prose(draw, 80)
+    rows = [(n, f"http://h/{n}", f"<div><p>{shared}</p></div>") for n in range(30)]
+    rows += [(40 + n, f"http://i/{n}", f"<div><p>{near}</p><p>{n}</p></div>") for n in range(15)]
+    found = extract(spark, rows)
+    assert {text for key, _, text, _ in found if key < 40} == {shared}
+    assert {text for key, _, text, _ in found if key >= 40} == {f"{near}\n\n{n}" for n in range(15)}
+
+
 def test_hot_host_is_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES_AT_ONCE", 16)
     rows = [(n, "http://hot/", f"<article><p>text {n}</p></article>") for n in range(300)]
