@@ -83,6 +83,18 @@ def test_copies_without_an_article_keep_their_text(spark):
     assert {text for key, _, text, _ in found if key >= 40} == {f"{near}\n\n{n}" for n in range(15)}
 
 
+def test_articles_keep_the_lines_they_share(spark):
+    draw = random.Random(5)
+    texts = [samples.prose(draw, 40) for _ in range(20)]
+    long_line = "all quantities are meant for four hungry people and a dog"
+    rows = [
+        (n, f"http://h/{n}", f"<article><h2>Ingredients</h2><p>{text}</p><p>{long_line}</p></article>")
+        for n, text in enumerate(texts)
+    ]
+    found = extract(spark, rows)
+    assert {text for _, _, text, _ in found} == {f"Ingredients\n\n{text}\n\n{long_line}" for text in texts}
+
+
 def test_hot_host_is_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES_AT_ONCE", 16)
     rows = [(n, "http://hot/", f"<article><p>text {n}</p></article>") for n in range(300)]
