@@ -50,6 +50,26 @@ def test_markup(html, blocks):
     assert html_text.page_blocks(html)[1] == blocks
 
 
+@pytest.mark.parametrize(
+    ("html", "blocks"),
+    [
+        ('<article class="post tag-share">one', ["one"]),
+        ('<article class="post category-notices">one', ["one"]),
+        ('<article class="hentry comments-open">one', ["one"]),
+        ('<article class="promo">one<p class="promo">no</p></article>', ["one"]),
+        ('<div class="article-body with-sidebar">one</div>', ["one"]),
+        ('<div class="post tag-share">one</div>', ["one"]),
+        ('<div itemprop="articleBody" class="widget">one</div>', ["one"]),
+        ('<article class="comment">one</article>', ["one"]),
+        ('<article>one</article><article class="comment">no</article>', ["one"]),
+        ('<p>one<div class="cookie-notice">no</div><div id="share-buttons">no</div>', ["one"]),
+        ('<p>one<div class="site-header">no</div><div class="big sidebar">no</div>', ["one"]),
+    ],
+)
+def test_classes_rule_out_by_whole_names_and_no_article(html, blocks):
+    assert html_text.page_blocks(html)[1] == blocks
+
+
 def test_what_a_host_repeats_goes_where_markup_is_silent(spark):
     line = "subscribe to our very long letter of many news today"
     rows = [
