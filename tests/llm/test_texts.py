@@ -115,6 +115,24 @@ def test_articles_keep_the_lines_they_share(spark):
     assert {text for _, _, text, _ in found} == {f"Ingredients\n\n{text}\n\n{long_line}" for text in texts}
 
 
+def test_what_a_large_host_repeats_is_counted_over_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PAGES_AT_ONCE", 16)
+    monkeypatch.setattr(html_text, "CHARACTERS_AT_ONCE", 2000)
+    draw = random.Random(6)
+    line = "subscribe to our very long letter of many news today"
+    notice = "this section is closed for the whole of the summer"
+    rows, expected = [], []
+    for n in range(600):
+        own = samples.prose(draw, 3000 if n < 5 else 30, 10**6)
+        # A tenth of the pages shows the notice.
+        last = f"<p>{notice}</p>" if n % 10 == 0 else ""
+        rows.append((n, f"http://h/{n}", f"<p>{line}</p><p>{own}</p>{last}"))
+        expected.append((n, own))
+    rows += [(600 + n, "http://h/copy", f"<p>{line}</p><p>copy copy</p>") for n in range(3)]
+    expected += [(600 + n, "copy copy") for n in range(3)]
+    assert [(key, text) for key, _, text, _ in extract(spark, rows)] == sorted(expected, key=repr)
+
+
 def test_hot_host_is_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES_AT_ONCE", 16)
     rows = [(n, "http://hot/", f"<article><p>text {n}</p></article>") for n in range(300)]
