@@ -15,6 +15,7 @@ from trendline.llm import (
     html_text,
     language_model,
     mixing,
+    phrases,
     quality,
     repeats,
     simhash,
@@ -180,6 +181,58 @@ def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), listed AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), sizes AS (
+    SELECT lang, sum(len(words))::BIGINT AS n FROM listed GROUP BY lang
+), grams AS (
+    SELECT lang, size,
+           unnest(list_transform(range(1, len(words) - size + 2),
+                                 lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+    FROM listed, (SELECT unnest([1, 2, 3, 4]) AS size) sizes WHERE len(words) >= size
+), counted AS (
+    SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+           array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS tail
+    FROM counted, (SELECT unnest([1, 2, 3]) AS k) places WHERE k < size
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, a, k, h.f AS l, t.f AS r,
+           ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+    FROM cuts JOIN counted h ON h.lang = cuts.lang AND h.phrase = head
+              JOIN counted t ON t.lang = cuts.lang AND t.phrase = tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, f, unnest(flatten(list_transform(range(2, size), lambda s:
+               list_transform(range(1, size - s + 2), lambda i:
+                   array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' '))))) AS phrase
+    FROM counted WHERE size > 2
+), covers AS (
+    SELECT lang, phrase, max(f) AS top FROM inside GROUP BY lang, phrase
+), kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN covers USING (lang, phrase)
+    WHERE NOT coalesce(100::HUGEINT * top >= 80::HUGEINT * a, false)
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
 # The template wraps an assistant's text in <s> and </s>, another turn in [INST], [TEXT] and [/INST].
 # A control string in a role or text, also one with backslashes in it, grows by one character.
 ORACLES["op9_chat_examples"] = r"""
