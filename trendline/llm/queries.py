@@ -14,12 +14,14 @@ from trendline.llm import (
     exact_dedup,
     html_text,
     language_model,
+    minhash,
     mixing,
     phrases,
     quality,
     repeats,
     simhash,
     topk,
+    turns,
 )
 from trendline.llm.common import table, word_count
 from trendline.workspace import written_once
@@ -233,6 +235,108 @@ QUALIFY row_number() OVER best <= 2000
 """
 
 
+@query
+def op12_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair_report(conversations, turns.damaged(conversations))
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+    """SQL for a way to a state, one edit longer."""
+    said = f"{state}.said" if line is None else f"list_append({state}.said, {line})"
+    longer = f"{{'c': {state}.c + {cost}, 'audit': {state}.audit || '{letter}', 'said': {said}}}"
+    return f"CASE WHEN {state} IS NOT NULL THEN {longer} END"
+
+
+def _turn(state: str, due: str) -> str:
+    """SQL for a turn put out as ``due`` after a state."""
+    keep = _edit(state, "K", "flaw", "role || ':' || text")
+    rerole = _edit(state, "R", "2 + flaw", f"'{due}:' || text")
+    return f"CASE WHEN goes THEN NULL WHEN letter = '{due[0]}' THEN {keep} ELSE {rerole} END"
+
+
+# Every state of the search keeps its cheapest way, turn by turn: nothing put out yet (z), a system
+# turn (s), a user's (u) or an assistant's (a).
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE drawn AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                   lambda x: ascii(x)::BIGINT)),
+               lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                   lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS draw
+    FROM conversations
+), rows AS (
+    SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+           CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                ELSE text END AS text,
+           unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM drawn WHERE draw <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+           CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS letter,
+           NOT regexp_matches(text, '[^ 	-]') AS blank
+    FROM rows
+), seen AS (
+    SELECT *, NOT blank AND row_number() OVER (
+                  PARTITION BY conv_id, role, text ORDER BY place) > 1 AS duplicate
+    FROM placed
+), faults AS (
+    SELECT *, blank OR duplicate AS goes,
+           (NOT blank AND NOT duplicate
+            AND NOT regexp_matches(text, '[.!?][ 	-]*$'))::INTEGER AS flaw
+    FROM seen
+), pairs AS (
+    SELECT *, letter || lead(letter) OVER (PARTITION BY conv_id ORDER BY place) AS pair FROM faults
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+           sum(flaw)::BIGINT AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS places
+    FROM pairs GROUP BY conv_id
+), ways AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS place,
+           {{'c': 0, 'audit': '', 'said': []::VARCHAR[]}} AS z,
+           NULL::STRUCT(c INTEGER, audit VARCHAR, said VARCHAR[]) AS s,
+           {{'c': 2, 'audit': 'I', 'said': ['user:']}} AS u,
+           {{'c': 4, 'audit': 'II', 'said': ['user:', 'assistant:']}} AS a
+    FROM rows
+    UNION ALL
+    SELECT conv_id, place, z, s, u, list_min([a, {_edit("u", "I", "2", "'assistant:'")}]) AS a
+    FROM (
+        SELECT conv_id, place, z, s, a, list_min([u, {_edit("z", "I", "2", "'user:'")},
+               {_edit("s", "I", "2", "'user:'")}, {_edit("a", "I", "2", "'user:'")}]) AS u
+        FROM (
+            SELECT ways.conv_id, faults.place, {_edit("z", "D", "3")} AS z,
+                   list_min([{_edit("s", "D", "3")}, CASE WHEN letter = 's' AND NOT goes
+                             THEN {_edit("z", "K", "flaw", "role || ':' || text")} END]) AS s,
+                   list_min([{_edit("u", "D", "3")}, {_turn("z", "user")}, {_turn("s", "user")},
+                             {_turn("a", "user")}]) AS u,
+                   list_min([{_edit("a", "D", "3")}, {_turn("u", "assistant")}]) AS a
+            FROM ways JOIN faults ON ways.conv_id IS NOT DISTINCT FROM faults.conv_id
+                                     AND faults.place = ways.place + 1
+        ) moved
+    ) closed
+), best AS (
+    SELECT ways.conv_id, list_min([z, a]) AS way, counts.*EXCLUDE (conv_id, places)
+    FROM ways JOIN counts ON ways.conv_id IS NOT DISTINCT FROM counts.conv_id
+    WHERE place = places
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(way.c, 0)::BIGINT AS cost,
+       coalesce(way.audit, '') AS audit,
+       sha256(coalesce(array_to_string(way.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+     LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 # The template wraps an assistant's text in <s> and </s>, another turn in [INST], [TEXT] and [/INST].
 # A control string in a role or text, also one with backslashes in it, grows by one character.
 ORACLES["op9_chat_examples"] = r"""
