@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,9 +108,19 @@ def test_prefixes_above_the_budget_are_extended_and_groups_are_many(spark, monke
 
 
 def test_a_group_reads_counts_from_its_leaves():
-    rows = [("en", "a b c d", 1, 2), ("en", "a b", 1, 3), ("en", "a b c e", 1, 4), ("de", "a b", 1, 9)]
-    found = phrases.subtree(rows, longest=4, least=3)
-    assert sorted(found) == [
+    names = [b"", *b"a b c d e".split()]
+
+    def packed(lang, leaves, counts):
+        table, counts = np.array(leaves), np.array(counts)
+        words, body = phrases.packed_leaves(names, table, np.ones(len(counts)), counts)
+        return lang, words, len(counts), body
+
+    rows = [
+        packed("en", [[1, 2, 3, 4], [1, 2, 0, 0]], [2, 3]),
+        packed("en", [[1, 2, 3, 5]], [4]),
+        packed("de", [[1, 2, 0, 0]], [9]),
+    ]
+    assert sorted(phrases.subtree(rows, longest=4, least=3)) == [
         ("de", "a b", 9), ("en", "a b", 9), ("en", "a b c", 6), ("en", "a b c e", 4)
     ]
 

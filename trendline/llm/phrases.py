@@ -39,13 +39,13 @@ LONGEST = 4
 LEAST = 30
 MOST = 2000
 BUDGET = 1 << 18
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 WORD_BITS, PAIR_BITS = 23, 26
 SLOTS = 1 << 16
 SALTS = 64
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = "lang string, words binary, counts binary, ids binary"
-LEAF = "grp int, lang string, leaf string, held int, n long"
+LEAVES = "grp int, lang string, words binary, size int, leaves binary"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -240,52 +240,79 @@ def _dealer_of_leaves(
             held = np.where(np.isin(one, large_words), 2, 1)
             held = np.where((held == 2) & np.isin(two, large_pairs), longest, held)
             prefix = np.where(held == 1, one, np.where(held == 2, two, whole))
-            phrases = [
-                b" ".join(names[word] for word in leaf if word).decode("utf-8", "surrogatepass")
-                for leaf in leaves.tolist()
-            ]
-            columns = [
-                pa.array(group_of[(prefix % slots).astype(np.int64)], pa.int32()),
-                pa.array([lang] * len(n), pa.string()),
-                pa.array(phrases, pa.string()),
-                pa.array(held.astype(np.int32), pa.int32()),
-                pa.array(n.astype(np.int64)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["grp", "lang", "leaf", "held", "n"])
+            group = group_of[(prefix % slots).astype(np.int64)]
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            for own in np.split(order, cuts) if len(order) else []:
+                words, packed = packed_leaves(names, leaves[own], held[own], n[own])
+                columns = [
+                    pa.array(group[own[:1]], pa.int32()),
+                    pa.array([lang], pa.string()),
+                    pa.array([words], pa.binary()),
+                    pa.array([len(own)], pa.int32()),
+                    pa.array([packed], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["grp", "lang", "words", "size", "leaves"])
 
     return deal
 
 
-def subtree(rows: list[tuple[str, str, int, int]], longest: int, least: int) -> list[tuple]:
+def packed_leaves(
+    names: list[bytes], leaves: np.ndarray, held: np.ndarray, n: np.ndarray
+) -> tuple[bytes, bytes]:
+    """Leaves as the words they use, and their numbers, lengths of prefixes and counts.
+
+    ``leaves`` has a row of places in ``names`` for each leaf; 0 stands where it has ended.
+    """
+    used = np.unique(np.append(leaves, 0))
+    table = np.searchsorted(used, leaves).astype(np.int32)
+    body = table.T.tobytes() + held.astype(np.int8).tobytes() + n.astype(np.int64).tobytes()
+    words = b" ".join(names[word] for word in used[1:])
+    return words, pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+
+
+def _unpacked(size: int, longest: int, leaves: bytes):
+    length = size * (4 * longest + 1 + 8)
+    body = pa.Codec("zstd").decompress(leaves, length, asbytes=True)
+    table = np.frombuffer(body, np.int32, size * longest).reshape(longest, size)
+    held = np.frombuffer(body, np.int8, size, 4 * size * longest)
+    return table, held, np.frombuffer(body, np.int64, size, size * (4 * longest + 1))
+
+
+def subtree(rows: list[tuple[str, bytes, int, bytes]], longest: int, least: int) -> list[tuple]:
     """Language, phrase and count of the nodes of two words and more below a group's prefixes.
 
-    ``rows`` are leaves: language, words, length of the prefix they were dealt by, occurrences.
-    A node shorter than its prefix has further leaves in other groups and is returned at any count.
+    ``rows`` are packed leaves: language, words, how many, their numbers. A node
+    shorter than its prefix has further leaves in other groups and is returned at any count.
     """
-    numbers: dict = {}
-    parts = [[lang, *leaf.split(" ")] for lang, leaf, _, _ in rows]
-    width = longest + 1
-    table = np.zeros((len(rows), width), np.int64)
-    for place, words in enumerate(parts):
-        for depth, word in enumerate(words):
-            table[place, depth] = numbers.setdefault((depth > 0, word), len(numbers) + 1)
-    order = np.lexsort(table.T[::-1])
-    table = table[order]
-    totals = np.fromiter((row[3] for row in rows), np.int64, len(rows))[order]
-    held = np.fromiter((row[2] for row in rows), np.int64, len(rows))[order]
-    changed = np.zeros(len(rows), bool)
+    names, langs = {b"": 0}, {}
+    tables, helds, totals = [], [], []
+    for lang, words, size, leaves in rows:
+        own = [b"", *words.split(b" ")]
+        number = np.fromiter((names.setdefault(w, len(names)) for w in own), np.int32, len(own))
+        table, held, n = _unpacked(size, longest, leaves)
+        tongue = np.full((1, size), langs.setdefault(lang, len(langs)), np.int32)
+        tables.append(np.concatenate([tongue, number[table]]))
+        helds.append(held)
+        totals.append(n)
+    table = np.concatenate(tables, axis=1)
+    order = np.lexsort(table[::-1])
+    table = table[:, order]
+    held, n = np.concatenate(helds)[order], np.concatenate(totals)[order]
+    changed = np.zeros(len(order), bool)
     changed[:1] = True
-    found = []
-    for depth in range(width):
-        changed[1:] |= table[1:, depth] != table[:-1, depth]
+    words, tongues, found = list(names), list(langs), []
+    for depth, column in enumerate(table):
+        changed[1:] |= column[1:] != column[:-1]
         if depth < 2:
             continue
         starts = np.flatnonzero(changed)
-        sums = np.add.reduceat(totals, starts)
-        told = (table[starts, depth] > 0) & ((sums >= least) | (held[starts] > depth))
-        for start, total in zip(starts[told], sums[told], strict=True):
-            words = parts[order[start]]
-            found.append((words[0], " ".join(words[1 : depth + 1]), int(total)))
+        sums = np.add.reduceat(n, starts)
+        told = (column[starts] > 0) & ((sums >= least) | (held[starts] > depth))
+        for place, total in zip(starts[told].tolist(), sums[told].tolist(), strict=True):
+            phrase = b" ".join(words[word] for word in table[1 : depth + 1, place].tolist())
+            lang = tongues[table[0, place]]
+            found.append((lang, phrase.decode("utf-8", "surrogatepass"), total))
     return found
 
 
@@ -299,17 +326,12 @@ def _builder_of_subtrees(longest: int, least: int):
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-        for batch in batches:
-            columns = [batch[name].to_pylist() for name in ("lang", "leaf", "held", "n")]
-            groups = batch["grp"].to_numpy()
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            bounds = [0, *cuts.tolist(), len(groups)] if len(groups) else [0]
-            for start, stop in zip(bounds, bounds[1:], strict=False):
-                if groups[start] != group and rows:
-                    yield told(rows)
-                    rows = []
-                group = groups[start]
-                rows += zip(*(column[start:stop] for column in columns), strict=True)
+        for row in _rows(batches):
+            if row["grp"] != group and rows:
+                yield told(rows)
+                rows = []
+            group = row["grp"]
+            rows.append((row["lang"], row["words"], row["size"], row["leaves"]))
         if rows:
             yield told(rows)
 
@@ -373,7 +395,7 @@ def phrase_counts(
     dealer = _dealer_of_leaves(
         frequent, frequent_pairs, large_words, large_pairs, group_of, longest
     )
-    leaves = blocks.mapInArrow(dealer, LEAF)
+    leaves = blocks.mapInArrow(dealer, LEAVES)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = leaves.repartition(max(tasks, 1), "grp").sortWithinPartitions("grp")
     nodes = dealt.mapInArrow(
