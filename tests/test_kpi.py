@@ -133,3 +133,19 @@ def test_figures_read_their_source_once(spark, sf_dir):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError, match="unknown kind"):
         kpi.kpi_rows(tracker(spark, [1]), "Date", [kpi.Kpi("x", tracker_job.DOSES, "median")])
+
+
+def test_stored_series_gives_the_same_row(spark):
+    rows = [(date(2021, 1, 1) + timedelta(days=n), None if n % 5 == 0 else n * 7 % 11) for n in range(40)]
+    kpis = [
+        kpi.Kpi("sum", "v", "total"),
+        kpi.Kpi("week", "v", "recent_sum", rows=7),
+        kpi.Kpi("now", "v", "latest"),
+        kpi.Kpi("high", "v", "above_high", null_as_zero=True),
+        kpi.Kpi("low", "v", "above_low"),
+    ]
+    for count in (0, 1, 6, 8, 12, 40):
+        df = spark.createDataFrame(rows[:count], "day date, v bigint").repartition(3)
+        one_pass, stored = kpi.kpi_rows(df, "day", kpis), kpi.stored_kpi_row(df, "day", kpis)
+        assert stored.dtypes == one_pass.dtypes and stored.collect() == one_pass.collect()
+    assert "Window" not in plan_of(stored)

@@ -75,6 +75,14 @@ class Kpi:
         return figure.alias(self.name)
 
 
+def _ranked_latest(series: DataFrame, order: str, k: int) -> DataFrame:
+    """The last k rows with their rank, the newest first, without a window over the series."""
+    latest = series.orderBy(F.desc(order)).limit(k)
+    rows = F.sort_array(F.collect_list(F.struct(order, F.struct("*").alias("row"))), asc=False)
+    ranked = latest.agg(rows.alias("rows")).select(F.posexplode("rows").alias(RANK, "latest"))
+    return ranked.select((F.col(RANK) + 1).alias(RANK), "latest.row.*")
+
+
 def kpi_rows(
     series: DataFrame, order: str, kpis: Sequence[Kpi], partition_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -88,6 +96,21 @@ def kpi_rows(
     return ranked.groupBy(*partition_by).agg(*figures)
 
 
+def stored_kpi_row(series: DataFrame, order: str, kpis: Sequence[Kpi]) -> DataFrame:
+    """All figures of a stored series in one row, with the latest date.
+
+    The series is read twice, once for its latest rows and once for its totals, and no more than
+    these rows and the partial sums leave the tasks. For series that are cheap to read again.
+    """
+    totals = [kpi for kpi in kpis if kpi.kind == "total"]
+    recent = [kpi for kpi in kpis if kpi.kind != "total"]
+    ranked = _ranked_latest(series, order, max([1, *(kpi.rows for kpi in recent)]))
+    found = ranked.agg(F.max(order).alias(order), *[kpi.expression() for kpi in recent])
+    if totals:
+        found = glue_single_rows(found, series.agg(*[kpi.expression() for kpi in totals]))
+    return found.select(order, *[column(kpi.name) for kpi in kpis])
+
+
 def glue_single_rows(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row frames side by side.
 

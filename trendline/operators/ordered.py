@@ -1,91 +1,121 @@
-"""Prefix sums, row numbers and positional joins over keys of any size.
+"""Prefix sums, row numbers, fills, lags and positional joins over keys of any size.
 
-A window without ``partitionBy`` sorts all rows in one task. Here the order key is cut into ranges
-of about equal row counts, each range is summed and numbered on its own, and only one total per
-range goes through a single task.
-
-The cuts are a fixed list of key values, taken from a small sample; there are more of them the more
-rows there are, so that no range outgrows a task. A row's range depends on its own key alone, so a
-task that runs again after an executor is lost puts every row where it was. Where many rows share
-the first order column, the columns after it cut them apart; the order has to be unique as a whole.
+A window without ``partitionBy`` sorts all rows in one task. Here the rows are stored, dealt into
+ranges of the order key by Spark's own range partitioning and stored again, each with its range and
+its place in it. What ranges pass on to later ones (a total, a last value) is one row a range; these
+rows are summed up in groups of a thousand, the groups in groups again, so no task gets more than
+a thousand of them and the plan grows only with the depth of that tree. The stored ranges keep
+every row where it is if a task runs again. The order has to be unique as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from trendline.workspace import written_once
 
-RANGE = "_range"
-SAMPLED_ROWS_PER_RANGE = 32
-LEAST_ROWS_PER_RANGE = 1_000
-ROWS_PER_RANGE = 1_000_000
-RANGES_PER_TASK = 4
-FEWEST_RANGES = 2
-
-
-def _order_key(order: Sequence[str]) -> Column:
-    columns = [F.col(f"`{name}`") for name in order]
-    return columns[0] if len(columns) == 1 else F.struct(*columns)
+RANGE, PLACE = "_range", "_place"
+PLACE_BITS = 33  # of monotonically increasing numbers: the range is above them
+FAN = 1_000
+MOST_BROADCAST_RANGES = 1_000_000
+BLOCK_ROWS = 1_000_000
 
 
 def _as_sequence(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def range_count(rows: int, tasks: int) -> int:
-    """Ranges for some rows: worth a task and small enough to sort, however many rows there are."""
-    for_all_tasks = min(RANGES_PER_TASK * tasks, rows // LEAST_ROWS_PER_RANGE)
-    return max(FEWEST_RANGES, for_all_tasks, rows // ROWS_PER_RANGE)
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
-def range_cuts(
-    df: DataFrame, order: Sequence[str], ranges: int | None = None
-) -> tuple[Column, int]:
-    """A fixed array of keys that cuts the rows into about ``ranges`` even ranges, and its length.
+def in_ranges(
+    df: DataFrame, order: str | Sequence[str], ranges: int | None = None
+) -> tuple[DataFrame, int]:
+    """The stored rows with their range and their place in it from 0 on, and how many ranges.
 
-    Some 32 sampled keys per range are sorted together.
-    What is picked of them passes the driver as text, so that every use of the
-    array sees the same keys.
+    There are as many ranges as the session has shuffle partitions, if not told otherwise. The rows
+    are stored before they are dealt, as range partitioning reads them twice.
     """
-    keys = df.select(*[F.col(f"`{name}`") for name in order])
-    if len(order) == 1:
-        keys = keys.na.drop()
-    rows = keys.count()
     if ranges is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = range_count(rows, tasks)
-    wanted = ranges * SAMPLED_ROWS_PER_RANGE
-    if rows > wanted:
-        keys = keys.sample(wanted / rows, seed=7)
-    sample = keys.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("_sample"))
-    step = F.greatest(F.lit(1), F.expr(f"size(_sample) div {ranges}"))
-    picked = F.filter("_sample", lambda _, place: (place > 0) & (place % step == 0))
-    cuts = F.struct(picked.alias("cuts"))
-    text, length = sample.select(F.to_json(cuts), F.size(picked)).collect()[0]
-    schema = StructType().add("cuts", ArrayType(keys.schema))
-    return F.from_json(F.lit(text), schema)["cuts"], length
-
-
-def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Adds the range number of each row; every range comes before the next one.
-
-    The number is how many cuts lie at or below the row's key. It is found by
-    halving the list, one plain projection per halving, all of it generated code.
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [_column(name) for name in _as_sequence(order)]
+    stored = written_once(df, "unordered")
+    dealt = stored.repartitionByRange(max(ranges, 2), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.withColumn(PLACE, F.monotonically_increasing_id()).withColumns(
+        {
+            RANGE: F.shiftright(PLACE, PLACE_BITS),
+            PLACE: F.col(PLACE).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
+        }
+    )
+    return written_once(dealt, "ranges"), max(ranges, 2)
+
+
+@dataclass(frozen=True)
+class Carry:
+    """What a range takes over from all ranges before it, or after it.
+
+    ``over`` gives it within a window, ``together`` for a group of ranges, ``joined`` puts that
+    of the own group and that of other groups together.
     """
-    cuts, length = range_cuts(df, order, ranges)
-    key = _order_key(order)
-    ordered = F.sort_array(cuts[order[0]] if len(order) == 1 else cuts)
-    df = df.withColumn(RANGE, F.lit(0))
-    for power in reversed(range(length.bit_length())):
-        reached = F.col(RANGE) + F.lit(1 << power)
-        fits = F.get(ordered, reached - F.lit(1)) <= key
-        df = df.withColumn(RANGE, F.when(fits, reached).otherwise(F.col(RANGE)))
-    return df
+
+    over: Callable[[Column, WindowSpec], Column]
+    together: Callable[[Column], Column]
+    joined: Callable[[Column, Column], Column]
+    first_row: int
+    last_row: int
+
+
+SUM = Carry(
+    lambda value, span: F.sum(value).over(span),
+    F.sum,
+    lambda own, other: F.coalesce(own + other, own, other),
+    Window.unboundedPreceding,
+    -1,
+)
+LAST = Carry(
+    lambda value, span: F.last(value, ignorenulls=True).over(span),
+    lambda value: F.max_by(value, F.when(value.isNotNull(), F.col(RANGE))),
+    F.coalesce,
+    Window.unboundedPreceding,
+    -1,
+)
+NEXT = Carry(
+    lambda value, span: F.first(value, ignorenulls=True).over(span),
+    lambda value: F.min_by(value, F.when(value.isNotNull(), F.col(RANGE))),
+    F.coalesce,
+    1,
+    Window.unboundedFollowing,
+)
+
+
+def carried(totals: DataFrame, names: Sequence[str], ranges: int, carry: Carry) -> DataFrame:
+    """For each range, what the ranges on one side of it hand over, under the same names.
+
+    ``totals`` has a row for each range (or fewer, if some are empty) with ``names`` of its own.
+    """
+    group = F.floor(F.col(RANGE) / F.lit(FAN)).alias("_group")
+    span = Window.partitionBy("_group").orderBy(RANGE).rowsBetween(carry.first_row, carry.last_row)
+    rows = totals.select(RANGE, group, *names)
+    own = rows.select(RANGE, "_group", *[carry.over(F.col(n), span).alias(n) for n in names])
+    if ranges <= FAN:
+        return own.drop("_group")
+    groups = rows.groupBy("_group").agg(*[carry.together(F.col(n)).alias(n) for n in names])
+    groups = groups.withColumnRenamed("_group", RANGE)
+    other = carried(groups, names, -(-ranges // FAN), carry)
+    other = other.toDF("_group", *[f"_other_{n}" for n in names])
+    return own.join(other, "_group").select(
+        RANGE, *[carry.joined(F.col(n), F.col(f"_other_{n}")).alias(n) for n in names]
+    )
+
+
+def _with_carried(rows: DataFrame, handed: DataFrame, ranges: int) -> DataFrame:
+    """One row a range meets all rows of the range."""
+    return rows.join(F.broadcast(handed) if ranges <= MOST_BROADCAST_RANGES else handed, RANGE)
 
 
 def running_sum(
@@ -95,38 +125,138 @@ def running_sum(
     out: str,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to the current one.
-
-    The rows are stored once in the shared folder; count, sample, totals and sums all come
-    from there, so the frame is computed once and all of them see the same rows.
-    """
-    order = _as_sequence(order)
-    stored = written_once(df.withColumn(out, value), "ordered")
-    cut = with_ranges(stored, order, ranges)
-    within = (
-        Window.partitionBy(RANGE)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(RANGE).agg(F.sum(out).alias("_total"))
-    # One row per range: the cuts bound its size, so it may be broadcast.
-    offsets = totals.select(RANGE, F.sum("_total").over(earlier).alias("_before"))
-    inside, before = F.col(out), F.col("_before")
-    total_type = offsets.schema["_before"].dataType
+    """Adds the sum of ``value`` over all rows up to the current one."""
+    rows, ranges = in_ranges(df.withColumn(out, value), order, ranges)
+    within = Window.partitionBy(RANGE).orderBy(PLACE)
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy(RANGE).agg(F.sum(_column(out)).alias("_before"))
+    before = carried(totals, ["_before"], ranges, SUM)
+    total_type = before.schema["_before"].dataType
+    summed = rows.withColumn(out, F.sum(_column(out)).over(within))
+    inside, earlier = _column(out), F.col("_before")
     return (
-        cut.withColumn(out, F.sum(out).over(within))
-        .join(F.broadcast(offsets), RANGE, "left")
-        .withColumn(out, F.coalesce(inside + before, inside, before).cast(total_type))
-        .drop(RANGE, "_before")
+        _with_carried(summed, before, ranges)
+        .withColumn(out, F.coalesce(inside + earlier, inside, earlier).cast(total_type))
+        .drop(RANGE, PLACE, "_before")
     )
 
 
 def row_index(
     df: DataFrame, order: str | Sequence[str], out: str = "id", ranges: int | None = None
 ) -> DataFrame:
-    """Numbers the rows 1, 2, 3, ... along the order key."""
-    return running_sum(df, order, F.lit(1).cast("bigint"), out, ranges)
+    """Numbers the rows 1, 2, 3, ... along the order key, without a window over them."""
+    rows, ranges = in_ranges(df, order, ranges)
+    totals = rows.groupBy(RANGE).agg(F.count("*").alias("_before"))
+    before = carried(totals, ["_before"], ranges, SUM)
+    number = F.coalesce("_before", F.lit(0)) + F.col(PLACE) + F.lit(1)
+    numbered = _with_carried(rows, before, ranges).withColumn(out, number)
+    return numbered.drop(RANGE, PLACE, "_before")
+
+
+def _filled(
+    df: DataFrame,
+    order: str | Sequence[str],
+    columns: Sequence[str],
+    zero_is_missing: bool,
+    ranges: int | None,
+    carry: Carry,
+) -> DataFrame:
+    rows, ranges = in_ranges(df, order, ranges)
+    known = {
+        name: F.nullif(_column(name), F.lit(0)) if zero_is_missing else _column(name)
+        for name in columns
+    }
+    handed_names = [f"_handed{place}" for place in range(len(columns))]
+    edge = F.max_by if carry is LAST else F.min_by
+    totals = rows.groupBy(RANGE).agg(
+        *[
+            edge(value, F.when(value.isNotNull(), F.col(PLACE))).alias(handed)
+            for handed, value in zip(handed_names, known.values(), strict=True)
+        ]
+    )
+    handed = carried(totals, handed_names, ranges, carry)
+    within = Window.partitionBy(RANGE).orderBy(PLACE)
+    if carry is LAST:
+        within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        within = within.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumns({name: carry.over(value, within) for name, value in known.items()})
+    met = _with_carried(rows, handed, ranges)
+    return met.withColumns(
+        {
+            name: F.coalesce(_column(name), F.col(handed))
+            for name, handed in zip(columns, handed_names, strict=True)
+        }
+    ).select(*[_column(name) for name in df.columns])
+
+
+def forward_fill(
+    df: DataFrame,
+    order: str | Sequence[str],
+    columns: Sequence[str],
+    zero_is_missing: bool = True,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Each missing value becomes the last known one before it, NULL where there is none."""
+    return _filled(df, order, columns, zero_is_missing, ranges, LAST)
+
+
+def back_fill(
+    df: DataFrame,
+    order: str | Sequence[str],
+    columns: Sequence[str],
+    zero_is_missing: bool = False,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Each missing value becomes the next known one after it, NULL where there is none."""
+    return _filled(df, order, columns, zero_is_missing, ranges, NEXT)
+
+
+def lag_rows(
+    df: DataFrame,
+    order: str | Sequence[str],
+    columns: Mapping[str, str],
+    rows: int,
+    ranges: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Adds the values some rows before; ``columns`` maps each source to its output.
+
+    Numbered rows form blocks of equal length. The last rows of a block go to the next one as well,
+    as the halo that its first rows look back to, so each block is a window of its own.
+    """
+    if not 0 < rows <= block_rows:
+        raise ValueError(f"{rows} rows back in blocks of {block_rows}")
+    numbered = row_index(df, order, "_position", ranges)
+    step = F.col("_position") - F.lit(1)
+    own = F.floor(step / F.lit(block_rows))
+    blocks = F.when(
+        F.pmod(step, F.lit(block_rows)) >= F.lit(block_rows - rows), F.array(own, own + 1)
+    ).otherwise(F.array(own))
+    dealt = numbered.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    span = Window.partitionBy("_block").orderBy("_position")
+    lagged = dealt.withColumns(
+        {out: F.lag(_column(source), rows).over(span) for source, out in columns.items()}
+    )
+    return lagged.filter("_own = _block").drop("_own", "_block", "_position")
+
+
+def lagged_change(
+    df: DataFrame,
+    order: str | Sequence[str],
+    columns: Mapping[str, str],
+    rows: int,
+    ranges: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Adds the change of each column since some rows before, 0 where there is no such row."""
+    before = {source: f"_before{place}" for place, source in enumerate(columns)}
+    lagged = lag_rows(df, order, before, rows, ranges, block_rows)
+    changes = {
+        out: F.coalesce(_column(source) - F.col(before[source]), F.lit(0))
+        for source, out in columns.items()
+    }
+    return lagged.withColumns(changes).drop(*before.values())
 
 
 def zip_by_position(

@@ -30,6 +30,15 @@ def load_split(corpus: DataFrame, column: str, split: str) -> DataFrame:
     return corpus.filter(F.col(column) == F.lit(split))
 
 
+def store_splits(corpus: DataFrame, column: str, path: str) -> None:
+    """Writes the corpus with a folder for each split.
+
+    ``load_split`` then lists and reads the files of its own split alone. A split may hold most
+    rows; every task writes what it has of it, so none is gathered.
+    """
+    corpus.write.mode("overwrite").partitionBy(column).parquet(path)
+
+
 def _joined(piece: Column, separator: str) -> Column:
     """The text of structs of a place and a piece, in the order of the places."""
     return F.array_join(F.sort_array(F.collect_list(piece))["_piece"], separator)

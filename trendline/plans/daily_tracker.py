@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendline.functions.names import safe_column_names
 from trendline.operators.cleaning import drop_footer
-from trendline.operators.kpi import Kpi, kpi_rows
+from trendline.operators.kpi import Kpi, kpi_rows, stored_kpi_row
 
 DATE = "Date"
 
@@ -52,6 +52,9 @@ def tracker_kpis(tracker: DataFrame, partition_by: tuple[str, ...] = ()) -> Data
 
 
 def attach_kpis(tracker: DataFrame) -> DataFrame:
-    """The tracker with its figures on the row of the latest date, NULL elsewhere."""
-    figures = tracker_kpis(tracker).withColumnRenamed(DATE.lower(), DATE)
-    return tracker.join(figures, [DATE], "full")
+    """The tracker with its figures on the row of the latest date, NULL elsewhere.
+
+    The tracker is read several times, so it should be stored.
+    """
+    figures = safe_column_names(stored_kpi_row(tracker, DATE, TRACKER_KPIS))
+    return tracker.join(figures.withColumnRenamed(DATE.lower(), DATE), [DATE], "full")
