@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
-
-from conftest import plan_of
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
+
+from conftest import plan_of, values
 from trendline.catalog.queries import QUERIES
+from trendline.plans import chat_corpus
 
 READERS = ("read_zipped_csv", "read_workbooks")
 
@@ -50,7 +52,7 @@ def test_no_products_of_rows(name, plans):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_python_only_where_files_are_decoded(name, plans):
-    python = ("MapInPandas", "MapInArrow", "BatchEvalPython", "ArrowEvalPython")
+    python = ("MapInPandas", "MapInArrow", "BatchEvalPython", "ArrowEvalPython", "zipped_csv")
     assert any(node in plans[name] for node in python) == name.startswith(READERS)
 
 
@@ -77,3 +79,14 @@ def test_filters_reach_the_scan(plans):
     assert "EqualTo(lang,en)" in plans["corpus_split"]
     assert "StringContains(l_returnflag,R)" in plans["linelist_clean"]
     assert "LessThan(o_orderkey,ScalarSubquery" in plans["drop_footer"]
+    assert "PartitionFilters: [isnotnull(lang" in plans["corpus_split_stored"]
+
+
+def test_a_stored_split_is_read_alone(spark, tmp_path):
+    folder = str(tmp_path / "splits")
+    rows = [(n, "train" if n % 3 else None if n == 0 else "test") for n in range(30)]
+    chat_corpus.store_splits(spark.createDataFrame(rows, "id int, split string"), "split", folder)
+    left = chat_corpus.load_split(spark.read.parquet(folder), "split", "test")
+    assert values(left, "id") == sorted(((n,) for n in range(3, 30, 3)), key=repr)
+    assert all("split=test" in row.name for row in left.select(F.input_file_name().alias("name")).collect())
+    assert "PartitionFilters: [isnotnull(split" in plan_of(left)

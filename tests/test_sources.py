@@ -18,10 +18,10 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from conftest import values
+from conftest import plan_of, values
 from trendline import workspace
 from trendline.catalog import roundtrip
-from trendline.sources import files, tables, text_files, workbooks
+from trendline.sources import files, tables, text_files, workbooks, zipped_source
 from trendline.workspace import shared_folder
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -301,6 +301,94 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     assert values(spark.table("trendline_kept_table")) == [(0,), (1,), (2,), (3,)]
 
 
+@pytest.mark.parametrize("columns", ["same", "other"])
+def test_a_failure_after_any_step_leaves_a_table(spark, tmp_path, monkeypatch, columns):
+    from pyspark.sql.catalog import Catalog
+
+    name = f"trendline_steps_{columns}"
+    tables.replace_table(spark.range(4), name, str(tmp_path))
+    new = spark.range(2) if columns == "same" else spark.range(2).withColumn("more", F.lit(1))
+    plain_sql, plain_create = type(spark).sql, Catalog.createTable
+    steps = {"count": 0, "last": 99}
+
+    def step():
+        steps["count"] += 1
+        if steps["count"] == steps["last"]:
+            raise RuntimeError("lost")
+
+    def sql(self, *args, **options):
+        step()
+        return plain_sql(self, *args, **options)
+
+    def create(self, *args, **options):
+        step()
+        return plain_create(self, *args, **options)
+
+    monkeypatch.setattr(type(spark), "sql", sql)
+    monkeypatch.setattr(Catalog, "createTable", create)
+    for last in range(1, 5):
+        steps.update(count=0, last=last)
+        try:
+            tables.replace_table(new, name, str(tmp_path))
+        except RuntimeError as error:
+            assert str(error) == "lost"
+        assert spark.table(name).count() in (4, 2)
+    steps["last"] = 99
+    assert tables.replace_table(new, name, str(tmp_path)).count() == 2
+
+
+def test_a_table_of_the_same_columns_is_moved_and_not_dropped(spark, tmp_path, monkeypatch):
+    tables.replace_table(spark.range(4), "trendline_moved", str(tmp_path))
+    plain, said = type(spark).sql, []
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **o: said.append(text) or plain(self, text, *a, **o))
+    assert tables.replace_table(spark.range(7), "trendline_moved", str(tmp_path)).count() == 7
+    assert not any("DROP" in text for text in said) and any("SET LOCATION" in text for text in said)
+
+
+def test_view_names_and_values_are_no_sql_text(spark):
+    for name in ("with blank", "a`b", "semi;colon -- x"):
+        found = tables.view_scan(spark.range(5), name, "id > :least", {"least": 2})
+        assert values(found) == [(3,), (4,)]
+    texts = spark.createDataFrame([("x' OR 'a' = 'a",), ("y",)], "t string")
+    found = tables.view_scan(texts, "texts", "t = :wanted", {"wanted": "x' OR 'a' = 'a"})
+    assert found.count() == 1
+
+
+@pytest.mark.parametrize("schema", [None, "k string, k_2 string, v string"])
+def test_repeated_headings_keep_their_columns(spark, tmp_path, schema):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("a.csv", "k,k,v,\n1,2,3,4\n5,\"\"\n\"\",,\"\",\n")
+    rows = text_files.read_zipped_csv(spark, str(tmp_path), schema)
+    names = ["k", "k_2", "v"] + ([] if schema else ["_c3"])
+    assert rows.columns == names
+    texts = rows.select(*[F.col(name).cast("string") for name in names[:3]])
+    expected = [("1", "2", "3"), ("5", "", None), ("", None, "")] if schema else None
+    if expected:
+        assert values(texts) == sorted(expected, key=repr)
+    else:
+        assert ("1", "2", "3") in values(texts) and rows.count() == 3
+
+
+def test_zipped_csv_data_source(spark, tmp_path):
+    for name, members in {"a.zip": 3, "B.ZIP": 2}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as archive:
+            for n in range(members):
+                archive.writestr(f"{n}.csv", f"v,k,k\n{name}{n},{n},x\n")
+            archive.writestr("readme.txt", "no")
+    folder = str(tmp_path)
+    spark.dataSource.register(zipped_source.ZippedCsvSource)
+    every = spark.read.format("zipped_csv").load(folder)
+    assert every.columns == ["v", "k", "k_2"] and every.count() == 5
+    assert every.rdd.getNumPartitions() == 5
+    some = zipped_source.read_zipped(spark, folder, "k int, missing date")
+    assert values(some) == [(0, None), (0, None), (1, None), (1, None), (2, None)]
+    assert "k_2" not in plan_of(some) and "missing" in plan_of(some)
+    (tmp_path / "empty").mkdir()
+    assert zipped_source.read_zipped(spark, f"{folder}/empty", "a int").isEmpty()
+    with pytest.raises(Exception, match="reads text"):
+        spark.read.format("zipped_csv").schema("k int").load(folder).collect()
+
+
 def test_view(spark):
     assert values(tables.view_scan(spark.range(2), "trendline_test_view")) == [(0,), (1,)]
 

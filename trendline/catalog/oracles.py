@@ -179,6 +179,11 @@ FROM (SELECT page_id, UNNEST(items) AS item, GENERATE_SUBSCRIPTS(items, 1) AS pl
 
 PARTIES = "SELECT c_custkey AS key, c_name AS name, {0} FROM customer"
 
+# Line items of which only equal ones share their order.
+ITEM_COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_discount, quantity"
+ITEM_ORDER = f"ORDER BY {ITEM_COLUMNS}"
+ITEMS = f"(SELECT {ITEM_COLUMNS.replace('quantity', 'CAST(l_quantity AS BIGINT) AS quantity')} FROM lineitem)"
+
 ORACLES: dict[str, str] = {
     "linelist_clean": f"{TREND} SELECT event_date, age FROM cases",
     "band_daily_counts": f'{TREND} SELECT d AS "Date", {_list(SUMS)} FROM daily',
@@ -211,6 +216,19 @@ ORACLES: dict[str, str] = {
         SELECT o_orderdate, o_orderkey,
                ROW_NUMBER() OVER (ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS id
         FROM orders""",
+    "ffill_ordered": f"""
+        SELECT l_orderkey, l_linenumber, l_partkey, quantity,
+               LAST_VALUE(NULLIF(l_discount, 0) IGNORE NULLS) OVER (
+                 {ITEM_ORDER} ROWS UNBOUNDED PRECEDING) AS l_discount
+        FROM {ITEMS}""",
+    "back_fill_ordered": f"""
+        SELECT l_orderkey, l_linenumber, l_partkey, quantity,
+               FIRST_VALUE(NULLIF(l_discount, 0) IGNORE NULLS) OVER (
+                 {ITEM_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l_discount
+        FROM {ITEMS}""",
+    "lag_ordered": f"""
+        SELECT *, COALESCE(quantity - LAG(quantity, 7) OVER ({ITEM_ORDER}), 0) AS change
+        FROM {ITEMS}""",
     "zip_by_position": """
         SELECT * FROM
           (SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_custkey) AS id FROM customer) c
@@ -311,6 +329,7 @@ ORACLES: dict[str, str] = {
         SELECT o_custkey AS sheet, o_orderkey AS row_idx, o_totalprice
         FROM (SELECT *, MAX(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders) sheets
         WHERE o_orderkey < last""",
+    "corpus_split_stored": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "corpus_split": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "sft_text": f"""{TURNS}
         SELECT conv_id, COUNT(*) AS n_turns, STRING_AGG(piece, CHR(10) ORDER BY turn) AS text
@@ -336,6 +355,7 @@ ORACLES: dict[str, str] = {
     "read_csv_inferred": "SELECT * REPLACE (CAST(c_custkey AS INTEGER) AS c_custkey) FROM customer",
     "read_zipped_csv": f"""
         SELECT o_orderkey, o_totalprice, o_orderpriority, {DAY} AS day FROM orders""",
+    "read_zipped_csv_source": f"SELECT {DAY} AS day, o_orderkey FROM orders",
     "read_zipped_csv_inferred": f"""
         SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority, {DAY} AS day
         FROM orders""",
@@ -344,4 +364,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_size, p_retailprice FROM part""",
     "replace_table": "SELECT * FROM customer",
     "sql_view_scan": "SELECT * FROM customer",
+    "sql_view_filter": (
+        "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000"
+    ),
 }

@@ -21,7 +21,7 @@ from trendline.operators.bands import band_daily_counts
 from trendline.plans import band_trend as trend
 from trendline.plans import chat_corpus, label_repair, page_tables
 from trendline.plans import daily_tracker as tracker_job
-from trendline.sources import tables, text_files, workbooks
+from trendline.sources import tables, text_files, workbooks, zipped_source
 from trendline.workspace import shared_folder, written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,32 @@ def zip_by_position(spark, sf_dir):
     return ordered.zip_by_position(customers, suppliers, "c_custkey", "s_suppkey")
 
 
+def _items(spark, sf_dir):
+    """Line items; a discount of 0 counts as missing. Only equal items share their order."""
+    quantity = F.col("l_quantity").cast("bigint").alias("quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_discount", quantity
+    )
+
+
+ITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_discount", "quantity"]
+
+
+@query
+def ffill_ordered(spark, sf_dir):
+    return ordered.forward_fill(_items(spark, sf_dir), ITEM_ORDER, ["l_discount"])
+
+
+@query
+def back_fill_ordered(spark, sf_dir):
+    return ordered.back_fill(_items(spark, sf_dir), ITEM_ORDER, ["l_discount"], zero_is_missing=True)
+
+
+@query
+def lag_ordered(spark, sf_dir):
+    return ordered.lagged_change(_items(spark, sf_dir), ITEM_ORDER, {"quantity": "change"}, rows=7)
+
+
 # Headline figures
 
 
@@ -330,6 +356,14 @@ def corpus_split(spark, sf_dir):
     return chat_corpus.load_split(documents, "lang", "en").select("doc_id", "text")
 
 
+@query
+def corpus_split_stored(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    folder = shared_folder(spark, "splits")
+    chat_corpus.store_splits(documents, "lang", folder)
+    return chat_corpus.load_split(spark.read.parquet(folder), "lang", "en").select("doc_id", "text")
+
+
 @query
 def sft_text(spark, sf_dir):
     return chat_corpus.conversation_texts(table(spark, sf_dir, "conversations"))
@@ -410,6 +444,12 @@ def read_zipped_csv(spark, sf_dir):
     return text_files.read_zipped_csv(spark, *_zip_folder(spark, sf_dir))
 
 
+@query
+def read_zipped_csv_source(spark, sf_dir):
+    folder, _ = _zip_folder(spark, sf_dir)
+    return zipped_source.read_zipped(spark, folder, "day date, o_orderkey long")
+
+
 @query
 def read_zipped_csv_inferred(spark, sf_dir):
     folder, _ = _zip_folder(spark, sf_dir)
@@ -445,4 +485,14 @@ def replace_table(spark, sf_dir):
 
 @query
 def sql_view_scan(spark, sf_dir):
-    return tables.view_scan(table(spark, sf_dir, "customer"), "trendline_customers")
+    return tables.view_scan(table(spark, sf_dir, "customer"), "trendline customers")
+
+
+@query
+def sql_view_filter(spark, sf_dir):
+    return tables.view_scan(
+        table(spark, sf_dir, "customer"),
+        "customers `by segment`",
+        "c_mktsegment = :segment AND c_acctbal > :least",
+        {"segment": "BUILDING", "least": 1000},
+    )

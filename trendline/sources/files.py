@@ -70,3 +70,22 @@ def write_file(uri: str, content: bytes, attempt: int) -> None:
     with system.open_output_stream(draft) as stream:
         stream.write(content)
     system.move(draft, path)
+
+
+def column_names(header: list[str | None], width: int) -> list[str]:
+    """A name for every column of a sheet or file: its heading, or its place where it has none.
+
+    Without a heading, the column in the third place is ``_c2``; repeated headings are numbered from
+    2.
+    """
+    taken: set[str] = set()
+    names = []
+    for place in range(max(width, len(header))):
+        base = (header[place] if place < len(header) else None) or f"_c{place}"
+        name, repeat = base, 1
+        while name in taken:
+            repeat += 1
+            name = f"{base}_{repeat}"
+        taken.add(name)
+        names.append(name)
+    return names

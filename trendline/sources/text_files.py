@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from trendline.sources.files import check_scheme, files_below, open_file
+from trendline.sources.files import check_scheme, column_names, files_below, open_file
 from trendline.sources.inference import inferred_schema, typed
 from trendline.workspace import written_once
 
@@ -95,13 +95,14 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
 
 
-def _header(archive, member: str) -> list[str]:
-    """The first record of a member."""
+def header_of(archive, member: str) -> list[str]:
+    """The column names of a member, from its first record."""
     import csv
     import io
 
     with archive.open(member) as raw:
-        return next(csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")), [])
+        first = next(csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")), [])
+    return column_names(first, len(first))
 
 
 def member_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def member_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for address, member in _members(batches):
         with open_file(address) as stream, zipfile.ZipFile(stream) as archive:
-            names = pa.array([_header(archive, member)], pa.list_(pa.string()))
+            names = pa.array([header_of(archive, member)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([member]), names], ["member", "names"])
 
 
@@ -130,7 +131,7 @@ def member_records(
     for address, member in _members(batches):
         short: list[list[str | None]] = []
         with open_file(address) as stream, zipfile.ZipFile(stream) as archive:
-            names = _header(archive, member)
+            names = header_of(archive, member)
             if not names:
                 continue
             places = [names.index(name) if name in names else None for name in wanted]
@@ -139,8 +140,9 @@ def member_records(
             def keep_short(row, width=len(names), short=short) -> str:
                 if row.actual_columns > width:
                     return "error"
-                cells = next(plain.reader([row.text]))
-                short.append([cell or None for cell in cells] + [None] * (width - len(cells)))
+                # As in full records, an empty cell is NULL and a quoted one is empty text.
+                cells = next(plain.reader([row.text], quoting=plain.QUOTE_NOTNULL))
+                short.append(cells + [None] * (width - len(cells)))
                 return "skip"
 
             with archive.open(member) as raw:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendline.sources.files import files_below
+from trendline.sources.files import column_names, files_below
 from trendline.sources.inference import inferred_schema, typed
 
 # Tasks get the functions below by value, so executors need no copy of this package.
@@ -125,25 +125,6 @@ def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | No
                 yield place, cells
 
 
-def column_names(header: list[str | None], width: int) -> list[str]:
-    """A name for every column of a sheet: its heading, or its place where it has none.
-
-    Without a heading, the column in the third place is ``_c2``; repeated headings are numbered from
-    2.
-    """
-    taken: set[str] = set()
-    names = []
-    for place in range(max(width, len(header))):
-        base = (header[place] if place < len(header) else None) or f"_c{place}"
-        name, repeat = base, 1
-        while name in taken:
-            repeat += 1
-            name = f"{base}_{repeat}"
-        taken.add(name)
-        names.append(name)
-    return names
-
-
 def _aligned(rows, wanted: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     """The rows below the header row, their cells in the order of the names."""
     _, header = next(rows, (0, []))
