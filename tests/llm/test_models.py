@@ -87,6 +87,46 @@ def test_weights_are_log_ratios_of_counts():
     assert by_place == Counter(frozenset(places) for places in plain.values())
 
 
+def plain_resample(spark, rows, labels):
+    """Log weights, keys and decisions of the documents, worked out one by one."""
+    noise_of = spark.createDataFrame([row[:2] for row in rows], "id bigint, text string")
+    noise = {row[0]: row[1] for row in noise_of.select("id", quality.gumbel(F.col("id"), F.col("text"))).collect()}
+    halves = spark.createDataFrame([label[:1] for label in labels], "id bigint")
+    halves = dict(halves.select("id", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2))).collect())
+    grams = {key: quality.Hasher().features([text.encode()])[0].tolist() for key, text, *_ in rows}
+    raw = Counter(gram for found in grams.values() for gram in found)
+
+    def model(keys):
+        target = Counter(gram for key in keys for gram in grams[key])
+        sizes = sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+        return lambda key: sum(
+            math.log((target[gram] + 1) / sizes[0]) - math.log((raw[gram] + 1) / sizes[1])
+            for gram in grams[key]
+        )
+
+    good = [key for key, wanted, toxic in labels if wanted and not toxic]
+    weights = {key: model(good)(key) for key in grams}
+    others = [model([key for key in good if halves[key] != half]) for half in range(2)]
+    scored = [(others[halves[key]](key), bool(wanted)) for key, wanted, _ in labels]
+    at_least = quality.threshold(scored)
+    keys = {key: weights[key] + noise[key] for key in weights}
+    k = sum(weight >= at_least for weight in weights.values())
+    kept = set(sorted(keys, key=keys.get)[::-1][:k])
+    return {key: (weights[key], keys[key], key in kept) for key in weights}
+
+
+def test_resampling_equals_plain_python(spark):
+    rows, labels = judged(spark, 200)
+    labels = [(key, wanted, int(key % 11 == 0)) for key, wanted, _ in labels]
+    expected = plain_resample(spark, rows, labels)
+    found = quality.resample(samples.documents(spark, rows), spark.createDataFrame(labels, LABELS))
+    columns = found.select("_doc.doc_id", "log_weight", "sample_key", "kept").collect()
+    assert len(columns) == len(expected)
+    for key, weight, sample_key, kept in columns:
+        assert (weight, sample_key) == pytest.approx(expected[key][:2], abs=1e-6)
+        assert kept == expected[key][2]
+
+
 def test_quality_of_awkward_documents(spark):
     docs = samples.documents(spark)
     labels = [(n, n % 2, 0) for n in range(40)] + [(None, 1, 0), (41, None, 0), (3, 1, None), (3, 0, 1)]

@@ -70,41 +70,50 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, block
 
 
-def ngram_counts(docs: DataFrame, text: str, is_target: str, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket``, ``raw`` and ``target``: counts over all rows and over those of the target.
+def ngram_counts(docs: DataFrame, text: str, half: str, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket``, ``raw``, ``target0`` and ``target1``: counts over all rows and over those of
+    either half of the target, whose number is in the column ``half`` (NULL: not in the target).
 
     Every task hands on one row per bucket; the number of buckets is fixed.
     """
+    names = ["bucket", "raw", "target0", "target1"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        counts = np.zeros((3, buckets), np.int64)
         for batch in batches:
-            chosen = np.array(batch["_target"].to_pylist(), bool)
+            halves = np.array(batch["_half"].to_pylist(), np.int64)
             for start, block in _blocks(batch["_text"].to_pylist()):
                 bucket, number = hasher.features(block)
-                raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[chosen[start + number]], minlength=buckets)
-        seen = np.flatnonzero(raw)
-        arrays = [pa.array(values, pa.int64()) for values in (seen, raw[seen], target[seen])]
-        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "raw", "target"])
+                counts[0] += np.bincount(bucket, minlength=buckets)
+                for half in range(2):
+                    chosen = bucket[halves[start + number] == half]
+                    counts[1 + half] += np.bincount(chosen, minlength=buckets)
+        seen = np.flatnonzero(counts[0])
+        arrays = [pa.array(values, pa.int64()) for values in (seen, *counts[:, seen])]
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(
-        docs[text].alias("_text"), F.coalesce(docs[is_target], F.lit(False)).alias("_target")
+        docs[text].alias("_text"), F.coalesce(docs[half].cast("int"), F.lit(-1)).alias("_half")
     )
-    counts = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint")
-    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = rows.mapInArrow(count, ", ".join(f"{name} bigint" for name in names))
+    return counts.groupBy("bucket").agg(*[F.sum(name).alias(name) for name in names[1:]])
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The log of target over raw probability of every bucket, smoothed.
+def bucket_counts(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Raw counts and those of both halves, a row each.
 
-    One number per bucket comes to the driver and goes to every task, 512 KB however large the
-    corpus.
+    Three numbers per bucket come to the driver, however large the corpus.
     """
-    raw, target = np.zeros(buckets), np.zeros(buckets)
+    found = np.zeros((3, buckets))
     for row in counts.collect():
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+        found[:, row["bucket"]] = row["raw"], row["target0"], row["target1"]
+    return found
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log of target over raw probability of every bucket, smoothed; 512 KB for every task."""
+    buckets = len(raw)
     if not target.any():
         return np.zeros(buckets)
     models = [
@@ -194,11 +203,11 @@ def resample(
     The target model counts the hashed words and word pairs of labelled documents of quality 1 that
     are not toxic, the raw model those of all documents. A document's log weight is the log ratio of
     both over its whole text; with Gumbel noise added, the k largest are kept. k is how many
-    documents weigh at least what best tells quality 1 from quality 0 among labelled documents that
-    the target model has not seen.
+    documents weigh at least what best tells quality 1 from quality 0 among the labelled documents,
+    each of them weighed by a model of the half of the target that it is not in.
 
-    ``most_labels`` bounds the labelled rows used for fitting (by a hash of the key; half for the
-    target model, half for the threshold). Everything else counts all documents. NULL texts count as
+    ``most_labels`` bounds the labelled rows used for fitting (by a hash of the key). Everything
+    else counts all documents. NULL texts count as
     empty and weigh 0; the noise depends on key and text, so rows that agree in both are kept or not
     together, and so are ties at the kth key. A document with several labels takes the smallest
     quality and the largest toxicity; NULL labels and NULL keys do not count. Without usable labels
@@ -215,7 +224,7 @@ def resample(
         "_key",
         ((F.col("_quality") == 1) & (F.col("_toxic") == 0)).alias("_good"),
         (F.col("_quality") == 1).alias("_wanted"),
-        (F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(2)) == 0).alias("_models"),
+        F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(2)).alias("_half"),
     )
     entries = docs.select(
         docs[key].alias("_id"),
@@ -224,17 +233,21 @@ def resample(
     )
     # At most most_labels rows of a key and three flags.
     marked = entries.join(F.broadcast(sample), entries["_id"] == sample["_key"], "left")
-    target = (F.col("_models") & F.col("_good")).alias("_target")
-    counts = ngram_counts(marked.select("_text", target), "_text", "_target", buckets)
-    ratios = log_ratios(counts, buckets)
+    half = F.when(F.col("_good"), F.col("_half")).alias("_half")
+    counts = ngram_counts(marked.select("_text", half), "_text", "_half", buckets)
+    raw, *halves = bucket_counts(counts, buckets)
+    ratios = log_ratios(raw, halves[0] + halves[1])
     weighed = with_log_weights(entries, "_text", ratios, "log_weight").withColumn(
         "sample_key", F.col("log_weight") + gumbel(F.col("_id"), F.col("_text"))
     )
     weighed = written_once(weighed.drop("_text"), "weighed")
-    checks = weighed.select("_id", "log_weight").join(
-        F.broadcast(sample.filter("not _models")), F.col("_id") == F.col("_key")
-    )
-    scored = [(row[0], row[1]) for row in checks.select("log_weight", "_wanted").collect()]
+    # Each labelled document is scored by the model of the half that it is not in.
+    labelled = marked.filter("_key is not null").select("_text", "_wanted", "_half")
+    scored = []
+    for number, other in enumerate(halves[::-1]):
+        checks = labelled.filter(F.col("_half") == number)
+        checks = with_log_weights(checks, "_text", log_ratios(raw, other), "log_weight")
+        scored += [tuple(row) for row in checks.select("log_weight", "_wanted").collect()]
     at_least = threshold(scored)
     fixed = F.round(F.col("sample_key") * F.lit(FIXED_POINT)).cast(LongType())
     wanted = weighed.filter(F.col("log_weight") >= F.lit(at_least)).count()
