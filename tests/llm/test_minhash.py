@@ -117,11 +117,14 @@ def test_awkward_rows(spark):
 
 def test_part_keys_meet_as_often_as_they_should():
     draw = np.random.default_rng(1)
-    met = 0
+    met, farthest = 0, 0
     for _ in range(300):
-        words = [b"%d" % n for n in draw.integers(0, 10**9, 900)]
-        one, two = set(words[:810]), set(words[90:])  # similarity 0.8
-        first = minhash.part_keys(one).reshape(minhash.DEALS, 2, minhash.PARTS)
-        second = minhash.part_keys(two).reshape(minhash.DEALS, 2, minhash.PARTS)
-        met += all((first[0, side] == second[0, side]).any() for side in range(2))
-    assert met >= 297
+        words = [b"%d" % n for n in draw.integers(0, 10**9, 1000)]
+        one, two = minhash.minhashes(set(words[:900])), minhash.minhashes(set(words[100:]))
+        first, second = (minhash.part_keys(x).reshape(2, minhash.PARTS) for x in (one, two))
+        met += (first == second).any(axis=1).all()
+        bits = minhash.sketch(one) ^ minhash.sketch(two)
+        farthest = max(farthest, sum(((one ^ two) & np.uint64(3)) != 0))
+        told = sum(bin((b | b >> 1) & 0x5555555555555555).count("1") for b in bits.tolist())
+        assert told == sum(((one ^ two) & np.uint64(3)) != 0)
+    assert met >= 297 and farthest < minhash.MOST_DIFFERENT

@@ -1,15 +1,18 @@
 """Near duplicates by MinHash with tensored banding, verified on whole shingle sets.
 
-A table's key is a pair of part keys: one out of eight of a first collection and one out of eight of
-a second one, each made of two minhashes. 32 minhashes so give 64 tables of four, which 256 would
-be computed for otherwise. Two sets of similarity 0.8 share a part in either collection, and with
-that a table's bucket, in 99.9 cases of 100.
+A table's key is a pair of part keys: one out of twelve of a first collection and one out of twelve
+of a second one, each made of three minhashes. 72 minhashes so give 144 tables of six, for which 864
+would be computed otherwise. Two sets of similarity 0.8 share a part in either collection, and with
+that a table's bucket, in 99.9 cases of 100. A part that nobody shares makes no table.
 
-Buckets may be as large as a group of near copies, so they are not paired off. In a few rounds every
+Buckets may be as large as a group of near copies, so they are not paired off. In three rounds every
 member meets a pivot of its bucket; what that links is one component from then on, and members of
-one component need no comparing. What is left of large buckets is dealt again by 64 tables of
-other minhashes, and the rest meets in pairs of different components. Each pair is verified on the
-distinct shingles of both whole texts.
+one component need no comparing. Then those outside a bucket's largest component meet all others;
+where they are many, the bucket is dealt again by the other tables of its members first.
+
+Two bits of each minhash are a sketch of the set. Pairs that differ in more than 26 of the 72 go
+no further: sets of similarity 0.8 do so once in a million cases. The rest is verified on the distinct
+shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS = 4
 LEAST_PERCENT = 80
-PARTS = 8
-HASHES_IN_PART = 2
-DEALS = 2
-PIVOT_ROUNDS = 2
-MOST_PAIRED = 64
+PARTS = 12
+HASHES_IN_PART = 3
+SKETCH = ("sketch0", "sketch1", "sketch2")
+MOST_DIFFERENT = 26
+PIVOT_ROUNDS = 3
+MOST_PAIRED = 1000
 SALTS = 256
 HASHES_AT_ONCE = 1 << 13
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,17 +57,22 @@ def shingles(text: str | bytes | None, shingle_words: int = SHINGLE_WORDS) -> se
     return set(map(b" ".join, zip(*(words[place:] for place in range(width)), strict=False)))
 
 
-def part_keys(found: set[bytes]) -> np.ndarray:
-    """The part keys of a set: for each deal those of its first, then of its second collection."""
+def minhashes(found: set[bytes]) -> np.ndarray:
+    """The least hash of a set under each function."""
     from xxhash import xxh64_intdigest
 
-    functions = DEALS * 2 * PARTS * HASHES_IN_PART
+    functions = 2 * PARTS * HASHES_IN_PART
     seeds = mixed(np.arange(1, functions + 1, dtype=np.uint64) * FIRST)
     values = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
     least = np.full(functions, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(values), HASHES_AT_ONCE):
         some = mixed(values[start : start + HASHES_AT_ONCE, None] ^ seeds)
         np.minimum(least, some.min(axis=0), out=least)
+    return least
+
+
+def part_keys(least: np.ndarray) -> np.ndarray:
+    """The part keys of the first collection, then those of the second one."""
     parts = least.reshape(-1, HASHES_IN_PART)
     keys = np.zeros(len(parts), np.uint64)
     for column in parts.T:
@@ -71,6 +80,14 @@ def part_keys(found: set[bytes]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two bits of every minhash, side by side in three numbers."""
+    bits = np.zeros((32 * len(SKETCH), 2), np.uint8)
+    for place in range(2):
+        bits[: len(least), place] = (least >> np.uint64(place)) & np.uint64(1)
+    return np.packbits(bits.ravel(), bitorder="little").view(np.int64)
+
+
 def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: bool) -> DataFrame:
     """Every row with its number, its words, their digest, the size of its set and its part keys."""
     own = [F.struct(*[docs[name] for name in docs.columns]).alias("_doc")] if whole else []
@@ -80,47 +97,51 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
     schema = StructType(rows.select(*kept).schema.fields)
     schema = schema.add("words", BinaryType()).add("digest", BinaryType())
     schema = schema.add("size", LongType()).add("parts", ArrayType(LongType()))
+    for name in SKETCH:
+        schema = schema.add(name, LongType())
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         for batch in batches:
-            words, digests, sizes, parts = [], [], [], []
+            words, digests, sizes, parts, sketches = [], [], [], [], []
             for text in batch["_text"]:
                 lowered = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 words.append(b" ".join(lowered.split()))
                 found = shingles(words[-1], shingle_words)
                 digests.append(sha256(words[-1]).digest())
                 sizes.append(len(found))
-                parts.append(part_keys(found) if found else None)
+                least = minhashes(found)
+                parts.append(part_keys(least))
+                sketches.append(sketch(least))
             columns = [
                 *(batch[name] for name in kept),
                 pa.array(words, pa.binary()),
                 pa.array(digests, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array(parts, pa.list_(pa.int64())),
+                *(pa.array(column) for column in np.array(sketches, np.int64).reshape(-1, 3).T),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return written_once(rows.mapInArrow(mark, schema), "minhash-rows")
 
 
-def _tables(parts: str, deal: int) -> Column:
-    """The keys of all tables of a deal: every first part with every second one."""
-    start = 2 * PARTS * deal + 1
-    first, second = F.slice(parts, start, PARTS), F.slice(parts, start + PARTS, PARTS)
-    return F.flatten(
-        F.transform(
-            first,
-            lambda a, i: F.transform(second, lambda b, j: F.xxhash64(i * F.lit(PARTS) + j, a, b)),
-        )
-    )
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys more than one row has."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return rows.join(written_once(counts.select(*keys), "keys"), keys)
 
 
-def _shared(keyed: DataFrame, purpose: str) -> DataFrame:
-    """The rows of keys that more than one row has."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    return written_once(keyed.join(written_once(counts.select("key"), "keys"), "key"), purpose)
+def _tables(classes: DataFrame) -> DataFrame:
+    """``node`` and the keys ``tables`` of all pairs of its parts that others share as well."""
+    parts = classes.select("node", F.posexplode("parts").alias("place", "part"))
+    listed = F.collect_list(F.struct("place", "part")).alias("parts")
+    shared = _shared(parts, ["place", "part"]).groupBy("node").agg(listed)
+    first = F.filter("parts", lambda part: part["place"] < PARTS)
+    second = F.filter("parts", lambda part: part["place"] >= PARTS)
+    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
+    return shared.select("node", keys.alias("tables")).filter(F.size("tables") > 0)
 
 
 def _rooted(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -131,35 +152,52 @@ def _rooted(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return known.withColumn("root", F.coalesce("root", "node"))
 
 
-def _alike_in_size(percent: int) -> Column:
-    """Sets of so different sizes cannot be similar enough."""
+def _may_be_similar(percent: int) -> Column:
+    """Different components, sizes near enough, sketches near enough, in columns and ``other_`` ones."""
     small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
-    return F.lit(100) * small >= F.lit(percent) * large
+    pairs_of_bits = F.lit(0x5555555555555555)
+    different = [F.col(name).bitwiseXOR(F.col(f"other_{name}")) for name in SKETCH]
+    counts = [
+        F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(pairs_of_bits))
+        for bits in different
+    ]
+    near = sum(counts[1:], counts[0]) <= F.lit(MOST_DIFFERENT)
+    sized = F.lit(100) * small >= F.lit(percent) * large
+    return (F.col("root") != F.col("other_root")) & sized & near
 
 
 def _pivot_pairs(rooted: DataFrame, number: int, percent: int) -> DataFrame:
     """Every member of a bucket of several components with the bucket's pivot."""
-    draw = F.struct(F.xxhash64(F.lit(number), "node"), "node", "root", "size")
+    own = ["node", "root", "size", *SKETCH]
+    draw = F.struct(F.xxhash64(F.lit(number), "node"), *own)
     open_ones = rooted.groupBy("key").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.min(draw).alias("pivot")
     )
-    open_ones = open_ones.filter("_low <> _high").select(
-        "key",
-        F.col("pivot.node").alias("other"),
-        F.col("pivot.root").alias("other_root"),
-        F.col("pivot.size").alias("other_size"),
-    )
-    pairs = rooted.join(written_once(open_ones, "pivots"), "key")
-    pairs = pairs.filter((F.col("root") != F.col("other_root")) & _alike_in_size(percent))
-    return pairs.select("node", "other").distinct()
+    pivots = [F.col(f"pivot.{name}").alias(f"other_{name}") for name in own]
+    open_ones = written_once(open_ones.filter("_low <> _high").select("key", *pivots), "pivots")
+    pairs = rooted.join(open_ones, "key").filter(_may_be_similar(percent))
+    return pairs.select("node", F.col("other_node").alias("other")).distinct()
 
 
-def _all_pairs(rooted: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that are in different components."""
-    right = rooted.toDF(*(f"other_{name}" for name in rooted.columns))
-    pairs = rooted.join(right, F.col("key") == F.col("other_key"))
-    pairs = pairs.filter((F.col("node") > F.col("other_node")) & _alike_in_size(percent))
-    pairs = pairs.filter(F.col("root") != F.col("other_root"))
+def _with_largest(rooted: DataFrame) -> DataFrame:
+    """Members of buckets of several components: outside the largest one, and are there many such?"""
+    held = rooted.groupBy("key", "root").agg(F.count("*").alias("_n"))
+    held = held.groupBy("key").agg(
+        F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all")
+    )
+    rest = F.col("_all") - F.col("_most._n")
+    held = held.select("key", F.col("_most.root").alias("_largest"), (rest > MOST_PAIRED).alias("many"), rest.alias("_rest"))
+    held = written_once(held.filter("_rest > 0").drop("_rest"), "open")
+    outside = (F.col("root") != F.col("_largest")).alias("outside")
+    return rooted.join(held, "key").select(*rooted.columns, outside, "many")
+
+
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Those outside the largest component of their bucket with all of other components."""
+    right = rows.toDF(*(f"other_{name}" for name in rows.columns))
+    once = ~F.col("other_outside") | (F.col("node") > F.col("other_node"))
+    met = (F.col("key") == F.col("other_key")) & once & _may_be_similar(percent)
+    pairs = rows.filter("outside").join(right, met)
     return pairs.select("node", F.col("other_node").alias("other")).distinct()
 
 
@@ -199,8 +237,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: i
 
 def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: int):
     """``node`` and ``root`` of the classes that are linked to a smaller one, or None."""
-    keyed = classes.select("node", "size", F.explode(_tables("parts", 0)).alias("key"))
-    buckets = _shared(keyed, "buckets")
+    tables = written_once(_tables(classes), "tables")
+    keyed = tables.select("node", F.explode("tables").alias("key"))
+    described = classes.select("node", "size", *SKETCH)
+    buckets = written_once(_shared(keyed, ["key"]).join(described, "node"), "buckets")
     met = written_once(buckets.select("node").distinct(), "met")
     texts = rows.select(F.col("_row").alias("node"), "words").join(met, "node", "left_semi")
     texts = written_once(texts, "texts")
@@ -215,18 +255,12 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
 
     for number in range(PIVOT_ROUNDS):
         add(_pivot_pairs(_rooted(buckets, roots), number, percent))
-    rooted = written_once(_rooted(buckets, roots), "rooted")
-    left = rooted.groupBy("key").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
-    )
-    left = left.filter("_low <> _high").withColumn("_large", F.col("_n") > MOST_PAIRED)
-    left = written_once(rooted.join(written_once(left.select("key", "_large"), "left"), "key"), "open")
-    small = left.filter("not _large").drop("_large")
-    large = left.filter("_large").join(classes.select("node", "parts"), "node")
-    again = large.select("key", "node", "size", "root", F.explode(_tables("parts", 1)).alias("_t"))
-    again = again.select(F.xxhash64("key", "_t").alias("key"), "node", "size", "root")
-    again = _shared(again.select(small.columns), "dealt-again")
-    add(_all_pairs(small, percent).union(_all_pairs(again, percent)).distinct())
+    rows = written_once(_with_largest(written_once(_rooted(buckets, roots), "rooted")), "open")
+    few, many = rows.filter("not many"), rows.filter("many")
+    again = many.join(tables, "node").withColumn("_table", F.explode("tables"))
+    again = again.filter("_table <> key").withColumn("key", F.xxhash64("key", "_table"))
+    again = written_once(_shared(again.select(rows.columns), ["key"]), "dealt-again")
+    add(_all_pairs(few, percent).union(_all_pairs(again, percent)).distinct())
     return roots
 
 
@@ -237,7 +271,7 @@ def _named(rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
         F.min("_row").alias("node"),
         F.min(order).alias("first"),
         F.first("size").alias("size"),
-        F.first("parts").alias("parts"),
+        *[F.first(name).alias(name) for name in ("parts", *SKETCH)],
     )
     classes = written_once(classes, "classes")
     roots = _linked(classes, rows, shingle_words, percent)
