@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trendline.llm.common import word_count
 from trendline.llm.hashing import MIX, PrefixHash, mixed
-from trendline.workspace import kept_partitions, written_once
+from trendline.workspace import written_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,7 +23,7 @@ SCORED_FOLD = 2  # is not learnt from
 WEIGHT_FOLD = 3  # of the training documents: the held-out counts that the weights are learnt on
 BLOCK_BYTES = 8 << 20
 BYTES_AT_ONCE = 1 << 20
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 3 << 20
 COUNTS_AT_ONCE = 1 << 20
 PARTS = 8
 HOT_SHARE = 4_000
@@ -195,11 +195,10 @@ def _deal(known: Statistics):
     """Occurrences of each block, packed by shard.
 
     A shard has all occurrences of its tokens; those of a hot token are dealt by context as well,
-    and those of a hot pair by document. A block's counts of hot pairs, by fold, come under shards
-    from -1 down, its keys under shards below minus their number. A row holds, in order of token and
-    context: the tokens, how many contexts each has, the places of those among the row's contexts,
-    how many documents each of them has, the documents, and how often it is in them; then the
-    contexts, the places in the block and the folds of its documents.
+    and those of a hot pair by document. A block's keys come under shards from -1 down. A row holds,
+    in order of token and context: the tokens, how many contexts each has, the places of those among
+    the row's contexts, how many documents each of them has, the documents, and how often it is in
+    them; then the contexts, the places in the block and the folds of its documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +211,7 @@ def _deal(known: Statistics):
             for part, texts in _blocks(batch):
                 block += 1
                 own_keys, own_folds = keys[part], folds[part]
-                yield _packed(-1 - known.shards - block % known.shards, block, {"keys": own_keys})
+                yield _packed(-1 - block % known.shards, block, {"keys": own_keys})
                 found = Tokens(hashes, texts)
                 order = np.lexsort((found.doc, found.context, found.token))
                 token, context, doc = found.token[order], found.context[order], found.doc[order]
@@ -225,14 +224,6 @@ def _deal(known: Statistics):
                 crowd, _ = _places(known.pairs, shard)
                 crowd &= hot
                 if crowd.any():
-                    kinds = own_folds[doc[crowd]]
-                    order = np.lexsort((kinds, context[crowd], token[crowd]))
-                    by_kind = (token[crowd][order], context[crowd][order], kinds[order])
-                    first = _runs(*by_kind)
-                    sums = np.add.reduceat(times[crowd][order], first)
-                    values = (*(value[first] for value in by_kind), sums)
-                    packed = _occurrences(*values, np.arange(3))
-                    yield _packed(-1 - block % known.shards, block, packed)
                     shard[crowd] += own_keys[doc[crowd]].view(np.uint64)
                 shard = (mixed(shard) % np.uint64(known.shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -264,6 +255,21 @@ FIELDS = {
 }
 COUNTS = {"context": np.uint64, "context_n": np.int64, "context_n_learnt": np.int64}
 QUESTIONS = {"context": np.uint64, "asking": np.uint32}
+# Of a shard: what its events are, the events of each of its documents, whose documents these are;
+# and its held-out events.
+EVENTS = {
+    "n": np.int64,
+    "context_n": np.int64,
+    "token_n": np.int64,
+    "events_of": np.uint32,
+    "event": np.uint32,
+    "event_times": np.uint32,
+    "blocks": np.int64,
+    "docs_of_block": np.uint32,
+    "places": np.uint16,
+}
+CELLS_OF = {"cells": np.int64, "cell_counts": np.int64}
+STORED = {**EVENTS, **CELLS_OF, "keys": np.int64}
 SUMS = {"places": np.uint16, "n_known": np.uint32, "base": np.float64, "score": np.float64}
 
 
@@ -469,20 +475,93 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, buckets: int = 64) -> n
 
 
 def _log10_probabilities(
-    known: Statistics, shard: Shard, weights: np.ndarray
+    known: Statistics, events: dict[str, np.ndarray], weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Of each pair: the model's probability and that of add-one counts."""
-    count = shard.context_n
+    """Of each event: the model's probability and that of add-one counts."""
+    count = events["context_n"]
     weight = weights[bucket_of(count)]
     model = (
-        weight[:, 0] * shard.n / np.maximum(count, 1)
-        + weight[:, 1] * shard.token_n / max(1, known.tokens)
+        weight[:, 0] * events["n"] / np.maximum(count, 1)
+        + weight[:, 1] * events["token_n"] / max(1, known.tokens)
         + weight[:, 2] / (known.distinct + 1)
     )
-    base = (shard.token_n + 1) / (known.tokens + 1 * (known.distinct + 1))
+    base = (events["token_n"] + 1) / (known.tokens + 1 * (known.distinct + 1))
     return np.log10(model), np.log10(base)
 
 
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _runs(keys)
+    sums = np.add.reduceat(times[order], first, dtype=np.int64) if len(first) else times
+    return keys[first], sums
+
+
+def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct combinations of some columns, and for each place the number of its combination."""
+    order = np.lexsort(columns)
+    columns = columns[:, order]
+    first = _runs(*columns)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return columns[:, first], number
+
+
+def _events(
+    known: Statistics, rows: list[dict[str, np.ndarray]], counts: dict[str, np.ndarray]
+) -> dict[str, np.ndarray]:
+    """What the weights and the scores need of a shard: its events by document, and its cells.
+
+    An event is a combination of the three counts that a probability comes from. Events are numbered
+    from the most frequent one on; most numbers so are small. Takes rows and counts apart, so that
+    they are not held longer than needed.
+    """
+    combined, docs, events, times, cells = [], [], [], [], []
+    start = 0
+    for part in _parts(rows):
+        shard = Shard(known, part, counts)
+        cells.append(held_out_cells(known, shard))
+        of_part, number = _distinct(np.stack([shard.n, shard.context_n, shard.token_n]))
+        width = of_part.shape[1]
+        entry, of_entry = _summed(shard.doc * np.int64(width) + number[shard.pair], shard.times)
+        combined.append(of_part)
+        docs.append((entry // width).astype(np.uint32))
+        events.append((entry % width + start).astype(np.uint32))
+        times.append(of_entry.astype(np.uint32))
+        start += width
+        del shard, part, number, entry, of_entry
+    blocks = np.array([row["block"] for row in rows])
+    places = [row["places"] for row in rows]
+    rows.clear()
+    counts.clear()
+    combined, number = _distinct(np.concatenate(combined, axis=1))
+    doc, event = np.concatenate(docs), np.concatenate(events)
+    del docs, events
+    event = number[event].astype(np.uint32)
+    often = np.argsort(-np.bincount(event, minlength=combined.shape[1]), kind="stable")
+    number = np.empty(len(often), np.uint32)
+    number[often] = np.arange(len(often), dtype=np.uint32)
+    event = number[event]
+    order = np.argsort(doc, kind="stable")
+    docs_of_block = [len(own) for own in places]
+    events_of = np.bincount(doc, minlength=sum(docs_of_block))
+    event, times = event[order], np.concatenate(times)[order]
+    cell, cell_counts = (np.concatenate(values) for values in zip(*cells, strict=True))
+    cell, cell_counts = _summed(cell, cell_counts)
+    return {
+        **dict(zip(("n", "context_n", "token_n"), combined[:, often], strict=True)),
+        "events_of": events_of,
+        "event": event,
+        "event_times": times,
+        "blocks": blocks,
+        "docs_of_block": np.array(docs_of_block),
+        "places": np.concatenate(places),
+        "cells": cell,
+        "cell_counts": cell_counts,
+    }
+
+
 def _shards(
     batches: Iterator[pa.RecordBatch],
 ) -> Iterator[tuple[list[dict[str, np.ndarray]], dict[str, np.ndarray]]]:
@@ -490,21 +569,26 @@ def _shards(
     current, rows, parts = None, [], []
     for row in _unpacked(batches, {**FIELDS, **COUNTS}):
         if row["shard"] != current and rows:
-            yield rows, _by_context(parts)
-            rows, parts = [], []
+            counts, parts = _by_context(parts), []
+            yield rows, counts
+            rows = []
         current = row["shard"]
         (parts if "context" in row else rows).append(row)
     if rows:
-        yield rows, _by_context(parts)
+        counts, parts = _by_context(parts), []
+        yield rows, counts
 
 
 def _by_context(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    counts = {
-        name: np.concatenate([np.zeros(0, kind), *(part[name] for part in parts)])
-        for name, kind in COUNTS.items()
-    }
-    order = np.argsort(counts["context"])
-    return {name: values[order] for name, values in counts.items()}
+    """The counts of the parts in order of context; empties the parts."""
+
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, COUNTS[name]), *(part.pop(name) for part in parts)])
+
+    context = joined("context")
+    order = np.argsort(context)
+    rest = {name: joined(name)[order] for name in COUNTS if name != "context"}
+    return {"context": context[order], **rest}
 
 
 def _cuts(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -608,7 +692,7 @@ def _context_counts(known: Statistics, rows: DataFrame, counts: DataFrame) -> Da
     asking = "shard int, block bigint, context binary, asking binary"
     questions = rows.select("text").mapInArrow(_questions(known), asking)
     met = singles.mapInArrow(stored, layout).unionByName(questions, allowMissingColumns=True)
-    met = met.repartition(known.shards, "shard").sortWithinPartitions("shard", "block")
+    met = met.repartitionById(known.shards, F.col("shard")).sortWithinPartitions("shard", "block")
     return met.mapInArrow(answered, layout)
 
 
@@ -660,27 +744,28 @@ def _statistics(counts: DataFrame, tokens: int, shards: int) -> Statistics:
     )
 
 
-def _pair_counts(known: Statistics, packed: DataFrame) -> np.ndarray:
-    """How often each hot pair occurs in training and in weight-learning texts."""
+def _pair_counts(known: Statistics, rows: DataFrame) -> np.ndarray:
+    """How often each hot pair occurs in training texts and in those not kept for the weights."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _unpacked(batches, FIELDS):
-            token = np.repeat(row["tokens"], row["pairs_of"])
-            key = _pair_key(token, row["contexts"][row["after"]])
-            _, place = _places(known.pairs, np.repeat(key, row["docs_of"]))
-            folds = row["folds"][row["docs"]]
-            sums = [
-                np.bincount(place, row["times"] * chosen, minlength=len(known.pairs))
-                for chosen in (folds != TESTED, folds == LEARNT)
-            ]
-            columns = [np.arange(len(known.pairs)), *(part.astype(np.int64) for part in sums)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values) for values in columns], ["pair", "n", "n_learnt"]
-            )
+        hashes = PrefixHash(2 * BYTES_AT_ONCE)
+        sums = np.zeros((2, len(known.pairs)), np.int64)
+        for batch in batches:
+            folds = batch["fold"].to_numpy()
+            for part, texts in _blocks(batch):
+                found = Tokens(hashes, texts)
+                hot, _ = _places(known.hot, found.token)
+                pair = _pair_key(found.token[hot], found.context[hot])
+                crowd, place = _places(known.pairs, pair)
+                fold_of = folds[part][found.doc[hot][crowd]]
+                for total, chosen in zip(sums, (fold_of != TESTED, fold_of == LEARNT), strict=True):
+                    total += np.bincount(place[chosen], minlength=len(known.pairs))
+        columns = [np.arange(len(known.pairs)), *sums]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "n", "n_learnt"])
 
     found = np.zeros((2, len(known.pairs)), np.int64)
-    rows = packed.mapInArrow(count, "pair bigint, n bigint, n_learnt bigint").groupBy("pair")
-    for pair, n, learnt in rows.agg(F.sum("n"), F.sum("n_learnt")).collect():
+    counted = rows.select("fold", "text").mapInArrow(count, "pair bigint, n bigint, n_learnt bigint")
+    for pair, n, learnt in counted.groupBy("pair").agg(F.sum("n"), F.sum("n_learnt")).collect():
         found[:, pair] = n, learnt
     return found
 
@@ -701,8 +786,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
        occurrences is dealt by context too, and a pair with some 2,000th by document; their counts
        are a few thousand that all tasks have. The counts of all other contexts are brought to
        each shard that has them.
-    3. Held-out events come together in a histogram of fixed size, on which the weights are learnt.
-    4. Each shard sums what its tokens add to each text; the sums go back packed per block, where
+    3. Each shard is stored as its events by document, with the counts that an event's probability
+       comes from, and its held-out events as a histogram. Those come together in one of fixed
+       size, on which the weights are learnt.
+    4. Each shard sums what its events add to each text; the sums go back packed per block, where
        those of a text are added up.
 
     NULL texts are empty and consist of their end alone. A NULL key belongs to the fold of an empty
@@ -728,43 +815,57 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     tokens = counts.filter("context is null").agg(F.sum("n_all")).collect()[0][0] or 0
     known = _statistics(counts, tokens, max(1, -(-tokens // SHARD_TOKENS)))
 
+    known.pair_counts = _pair_counts(known, rows) if len(known.pairs) else None
+
     dealt = rows.select("key", "fold", "text").mapInArrow(_deal(known), PACKED)
     dealt = dealt.unionByName(_context_counts(known, rows, counts), allowMissingColumns=True)
-    dealt = dealt.repartition(known.shards, "shard").sortWithinPartitions("shard")
-    packed = kept_partitions(dealt)
-    shards = packed.filter("shard >= 0")
-    pairs = packed.filter(F.col("shard").between(-known.shards, -1))
-    known.pair_counts = _pair_counts(known, pairs)
+    # One shard a task, with some blocks' keys; hashes would put several together.
+    own = F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard"))
+    dealt = dealt.repartitionById(known.shards, own).sortWithinPartitions("shard")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts in _shards(batches):
-            for part in _parts(rows):
-                cell, n = held_out_cells(known, Shard(known, part, counts))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+            number = rows[0]["shard"]
+            if number >= 0:
+                yield _packed(number, -1, _events(known, rows, counts), STORED)
+                continue
+            for row in rows:
+                yield _packed(row["shard"], row["block"], {"keys": row["keys"]}, STORED)
 
-    events = shards.mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n"))
-    events = np.array([tuple(row) for row in events.collect()], np.int64).reshape(-1, 2)
-    weights = learn_weights(events[:, 0], events[:, 1])
+    layout = ", ".join(f"{name} binary" for name in STORED)
+    stored = dealt.mapInArrow(events, f"shard int, block bigint, {layout}")
+    stored = written_once(stored, "token-events")
+    shards, keys = stored.filter("shard >= 0"), stored.filter("shard < 0")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _unpacked(batches, CELLS_OF):
+            arrays = [pa.array(row["cells"]), pa.array(row["cell_counts"])]
+            yield pa.RecordBatch.from_arrays(arrays, ["cell", "n"])
+
+    found = shards.select("shard", "block", *CELLS_OF).mapInArrow(cells, "cell bigint, n bigint")
+    found = found.groupBy("cell").agg(F.sum("n")).collect()
+    found = np.array([tuple(row) for row in found], np.int64).reshape(-1, 2)
+    weights = learn_weights(found[:, 0], found[:, 1])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, counts in _shards(batches):
-            edges = np.cumsum([0, *(len(row["places"]) for row in rows)])
-            totals = np.zeros((3, edges[-1]))
-            for part in _parts(rows):
-                shard = Shard(known, part, counts)
-                model, base = _log10_probabilities(known, shard, weights)
-                seen = (shard.token_n > 0).astype(np.int64)
-                for total, values in zip(totals, (seen, base, model), strict=True):
-                    of_entry = shard.times * values[shard.pair]
-                    total += np.bincount(shard.doc, of_entry, minlength=edges[-1])
-            for row, start, stop in zip(rows, edges[:-1], edges[1:], strict=True):
-                own = dict(zip(SUMS, (row["places"], *totals[:, start:stop]), strict=True))
-                yield _packed(row["shard"], row["block"], own, SUMS)
+        for row in _unpacked(batches, EVENTS):
+            model, base = _log10_probabilities(known, row, weights)
+            seen = (row["token_n"] > 0).astype(np.int64)
+            docs = len(row["places"])
+            doc = np.repeat(np.arange(docs), row["events_of"])
+            totals = [
+                np.bincount(doc, row["event_times"] * values[row["event"]], minlength=docs)
+                for values in (seen, base, model)
+            ]
+            edges = np.cumsum([0, *row["docs_of_block"]])
+            for block, start, stop in zip(row["blocks"], edges[:-1], edges[1:], strict=True):
+                columns = (values[start:stop] for values in (row["places"], *totals))
+                yield _packed(row["shard"], block, dict(zip(SUMS, columns, strict=True)), SUMS)
 
     # The sums go back in blocks, as the occurrences came.
     layout = "shard int, block bigint, places binary, n_known binary, base binary, score binary"
-    added = shards.mapInArrow(sums, layout)
-    keys = packed.filter(F.col("shard") < -known.shards).select("shard", "block", "keys")
+    added = shards.select("shard", "block", *EVENTS).mapInArrow(sums, layout)
+    keys = keys.select("shard", "block", "keys")
     blocks = added.unionByName(keys, allowMissingColumns=True).repartition("block")
     scored = (
         blocks.sortWithinPartitions("block", "shard")
