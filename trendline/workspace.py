@@ -35,17 +35,6 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def kept_partitions(df: DataFrame) -> DataFrame:
-    """The frame, computed now and kept in the shared storage partition by partition.
-
-    Unlike files, which a reader may split or put together, the partitions come back as they were.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(f"{shared_base(df.sparkSession)}/partitions")
-    return df.checkpoint()
-
-
 def remove_written(spark: SparkSession) -> bool:
     """Removes all intermediate results of this library from the shared storage.
 
