@@ -21,7 +21,7 @@ from pyspark.sql.types import (
 from conftest import plan_of, values
 from trendline import workspace
 from trendline.catalog import roundtrip
-from trendline.sources import files, tables, text_files, workbooks, zipped_source
+from trendline.sources import files, tables, text_files, workbook_source, workbooks, zipped_source
 from trendline.workspace import shared_folder
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -249,6 +249,64 @@ def test_sheet_without_a_schema(spark, tmp_path):
     ]
 
 
+def test_workbooks_are_opened_once(spark, tmp_path, monkeypatch):
+    rows = HEADED + RESULTS[RESULTS.index('<row r="2">') :]
+    write_workbook(tmp_path / "a.xlsx", {"Results": rows}, ["Date", "doses"])
+    opened = []
+
+    def counted(*arguments):
+        opened.append(arguments)
+        return files.files_below(*arguments)
+
+    monkeypatch.setattr(workbooks, "files_below", counted)
+    sheet = workbooks.read_sheet(spark, str(tmp_path), "Results")
+    (tmp_path / "a.xlsx").write_bytes(b"gone")
+    assert len(opened) == 1
+    assert values(sheet, "doses", "`odd one`") == [(7, None), (None, 1.5)]
+
+
+def test_workbook_source(spark, tmp_path):
+    spark.dataSource.register(workbook_source.WorkbookSource)
+    rows = HEADED + RESULTS[RESULTS.index('<row r="2">') :]
+    write_workbook(tmp_path / "a.xlsx", {"Tab": RESULTS, "Results": rows}, ["Date", "doses"])
+    turned = (
+        '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="s"><v>0</v></c></row>'
+        '<row r="2"><c r="A2"><v>8</v></c></row>'
+    )
+    write_workbook(tmp_path / "b.XLSX", {"Results": turned}, ["Date", "doses"])
+    (tmp_path / "note.txt").write_text("no workbook")
+    books = spark.read.format("workbook").option("sheet", "Results")
+    sheet = books.load(str(tmp_path))
+    assert sheet.columns == ["Date", "doses", "odd one", "text"]
+    assert sheet.rdd.getNumPartitions() == 2
+    assert values(sheet, "doses", "text") == [("7", "far"), ("8", None), (None, "true")]
+    assert values(books.schema("text string, nowhere string").load(str(tmp_path))) == [
+        ("far", None), ("true", None), (None, None)
+    ]
+    first = spark.read.format("workbook").option("header", "false").schema("a string, b string")
+    assert values(first.load(str(tmp_path))) == [
+        ("2021-01-01 00:00:00", "7"), ("2021-01-02 06:00:00", None), ("8", None),
+        ("Date", "doses"), ("doses", "Date"),
+    ]
+    assert first.load(str(tmp_path)).count() == 5
+
+
+def test_what_the_workbook_source_refuses(spark, tmp_path):
+    spark.dataSource.register(workbook_source.WorkbookSource)
+    write_workbook(tmp_path / "a.xlsx", {"Results": RESULTS}, ["Date", "doses"])
+    books = spark.read.format("workbook")
+    for refused in (
+        lambda: spark.read.format("workbook").option("inferSchema", "true").load(str(tmp_path)),
+        lambda: spark.read.format("workbook").option("header", "false").load(str(tmp_path)),
+        lambda: books.schema("Date date").load(str(tmp_path)).collect(),
+    ):
+        with pytest.raises(Exception, match="workbook"):
+            refused()
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert spark.read.format("workbook").schema("a string").load(str(empty)).count() == 0
+
+
 def test_zipped_csv_without_a_schema(spark, tmp_path):
     lines = [
         '"a b",big,num,day,at,yes,text,empty',

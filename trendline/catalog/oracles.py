@@ -351,6 +351,35 @@ ORACLES: dict[str, str] = {
                CAST(LEN(REGEXP_EXTRACT_ALL(html, '(?i)<' || tag || '[\\s/>]')) AS BIGINT) AS n
         FROM pages, (VALUES ('a'), ('script'), ('style'), ('div')) tags(tag)
         WHERE REGEXP_MATCHES(html, '(?i)<' || tag || '[\\s/>]')""",
+    "page_grid": """
+        WITH found AS (
+          SELECT page_id, REGEXP_EXTRACT_ALL(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1) AS items
+          FROM pages WHERE html LIKE '%<ul>%')
+        SELECT page_id, CAST(0 AS INTEGER) AS table_idx, CAST(0 AS INTEGER) AS row_idx,
+               CAST(3 AS INTEGER) AS width, 'links' AS c0, 'target' AS c1, 'target' AS c2
+        FROM found
+        UNION ALL
+        SELECT page_id, 0, CAST(place AS INTEGER), 3, 'links',
+               REGEXP_EXTRACT(item, '>([^<]*)<', 1), REGEXP_EXTRACT(item, 'href="([^"]*)"', 1)
+        FROM (SELECT page_id, UNNEST(items) AS item, GENERATE_SUBSCRIPTS(items, 1) AS place
+              FROM found) cut""",
+    "page_asset_list": """
+        WITH bare AS (
+          SELECT page_id, REGEXP_REPLACE(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>'
+                   || '|<title>.*?</title>', '', 'g') AS html
+          FROM pages),
+        found AS (
+          SELECT page_id, REGEXP_EXTRACT_ALL(html, '<a href="([^"]*)"', 1) AS links FROM bare)
+        SELECT page_id, CAST(UNNEST(RANGE(LEN(links))) AS INTEGER) AS asset_idx, 'a' AS tag,
+               UNNEST(links) AS href, CAST(NULL AS VARCHAR) AS title
+        FROM found""",
+    "label_functions_in_sql": f"""{DATE_LABELS}
+        SELECT o_orderkey, label,
+               CASE WHEN o_orderkey % 2 = 0 THEN LOWER(STRFTIME({DAY}, '%Y%b%d'))
+                    ELSE label END AS fixed,
+               REGEXP_REPLACE(LOWER(REPLACE(label, ' ', '')), 'week[0-9][0-9]', '', 'g') AS stripped,
+               o_orderkey || '-' || (o_orderkey + 9) AS keys
+        FROM labels JOIN orders USING (o_orderkey)""",
     "read_csv_typed": "SELECT * FROM customer",
     "read_csv_inferred": "SELECT * REPLACE (CAST(c_custkey AS INTEGER) AS c_custkey) FROM customer",
     "read_zipped_csv": f"""
@@ -360,6 +389,10 @@ ORACLES: dict[str, str] = {
         SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority, {DAY} AS day
         FROM orders""",
     "read_workbooks": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "read_workbooks_source": """
+        SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size,
+               CAST(p_retailprice AS VARCHAR) AS p_retailprice
+        FROM part""",
     "read_workbooks_inferred": """
         SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_size, p_retailprice FROM part""",
     "replace_table": "SELECT * FROM customer",

@@ -16,12 +16,13 @@ from trendline.functions import (
     strip_week_token,
     weekly_cutoff,
 )
+from trendline.functions.sql_functions import register_sql_functions
 from trendline.operators import cleaning, combine, kpi, ordered, series
 from trendline.operators.bands import band_daily_counts
 from trendline.plans import band_trend as trend
 from trendline.plans import chat_corpus, label_repair, page_tables
 from trendline.plans import daily_tracker as tracker_job
-from trendline.sources import tables, text_files, workbooks, zipped_source
+from trendline.sources import tables, text_files, workbook_source, workbooks, zipped_source
 from trendline.workspace import shared_folder, written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +380,16 @@ def sft_length_batches(spark, sf_dir):
     return chat_corpus.length_batches(sft_truncate(spark, sf_dir))
 
 
+@query
+def label_functions_in_sql(spark, sf_dir):
+    register_sql_functions(spark)
+    inputs.date_labels(spark, sf_dir).createOrReplaceTempView("trendline_labels")
+    return spark.sql("""
+        SELECT o_orderkey, label, compact_date(label) AS fixed, strip_week_token(label) AS stripped,
+               join_range_label(CONCAT(o_orderkey, 'to', o_orderkey + 9)) AS keys
+        FROM trendline_labels""")
+
+
 # Pages
 
 
@@ -408,6 +419,28 @@ def page_assets(spark, sf_dir):
     return page_tables.page_assets(pages, "page_id", "html", ["a", "script", "style", "div"])
 
 
+@query
+def page_grid(spark, sf_dir):
+    """The lists of links as tables with a cell beside all rows and one above two columns."""
+    html = F.col("html")
+    for pattern, table_markup in (
+        ("<ul>", '<table><tr><th rowspan="0">links</th><th colspan="2">target</th></tr>'),
+        ('<li><a href="([^"]*)">([^<]*)</a></li>', "<tr><td>$2<td>$1</tr>"),
+        ("</ul>", "</table>"),
+    ):
+        html = F.regexp_replace(html, pattern, table_markup)
+    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    rows = page_tables.page_grid(pages, "page_id", "html")
+    cells = [F.get("cells", F.lit(place)).alias(f"c{place}") for place in range(3)]
+    return rows.select("page_id", "table_idx", "row_idx", F.size("cells").alias("width"), *cells)
+
+
+@query
+def page_asset_list(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return page_tables.page_asset_list(pages, "page_id", "html", ["a"], ["href", "title"])
+
+
 # Files and tables
 
 
@@ -469,6 +502,13 @@ def read_workbooks(spark, sf_dir):
     return workbooks.read_sheet(spark, folder, "Results(1)", schema).drop("path", "row_idx")
 
 
+@query
+def read_workbooks_source(spark, sf_dir):
+    folder, _ = _workbook_folder(spark, sf_dir)
+    spark.dataSource.register(workbook_source.WorkbookSource)
+    return spark.read.format("workbook").option("sheet", "Results(1)").load(folder)
+
+
 @query
 def read_workbooks_inferred(spark, sf_dir):
     folder, _ = _workbook_folder(spark, sf_dir)

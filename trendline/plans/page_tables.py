@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendline.functions import markup
+
 
 def page_rows(
     pages: DataFrame,
@@ -59,3 +61,35 @@ def page_assets(
         ]
     )
     return pages.select(page, F.inline(counts)).filter("n > 0")
+
+
+def page_grid(pages: DataFrame, page: str, text: str) -> DataFrame:
+    """The rows of every table as a page lays them out: ``table_idx``, ``row_idx`` and ``cells``.
+
+    A cell that spans columns or rows stands in every place that it covers, so places have the same
+    column all the way down. Tables are numbered as they open; a table within a cell is a table of its
+    own and gives that cell no text. References are decoded and white space becomes one
+    blank. Each page is read where it lies; nothing is shuffled. NULL has no tables.
+    """
+    return pages.select(page, F.inline(markup.grids(F.col(text))))
+
+
+def page_asset_list(
+    pages: DataFrame,
+    page: str,
+    text: str,
+    tags: Sequence[str] = ("img",),
+    attributes: Sequence[str] = ("src", "width", "height"),
+) -> DataFrame:
+    """A row per asset of each page, in page order, with the wanted attributes as text.
+
+    Tags in comments, scripts and other raw text are none. A missing attribute is NULL, one without
+    a value is empty; of repeated ones the first counts. Nothing is shuffled.
+    """
+    found = pages.select(
+        page, F.posexplode(markup.tags_of(F.col(text), tags)).alias("asset_idx", "_tag")
+    )
+    values = [
+        markup.decoded(markup.attribute(F.col("_tag"), name)).alias(name) for name in attributes
+    ]
+    return found.select(page, "asset_idx", markup.tag_name(F.col("_tag")).alias("tag"), *values)

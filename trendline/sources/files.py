@@ -56,6 +56,36 @@ def arrow_path(address: str):
     return system, f"{base.rstrip('/')}/{path.lstrip('/')}"
 
 
+def addresses_below(folder: str, extension: str) -> list[str]:
+    """The addresses of a folder's files of some extension, in order, listed without a job."""
+    from pyarrow import fs
+
+    system, path = arrow_path(folder)
+    found = system.get_file_info(fs.FileSelector(path, recursive=False))
+    ending = f".{extension}"
+    paths = [info.path for info in found if info.is_file and info.path.lower().endswith(ending)]
+    start = folder.rstrip("/")
+    return sorted(f"{start}/{path.rsplit('/', 1)[1]}" for path in paths)
+
+
+def folder_option(options) -> str:
+    """The folder that a data source is asked to load."""
+    folder = options.get("path")
+    if not folder:
+        raise ValueError("load needs the path of a folder")
+    check_scheme(folder)
+    return folder
+
+
+def first_places(headers) -> list[str]:
+    """All names of all headers, by the first place that they have in any."""
+    first: dict[str, int] = {}
+    for names in headers:
+        for place, name in enumerate(names):
+            first[name] = min(place, first.get(name, place))
+    return sorted(first, key=lambda name: (first[name], name))
+
+
 def open_file(uri: str):
     """A seekable stream; nothing is read ahead of its use."""
     system, path = arrow_path(uri)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from trendline.sources.files import column_names, files_below
 from trendline.sources.inference import inferred_schema, typed
+from trendline.workspace import written_once
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,15 +45,15 @@ def _date_styles(book) -> set[int]:
     return {place for place, style in enumerate(styles) if int(style.get("numFmtId", 0)) in dates}
 
 
-def _sheet_member(book, sheet: str) -> str | None:
-    """The archive member of a sheet, found by the name on its tab."""
+def _sheet_member(book, sheet: str | None) -> str | None:
+    """The archive member of a sheet, found by the name on its tab; the first one without a name."""
     from xml.etree import ElementTree
 
     tabs = ElementTree.fromstring(book.read("xl/workbook.xml"))
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     targets = {link.get("Id"): link.get("Target") for link in links}
     for tab in tabs.iter(f"{MAIN}sheet"):
-        if tab.get("name") == sheet:
+        if sheet is None or tab.get("name") == sheet:
             target = targets[tab.get(RELATION_ID)]
             return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
     return None
@@ -95,37 +96,50 @@ def _cell_text(cell, shared: list[str], dates: set[int], first_day) -> str | Non
     return value
 
 
-def _sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
-    """Row numbers and cells of one sheet of a workbook, a row at a time."""
-    import io
-    import zipfile
+def _elements(book, member: str, tag: str) -> Iterator:
+    """The elements of one kind in a member, one at a time; none is held after its turn."""
     from xml.etree import ElementTree
 
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with book.open(member) as xml:
+        above = []
+        for event, element in ElementTree.iterparse(xml, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == f"{MAIN}{tag}":
+                yield element
+                above[-1].clear()
+
+
+def sheet_rows(stream, sheet: str | None) -> Iterator[tuple[int, list[str | None]]]:
+    """Row numbers and cells of one sheet of a workbook, a row at a time.
+
+    The shared strings of the workbook are held as plain text, nothing else of it.
+    """
+    import zipfile
+
+    with zipfile.ZipFile(stream) as book:
         member = _sheet_member(book, sheet)
         if member is None:
             return
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            strings = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            strings = _elements(book, "xl/sharedStrings.xml", "si")
             shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in strings]
         dates, first_day = _date_styles(book), _first_day(book)
-        with book.open(member) as xml:
-            place = -1
-            for _, element in ElementTree.iterparse(xml):
-                if element.tag != f"{MAIN}row":
-                    continue
-                place = int(element.get("r", place + 2)) - 1
-                cells: list[str | None] = []
-                for cell in element.iter(f"{MAIN}c"):
-                    number = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
-                    cells.extend([None] * (number - len(cells)))
-                    cells.append(_cell_text(cell, shared, dates, first_day))
-                element.clear()
-                yield place, cells
-
-
-def _aligned(rows, wanted: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+        place = -1
+        for element in _elements(book, member, "row"):
+            place = int(element.get("r", place + 2)) - 1
+            cells: list[str | None] = []
+            for cell in element.iter(f"{MAIN}c"):
+                number = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
+                cells.extend([None] * (number - len(cells)))
+                cells.append(_cell_text(cell, shared, dates, first_day))
+            yield place, cells
+
+
+def aligned(rows, wanted: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     """The rows below the header row, their cells in the order of the names."""
     _, header = next(rows, (0, []))
     places: list[int | None] = []
@@ -154,13 +168,14 @@ def sheet_cells(
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
         import itertools
 
         columns = ["path", "sheet", "row_idx", "cells"]
         for batch in batches:
             for address, content in zip(batch["path"], batch["content"], strict=True):
-                rows = _sheet_rows(content, sheet)
-                rows = rows if names is None else _aligned(rows, names)
+                rows = sheet_rows(io.BytesIO(content), sheet)
+                rows = rows if names is None else aligned(rows, names)
                 while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
                     yield pd.DataFrame([(address, sheet, *row) for row in chunk], columns=columns)
 
@@ -168,22 +183,36 @@ def sheet_cells(
     return books.mapInPandas(decode, CELLS_SCHEMA)
 
 
-def sheet_columns(spark: SparkSession, path: str, sheet: str) -> list[str]:
-    """The columns of the sheet, over all workbooks: by heading, or by place where there is none."""
+def _named(rows) -> Iterator[tuple[int | None, dict[str, str] | None, list[str] | None]]:
+    """The rows below the header row as cells by name, and last the names of all columns."""
+    _, header = next(rows, (0, []))
+    names = column_names(header, 0)
+    for number, cells in rows:
+        if len(cells) > len(names):
+            names = column_names(header, len(cells))
+        known = zip(names, cells, strict=False)
+        yield number, {name: cell for name, cell in known if cell is not None}, None
+    yield None, None, names
+
+
+def _stored_cells(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """The cells by name of all workbooks, and a row of ``names`` for each, opened once and stored."""
 
-    def name_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import itertools
+
+        columns = ["path", "row_idx", "cells", "names"]
         for batch in batches:
-            for content in batch["content"]:
-                rows = _sheet_rows(content, sheet)
-                _, header = next(rows, (0, []))
-                width = max((len(cells) for _, cells in rows), default=0)
-                names = column_names(header, width)
-                yield pd.DataFrame({"place": range(len(names)), "name": names})
-
-    books = files_below(spark, path, "xlsx").select("content")
-    columns = books.mapInPandas(name_columns, "place bigint, name string")
-    first = columns.groupBy("name").agg(F.min("place").alias("place"))
-    return [row["name"] for row in first.orderBy("place", "name").collect()]
+            for address, content in zip(batch["path"], batch["content"], strict=True):
+                rows = _named(sheet_rows(io.BytesIO(content), sheet))
+                while chunk := list(itertools.islice(rows, ROWS_PER_BATCH)):
+                    found = pd.DataFrame([(address, *row) for row in chunk], columns=columns)
+                    yield found.astype({"row_idx": "Int64"})
+
+    books = files_below(spark, path, "xlsx").select("path", "content")
+    schema = "path string, row_idx bigint, cells map<string, string>, names array<string>"
+    return written_once(books.mapInPandas(decode, schema), "sheet")
 
 
 def read_sheet(
@@ -192,14 +221,20 @@ def read_sheet(
     """A sheet as typed columns, found by their headings; unfit cells become NULL.
 
     Without a schema, the columns are all that any workbook has, named by heading or by place, and
-    all their values decide on their types. ``path`` and ``row_idx`` stay, so that the rows
+    all their values decide on their types. Each workbook is opened once: its cells are stored, and
+    names, types and rows come from there. ``path`` and ``row_idx`` stay, so that the rows
     keep their order.
     """
-    names = sheet_columns(spark, path, sheet) if schema is None else schema.fieldNames()
-    rows = sheet_cells(spark, path, sheet, names)
-    texts = rows.select(
-        "path", "row_idx", *[F.get("cells", F.lit(n)).alias(name) for n, name in enumerate(names)]
-    )
-    if schema is None:
-        schema = inferred_schema(texts.drop("path", "row_idx"))
+    if schema is not None:
+        names = schema.fieldNames()
+        rows = sheet_cells(spark, path, sheet, names)
+        cells = [F.get("cells", F.lit(n)).alias(name) for n, name in enumerate(names)]
+        return typed(rows.select("path", "row_idx", *cells), schema, "path", "row_idx")
+    stored = _stored_cells(spark, path, sheet)
+    columns = stored.select(F.posexplode("names").alias("place", "name"))
+    first = columns.groupBy("name").agg(F.min("place").alias("place"))
+    names = [row["name"] for row in first.orderBy("place", "name").collect()]
+    rows = stored.filter("names IS NULL")
+    texts = rows.select("path", "row_idx", *[F.col("cells")[name].alias(name) for name in names])
+    schema = inferred_schema(texts.drop("path", "row_idx"))
     return typed(texts, schema, "path", "row_idx")

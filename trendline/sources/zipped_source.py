@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from trendline.sources.files import arrow_path, check_scheme, open_file
+from trendline.sources.files import addresses_below, first_places, folder_option, open_file
 from trendline.sources.inference import typed
 from trendline.sources.text_files import header_of, member_records
 
@@ -30,17 +30,6 @@ class Member(InputPartition):
     member: str
 
 
-def archives_below(folder: str) -> list[str]:
-    """The addresses of the zip files of a folder, in order."""
-    from pyarrow import fs
-
-    system, path = arrow_path(folder)
-    found = system.get_file_info(fs.FileSelector(path, recursive=False))
-    paths = [info.path for info in found if info.is_file and info.path.lower().endswith(".zip")]
-    start = folder.rstrip("/")
-    return sorted(f"{start}/{path.rsplit('/', 1)[1]}" for path in paths)
-
-
 def members_of(archive: str) -> list[Member]:
     """The CSV members of an archive, from its directory alone."""
     import zipfile
@@ -52,7 +41,7 @@ def members_of(archive: str) -> list[Member]:
 
 def all_members(folder: str) -> list[Member]:
     with ThreadPoolExecutor(LISTING_THREADS) as threads:
-        return [m for found in threads.map(members_of, archives_below(folder)) for m in found]
+        return [m for found in threads.map(members_of, addresses_below(folder, "zip")) for m in found]
 
 
 def all_names(folder: str) -> list[str]:
@@ -64,12 +53,8 @@ def all_names(folder: str) -> list[str]:
         with open_file(member.archive) as stream, zipfile.ZipFile(stream) as opened:
             return header_of(opened, member.member)
 
-    first: dict[str, int] = {}
     with ThreadPoolExecutor(LISTING_THREADS) as threads:
-        for names in threads.map(header, all_members(folder)):
-            for place, name in enumerate(names):
-                first[name] = min(place, first.get(name, place))
-    return sorted(first, key=lambda name: (first[name], name))
+        return first_places(threads.map(header, all_members(folder)))
 
 
 class ZippedCsvReader(DataSourceReader):
@@ -102,22 +87,15 @@ class ZippedCsvSource(DataSource):
     def name(cls) -> str:
         return "zipped_csv"
 
-    def _folder(self) -> str:
-        folder = self.options.get("path")
-        if not folder:
-            raise ValueError("zipped_csv needs the path of a folder")
-        check_scheme(folder)
-        return folder
-
     def schema(self) -> StructType:
-        names = all_names(self._folder())
+        names = all_names(folder_option(self.options))
         return StructType([StructField(name, StringType()) for name in names])
 
     def reader(self, schema: StructType) -> ZippedCsvReader:
         other = [field.name for field in schema if not isinstance(field.dataType, StringType)]
         if other:
             raise ValueError(f"zipped_csv reads text; columns of other types: {', '.join(other)}")
-        return ZippedCsvReader(self._folder(), schema.fieldNames())
+        return ZippedCsvReader(folder_option(self.options), schema.fieldNames())
 
 
 def read_zipped(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
