@@ -120,7 +120,8 @@ def test_part_keys_meet_as_often_as_they_should():
     met, farthest = 0, 0
     for _ in range(300):
         words = [b"%d" % n for n in draw.integers(0, 10**9, 1000)]
-        one, two = minhash.minhashes(set(words[:900])), minhash.minhashes(set(words[100:]))
+        own, other = (minhash.hashes(set(part)) for part in (words[:900], words[100:]))
+        one, two = minhash.minhashes(own), minhash.minhashes(other)
         first, second = (minhash.part_keys(x).reshape(2, minhash.PARTS) for x in (one, two))
         met += (first == second).any(axis=1).all()
         bits = minhash.sketch(one) ^ minhash.sketch(two)
@@ -128,3 +129,59 @@ def test_part_keys_meet_as_often_as_they_should():
         told = sum(bin((b | b >> 1) & 0x5555555555555555).count("1") for b in bits.tolist())
         assert told == sum(((one ^ two) & np.uint64(3)) != 0)
     assert met >= 297 and farthest < minhash.MOST_DIFFERENT
+
+
+def test_fine_sketch_against_plain_python():
+    values = np.random.default_rng(2).integers(0, 2**64, 700, dtype=np.uint64)
+    least = {}
+    for value in values.tolist():
+        bin_, rank = value % minhash.BINS, value // minhash.BINS
+        least[bin_] = min(rank, least.get(bin_, rank))
+    whole = sum((rank & 3) << (2 * bin_) for bin_, rank in least.items())
+    told = minhash.fine_sketch(values).view(np.uint64).tolist()
+    assert told == [whole >> (64 * place) & (2**64 - 1) for place in range(16)]
+    assert not minhash.fine_sketch(values[:0]).any()
+
+
+@pytest.mark.parametrize("size", [4, 40, 1000])
+def test_fine_sketches_of_similar_sets_agree(spark, size):
+    draw = np.random.default_rng(size)
+    rows = []
+    for number in range(300):
+        values = draw.integers(0, 2**64, 4 * size, dtype=np.uint64)
+        # Eight tenths of the union are shared; or, for every second pair, three tenths.
+        shared = 8 * size // 10 if number % 2 == 0 else 3 * size // 10
+        ends = (size + shared) // 2
+        sets = values[:ends], np.concatenate([values[:shared], values[ends:size]])
+        rows.append((number, *(x for part in sets for x in (len(part), minhash.fine_sketch(part).tolist()))))
+    pairs = spark.createDataFrame(
+        rows, "number int, size long, fine array<long>, other_size long, other_fine array<long>"
+    )
+    agree = pairs.filter(minhash._fine_sketches_agree(80))
+    assert agree.filter("number % 2 = 0").count() == 150
+    assert size < 1000 or agree.filter("number % 2 = 1").isEmpty()
+
+
+def test_buckets_of_the_same_members_count_once(spark):
+    members = {1: [1, 2, 3], 2: [3, 2, 1], 3: [1, 2], 4: [1], 5: [2, 3], 6: [2, 3]}
+    rows = [(node, key) for key, nodes in members.items() for node in nodes]
+    found = minhash._buckets(spark.createDataFrame(rows, "node long, key long"))
+    held = {}
+    for key, node, count in values(found, "key", "node", "members"):
+        held.setdefault((key, count), []).append(node)
+    assert held == {(1, 3): [1, 2, 3], (3, 2): [1, 2], (5, 2): [2, 3]}
+
+
+def test_pairs_meet_once(spark, monkeypatch):
+    met = []
+    once = minhash._met_once
+
+    def listed(*arguments):
+        pairs = once(*arguments)
+        met.extend((row["low"], row["high"]) for row in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_met_once", listed)
+    rows = families(8)
+    assert values(minhash.near_duplicates(frame(spark, rows))) == plain(rows)
+    assert len(met) == len(set(met)) and all(low < high for low, high in met)

@@ -11,8 +11,9 @@ one component need no comparing. Then those outside a bucket's largest component
 where they are many, the bucket is dealt again by the other tables of its members first.
 
 Two bits of each minhash are a sketch of the set. Pairs that differ in more than 26 of the 72 go
-no further: sets of similarity 0.8 do so once in a million cases. The rest is verified on the distinct
-shingles of both whole texts.
+no further: sets of similarity 0.8 do so once in a million cases. What is left meets once, whatever the
+number of its tables, and is held against a finer sketch, two bits of the least hash in each of 512
+bins, with the same chance of an error. The rest is verified on the distinct shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ SHINGLE_WORDS = 4
 LEAST_PERCENT = 80
 PARTS = 12
 HASHES_IN_PART = 3
+BINS = 512
 SKETCH = ("sketch0", "sketch1", "sketch2")
 MOST_DIFFERENT = 26
+MOST_DEVIATIONS = 5.5
+PAIRS_OF_BITS = 0x5555555555555555
 PIVOT_ROUNDS = 3
 MOST_PAIRED = 1000
 SALTS = 256
@@ -57,13 +61,16 @@ def shingles(text: str | bytes | None, shingle_words: int = SHINGLE_WORDS) -> se
     return set(map(b" ".join, zip(*(words[place:] for place in range(width)), strict=False)))
 
 
-def minhashes(found: set[bytes]) -> np.ndarray:
-    """The least hash of a set under each function."""
+def hashes(found: set[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
+    return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
+
+
+def minhashes(values: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each function."""
     functions = 2 * PARTS * HASHES_IN_PART
     seeds = mixed(np.arange(1, functions + 1, dtype=np.uint64) * FIRST)
-    values = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
     least = np.full(functions, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(values), HASHES_AT_ONCE):
         some = mixed(values[start : start + HASHES_AT_ONCE, None] ^ seeds)
@@ -88,6 +95,15 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits.ravel(), bitorder="little").view(np.int64)
 
 
+def fine_sketch(values: np.ndarray) -> np.ndarray:
+    """Two bits of the least of a set's hashes in each bin, 0 in empty ones, in sixteen numbers."""
+    none = np.iinfo(np.uint64).max
+    least = np.full(BINS, none, np.uint64)
+    np.minimum.at(least, (values % np.uint64(BINS)).astype(np.int64), values // np.uint64(BINS))
+    bits = [(least >> np.uint64(place)) & np.uint64(1) & (least != none) for place in range(2)]
+    return np.packbits(np.array(bits, np.uint8).T.ravel(), bitorder="little").view(np.int64)
+
+
 def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: bool) -> DataFrame:
     """Every row with its number, its words, their digest, the size of its set and its part keys."""
     own = [F.struct(*[docs[name] for name in docs.columns]).alias("_doc")] if whole else []
@@ -97,6 +113,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
     schema = StructType(rows.select(*kept).schema.fields)
     schema = schema.add("words", BinaryType()).add("digest", BinaryType())
     schema = schema.add("size", LongType()).add("parts", ArrayType(LongType()))
+    schema = schema.add("fine", ArrayType(LongType()))
     for name in SKETCH:
         schema = schema.add(name, LongType())
 
@@ -104,14 +121,16 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
         from hashlib import sha256
 
         for batch in batches:
-            words, digests, sizes, parts, sketches = [], [], [], [], []
+            words, digests, sizes, parts, fine, sketches = [], [], [], [], [], []
             for text in batch["_text"]:
                 lowered = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 words.append(b" ".join(lowered.split()))
                 found = shingles(words[-1], shingle_words)
                 digests.append(sha256(words[-1]).digest())
                 sizes.append(len(found))
-                least = minhashes(found)
+                values = hashes(found)
+                fine.append(fine_sketch(values))
+                least = minhashes(values)
                 parts.append(part_keys(least))
                 sketches.append(sketch(least))
             columns = [
@@ -120,6 +139,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
                 pa.array(digests, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array(parts, pa.list_(pa.int64())),
+                pa.array(fine, pa.list_(pa.int64())),
                 *(pa.array(column) for column in np.array(sketches, np.int64).reshape(-1, 3).T),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
@@ -133,6 +153,21 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(written_once(counts.select(*keys), "keys"), keys)
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """``node`` and ``key`` of buckets of more than one member, with their number ``members``.
+
+    Tables that put the same nodes together say the same, so one bucket stays of those with the same
+    members, told by their number, the smallest and the largest of them and 128 bits of hashes.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"_x{seed}") for seed in range(2)]
+    held = keyed.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("node").alias("_low"), F.max("node").alias("_high"), *marks
+    )
+    same = ["members", "_low", "_high", "_x0", "_x1"]
+    kept = held.filter("members > 1").groupBy(*same).agg(F.min("key").alias("key"))
+    return keyed.join(written_once(kept.select("key", "members"), "keys"), "key")
+
+
 def _tables(classes: DataFrame) -> DataFrame:
     """``node`` and the keys ``tables`` of all pairs of its parts that others share as well."""
     parts = classes.select("node", F.posexplode("parts").alias("place", "part"))
@@ -152,15 +187,15 @@ def _rooted(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return known.withColumn("root", F.coalesce("root", "node"))
 
 
+def _differing(bits: Column) -> Column:
+    """How many pairs of bits hold a one."""
+    return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS)))
+
+
 def _may_be_similar(percent: int) -> Column:
     """Different components, sizes near enough, sketches near enough, in columns and ``other_`` ones."""
     small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
-    pairs_of_bits = F.lit(0x5555555555555555)
-    different = [F.col(name).bitwiseXOR(F.col(f"other_{name}")) for name in SKETCH]
-    counts = [
-        F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(pairs_of_bits))
-        for bits in different
-    ]
+    counts = [_differing(F.col(name).bitwiseXOR(F.col(f"other_{name}"))) for name in SKETCH]
     near = sum(counts[1:], counts[0]) <= F.lit(MOST_DIFFERENT)
     sized = F.lit(100) * small >= F.lit(percent) * large
     return (F.col("root") != F.col("other_root")) & sized & near
@@ -176,7 +211,7 @@ def _pivot_pairs(rooted: DataFrame, number: int, percent: int) -> DataFrame:
     pivots = [F.col(f"pivot.{name}").alias(f"other_{name}") for name in own]
     open_ones = written_once(open_ones.filter("_low <> _high").select("key", *pivots), "pivots")
     pairs = rooted.join(open_ones, "key").filter(_may_be_similar(percent))
-    return pairs.select("node", F.col("other_node").alias("other")).distinct()
+    return pairs.select("node", F.col("other_node").alias("other"))
 
 
 def _with_largest(rooted: DataFrame) -> DataFrame:
@@ -198,7 +233,39 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     once = ~F.col("other_outside") | (F.col("node") > F.col("other_node"))
     met = (F.col("key") == F.col("other_key")) & once & _may_be_similar(percent)
     pairs = rows.filter("outside").join(right, met)
-    return pairs.select("node", F.col("other_node").alias("other")).distinct()
+    return pairs.select("node", F.col("other_node").alias("other"))
+
+
+def _fine_sketches_agree(percent: int) -> Column:
+    """Do sets that are similar enough differ in so many bins, but for one pair in a million?
+
+    The union of two such sets, and so the bins that either fills, has a bound in the smaller one.
+    """
+    small = F.least("size", "other_size")
+    filled = F.least(F.lit(float(BINS)), small * F.lit(100.0) / F.lit(float(percent)))
+    chance = 0.75 * (1 - percent / 100)
+    deviation = F.sqrt(filled * F.lit(chance * (1 - chance)))
+    most = filled * F.lit(chance) + deviation * F.lit(MOST_DEVIATIONS) + F.lit(2.0)
+    counts = F.zip_with("fine", "other_fine", lambda a, b: _differing(a.bitwiseXOR(b)))
+    return F.aggregate(counts, F.lit(0), lambda total, count: total + count) <= most
+
+
+def _met_once(pairs: DataFrame, compared: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
+    """Every pair that has not met before, once, and whether its sets ``may`` be similar enough.
+
+    ``other`` is the same of the two however often they meet, mostly the pivot.
+    """
+    ends = [F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high")]
+    pairs = pairs.groupBy(*ends).agg(F.min("other").alias("other"))
+    if compared is not None:
+        pairs = pairs.join(compared, ["low", "high"], "left_anti")
+    node = F.when(F.col("other") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    pairs = pairs.withColumn("node", node)
+    sketches = texts.select("node", "size", "fine")
+    others = sketches.toDF("other", "other_size", "other_fine")
+    may = _fine_sketches_agree(percent).alias("may")
+    pairs = pairs.join(sketches, "node").join(others, "other")
+    return written_once(pairs.select("low", "high", "node", "other", may), "pairs")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -207,7 +274,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: i
     The text of ``other`` goes to each of its parts once, those of ``node`` follow it.
     """
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    pairs = written_once(pairs.select("node", "other", salt), "pairs")
+    pairs = pairs.select("node", "other", salt)
+    texts = texts.select("node", "words")
     named = texts.withColumnRenamed("node", "other")
     heads = pairs.select("other", "salt").distinct().join(named, "other")
     heads = heads.select("other", "salt", F.lit(None).cast("bigint").alias("node"), "words")
@@ -240,14 +308,19 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
     tables = written_once(_tables(classes), "tables")
     keyed = tables.select("node", F.explode("tables").alias("key"))
     described = classes.select("node", "size", *SKETCH)
-    buckets = written_once(_shared(keyed, ["key"]).join(described, "node"), "buckets")
+    buckets = written_once(_buckets(keyed).join(described, "node"), "buckets")
     met = written_once(buckets.select("node").distinct(), "met")
-    texts = rows.select(F.col("_row").alias("node"), "words").join(met, "node", "left_semi")
+    texts = rows.select(F.col("_row").alias("node"), "words", "size", "fine")
+    texts = texts.join(met, "node", "left_semi")
     texts = written_once(texts, "texts")
-    links, roots = None, None
+    links, roots, compared = None, None, None
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, roots
+        nonlocal links, roots, compared
+        pairs = _met_once(pairs, compared, texts, percent)
+        ends = pairs.select("low", "high")
+        compared = ends if compared is None else compared.union(ends)
+        pairs = pairs.filter("may")
         found = _verified(pairs, texts, shingle_words, percent)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
@@ -255,12 +328,14 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
 
     for number in range(PIVOT_ROUNDS):
         add(_pivot_pairs(_rooted(buckets, roots), number, percent))
+        # The two members of a bucket of two have met now.
+        buckets = buckets.filter("members > 2")
     rows = written_once(_with_largest(written_once(_rooted(buckets, roots), "rooted")), "open")
     few, many = rows.filter("not many"), rows.filter("many")
     again = many.join(tables, "node").withColumn("_table", F.explode("tables"))
     again = again.filter("_table <> key").withColumn("key", F.xxhash64("key", "_table"))
     again = written_once(_shared(again.select(rows.columns), ["key"]), "dealt-again")
-    add(_all_pairs(few, percent).union(_all_pairs(again, percent)).distinct())
+    add(_all_pairs(few, percent).union(_all_pairs(again, percent)))
     return roots
 
 
