@@ -70,6 +70,11 @@ def test_fills_equal_one_window(spark, monkeypatch, ranges, fan):
         assert values(result) == values(expected)
 
 
+def test_no_row_of_a_back_fill_looks_through_all_later_ones(spark):
+    plan = plan_of(ordered.back_fill(gappy(spark), ["a", "b"], ["x", "y"], True, 7))
+    assert "Window" in plan and "unboundedfollowing" not in plan.lower()
+
+
 @pytest.mark.parametrize(("rows", "block_rows"), [(7, 7), (7, 100), (1, 1), (6, 10_000)])
 def test_lags_equal_one_window(spark, rows, block_rows):
     df = gappy(spark, 500)

@@ -60,36 +60,36 @@ class Carry:
     """What a range takes over from all ranges before it, or after it.
 
     ``over`` gives it within a window, ``together`` for a group of ranges, ``joined`` puts that
-    of the own group and that of other groups together.
+    of the own group and that of other groups together. What comes from behind is a window over
+    the rows in descending order: one that ends with the last row is worked out anew for each row.
     """
 
     over: Callable[[Column, WindowSpec], Column]
     together: Callable[[Column], Column]
     joined: Callable[[Column, Column], Column]
-    first_row: int
-    last_row: int
+    backwards: bool = False
+
+    def span(self, by: str, order: str, last_row: int) -> WindowSpec:
+        """The rows that are handed over, up to some place from the current row."""
+        way = F.desc(order) if self.backwards else F.asc(order)
+        return Window.partitionBy(by).orderBy(way).rowsBetween(Window.unboundedPreceding, last_row)
 
 
 SUM = Carry(
     lambda value, span: F.sum(value).over(span),
     F.sum,
     lambda own, other: F.coalesce(own + other, own, other),
-    Window.unboundedPreceding,
-    -1,
 )
 LAST = Carry(
     lambda value, span: F.last(value, ignorenulls=True).over(span),
     lambda value: F.max_by(value, F.when(value.isNotNull(), F.col(RANGE))),
     F.coalesce,
-    Window.unboundedPreceding,
-    -1,
 )
 NEXT = Carry(
-    lambda value, span: F.first(value, ignorenulls=True).over(span),
+    lambda value, span: F.last(value, ignorenulls=True).over(span),
     lambda value: F.min_by(value, F.when(value.isNotNull(), F.col(RANGE))),
     F.coalesce,
-    1,
-    Window.unboundedFollowing,
+    backwards=True,
 )
 
 
@@ -99,7 +99,7 @@ def carried(totals: DataFrame, names: Sequence[str], ranges: int, carry: Carry)
     ``totals`` has a row for each range (or fewer, if some are empty) with ``names`` of its own.
     """
     group = F.floor(F.col(RANGE) / F.lit(FAN)).alias("_group")
-    span = Window.partitionBy("_group").orderBy(RANGE).rowsBetween(carry.first_row, carry.last_row)
+    span = carry.span("_group", RANGE, -1)
     rows = totals.select(RANGE, group, *names)
     own = rows.select(RANGE, "_group", *[carry.over(F.col(n), span).alias(n) for n in names])
     if ranges <= FAN:
@@ -175,11 +175,7 @@ def _filled(
         ]
     )
     handed = carried(totals, handed_names, ranges, carry)
-    within = Window.partitionBy(RANGE).orderBy(PLACE)
-    if carry is LAST:
-        within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        within = within.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    within = carry.span(RANGE, PLACE, Window.currentRow)
     rows = rows.withColumns({name: carry.over(value, within) for name, value in known.items()})
     met = _with_carried(rows, handed, ranges)
     return met.withColumns(
