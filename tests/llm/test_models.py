@@ -456,3 +456,23 @@ def test_escapes_are_exact():
 
 def test_no_conversations(spark):
     assert chat.read_back(chat.expand(spark.createDataFrame([], TURNS))).collect() == []
+
+
+@pytest.mark.parametrize("span", [3, 200, 1 << 40, 1 << 62])
+def test_combined_numbers_sort_like_their_columns(span):
+    draw = np.random.default_rng(span % 97)
+    columns = [draw.integers(0, span, 3000) * draw.integers(0, 2, 3000) for _ in range(5)]
+    columns[1] = columns[1].astype(np.uint64) + np.uint64(1 << 63)
+    key = language_model._combined(*columns)
+    rows = list(zip(*(column.tolist() for column in columns), strict=True))
+    place = {row: number for number, row in enumerate(sorted(set(rows)))}
+    assert np.unique(key, return_inverse=True)[1].tolist() == [place[row] for row in rows]
+    assert not len(language_model._combined(*(column[:0] for column in columns)))
+
+
+def test_numbers_of_tokens_and_contexts():
+    texts = [b"a b A", b"", b" c\ta ", b"b"]
+    tokens = language_model.Tokens(language_model.PrefixHash(64), texts)
+    distinct, token, context = tokens.numbered()
+    assert (np.diff(distinct.astype(object)) > 0).all()
+    assert (distinct[token] == tokens.token).all() and (distinct[context] == tokens.context).all()

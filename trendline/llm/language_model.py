@@ -58,6 +58,17 @@ class Tokens:
         self.token = np.concatenate([token for _, _, token, _ in parts])
         self.context = np.concatenate([context for _, _, _, context in parts])
 
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct tokens in order, and the places among them of each token and each context.
+
+        A context is the token before, or the end that every text has, so one sort is enough.
+        """
+        distinct, token = np.unique(self.token, return_inverse=True)
+        context = np.empty_like(token)
+        context[1:] = token[:-1]
+        context[_runs(self.doc)] = np.searchsorted(distinct, END)
+        return distinct, token, context
+
     @staticmethod
     def _hashed(
         hashes: PrefixHash, texts: list[bytes]
@@ -127,12 +138,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _blocks(batch):
             tokens = Tokens(hashes, texts)
             token, place = np.unique(tokens.token, return_inverse=True)
-            part_of = folds[part][tokens.doc]
-            counts = [
-                np.bincount(place[chosen], minlength=len(token))
-                for chosen in (slice(None), part_of != TESTED, part_of == LEARNT)
-            ]
-            often = np.bincount(place)[place] * HOT_PAIR_SHARE >= len(place)
+            part_of = folds[part].astype(np.int64)[tokens.doc]
+            by_fold = np.bincount(place * 3 + part_of, minlength=3 * len(token)).reshape(-1, 3)
+            learnt = by_fold[:, LEARNT]
+            counts = [by_fold.sum(axis=1), by_fold[:, TUNED] + learnt, learnt]
+            often = (counts[0] * HOT_PAIR_SHARE >= len(place))[place]
             context, after = np.unique(tokens.context[often], return_inverse=True)
             pair = place[often] * max(1, len(context)) + after
             pair, times = np.unique(pair, return_counts=True)
@@ -169,6 +179,26 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _combined(*columns: np.ndarray) -> np.ndarray:
+    """One number a row, in the order of the first column, then of the second one, and so on.
+
+    Sorting it is much faster than sorting by one column after the other. Where the numbers would
+    pass 63 bits, those so far are replaced by their ranks.
+    """
+    key, width = np.zeros(len(columns[0]), np.int64), 1
+    for column in columns:
+        most = int(column.max(initial=0)) + 1
+        if most > 2 * len(column):
+            values, column = np.unique(column, return_inverse=True)
+            most = len(values)
+        if width * most >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            width = len(values)
+        key = key * np.int64(most) + column
+        width *= most
+    return key
+
+
 @dataclass
 class Statistics:
     """What all tasks know of the corpus; its size does not depend on the corpus.
@@ -213,21 +243,26 @@ def _deal(known: Statistics):
                 own_keys, own_folds = keys[part], folds[part]
                 yield _packed(-1 - block % known.shards, block, {"keys": own_keys})
                 found = Tokens(hashes, texts)
-                order = np.lexsort((found.doc, found.context, found.token))
-                token, context, doc = found.token[order], found.context[order], found.doc[order]
-                entries = _runs(token, context, doc)
-                times = np.diff(np.append(entries, len(token)))
-                token, context, doc = token[entries], context[entries], doc[entries]
+                distinct, number, before = found.numbered()
+                key = _combined(number, before, found.doc)
+                order = np.argsort(key)
+                key = key[order]
+                entries = _runs(key)
+                times = np.diff(np.append(entries, len(key)))
+                order = order[entries]
+                number, doc = number[order], found.doc[order]
+                token, context = distinct[number], distinct[before[order]]
                 shard = token.copy()
-                hot, _ = _places(known.hot, token)
-                shard[hot] = _pair_key(token[hot], context[hot])
-                crowd, _ = _places(known.pairs, shard)
-                crowd &= hot
+                hot = _places(known.hot, distinct)[0][number]
+                pair = _pair_key(token[hot], context[hot])
+                crowd, _ = _places(known.pairs, pair)
                 if crowd.any():
-                    shard[crowd] += own_keys[doc[crowd]].view(np.uint64)
-                shard = (mixed(shard) % np.uint64(known.shards)).astype(np.int32)
+                    pair[crowd] += own_keys[doc[hot][crowd]].view(np.uint64)
+                shard[hot] = pair
+                shard = mixed(shard) % np.uint64(known.shards)
+                shard = shard.astype(np.uint16 if known.shards <= 1 << 16 else np.int32)
                 order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(known.shards + 1))
+                cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=known.shards)))
                 for number in range(known.shards):
                     own = order[cuts[number] : cuts[number + 1]]
                     if len(own):
@@ -278,7 +313,8 @@ def _occurrences(token, context, doc, times, folds) -> dict[str, np.ndarray]:
     pairs = _runs(token, context)
     pairs_of = np.diff(np.append(np.searchsorted(pairs, tokens), len(pairs)))
     contexts, after = np.unique(context[pairs], return_inverse=True)
-    used, place = np.unique(doc, return_inverse=True)
+    shown = np.bincount(doc) > 0
+    used, place = np.flatnonzero(shown), (np.cumsum(shown) - 1)[doc]
     return {
         "tokens": token[tokens],
         "pairs_of": pairs_of,
@@ -354,7 +390,7 @@ class Shard:
                 parts[name].append(row[name])
             docs += len(row["places"])
         merged = {name: np.concatenate(parts.pop(name)) for name in list(parts)}
-        order = np.lexsort((merged["context"], merged["token"])).astype(np.int32)
+        order = np.argsort(_combined(merged["token"], merged["context"])).astype(np.int32)
         token, context = merged.pop("token")[order], merged.pop("context")[order]
         self.doc, self.times = merged.pop("doc")[order], merged.pop("times")[order]
         folds = merged["folds"][self.doc]
@@ -491,7 +527,7 @@ def _log10_probabilities(
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sums of their times."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = _runs(keys)
     sums = np.add.reduceat(times[order], first, dtype=np.int64) if len(first) else times
@@ -500,9 +536,10 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct combinations of some columns, and for each place the number of its combination."""
-    order = np.lexsort(columns)
+    key = _combined(*columns[::-1])
+    order = np.argsort(key)
+    first = _runs(key[order])
     columns = columns[:, order]
-    first = _runs(*columns)
     number = np.empty(len(order), np.int64)
     number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     return columns[:, first], number
@@ -613,16 +650,19 @@ def _questions(known: Statistics):
         hashes = PrefixHash(2 * BYTES_AT_ONCE)
         for batch in batches:
             for _, texts in _blocks(batch):
-                found = Tokens(hashes, texts)
-                rest = ~_places(known.hot, found.context)[0]
-                token, context = found.token[rest], found.context[rest]
-                hot, _ = _places(known.hot, token)
-                token[hot] = _pair_key(token[hot], context[hot])
-                shard = (mixed(token) % np.uint64(known.shards)).astype(np.int32)
-                context, place = np.unique(context, return_inverse=True)
-                asked = np.unique(place * known.shards + shard)
-                place, shard = np.divmod(asked, known.shards)
-                context = context[place]
+                distinct, number, before = Tokens(hashes, texts).numbered()
+                hot, _ = _places(known.hot, distinct)
+                # Every pair once; a pair whose context is hot asks nothing.
+                pair = np.sort(before * len(distinct) + number)
+                before, number = np.divmod(pair[_runs(pair)], len(distinct))
+                rest = ~hot[before]
+                number, before = number[rest], before[rest]
+                token, hot = distinct[number], hot[number]
+                token[hot] = _pair_key(token[hot], distinct[before[hot]])
+                shard = (mixed(token) % np.uint64(known.shards)).astype(np.int64)
+                asked = np.sort(before * known.shards + shard)
+                place, shard = np.divmod(asked[_runs(asked)], known.shards)
+                context = distinct[place]
                 for owner, own in _cuts(_owner(known, context)) if len(context) else ():
                     values = {"context": context[own], "asking": shard[own]}
                     yield _packed(owner, 0, values, QUESTIONS)
