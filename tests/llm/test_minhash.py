@@ -162,6 +162,56 @@ def test_fine_sketches_of_similar_sets_agree(spark, size):
     assert size < 1000 or agree.filter("number % 2 = 1").isEmpty()
 
 
+@pytest.mark.parametrize("size", [20, 60, 200])
+def test_fine_sketches_never_part_similar_sets_and_part_others(spark, size):
+    draw = np.random.default_rng(size)
+    rows = []
+    for number in range(200):
+        values = draw.integers(0, 2**64, 2 * size, dtype=np.uint64)
+        # Exactly eight tenths of the union are shared; or, for every second pair, half of it.
+        shared = size * (8 if number % 2 == 0 else 5) // 10
+        ends = (size + shared) // 2
+        sets = values[:ends], np.concatenate([values[:shared], values[ends:size]])
+        rows.append((number, *(x for part in sets for x in (len(part), minhash.fine_sketch(part).tolist()))))
+    pairs = spark.createDataFrame(
+        rows, "number int, size long, fine array<long>, other_size long, other_fine array<long>"
+    )
+    agree = pairs.filter(minhash._fine_sketches_agree(80))
+    assert agree.filter("number % 2 = 0").count() == 100
+    assert agree.filter("number % 2 = 1").count() <= 10
+
+
+def test_the_last_round_makes_no_pairs_that_finer_sketches_tell_apart(spark):
+    rows, key = [], 0
+    draw = np.random.default_rng(3)
+    common = draw.integers(0, 2**64, 20, dtype=np.uint64)
+    for node in range(40):
+        values = np.concatenate([common, draw.integers(0, 2**64, 20, dtype=np.uint64)])
+        same = (0,) * len(minhash.SKETCH)
+        rows.append((key, node, node, 40, *same, minhash.fine_sketch(values).tolist(), True))
+    sketches = ", ".join(f"{name} long" for name in minhash.SKETCH)
+    rows = spark.createDataFrame(
+        rows, f"key long, node long, root long, size long, {sketches}, fine array<long>, outside boolean"
+    )
+    assert minhash._all_pairs(rows, 80).isEmpty()
+
+
+def test_a_pair_meets_in_its_first_table_alone(spark, monkeypatch):
+    made = []
+    all_pairs = minhash._all_pairs
+
+    def listed(rows, percent):
+        pairs = all_pairs(rows, percent)
+        made.extend(tuple(sorted(row)) for row in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_all_pairs", listed)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
+    rows = families(11)
+    assert values(minhash.near_duplicates(frame(spark, rows))) == plain(rows)
+    assert len(made) == len(set(made)) > 100
+
+
 def test_buckets_of_the_same_members_count_once(spark):
     members = {1: [1, 2, 3], 2: [3, 2, 1], 3: [1, 2], 4: [1], 5: [2, 3], 6: [2, 3]}
     rows = [(node, key) for key, nodes in members.items() for node in nodes]

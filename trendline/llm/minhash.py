@@ -13,13 +13,16 @@ where they are many, the bucket is dealt again by the other tables of its member
 Two bits of each minhash are a sketch of the set. Pairs that differ in more than 26 of the 72 go
 no further: sets of similarity 0.8 do so once in a million cases. What is left meets once, whatever the
 number of its tables, and is held against a finer sketch, two bits of the least hash in each of 512
-bins, with the same chance of an error. The rest is verified on the distinct shingles of both whole texts.
+bins, with the same chance of an error in large sets and none in small ones, whose difference bounds the
+bins that differ. In the last round buckets bring the finer sketch along, so that pairs it tells apart
+are never made, and the others once, in the first table that the two have in common. The rest is verified on the distinct shingles of both whole texts.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ MOST_DIFFERENT = 26
 MOST_DEVIATIONS = 5.5
 PAIRS_OF_BITS = 0x5555555555555555
 PIVOT_ROUNDS = 3
+TABLE_BIT = 55  # of a bucket's key: the number of its table is above the hash
 MOST_PAIRED = 1000
 SALTS = 256
 HASHES_AT_ONCE = 1 << 13
@@ -169,13 +173,23 @@ def _buckets(keyed: DataFrame) -> DataFrame:
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """``node`` and the keys ``tables`` of all pairs of its parts that others share as well."""
+    """``node`` and the keys ``tables`` of all pairs of its parts that others share as well.
+
+    Keys sort by the place of the first part, then by that of the second one.
+    """
     parts = classes.select("node", F.posexplode("parts").alias("place", "part"))
     listed = F.collect_list(F.struct("place", "part")).alias("parts")
     shared = _shared(parts, ["place", "part"]).groupBy("node").agg(listed)
     first = F.filter("parts", lambda part: part["place"] < PARTS)
     second = F.filter("parts", lambda part: part["place"] >= PARTS)
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
+
+    def key(a: Column, b: Column) -> Column:
+        table = a["place"].cast("bigint") * F.lit(PARTS) + b["place"] - F.lit(PARTS)
+        return F.shiftleft(table, TABLE_BIT).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(a, b), 64 - TABLE_BIT)
+        )
+
+    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: key(a, b))))
     return shared.select("node", keys.alias("tables")).filter(F.size("tables") > 0)
 
 
@@ -227,11 +241,31 @@ def _with_largest(rooted: DataFrame) -> DataFrame:
     return rooted.join(held, "key").select(*rooted.columns, outside, "many")
 
 
+def _in_first_table() -> Column:
+    """Have two members of a bucket no table in common before its own?
+
+    Of buckets of the same members that of the first table is kept, so two nodes always meet there.
+    """
+    table = F.shiftright("key", TABLE_BIT)
+    ends = (F.floor(table / F.lit(PARTS)), table % F.lit(PARTS) + F.lit(PARTS))
+    earlier = [
+        (F.lit(place) < ends[place // PARTS]) & (F.get("parts", F.lit(place)) == F.get("other_parts", F.lit(place)))
+        for place in range(2 * PARTS)
+    ]
+    return ~reduce(Column.__or__, earlier)
+
+
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Those outside the largest component of their bucket with all of other components."""
+    """Those outside the largest component of their bucket with all of other components.
+
+    The rows have their finer sketch, and ``parts`` if their key is that of a table.
+    """
     right = rows.toDF(*(f"other_{name}" for name in rows.columns))
     once = ~F.col("other_outside") | (F.col("node") > F.col("other_node"))
     met = (F.col("key") == F.col("other_key")) & once & _may_be_similar(percent)
+    if "parts" in rows.columns:
+        met &= _in_first_table()
+    met &= _fine_sketches_agree(percent)
     pairs = rows.filter("outside").join(right, met)
     return pairs.select("node", F.col("other_node").alias("other"))
 
@@ -240,14 +274,21 @@ def _fine_sketches_agree(percent: int) -> Column:
     """Do sets that are similar enough differ in so many bins, but for one pair in a million?
 
     The union of two such sets, and so the bins that either fills, has a bound in the smaller one.
+    So has what only one of them holds, and a bin differs only if it has some of that; one bin more
+    is let through.
     """
     small = F.least("size", "other_size")
     filled = F.least(F.lit(float(BINS)), small * F.lit(100.0) / F.lit(float(percent)))
     chance = 0.75 * (1 - percent / 100)
     deviation = F.sqrt(filled * F.lit(chance * (1 - chance)))
     most = filled * F.lit(chance) + deviation * F.lit(MOST_DEVIATIONS) + F.lit(2.0)
-    counts = F.zip_with("fine", "other_fine", lambda a, b: _differing(a.bitwiseXOR(b)))
-    return F.aggregate(counts, F.lit(0), lambda total, count: total + count) <= most
+    counts = [
+        _differing(F.get("fine", F.lit(place)).bitwiseXOR(F.get("other_fine", F.lit(place))))
+        for place in range(BINS // 32)
+    ]
+    count = sum(counts[1:], counts[0])
+    certain = F.lit(percent) * (count - F.lit(1)) <= F.lit(100 - percent) * small
+    return certain & (count <= most)
 
 
 def _met_once(pairs: DataFrame, compared: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
@@ -335,6 +376,11 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
     again = many.join(tables, "node").withColumn("_table", F.explode("tables"))
     again = again.filter("_table <> key").withColumn("key", F.xxhash64("key", "_table"))
     again = written_once(_shared(again.select(rows.columns), ["key"]), "dealt-again")
+    fine = texts.select("node", "fine")
+    # Half of each part key will do to tell which parts two nodes share.
+    halves = F.transform("parts", lambda part: F.shiftright(part, 32).cast("int")).alias("parts")
+    few = few.join(fine, "node").join(classes.select("node", halves), "node")
+    again = again.join(fine, "node")
     add(_all_pairs(few, percent).union(_all_pairs(again, percent)))
     return roots
 
