@@ -235,3 +235,17 @@ def test_pairs_meet_once(spark, monkeypatch):
     rows = families(8)
     assert values(minhash.near_duplicates(frame(spark, rows))) == plain(rows)
     assert len(met) == len(set(met)) and all(low < high for low, high in met)
+
+
+def test_texts_go_once_to_every_part_of_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MEMBERS_IN_PART", 100)
+    texts = [(n, b"a b c d e f g h i j" if n < 150 else b"x %d y z a" % n) for n in range(400)]
+    frame_of_texts = spark.createDataFrame(texts, "node long, words binary")
+    pairs = [(n, 0) for n in range(1, 300)] + [(n, 300) for n in range(301, 310)]
+    made = spark.createDataFrame(pairs, "node long, other long")
+    found = values(minhash._with_texts(made, frame_of_texts), "other", "node", "words")
+    assert sorted((other, node) for other, node, _ in found if node is not None) == sorted((o, n) for n, o in pairs)
+    heads = [(other, words) for other, node, words in found if node is None]
+    assert sorted(heads) == [(0, texts[0][1])] * 3 + [(300, texts[300][1])]
+    links = values(minhash._verified(made, frame_of_texts, 4, 80), "node", "other")
+    assert sorted(links) == [(n, 0) for n in range(1, 150)]

@@ -49,7 +49,7 @@ PAIRS_OF_BITS = 0x5555555555555555
 PIVOT_ROUNDS = 3
 TABLE_BIT = 55  # of a bucket's key: the number of its table is above the hash
 MOST_PAIRED = 1000
-SALTS = 256
+MEMBERS_IN_PART = 256
 HASHES_AT_ONCE = 1 << 13
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,7 +148,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return written_once(rows.mapInArrow(mark, schema), "minhash-rows")
+    return written_once(rows.mapInArrow(mark, schema), "minhash-rows", "zstd")
 
 
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -309,19 +309,29 @@ def _met_once(pairs: DataFrame, compared: DataFrame | None, texts: DataFrame, pe
     return written_once(pairs.select("low", "high", "node", "other", may), "pairs")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of pairs by ``other`` and ``salt``; that of ``other`` has no ``node``.
+
+    ``other`` has a part for every ``MEMBERS_IN_PART`` pairs and its text goes to each of them once.
+    All are looked up at once, among the texts that are in a pair.
+    """
+    parts = pairs.groupBy("other").agg(F.ceil(F.count("*") / F.lit(MEMBERS_IN_PART)).alias("parts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("parts")).alias("salt")
+    pairs = pairs.join(parts, "other").select("other", salt, "node", F.col("node").alias("own"))
+    heads = pairs.select("other", "salt").distinct()
+    heads = heads.select("other", "salt", F.lit(None).cast("bigint").alias("node"), F.col("other").alias("own"))
+    wanted = heads.union(pairs)
+    in_pairs = written_once(wanted.select("own").distinct(), "in-pairs")
+    texts = texts.select(F.col("node").alias("own"), "words").join(in_pairs, "own", "left_semi")
+    return wanted.join(texts, "own").select("other", "salt", "node", "words")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs whose shingle sets are similar enough, larger number first.
 
-    The text of ``other`` goes to each of its parts once, those of ``node`` follow it.
+    In each part the text of ``other`` comes first.
     """
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    pairs = pairs.select("node", "other", salt)
-    texts = texts.select("node", "words")
-    named = texts.withColumnRenamed("node", "other")
-    heads = pairs.select("other", "salt").distinct().join(named, "other")
-    heads = heads.select("other", "salt", F.lit(None).cast("bigint").alias("node"), "words")
-    members = pairs.join(texts, "node").select("other", "salt", "node", "words")
-    rows = heads.union(members).repartition("other", "salt")
+    rows = _with_texts(pairs, texts).repartition("other", "salt")
     rows = rows.sortWithinPartitions("other", "salt", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +363,7 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
     met = written_once(buckets.select("node").distinct(), "met")
     texts = rows.select(F.col("_row").alias("node"), "words", "size", "fine")
     texts = texts.join(met, "node", "left_semi")
-    texts = written_once(texts, "texts")
+    texts = written_once(texts, "texts", "zstd")
     links, roots, compared = None, None, None
 
     def add(pairs: DataFrame) -> None:
