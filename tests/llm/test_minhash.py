@@ -196,6 +196,75 @@ def test_the_last_round_makes_no_pairs_that_finer_sketches_tell_apart(spark):
     assert minhash._all_pairs(rows, 80).isEmpty()
 
 
+@pytest.mark.parametrize("size", [4, 40, 400, 4000])
+def test_odd_sketches_never_part_similar_sets_and_part_others(spark, size):
+    draw = np.random.default_rng(size)
+    rows = []
+    for number in range(120):
+        values = draw.integers(0, 2**64, size, dtype=np.uint64)
+        # Eight tenths of the union are shared; or, for every second pair, six tenths.
+        shared = 8 * size // 10 if number % 2 == 0 else 6 * size // 10
+        ends = (size + shared) // 2
+        sets = values[:ends], np.concatenate([values[:shared], values[ends:]])
+        if 100 * shared < 80 * size and number % 2 == 0:
+            sets = sets[0], sets[0]
+        rows.append((number, *(x for part in sets for x in (len(part), minhash.odd_sketch(part).tolist()))))
+    pairs = spark.createDataFrame(
+        rows, "number int, size long, odd array<long>, other_size long, other_odd array<long>"
+    )
+    agree = {row["number"] for row in pairs.filter(minhash._odd_sketches_agree(80)).collect()}
+    bits = [np.array([row[2], row[4]], np.int64).view(np.uint64) for row in rows]
+    counts = np.array([np.bitwise_count(one ^ other).sum() for one, other in bits])
+    most = minhash.most_odd(np.array([row[1] + row[3] for row in rows]), 80)
+    assert agree == set(np.flatnonzero(counts <= most).tolist())
+    assert agree >= set(range(0, 120, 2))
+    assert not 40 <= size <= 400 or len(agree) <= 66
+
+
+def test_members_of_a_family_that_are_not_alike_enough_are_not_verified(spark, monkeypatch):
+    draw = random.Random(12)
+    base = samples.prose(draw, 400, 10**6).split()
+    rows = []
+    for key in range(70):
+        words = list(base)
+        for place in draw.sample(range(400), 10):
+            words[place] = f"x{key}-{place}"
+        rows.append((key, " ".join(words)))
+    rows.append((70, rows[3][1] + " more"))
+    tested = []
+    verified = minhash._verified
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    assert values(minhash.near_duplicates(frame(spark, rows))) == plain(rows)
+    assert sum(tested) < 3 * len(rows)
+
+
+def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MOST_JOINED", 0)
+    monkeypatch.setattr(minhash, "PAIRS_IN_PART", 50)
+    monkeypatch.setattr(minhash, "ROWS_IN_PART", 7)
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 11)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 1)
+    rows = families(13, count=3)
+    assert values(minhash.near_duplicates(frame(spark, rows))) == plain(rows)
+
+
+def test_places_of_pairs_are_all_pairs_with_one_outside(monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 3)
+    group = np.array([0, 0, 0, 0, 1, 2, 2, 3, 3])
+    outside = np.array([1, 1, 0, 0, 0, 1, 1, 1, 0])
+    found = [
+        pair
+        for some in minhash._places_of_pairs(group, outside)
+        for pair in zip(*(places.tolist() for places in some), strict=True)
+    ]
+    assert sorted(found) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (5, 6), (7, 8)]
+
+
 def test_a_pair_meets_in_its_first_table_alone(spark, monkeypatch):
     made = []
     all_pairs = minhash._all_pairs

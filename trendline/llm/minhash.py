@@ -14,8 +14,11 @@ Two bits of each minhash are a sketch of the set. Pairs that differ in more than
 no further: sets of similarity 0.8 do so once in a million cases. What is left meets once, whatever the
 number of its tables, and is held against a finer sketch, two bits of the least hash in each of 512
 bins, with the same chance of an error in large sets and none in small ones, whose difference bounds the
-bins that differ. In the last round buckets bring the finer sketch along, so that pairs it tells apart
-are never made, and the others once, in the first table that the two have in common. The rest is verified on the distinct shingles of both whole texts.
+bins that differ. An odd sketch, the parities of the number of hashes in each of 1,024 bins, differs in at
+most as many bins as there are hashes that only one of the two sets holds, so what it tells apart is never
+similar. In the last round buckets bring sketches along, so that pairs they tell apart are never made:
+small buckets are joined, each pair in the first table that the two have in common; in large ones arrays of
+sketches are held against each other. The rest is verified on the distinct shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -42,14 +45,19 @@ LEAST_PERCENT = 80
 PARTS = 12
 HASHES_IN_PART = 3
 BINS = 512
+ODD_BINS = 1024
 SKETCH = ("sketch0", "sketch1", "sketch2")
 MOST_DIFFERENT = 26
 MOST_DEVIATIONS = 5.5
 PAIRS_OF_BITS = 0x5555555555555555
 PIVOT_ROUNDS = 3
 TABLE_BIT = 55  # of a bucket's key: the number of its table is above the hash
+MOST_JOINED = 32
 MOST_PAIRED = 1000
 MEMBERS_IN_PART = 256
+PAIRS_IN_PART = 1 << 26
+ROWS_IN_PART = 1 << 16
+PAIRS_AT_ONCE = 1 << 19
 HASHES_AT_ONCE = 1 << 13
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -108,6 +116,13 @@ def fine_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.array(bits, np.uint8).T.ravel(), bitorder="little").view(np.int64)
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Whether each bin holds an odd number of a set's hashes, in sixteen numbers."""
+    bins = (values >> np.uint64(32)) % np.uint64(ODD_BINS)
+    odd = np.bincount(bins.astype(np.int64), minlength=ODD_BINS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: bool) -> DataFrame:
     """Every row with its number, its words, their digest, the size of its set and its part keys."""
     own = [F.struct(*[docs[name] for name in docs.columns]).alias("_doc")] if whole else []
@@ -117,7 +132,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
     schema = StructType(rows.select(*kept).schema.fields)
     schema = schema.add("words", BinaryType()).add("digest", BinaryType())
     schema = schema.add("size", LongType()).add("parts", ArrayType(LongType()))
-    schema = schema.add("fine", ArrayType(LongType()))
+    schema = schema.add("fine", ArrayType(LongType())).add("odd", ArrayType(LongType()))
     for name in SKETCH:
         schema = schema.add(name, LongType())
 
@@ -125,7 +140,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
         from hashlib import sha256
 
         for batch in batches:
-            words, digests, sizes, parts, fine, sketches = [], [], [], [], [], []
+            words, digests, sizes, parts, fine, odd, sketches = [], [], [], [], [], [], []
             for text in batch["_text"]:
                 lowered = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 words.append(b" ".join(lowered.split()))
@@ -134,6 +149,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
                 sizes.append(len(found))
                 values = hashes(found)
                 fine.append(fine_sketch(values))
+                odd.append(odd_sketch(values))
                 least = minhashes(values)
                 parts.append(part_keys(least))
                 sketches.append(sketch(least))
@@ -144,6 +160,7 @@ def _marked(docs: DataFrame, key: str, text: str, shingle_words: int, whole: boo
                 pa.array(sizes, pa.int64()),
                 pa.array(parts, pa.list_(pa.int64())),
                 pa.array(fine, pa.list_(pa.int64())),
+                pa.array(odd, pa.list_(pa.int64())),
                 *(pa.array(column) for column in np.array(sketches, np.int64).reshape(-1, 3).T),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
@@ -229,16 +246,18 @@ def _pivot_pairs(rooted: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def _with_largest(rooted: DataFrame) -> DataFrame:
-    """Members of buckets of several components: outside the largest one, and are there many such?"""
+    """Members of buckets of several components: outside the largest one, are there more such than
+    are joined, and are there many?"""
     held = rooted.groupBy("key", "root").agg(F.count("*").alias("_n"))
     held = held.groupBy("key").agg(
         F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all")
     )
     rest = F.col("_all") - F.col("_most._n")
-    held = held.select("key", F.col("_most.root").alias("_largest"), (rest > MOST_PAIRED).alias("many"), rest.alias("_rest"))
+    held = held.select("key", F.col("_most.root").alias("_largest"), rest.alias("_rest"))
+    held = held.withColumns({"large": F.col("_rest") > MOST_JOINED, "many": F.col("_rest") > MOST_PAIRED})
     held = written_once(held.filter("_rest > 0").drop("_rest"), "open")
     outside = (F.col("root") != F.col("_largest")).alias("outside")
-    return rooted.join(held, "key").select(*rooted.columns, outside, "many")
+    return rooted.join(held, "key").select(*rooted.columns, outside, "large", "many")
 
 
 def _in_first_table() -> Column:
@@ -270,6 +289,146 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select("node", F.col("other_node").alias("other"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of buckets by ``key`` and ``part``.
+
+    A bucket has a part for every ``PAIRS_IN_PART`` pairs or ``ROWS_IN_PART`` rows, mostly one. Those
+    outside its largest component go to every part, all others to their ``own`` alone.
+    """
+    held = rows.groupBy("key").agg(F.count("*").alias("_n"), F.count_if("outside").alias("_o"))
+    parts = F.ceil(F.col("_n") * F.col("_o") / F.lit(PAIRS_IN_PART))
+    held = held.select("key", F.greatest(parts, F.ceil(F.col("_n") / F.lit(ROWS_IN_PART))).alias("parts"))
+    rows = rows.join(written_once(held.filter("parts > 1"), "parts"), "key", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), parts))
+    places = F.when(F.col("outside"), F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array("_own"))
+    rows = rows.withColumn("part", F.explode(places)).withColumn("own", F.col("part") == F.col("_own"))
+    return rows.drop("parts", "_own")
+
+
+def _places_of_pairs(group: np.ndarray, outside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a group, one of the two outside its largest component, some at a time.
+
+    Those outside stand first in their group.
+    """
+    begin = np.searchsorted(group, group)
+    seen = np.cumsum(outside) - outside
+    met = seen - seen[begin]
+    stops = np.cumsum(met)
+    at = 0
+    while at < len(group):
+        stop = max(at + 1, int(np.searchsorted(stops, stops[at] - met[at] + PAIRS_AT_ONCE)))
+        some = met[at:stop]
+        right = np.repeat(np.arange(at, stop), some)
+        yield begin[right] + np.arange(len(right)) - np.repeat(np.cumsum(some) - some, some), right
+        at = stop
+
+
+def _near(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of places are of different components and may be similar by their sizes and sketches."""
+    size = rows["size"]
+    small, large = (least(size[left], size[right]) for least in (np.minimum, np.maximum))
+    may = (rows["root"][left] != rows["root"][right]) & (100 * small >= percent * large)
+    # Of two outside, that of the smaller number is in its own part.
+    first = np.where(rows["node"][left] < rows["node"][right], left, right)
+    may &= rows["own"][np.where(rows["outside"][right], first, right)]
+    kept = np.flatnonzero(may)
+
+    def differing(name: str, in_pairs: bool) -> np.ndarray:
+        bits = rows[name][left[kept]] ^ rows[name][right[kept]]
+        if in_pairs:
+            bits = (bits | bits >> np.uint64(1)) & np.uint64(PAIRS_OF_BITS)
+        return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+    kept = kept[differing("sketch", True) <= MOST_DIFFERENT]
+    kept = kept[differing("odd", False) <= most_odd(small[kept] + large[kept], percent)]
+    return kept[differing("fine", True) <= most_fine(small[kept], percent)]
+
+
+def most_odd(both: np.ndarray, percent: int) -> np.ndarray:
+    """In how many bins odd sketches of similar sets of ``both`` hashes together differ at most.
+
+    A hash that one set alone holds turns one bin, so there is a certain bound; where many meet in a
+    bin, there is one for all but one pair in a million.
+    """
+    alone = both * (100 - percent) / (100 + percent)
+    once, twice = (1 - 2 / ODD_BINS) ** alone, (1 - 4 / ODD_BINS) ** alone
+    mean = ODD_BINS / 2 * (1 - once)
+    variance = ODD_BINS / 4 * (1 - twice) + ODD_BINS**2 / 4 * (twice - once**2)
+    likely = mean + MOST_DEVIATIONS * np.sqrt(np.maximum(variance, 0)) + 1
+    return np.floor(np.minimum(alone + 1e-6, likely)).astype(np.int64)
+
+
+def most_fine(small: np.ndarray, percent: int) -> np.ndarray:
+    """In how many bins finer sketches of similar sets differ at most, see ``_fine_sketches_agree``."""
+    filled = np.minimum(float(BINS), small * 100.0 / percent)
+    chance = 0.75 * (1 - percent / 100)
+    likely = filled * chance + np.sqrt(filled * chance * (1 - chance)) * MOST_DEVIATIONS + 2
+    return np.floor(np.minimum((100 - percent) * small // percent + 1, likely)).astype(np.int64)
+
+
+def _near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``_all_pairs`` whose odd sketches agree as well, compared without being made.
+
+    For large buckets. A pair comes as often as it meets.
+    """
+    lists = ["fine", "odd"]
+    numbers = ["key", "part", "node", "root", "size", *SKETCH]
+    dealt = _dealt(rows).select(*numbers, "outside", "own", *lists)
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", ~F.col("outside"))
+
+    def held(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        found = {name: batch[name].to_numpy() for name in ("key", "part", "node", "root", "size")}
+        found |= {name: batch[name].to_numpy(zero_copy_only=False) for name in ("outside", "own")}
+        found["sketch"] = np.stack([batch[name].to_numpy() for name in SKETCH], axis=1).view(np.uint64)
+        for name in lists:
+            found[name] = batch[name].flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+        return found
+
+    def paired(found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        changes = (np.diff(found["key"]) != 0) | (np.diff(found["part"]) != 0)
+        group = np.concatenate([np.zeros(1, np.int64), np.cumsum(changes)])
+        for left, right in _places_of_pairs(group, found["outside"].astype(np.int64)):
+            near = _near(found, left, right, percent)
+            ends = [pa.array(found["node"][place[near]]) for place in (left, right)]
+            yield pa.RecordBatch.from_arrays(ends, ["node", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict[str, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = held(batch)
+            # The last bucket of a batch may go on in the next one.
+            last = (new["key"] == new["key"][-1]) & (new["part"] == new["part"][-1])
+            ended = int(np.argmax(last))
+            if waiting and (ended or waiting[-1]["key"][-1] != new["key"][0] or waiting[-1]["part"][-1] != new["part"][0]):
+                waiting.append({name: column[:ended] for name, column in new.items()})
+                yield from paired({name: np.concatenate([x[name] for x in waiting]) for name in new})
+                waiting = []
+            elif ended:
+                yield from paired({name: column[:ended] for name, column in new.items()})
+            waiting.append({name: column[ended:] for name, column in new.items()})
+        if waiting:
+            yield from paired({name: np.concatenate([x[name] for x in waiting]) for name in waiting[0]})
+
+    return dealt.mapInArrow(run, "node long, other long")
+
+
+def _odd_sketches_agree(percent: int) -> Column:
+    """Do odd sketches differ in no more bins than those of similar sets, see ``most_odd``?"""
+    counts = [
+        F.bit_count(F.get("odd", F.lit(place)).bitwiseXOR(F.get("other_odd", F.lit(place))))
+        for place in range(ODD_BINS // 64)
+    ]
+    alone = (F.col("size") + F.col("other_size")) * F.lit((100 - percent) / (100 + percent))
+    once, twice = (F.pow(F.lit(1 - bits / ODD_BINS), alone) for bits in (2, 4))
+    mean = F.lit(ODD_BINS / 2) * (F.lit(1.0) - once)
+    variance = F.lit(ODD_BINS / 4) * (F.lit(1.0) - twice) + F.lit(ODD_BINS**2 / 4) * (twice - once * once)
+    likely = mean + F.lit(MOST_DEVIATIONS) * F.sqrt(F.greatest(variance, F.lit(0.0))) + F.lit(1.0)
+    return sum(counts[1:], counts[0]) <= F.least(alone + F.lit(1e-6), likely)
+
+
 def _fine_sketches_agree(percent: int) -> Column:
     """Do sets that are similar enough differ in so many bins, but for one pair in a million?
 
@@ -302,9 +461,9 @@ def _met_once(pairs: DataFrame, compared: DataFrame | None, texts: DataFrame, pe
         pairs = pairs.join(compared, ["low", "high"], "left_anti")
     node = F.when(F.col("other") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     pairs = pairs.withColumn("node", node)
-    sketches = texts.select("node", "size", "fine")
-    others = sketches.toDF("other", "other_size", "other_fine")
-    may = _fine_sketches_agree(percent).alias("may")
+    sketches = texts.select("node", "size", "fine", "odd")
+    others = sketches.toDF("other", "other_size", "other_fine", "other_odd")
+    may = (_odd_sketches_agree(percent) & _fine_sketches_agree(percent)).alias("may")
     pairs = pairs.join(sketches, "node").join(others, "other")
     return written_once(pairs.select("low", "high", "node", "other", may), "pairs")
 
@@ -361,7 +520,7 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
     described = classes.select("node", "size", *SKETCH)
     buckets = written_once(_buckets(keyed).join(described, "node"), "buckets")
     met = written_once(buckets.select("node").distinct(), "met")
-    texts = rows.select(F.col("_row").alias("node"), "words", "size", "fine")
+    texts = rows.select(F.col("_row").alias("node"), "words", "size", "fine", "odd")
     texts = texts.join(met, "node", "left_semi")
     texts = written_once(texts, "texts", "zstd")
     links, roots, compared = None, None, None
@@ -386,12 +545,12 @@ def _linked(classes: DataFrame, rows: DataFrame, shingle_words: int, percent: in
     again = many.join(tables, "node").withColumn("_table", F.explode("tables"))
     again = again.filter("_table <> key").withColumn("key", F.xxhash64("key", "_table"))
     again = written_once(_shared(again.select(rows.columns), ["key"]), "dealt-again")
-    fine = texts.select("node", "fine")
+    sketches = texts.select("node", "fine", "odd")
     # Half of each part key will do to tell which parts two nodes share.
     halves = F.transform("parts", lambda part: F.shiftright(part, 32).cast("int")).alias("parts")
-    few = few.join(fine, "node").join(classes.select("node", halves), "node")
-    again = again.join(fine, "node")
-    add(_all_pairs(few, percent).union(_all_pairs(again, percent)))
+    joined = few.filter("not large").join(sketches.drop("odd"), "node").join(classes.select("node", halves), "node")
+    near = few.filter("large").union(again).join(sketches, "node")
+    add(_all_pairs(joined, percent).union(_near_pairs(near, percent)))
     return roots
 
 
