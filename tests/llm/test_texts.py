@@ -115,6 +115,52 @@ def test_articles_keep_the_lines_they_share(spark):
     assert {text for _, _, text, _ in found} == {f"Ingredients\n\n{text}\n\n{long_line}" for text in texts}
 
 
+def test_marked_pages_go_through_the_suffix_arrays_as_well(spark):
+    draw = random.Random(8)
+    line = "subscribe to our very long letter of many news today"
+    shared = "all quantities are meant for four hungry people and a dog"
+    own = [samples.prose(draw, 40, 10**6) for _ in range(16)]
+    rows = [
+        (n, f"http://h/{n}", f"<article><p>{own[n]}</p><p>{shared}</p></article><div>{line}</div><footer>{line} {n}</footer>")
+        for n in range(10)
+    ]
+    rows += [(10, "http://h/10", f"<article><h1>{line}</h1><p>{own[10]}</p></article>")]
+    rows += [(n, f"http://h/{n}", f"<div><p>{own[n]}</p><p>{line}</p><p>{shared}</p></div>") for n in range(11, 15)]
+    rows += [(15, "http://other/", f"<div><p>{own[15]}</p><p>{line}</p></div>")]
+    # Articles stay whole; what they hold is main text elsewhere, what stands beside them is not.
+    texts = {n: f"{own[n]}\n\n{shared}" for n in range(15)}
+    texts |= {10: f"{line}\n\n{own[10]}", 15: f"{own[15]}\n\n{line}"}
+    assert {key: text for key, _, text, _ in extract(spark, rows)} == texts
+    # Two silent pages alone are too few to tell.
+    found = extract(spark, [row for row in rows if row[0] not in (11, 12)])
+    assert {key: text for key, _, text, _ in found} == {n: text for n, text in texts.items() if n not in (11, 12)}
+
+
+def test_strings_outside_a_filter_are_left_out():
+    bits = np.zeros(html_text.FILTER_BITS // 8, np.uint8)
+    pages = [[f"one two three four five six seven eight {n}", "short"] for n in range(5)]
+    batch = html_text.pa.RecordBatch.from_pydict({"host": ["h"] * 5, "blocks": pages})
+    whole = html_text.pa.Table.from_batches(html_text._window_counts(iter([batch]))).to_pylist()
+    assert sorted(row["n"] for row in whole) == [1] * 5 + [5, 5]
+    wanted = next(row["window"] for row in whole if row["n"] == 5)
+    slot = wanted & (html_text.FILTER_BITS - 1)
+    bits[slot >> 3] |= 1 << (slot & 7)
+    found = html_text.pa.Table.from_batches(html_text._window_counts(iter([batch]), bits=bits)).to_pylist()
+    assert found == [{"host": "h", "window": wanted, "n": 5}]
+
+
+def test_the_filter_holds_every_string(spark):
+    windows = np.random.default_rng(9).integers(-(2**63), 2**63, 3000).tolist() + [0, -1]
+    bits = html_text._filter_of(spark.createDataFrame([(n,) for n in windows], "window bigint"))
+    slots = {n & (html_text.FILTER_BITS - 1) for n in windows}
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == slots
+
+
+def test_what_stands_beside_the_main_text():
+    html = "<nav>Home<p>Away</nav><p>a<button>Buy</button>b</p><main><p>in</p></main><script>x</script><footer>&copy; x"
+    assert html_text.page_blocks(html) == (html_text.MAIN, ["in"], ["Home", "Away", "Buy", "© x", "ab"])
+
+
 def test_what_a_large_host_repeats_is_counted_over_all_of_it(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES_AT_ONCE", 16)
     monkeypatch.setattr(html_text, "CHARACTERS_AT_ONCE", 2000)
